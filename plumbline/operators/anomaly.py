@@ -446,36 +446,51 @@ def one_class_svm(p: Prepared, kernel: str = "rbf", nu: float = 0.1, gamma: Any
                   rounds: int = 8, seed: int = 42) -> DataFrame:
     """One-class SVM on random Fourier features, by full-table subgradient
     steps: the direction moves towards the mean feature vector of the rows
-    below the margin. Each step is one aggregate; rows stay in the JVM."""
+    below the margin. A step reads the table once for the margin's quantile
+    and once for the sums, one row of sums per task."""
     if kernel == "linear":
-        phi = list(p.z)
+        freq = None
     elif kernel == "rbf":
         g = 1.0 / p.d if gamma in ("scale", "auto") else float(gamma)
-        w = np.random.default_rng(seed).normal(0.0, math.sqrt(2.0 * g), (features, p.d))
-        scale = 1.0 / math.sqrt(features)
-        phi = []
-        for row in w:
-            angle = reduce(lambda a, b: a + b, [z * float(v) for z, v in zip(p.z, row)])
-            phi += [F.cos(angle) * scale, F.sin(angle) * scale]
+        freq = np.random.default_rng(seed).normal(0.0, math.sqrt(2.0 * g), (p.d, features))
     else:
         raise ValueError("kernel must be rbf or linear")
-    # Features are computed once per step in a projection, then reduced.
-    frame = p.df.select("id", *[f.alias(f"f{i}") for i, f in enumerate(phi)])
-    cols = [F.col(f"f{i}") for i in range(len(phi))]
-    weight = np.array([v or 0.0 for v in frame.agg(*[F.avg(c) for c in cols]).first()])
+    frame = p.df.select("id", F.array(*p.z).alias("z"))
+    size = p.d if freq is None else 2 * features
 
-    def margin(w: np.ndarray) -> Column:
-        return F.aggregate(F.zip_with(F.array(*cols), F.array(*[F.lit(float(v)) for v in w]), lambda a, b: a * b),
-                           F.lit(0.0), lambda a, b: a + b)
+    def phi(z: pd.Series) -> np.ndarray:
+        rows = np.array(z.tolist(), dtype=float).reshape(len(z), -1)
+        if freq is None:
+            return rows
+        angle = rows @ freq
+        return np.hstack([np.cos(angle), np.sin(angle)]) / math.sqrt(features)
 
+    def margin(w: np.ndarray) -> Column:
+        @F.pandas_udf(T.DoubleType())
+        def score(z: pd.Series) -> pd.Series:
+            return pd.Series(phi(z) @ w)
+        return score("z")
+
+    def mean_below(w: np.ndarray | None, rho: float) -> np.ndarray | None:
+        def sums(batches: Any) -> Any:
+            total = np.zeros(size + 1)
+            for pdf in batches:
+                f = phi(pdf["z"])
+                low = np.ones(len(f), bool) if w is None else f @ w <= rho
+                total += np.append(f[low].sum(0), low.sum())
+            yield pd.DataFrame([total], columns=[f"t{i}" for i in range(size + 1)])
+        parts = frame.select("z").mapInPandas(sums, ", ".join(f"t{i} double" for i in range(size + 1)))
+        row = np.array(parts.agg(*[F.sum(f"t{i}") for i in range(size + 1)]).first(), dtype=float)
+        return row[:-1] / row[-1] if row[-1] > 0 else None
+
+    weight = mean_below(None, 0.0)
     for step in range(rounds):
-        score = margin(weight)
-        (rho,) = frame.agg(F.percentile_approx(score, nu, 10000)).first()
-        low = frame.filter(score <= F.lit(rho)).agg(*[F.avg(c) for c in cols]).first()
-        if low[0] is None:
+        (rho,) = frame.agg(F.percentile_approx(margin(weight), nu, 10000)).first()
+        low = mean_below(weight, rho)
+        if low is None:
             break
         eta = 1.0 / (step + 2.0)
-        weight = (1 - eta) * weight + eta * np.array([v or 0.0 for v in low])
+        weight = (1 - eta) * weight + eta * low
     return cut_at(frame.select("id", (-margin(weight)).alias("score")), 1.0 - nu)
 
 

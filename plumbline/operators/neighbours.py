@@ -110,14 +110,15 @@ def knn(points: DataFrame, dims: int, k: int, max_radius: float = float("inf"),
     visitors = (visits.join(per_cell, "target")
                 .withColumn("salt", F.pmod(F.xxhash64("id"), F.col("copies")).cast("long")))
     hosts = (cells.join(per_cell, cells.cell == per_cell.target)
-             .select("target", "id", "x", "w", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt")))
+             .select("target", F.col("id").alias("hid"), F.col("x").alias("hx"), F.col("w").alias("hw"),
+                     F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt")))
 
     def visit(guests: pd.DataFrame, home: pd.DataFrame) -> pd.DataFrame:
         if guests.empty or home.empty:
             return pd.DataFrame({"id": [], "other": [], "d": [], "w": []})
-        x = np.array(home["x"].tolist(), dtype=float).reshape(len(home), -1)
+        x = np.array(home["hx"].tolist(), dtype=float).reshape(len(home), -1)
         q = np.array(guests["x"].tolist(), dtype=float).reshape(len(guests), -1)
-        return nearest_in(home["id"].to_numpy(), x, home["w"].to_numpy(), guests["id"].to_numpy(), q, k,
+        return nearest_in(home["hid"].to_numpy(), x, home["hw"].to_numpy(), guests["id"].to_numpy(), q, k,
                           guests["r"].to_numpy(), False)
 
     outside = (visitors.select("target", "salt", "id", "x", "r").groupBy("target", "salt")
