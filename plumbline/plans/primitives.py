@@ -80,6 +80,71 @@ def row_numbers(df: DataFrame, order: Sequence[str], name: str = "row_index") ->
             .withColumn(name, F.col(name) + F.col("o")).drop("pid", "o"))
 
 
+def ordered_scan(df: DataFrame, order: Sequence[str], sums: Sequence[str] = (), maxes: Sequence[str] = (),
+                 prev: Sequence[str] = ()) -> DataFrame:
+    """Running sums ``cum_<c>`` and maxima ``top_<c>`` (both inclusive) and
+    the previous row's ``prev_<c>``, along a global order.
+
+    The order should be unique. Works on range partitions, so a key that
+    holds a third of the rows is spread like any other stretch of the order.
+    """
+    parts = checkpointed(range_sorted(df, list(order)))
+    local = Window.partitionBy("pid").orderBy(*order)
+    upto, ahead = local.rowsBetween(Window.unboundedPreceding, 0), Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    ends = parts.groupBy("pid").agg(
+        F.count(F.lit(1)).alias("t_rows"), *[F.sum(c).alias(f"t_{c}") for c in sums], *[F.max(c).alias(f"m_{c}") for c in maxes],
+        F.max_by(F.struct(*[F.col(c).alias(c) for c in prev]) if prev else F.lit(0), F.struct(*order)).alias("last"))
+    carry = ends.select(
+        "pid", *[F.sum(f"t_{c}").over(ahead).alias(f"o_{c}") for c in sums], *[F.max(f"m_{c}").over(ahead).alias(f"x_{c}") for c in maxes],
+        F.lag("last").over(Window.orderBy("pid")).alias("o_last"))
+    out = parts.withColumns({**{f"cum_{c}": F.sum(c).over(upto) for c in sums}, **{f"top_{c}": F.max(c).over(upto) for c in maxes},
+                             "__r": F.row_number().over(local), **{f"prev_{c}": F.lag(c).over(local) for c in prev}})
+    out = out.join(F.broadcast(carry), "pid")
+    return out.withColumns({
+        **{f"cum_{c}": F.col(f"cum_{c}") + F.coalesce(f"o_{c}", F.lit(0)) for c in sums},
+        **{f"top_{c}": F.when(F.col(f"top_{c}").isNull() | (F.col(f"x_{c}") > F.col(f"top_{c}")), F.col(f"x_{c}")).otherwise(F.col(f"top_{c}")) for c in maxes},
+        **{f"prev_{c}": F.when(F.col("__r") == 1, F.col("o_last").getField(c)).otherwise(F.col(f"prev_{c}")) for c in prev},
+    }).drop("pid", "__r", "o_last", *[f"o_{c}" for c in sums], *[f"x_{c}" for c in maxes])
+
+
+def rank_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "rank") -> DataFrame:
+    """1-based row number inside each group without gathering the group: the
+    global row number less that of the group's first row."""
+    numbered = row_numbers(df, [*group, *order], "__i")
+    starts = ordered_scan(numbered.withColumn("__g", F.struct(*group)), ["__i"], prev=["__g"])
+    first = F.col("prev___g").isNull() | ~F.col("__g").eqNullSafe(F.col("prev___g"))
+    marked = starts.withColumn("__s", F.when(first, F.col("__i"))).drop("prev___g")
+    return (ordered_scan(marked, ["__i"], maxes=["__s"])
+            .withColumn(name, F.col("__i") - F.col("top___s") + 1).drop("__i", "__g", "__s", "top___s"))
+
+
+def latest_in_window(points: DataFrame, probes: DataFrame, n: int) -> DataFrame:
+    """For every probe the newest ``n`` points of its group inside a time range.
+
+    ``points``: g, ts, id; ``probes``: pid, g, lo, hi; result: pid, id, ts, nth.
+    Points and probes are merged along one order, which tells each probe the
+    number of the last point not after ``hi``; the n points before it are then
+    fetched by number. No two rows are compared that are not in the answer's
+    neighbourhood, however many share a group.
+    """
+    merged = (points.select("g", F.col("ts").alias("at"), F.lit(0).alias("kind"), F.col("id").cast("string").alias("who"), "id", "ts",
+                            F.lit(None).alias("pid"), F.lit(None).cast("timestamp").alias("lo"), F.lit(1).alias("one"))
+              .unionByName(probes.select("g", F.col("hi").alias("at"), F.lit(1).alias("kind"), F.col("pid").cast("string").alias("who"),
+                                         F.lit(None).alias("id"), F.lit(None).cast("timestamp").alias("ts"), "pid", "lo", F.lit(0).alias("one"))))
+    scanned = checkpointed(ordered_scan(merged, ["g", "at", "kind", "who"], sums=["one"]))
+    numbered = scanned.filter("kind = 0").select(F.col("cum_one").alias("no"), F.col("g").alias("pg"), "id", "ts")
+    asked = scanned.filter("kind = 1").select("pid", "g", "lo", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("nth"), "cum_one")
+    asked = asked.withColumn("no", F.col("cum_one") - F.col("nth"))
+    return (asked.join(numbered, "no").filter(F.col("pg").eqNullSafe(F.col("g")) & (F.col("ts") >= F.col("lo")))
+            .select("pid", "id", "ts", (F.col("nth") + 1).alias("nth")))
+
+
+def chunked(df: DataFrame, order: Sequence[str], rows: int = 100_000) -> DataFrame:
+    """Add ``idx`` (global row number) and ``chunk``: consecutive stretches
+    of equal size, the unit of work for ordered computations."""
+    return row_numbers(df, order, "idx").withColumn("chunk", F.floor(F.col("idx") / rows).cast("long"))
+
+
 Pair = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
 
@@ -196,19 +261,17 @@ def exact_quantiles(df: DataFrame, wanted: Sequence[tuple[Column, float]],
 
 def reach(start: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
     """Breadth-first reach: ``start`` (id), ``edges`` (src, dst) to rows
-    (root, id, depth) with the least depth; each round is one join and one
-    anti join, cut by a reliable checkpoint every third round."""
-    found = start.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"))
-    frontier = found
+    (root, id, depth) with the least depth. A round is one join and one anti
+    join; its result is checkpointed, so plans do not grow with the depth."""
+    edges = checkpointed(edges.select("src", "dst").distinct())
+    found = frontier = checkpointed(start.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")).distinct())
     for depth in range(1, max_depth + 1):
-        step = (frontier.join(edges, frontier.id == edges.src)
+        step = (frontier.select("root", F.col("id").alias("src")).join(edges, "src")
                 .select("root", F.col("dst").alias("id")).distinct()
                 .join(found.select("root", "id"), ["root", "id"], "left_anti")
                 .withColumn("depth", F.lit(depth)))
-        frontier = checkpointed(step) if depth % 3 == 0 else step.persist()
+        frontier = checkpointed(step)
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier)
-        if depth % 3 == 0:
-            found = checkpointed(found)
     return found
