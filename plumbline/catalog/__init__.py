@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.catalog import checks_relations, checks_rows, checks_values, profiles  # noqa: F401
+from plumbline.catalog import checks_relations, checks_rows, checks_values, files, governance, profiles, streams  # noqa: F401
 from plumbline.catalog.base import ORACLES, QUERIES, shown, table
 from plumbline.plans.planner import run
 from plumbline.plans.registry import CheckConfig

@@ -156,8 +156,10 @@ def jaro_winkler(a: str, b: str) -> float:
     if not hits:
         return 0.0
     other = [ch for ch, u in zip(b, used) if u]
-    m, t = len(hits), sum(x != y for x, y in zip(hits, other)) / 2
+    m, t = len(hits), sum(x != y for x, y in zip(hits, other)) // 2
     jaro = (m / len(a) + m / len(b) + (m - t) / m) / 3
+    if jaro <= 0.7:
+        return jaro
     prefix = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4])) if x != y), min(4, len(a), len(b)))
     return jaro + prefix * 0.1 * (1 - jaro)
 

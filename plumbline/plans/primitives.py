@@ -34,8 +34,8 @@ def paired_counts(left: DataFrame, right: DataFrame, a: Column, b: Column) -> Da
 
 
 def range_sorted(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
-    """Rows spread over ordered partitions; ``pid`` grows with the order."""
-    return df.repartitionByRange(*order).withColumn("pid", F.spark_partition_id())
+    """Rows spread over ordered partitions; ``__pid`` grows with the order."""
+    return df.repartitionByRange(*order).withColumn("__pid", F.spark_partition_id())
 
 
 def running_totals(df: DataFrame, order: str, sums: Sequence[str],
@@ -48,12 +48,12 @@ def running_totals(df: DataFrame, order: str, sums: Sequence[str],
     when an executor is lost. The offset table has one row per partition.
     """
     parts = checkpointed(range_sorted(df, [order, *tie]))
-    local = Window.partitionBy("pid").orderBy(order, *tie)
-    offsets_in_order = Window.orderBy("pid")
-    totals = parts.groupBy("pid").agg(
+    local = Window.partitionBy("__pid").orderBy(order, *tie)
+    offsets_in_order = Window.orderBy("__pid")
+    totals = parts.groupBy("__pid").agg(
         *[F.sum(c).alias(f"t_{c}") for c in sums], F.min(order).alias("first"))
     offsets = totals.select(
-        "pid",
+        "__pid",
         *[F.coalesce(F.sum(f"t_{c}").over(offsets_in_order.rowsBetween(Window.unboundedPreceding, -1)),
                      F.lit(0)).alias(f"o_{c}") for c in sums],
         F.lead("first").over(offsets_in_order).alias("o_next"))
@@ -61,23 +61,23 @@ def running_totals(df: DataFrame, order: str, sums: Sequence[str],
             .withColumns({f"cum_{c}": F.sum(c).over(local.rowsBetween(Window.unboundedPreceding, 0))
                           for c in sums})
             .withColumn(f"next_{order}", F.lead(order).over(local))
-            .join(F.broadcast(offsets), "pid")
+            .join(F.broadcast(offsets), "__pid")
             .withColumns({**{f"cum_{c}": F.col(f"cum_{c}") + F.col(f"o_{c}") for c in sums},
                           f"next_{order}": F.coalesce(F.col(f"next_{order}"), F.col("o_next"))})
-            .drop("pid", "o_next", *[f"o_{c}" for c in sums]))
+            .drop("__pid", "o_next", *[f"o_{c}" for c in sums]))
 
 
 def row_numbers(df: DataFrame, order: Sequence[str], name: str = "row_index") -> DataFrame:
     """0-based global row number in ``order`` without a single-task sort."""
     parts = checkpointed(range_sorted(df, list(order)))
-    offsets = parts.groupBy("pid").agg(F.count(F.lit(1)).alias("t"))
-    offsets = offsets.select("pid", F.coalesce(
-        F.sum("t").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)),
+    offsets = parts.groupBy("__pid").agg(F.count(F.lit(1)).alias("t"))
+    offsets = offsets.select("__pid", F.coalesce(
+        F.sum("t").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0)).alias("o"))
-    local = Window.partitionBy("pid").orderBy(*order)
+    local = Window.partitionBy("__pid").orderBy(*order)
     return (parts.withColumn(name, F.row_number().over(local).cast("long") - 1)
-            .join(F.broadcast(offsets), "pid")
-            .withColumn(name, F.col(name) + F.col("o")).drop("pid", "o"))
+            .join(F.broadcast(offsets), "__pid")
+            .withColumn(name, F.col(name) + F.col("o")).drop("__pid", "o"))
 
 
 def ordered_scan(df: DataFrame, order: Sequence[str], sums: Sequence[str] = (), maxes: Sequence[str] = (),
@@ -89,22 +89,22 @@ def ordered_scan(df: DataFrame, order: Sequence[str], sums: Sequence[str] = (),
     holds a third of the rows is spread like any other stretch of the order.
     """
     parts = checkpointed(range_sorted(df, list(order)))
-    local = Window.partitionBy("pid").orderBy(*order)
-    upto, ahead = local.rowsBetween(Window.unboundedPreceding, 0), Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    ends = parts.groupBy("pid").agg(
+    local = Window.partitionBy("__pid").orderBy(*order)
+    upto, ahead = local.rowsBetween(Window.unboundedPreceding, 0), Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    ends = parts.groupBy("__pid").agg(
         F.count(F.lit(1)).alias("t_rows"), *[F.sum(c).alias(f"t_{c}") for c in sums], *[F.max(c).alias(f"m_{c}") for c in maxes],
         F.max_by(F.struct(*[F.col(c).alias(c) for c in prev]) if prev else F.lit(0), F.struct(*order)).alias("last"))
     carry = ends.select(
-        "pid", *[F.sum(f"t_{c}").over(ahead).alias(f"o_{c}") for c in sums], *[F.max(f"m_{c}").over(ahead).alias(f"x_{c}") for c in maxes],
-        F.lag("last").over(Window.orderBy("pid")).alias("o_last"))
+        "__pid", *[F.sum(f"t_{c}").over(ahead).alias(f"o_{c}") for c in sums], *[F.max(f"m_{c}").over(ahead).alias(f"x_{c}") for c in maxes],
+        F.lag("last").over(Window.orderBy("__pid")).alias("o_last"))
     out = parts.withColumns({**{f"cum_{c}": F.sum(c).over(upto) for c in sums}, **{f"top_{c}": F.max(c).over(upto) for c in maxes},
                              "__r": F.row_number().over(local), **{f"prev_{c}": F.lag(c).over(local) for c in prev}})
-    out = out.join(F.broadcast(carry), "pid")
+    out = out.join(F.broadcast(carry), "__pid")
     return out.withColumns({
         **{f"cum_{c}": F.col(f"cum_{c}") + F.coalesce(f"o_{c}", F.lit(0)) for c in sums},
         **{f"top_{c}": F.when(F.col(f"top_{c}").isNull() | (F.col(f"x_{c}") > F.col(f"top_{c}")), F.col(f"x_{c}")).otherwise(F.col(f"top_{c}")) for c in maxes},
         **{f"prev_{c}": F.when(F.col("__r") == 1, F.col("o_last").getField(c)).otherwise(F.col(f"prev_{c}")) for c in prev},
-    }).drop("pid", "__r", "o_last", *[f"o_{c}" for c in sums], *[f"x_{c}" for c in maxes])
+    }).drop("__pid", "__r", "o_last", *[f"o_{c}" for c in sums], *[f"x_{c}" for c in maxes])
 
 
 def rank_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "rank") -> DataFrame:
@@ -160,7 +160,7 @@ def adjacent_stats(df: DataFrame, order: Sequence[str], carry: dict[str, Column]
     kept = df.select(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)],
                      F.struct(*[c.alias(k) for k, c in carry.items()]).alias("cur"))
     keys = [f"o{i}" for i in range(len(order))]
-    local = Window.partitionBy("pid").orderBy(*keys)
+    local = Window.partitionBy("__pid").orderBy(*keys)
     lagged = (range_sorted(kept, keys)
               .withColumn("prev", F.lag("cur").over(local))
               .withColumn("key", F.struct(*keys)))
@@ -173,11 +173,11 @@ def adjacent_stats(df: DataFrame, order: Sequence[str], carry: dict[str, Column]
 
     inner = {k: fold(kind, F.when(F.col("prev").isNotNull(), f(field(F.col("cur")), field(F.col("prev")))))
              for k, (kind, f) in stats.items()}
-    per_part = lagged.groupBy("pid").agg(
+    per_part = lagged.groupBy("__pid").agg(
         *[c.alias(k) for k, c in inner.items()],
         F.count(F.lit(1)).alias("rows"),
         F.min_by("cur", "key").alias("first"), F.max_by("cur", "key").alias("last"))
-    edges = per_part.withColumn("before", F.lag("last").over(Window.orderBy("pid")))
+    edges = per_part.withColumn("before", F.lag("last").over(Window.orderBy("__pid")))
     border = {k: F.when(F.col("before").isNotNull(), f(field(F.col("first")), field(F.col("before")))).cast("double")
               for k, (kind, f) in stats.items()}
     out = [F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")]
@@ -205,9 +205,17 @@ def exact_quantiles(df: DataFrame, wanted: Sequence[tuple[Column, float]],
     if not wanted:
         return []
     if df.count() <= limit:
-        row = df.agg(*[F.percentile(c.cast("double"), float(q)).alias(f"q{i}")
-                       for i, (c, q) in enumerate(wanted)]).first()
-        return list(row)
+        # One buffer per column serves all its quantiles.
+        groups: dict[str, list[int]] = {}
+        for i, (c, _) in enumerate(wanted):
+            groups.setdefault(str(c), []).append(i)
+        row = df.agg(*[F.percentile(wanted[ids[0]][0].cast("double"), [float(wanted[i][1]) for i in ids])
+                       for ids in groups.values()]).first()
+        found: list[float | None] = [None] * len(wanted)
+        for values, ids in zip(row, groups.values()):
+            for k, i in enumerate(ids):
+                found[i] = None if values is None else values[k]
+        return found
     state = []
     counts = df.agg(*[F.count(c).alias(f"n{i}") for i, (c, _) in enumerate(wanted)]).first()
     for i, (c, q) in enumerate(wanted):

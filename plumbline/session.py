@@ -28,13 +28,12 @@ def build_session(app: str = "plumbline", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The reliable checkpoint folder of the session.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.
-    Only a local master without that setting gets a temporary folder.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only a local
+    master without that setting gets a temporary folder.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -43,4 +42,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="plumbline-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with a reliable checkpoint."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
