@@ -12,6 +12,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SUFFIXES = {".csv": "csv", ".parquet": "parquet", ".pq": "parquet", ".json": "json", ".ndjson": "ndjson", ".jsonl": "ndjson"}
@@ -37,7 +38,9 @@ CAPABILITIES = {
 KIND = {**{k: "file" for k in ("csv", "parquet", "json", "ndjson", "orc")}, "pandas": "memory", "dataframe": "memory",
         **{k: "jdbc" for k in JDBC}, **{k: "vendor" for k in ("bigquery", "snowflake", "databricks")},
         "mongodb": "document", "elasticsearch": "document", "kafka": "stream"}
-ENCODINGS = {"utf-8": "UTF-8", "utf8": "UTF-8", "utf-16": "UTF-16", "iso-8859-1": "ISO-8859-1", "latin-1": "ISO-8859-1", "cp1252": "windows-1252"}
+ENCODINGS = {"utf-8": "UTF-8", "utf8": "UTF-8", "utf-16": "UTF-16", "iso-8859-1": "ISO-8859-1", "latin-1": "ISO-8859-1"}
+# Spark's text readers know no cp1252. It is Latin-1 but for these characters.
+CP1252 = {bytes([b]).decode("latin-1"): bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0xA0)}
 
 
 @dataclass(frozen=True)
@@ -68,6 +71,8 @@ def read_file(spark: SparkSession, path: str, kind: str | None = None, schema: T
     ``ignore_errors``, or kept whole in ``corrupt_column``.
     """
     kind = kind or format_of(path)
+    if encoding.lower() in ("cp1252", "windows-1252") and kind in ("csv", "json", "ndjson"):
+        return from_latin(read_file(spark, path, kind, schema, delimiter, "latin-1", header, ignore_errors, corrupt_column))
     charset = ENCODINGS.get(encoding.lower(), encoding)
     reader: DataFrameReader = spark.read
     if schema is not None:
@@ -92,6 +97,13 @@ def read_file(spark: SparkSession, path: str, kind: str | None = None, schema: T
     raise ValueError(f"unknown format {kind!r}")
 
 
+def from_latin(df: DataFrame) -> DataFrame:
+    """Text read as Latin-1 that was written as cp1252."""
+    known = {k: v for k, v in CP1252.items() if v}
+    fix = {f.name: F.translate(F.col(f.name), "".join(known), "".join(known.values())) for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    return df.withColumns(fix) if fix else df
+
+
 def jdbc_options(kind: str, config: dict[str, Any]) -> dict[str, str]:
     url, driver, port = JDBC[kind]
     options = {"url": url.format(host=config.get("host", "localhost"), port=config.get("port") or port, database=config["database"]),
