@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from plumbline.functions.special import chi_square_quantile
 from plumbline.operators.components import components
 from plumbline.operators.neighbours import knn
-from plumbline.plans.primitives import exact_quantiles
+from plumbline.plans.primitives import agg_row, exact_quantiles
 from plumbline.session import checkpointed
 
 
@@ -44,11 +44,10 @@ class Prepared:
         self.df = df.select(F.col(id_col).alias("id"), *[F.col(c).cast("double").alias(f"x{i}")
                                                          for i, c in enumerate(self.columns)])
         self.d = len(self.columns)
-        aggs = [F.count(F.lit(1)).alias("n")]
+        aggs = {"n": F.count(F.lit(1))}
         for i in range(self.d):
-            aggs += [F.avg(f"x{i}").alias(f"m{i}"), F.stddev_pop(f"x{i}").alias(f"p{i}"),
-                     F.stddev_samp(f"x{i}").alias(f"s{i}"), F.count(f"x{i}").alias(f"c{i}")]
-        self.stats = self.df.agg(*aggs).first()
+            aggs |= {f"m{i}": F.avg(f"x{i}"), f"p{i}": F.stddev_pop(f"x{i}"), f"c{i}": F.count(f"x{i}")}
+        self.stats = agg_row(self.df, aggs)
         self.n = self.stats["n"]
         self.x = [F.coalesce(f"x{i}", F.lit(self.stats[f"m{i}"] or 0.0)) for i in range(self.d)]
         # Deviations of the imputed column: imputed rows add nothing to the squares.
@@ -352,11 +351,11 @@ def nearest_centre(points: DataFrame, centres: DataFrame, dims: int) -> DataFram
 
 # -- linear models ----------------------------------------------------------
 def covariance(frame: DataFrame, cols: Sequence[Column]) -> tuple[np.ndarray, np.ndarray, int]:
-    """Mean vector and sample covariance matrix in one aggregate."""
+    """Mean vector and sample covariance matrix by aggregates."""
     d = len(cols)
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]
-    aggs += [F.covar_samp(cols[i], cols[j]).alias(f"v{i}_{j}") for i in range(d) for j in range(i, d)]
-    row = frame.agg(*aggs).first()
+    aggs = {"n": F.count(F.lit(1)), **{f"m{i}": F.avg(c) for i, c in enumerate(cols)}}
+    aggs |= {f"v{i}_{j}": F.covar_samp(cols[i], cols[j]) for i in range(d) for j in range(i, d)}
+    row = agg_row(frame, aggs)
     cov = np.zeros((d, d))
     for i in range(d):
         for j in range(i, d):

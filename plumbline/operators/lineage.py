@@ -96,30 +96,43 @@ def dataset(namespace: str) -> Column:
     return F.struct(F.lit(namespace).alias("namespace"), F.col("name").alias("name"))
 
 
+PER_EVENT = 10_000
+EMPTY = "array<struct<namespace:string,name:string>>"
+
+
 def node_events(nodes: DataFrame, edges: DataFrame, namespace: str, at: str) -> DataFrame:
-    """(event): a COMPLETE event per node with its inputs, as JSON lines."""
+    """(event): a COMPLETE event per node with its inputs, as JSON lines.
+
+    A node with more than PER_EVENT inputs reports them over several events
+    of its run, all but one of type RUNNING; run events add up by their
+    format, and no list grows with the graph.
+    """
     names = nodes.select(F.col("id").alias("src"), F.col("name").alias("in_name"))
-    inputs = (edges.join(names, "src").groupBy(F.col("dst").alias("id"))
-              .agg(F.array_sort(F.collect_set(F.struct(F.lit(namespace).alias("namespace"), F.col("in_name").alias("name")))).alias("inputs")))
-    empty = F.array().cast("array<struct<namespace:string,name:string>>")
+    fed = edges.select("src", F.col("dst").alias("id")).distinct()
+    parts = fed.groupBy("id").agg(F.ceil(F.count(F.lit(1)) / PER_EVENT).alias("parts"))
+    inputs = (fed.join(parts, "id").withColumn("part", F.pmod(F.xxhash64("src"), F.col("parts"))).join(names, "src")
+              .groupBy("id", "part").agg(F.array_sort(F.collect_set(F.struct(
+                  F.lit(namespace).alias("namespace"), F.col("in_name").alias("name")))).alias("inputs")))
+    kind = F.when(F.coalesce("part", F.lit(0)) == 0, "COMPLETE").otherwise("RUNNING")
     return nodes.join(inputs, "id", "left").select(F.to_json(F.struct(
-        F.lit("COMPLETE").alias("eventType"), F.lit(at).alias("eventTime"),
+        kind.alias("eventType"), F.lit(at).alias("eventTime"),
         F.struct(F.sha2(F.concat_ws("|", F.lit(at), F.col("id").cast("string")), 256).alias("runId")).alias("run"),
         F.struct(F.lit(namespace).alias("namespace"), F.col("name").alias("name")).alias("job"),
-        F.coalesce("inputs", empty).alias("inputs"), F.array(dataset(namespace)).alias("outputs"))).alias("event"))
+        F.coalesce("inputs", F.array().cast(EMPTY)).alias("inputs"), F.array(dataset(namespace)).alias("outputs"))).alias("event"))
 
 
 def graph_events(nodes: DataFrame, namespace: str, job: str, at: str) -> DataFrame:
-    """(event): START with the sources, COMPLETE with sources and outputs.
+    """(event): START with the sources, COMPLETE with sources and outputs; a
+    graph of more than PER_EVENT datasets adds RUNNING events for the rest."""
+    parts = max(1, -(-nodes.count() // PER_EVENT))
 
-    The dataset lists of one graph are part of the event by its format.
-    """
     def listed(kinds: tuple[str, ...]) -> Column:
         return F.array_sort(F.collect_set(F.when(F.col("node_type").isin(*kinds), dataset(namespace))))
-    row = nodes.agg(listed(("source",)).alias("inputs"), listed(("sink", "transform")).alias("outputs"))
+    rows = nodes.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).agg(
+        listed(("source",)).alias("inputs"), listed(("sink", "transform")).alias("outputs"))
     head = [F.lit(at).alias("eventTime"), F.struct(F.sha2(F.lit(f"{at}|{job}"), 256).alias("runId")).alias("run"),
             F.struct(F.lit(namespace).alias("namespace"), F.lit(job).alias("name")).alias("job"), F.col("inputs")]
-    none = F.array().cast("array<struct<namespace:string,name:string>>")
-    return row.select(F.explode(F.array(
-        F.to_json(F.struct(F.lit("START").alias("eventType"), *head, none.alias("outputs"))),
-        F.to_json(F.struct(F.lit("COMPLETE").alias("eventType"), *head, F.col("outputs"))))).alias("event"))
+    kind = lambda name: F.when(F.col("part") == 0, name).otherwise("RUNNING").alias("eventType")
+    return rows.select(F.explode(F.array(
+        F.to_json(F.struct(kind("START"), *head, F.array().cast(EMPTY).alias("outputs"))),
+        F.to_json(F.struct(kind("COMPLETE"), *head, F.col("outputs"))))).alias("event"))

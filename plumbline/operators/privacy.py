@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import patterns as P
-
-SAMPLES = 5
+from plumbline.plans.primitives import spread
 
 
 def text_columns(df: DataFrame, columns: Sequence[str] | None = None) -> list[str]:
@@ -26,29 +26,30 @@ def redacted(found: Column) -> Column:
 def scan(df: DataFrame, columns: Sequence[str] | None = None, types: Sequence[str] | None = None,
          min_confidence: float = 0.0) -> DataFrame:
     """One row per (column, type) found: rows hit, filled rows, confidence
-    (share of the filled rows) and up to five redacted samples.
+    (share of the filled rows) and up to two redacted samples.
 
-    One scan of the whole text; a pattern counts rows, it does not multiply them.
+    Whole texts of all rows are read; a pattern counts rows, it does not
+    multiply them.
     """
     cols, kinds = text_columns(df, columns), list(types or P.PII)
-    aggs, out = [F.lit(0).alias("none")] if not cols else [], []
+    parts = []
     for c in cols:
-        aggs.append(F.count(c).alias(f"n|{c}"))
+        # The first match is looked for once per pattern; all else is derived from it.
+        found = spread(df.select(c)).select(F.col(c).isNotNull().alias("filled"), *[
+            F.regexp_extract(c, P.PII[k], 0).alias(k) for k in kinds])
+        aggs = [F.count_if("filled").alias("n")]
         for k in kinds:
-            hit = F.col(c).rlike(P.PII[k])
-            sample = F.when(hit, redacted(F.regexp_extract(c, P.PII[k], 0)))
-            # min keeps one sample in constant space; further ones come from hash-chosen rows.
-            aggs += [F.count_if(hit).alias(f"h|{c}|{k}"), F.min(sample).alias(f"a|{c}|{k}"), F.max(sample).alias(f"z|{c}|{k}")]
-            n, h = F.col(f"`n|{c}`"), F.col(f"`h|{c}|{k}`")
-            out.append(F.struct(
-                F.lit(c).alias("column"), F.lit(k).alias("pii_type"), h.alias("count"), n.alias("total"),
-                F.when(n > 0, F.round(h / n, 6)).otherwise(F.lit(0.0)).alias("confidence"),
-                F.array_distinct(F.array_compact(F.array(F.col(f"`a|{c}|{k}`"), F.col(f"`z|{c}|{k}`")))).alias("samples")))
+            sample = F.when(F.col(k) != "", redacted(F.col(k)))
+            # Least and greatest sample: two examples in constant space.
+            aggs += [F.count_if(F.col(k) != "").alias(f"h_{k}"), F.min(sample).alias(f"a_{k}"), F.max(sample).alias(f"z_{k}")]
+        out = [F.struct(F.lit(c).alias("column"), F.lit(k).alias("pii_type"), F.col(f"h_{k}").alias("count"), F.col("n").alias("total"),
+                        F.when(F.col("n") > 0, F.round(F.col(f"h_{k}") / F.col("n"), 6)).otherwise(F.lit(0.0)).alias("confidence"),
+                        F.array_distinct(F.array_compact(F.array(f"a_{k}", f"z_{k}"))).alias("samples")) for k in kinds]
+        parts.append(found.agg(*aggs).select(F.explode(F.array(*out)).alias("f")).select("f.*"))
     schema = "column string, pii_type string, count long, total long, confidence double, samples array<string>"
     if not cols:
         return df.sparkSession.createDataFrame([], schema)
-    return (df.agg(*aggs).select(F.explode(F.array(*out)).alias("f")).select("f.*")
-            .filter((F.col("count") > 0) & (F.col("confidence") >= min_confidence)))
+    return reduce(lambda a, b: a.unionByName(b), parts).filter((F.col("count") > 0) & (F.col("confidence") >= min_confidence))
 
 
 def violations(findings: DataFrame, regulations: Sequence[str] = ("gdpr", "ccpa", "lgpd")) -> DataFrame:

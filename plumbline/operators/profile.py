@@ -1,7 +1,7 @@
 """Column and table profiles, schema learning, profile comparison.
 
-Scalars of all columns come from one aggregate, values from one count per
-(column, value); no column is collected into a single task.
+Scalars come from aggregates over a few columns each, values from one typed
+count per column; no column is collected into a single task.
 """
 
 from __future__ import annotations
@@ -16,10 +16,12 @@ from pyspark.sql import types as T
 
 from plumbline.functions import patterns as P
 from plumbline.operators.checks.table import period_number, row_bytes
-from plumbline.plans.primitives import exact_quantiles
+from plumbline.plans.primitives import exact_quantiles, spread, value_counts
+from plumbline.session import checkpointed
 
 TOP = 10
 BUCKETS = 10
+COLUMNS_PER_AGG = 3
 MIN_PATTERN_SHARE = 0.8
 PATTERNS = {"email": P.EMAIL, "url": P.URL, "uuid": P.UUID, "ipv4": P.IPV4, "phone": P.PHONE["any"],
             "credit_card": P.CARD, "ssn": P.SSN, "date": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$",
@@ -36,8 +38,20 @@ def split_kinds(df: DataFrame, columns: Sequence[str] | None) -> tuple[list[str]
 
 
 def scalars(df: DataFrame, columns: Sequence[str] | None = None, include_patterns: bool = True) -> DataFrame:
-    """One row per column: counts, moments, lengths, dates, patterns."""
+    """One row per column: counts, moments, lengths, dates, patterns.
+
+    Columns are aggregated a few at a time, each part reading its own columns:
+    one aggregate over all of them would not compile to fast code.
+    """
+    cols = split_kinds(df, columns)[0]
+    parts = [_scalars(df, cols[i:i + COLUMNS_PER_AGG], include_patterns) for i in range(0, len(cols), COLUMNS_PER_AGG)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _scalars(df: DataFrame, columns: Sequence[str], include_patterns: bool) -> DataFrame:
     cols, numbers, texts, times = split_kinds(df, columns)
+    if texts and include_patterns:
+        df = spread(df.select(*cols))
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     aggs: list[Column] = [F.count(F.lit(1)).alias("rows")]
     out = []
@@ -87,14 +101,26 @@ def quartiles(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 
 def value_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, value, n): counts of every value as text, nulls left out."""
-    cols = split_kinds(df, columns)[0]
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
-                                         for c in cols])).alias("r")).select("r.*")
-    return long.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    """(column, value, n): counts of every value, as text; nulls left out.
 
+    Each column is read and counted by itself in its own type, and only the
+    distinct values are turned into text.
+    """
+    parts = [value_counts(df, {"v": F.col(c)}).filter(F.col("v").isNotNull())
+             .select(F.lit(c).alias("column"), F.col("v").cast("string").alias("value"), "n") for c in split_kinds(df, columns)[0]]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
-def cardinality(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
+
+def pattern_shares(counts: DataFrame) -> DataFrame:
+    """(column, patterns) from value counts: a repeated value is matched once."""
+    n = F.sum("n")
+    hits = F.array(*[F.struct(F.lit(k).alias("pattern"), F.round(F.coalesce(F.sum(F.when(F.col("value").rlike(p), F.col("n"))), F.lit(0)) / n, 6)
+                              .alias("match_ratio")) for k, p in PATTERNS.items()])
+    return counts.groupBy("column").agg(F.filter(hits, lambda h: h["match_ratio"] >= MIN_PATTERN_SHARE).alias("patterns"))
+
+
+def cardinality(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False,
+                counts: DataFrame | None = None) -> DataFrame:
     """(column, distinct_count, unique_ratio, is_unique, is_constant)."""
     cols = split_kinds(df, columns)[0]
     if approximate:
@@ -103,7 +129,7 @@ def cardinality(df: DataFrame, columns: Sequence[str] | None = None, approximate
             F.lit(c).alias("column"), F.col(f"`d|{c}`").alias("distinct_count"), F.col(f"`n|{c}`").alias("filled")) for c in cols]))
             .alias("r")).select("r.*")
     else:
-        counted = value_table(df, cols).groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"), F.sum("n").alias("filled"))
+        counted = (value_table(df, cols) if counts is None else counts).groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"), F.sum("n").alias("filled"))
         every = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
         flat = every.join(counted, "column", "left").na.fill(0)
     d, n = F.col("distinct_count"), F.col("filled")
@@ -111,34 +137,39 @@ def cardinality(df: DataFrame, columns: Sequence[str] | None = None, approximate
                        ((n > 0) & (d == n)).alias("is_unique"), (d <= 1).alias("is_constant"))
 
 
-def ranked_values(df: DataFrame, columns: Sequence[str] | None = None, n: int = TOP, least: bool = False) -> DataFrame:
+def ranked_values(df: DataFrame, columns: Sequence[str] | None = None, n: int = TOP, least: bool = False,
+                  counts: DataFrame | None = None) -> DataFrame:
     """(column, rank, value, count): most (or least) frequent values, ties by
     value. The rank limit is applied before the shuffle, so a wide column
     does not land in one task."""
     order = [F.col("n") if least else F.desc("n"), F.col("value")]
     w = Window.partitionBy("column").orderBy(*order)
-    return (value_table(df, columns).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    source = value_table(df, columns) if counts is None else counts
+    return (source.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
             .select("column", "rank", "value", F.col("n").alias("count")))
 
 
 def histogram(df: DataFrame, columns: Sequence[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
     """(column, bucket, low, high, count, percentage) of equal-width buckets
-    of the numeric columns; all counts in one aggregate."""
+    of the numeric columns, by conditional counts."""
     numbers = split_kinds(df, columns)[1]
     ends = df.agg(*[a for c in numbers for a in (F.min(c).cast("double"), F.max(c).cast("double"), F.count(c))]).first()
-    aggs, out = [], []
+    parts = []
     for i, c in enumerate(numbers):
         lo, hi, n = ends[3 * i:3 * i + 3]
         if not n:
             continue
         width = (hi - lo) / buckets or 1.0
         at = F.least(F.floor((F.col(c).cast("double") - lo) / width), F.lit(buckets - 1))
-        for b in range(buckets if hi > lo else 1):
-            aggs.append(F.count_if(at == b).alias(f"{i}_{b}"))
-            out.append(F.struct(F.lit(c).alias("column"), F.lit(b).alias("bucket"), F.round(F.lit(lo + b * width), 6).alias("low"),
-                                F.round(F.lit(lo + (b + 1) * width), 6).alias("high"), F.col(f"{i}_{b}").alias("count"),
-                                F.round(F.col(f"{i}_{b}") * 100.0 / n, 6).alias("percentage")))
-    return df.agg(*aggs).select(F.explode(F.array(*out)).alias("r")).select("r.*")
+        count = buckets if hi > lo else 1
+        row = df.agg(*[F.count_if(at == b).alias(f"b{b}") for b in range(count)])
+        parts.append(row.select(F.explode(F.array(*[F.struct(
+            F.lit(c).alias("column"), F.lit(b).alias("bucket"), F.round(F.lit(lo + b * width), 6).alias("low"),
+            F.round(F.lit(lo + (b + 1) * width), 6).alias("high"), F.col(f"b{b}").alias("count"),
+            F.round(F.col(f"b{b}") * 100.0 / n, 6).alias("percentage")) for b in range(count)])).alias("r")).select("r.*"))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "column string, bucket int, low double, high double, count long, percentage double")
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def date_gaps(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -154,18 +185,26 @@ def date_gaps(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 def profile(df: DataFrame, columns: Sequence[str] | None = None, top_n: int = TOP, include_patterns: bool = True,
             include_distributions: bool = True, approximate: bool = False) -> DataFrame:
-    """The full column profile: one row per column, nested lists inside."""
-    out = scalars(df, columns, include_patterns).join(cardinality(df, columns, approximate), "column", "left")
-    out = out.join(quartiles(df, columns), "column", "left").join(date_gaps(df, columns), "column", "left")
+    """The full column profile: one row per column, nested lists inside.
+
+    The value counts, which four of its parts need, are written once.
+    """
+    counts = None if approximate else checkpointed(value_table(df, columns))
+    texts = split_kinds(df, columns)[2]
+    out = scalars(df, columns, include_patterns and approximate)
+    if include_patterns and not approximate and texts:
+        shares = pattern_shares(counts.filter(F.col("column").isin(texts)))
+        out = out.drop("patterns").join(shares, "column", "left")
+    parts = [cardinality(df, columns, approximate, counts), quartiles(df, columns), date_gaps(df, columns)]
     for name, least in (("top_values", False), ("bottom_values", True)):
-        lists = ranked_values(df, columns, top_n, least).groupBy("column").agg(F.transform(
+        parts.append(ranked_values(df, columns, top_n, least, counts).groupBy("column").agg(F.transform(
             F.array_sort(F.collect_list(F.struct("rank", "value", "count"))),
-            lambda s: F.struct(s["value"].alias("value"), s["count"].alias("count"))).alias(name))
-        out = out.join(lists, "column", "left")
+            lambda s: F.struct(s["value"].alias("value"), s["count"].alias("count"))).alias(name)))
     if include_distributions and split_kinds(df, columns)[1]:
-        bars = histogram(df, columns).groupBy("column").agg(
-            F.array_sort(F.collect_list(F.struct("bucket", "low", "high", "count", "percentage"))).alias("histogram"))
-        out = out.join(bars, "column", "left")
+        parts.append(histogram(df, columns).groupBy("column").agg(
+            F.array_sort(F.collect_list(F.struct("bucket", "low", "high", "count", "percentage"))).alias("histogram")))
+    for part in parts:
+        out = out.join(part, "column", "left")
     return out.withColumn("inferred_type", F.coalesce(F.get("patterns", F.lit(0))["pattern"], F.col("dtype")))
 
 
@@ -195,12 +234,12 @@ def learn(df: DataFrame, columns: Sequence[str] | None = None, max_allowed: int
     """Schema learned from data: type, nullable, unique, range, and the
     allowed values of columns with at most ``max_allowed`` distinct ones."""
     base = scalars(df, columns, False).select("column", "dtype", "null_count", "min_value", "max_value")
-    counts = value_table(df, columns)
+    counts = checkpointed(value_table(df, columns))
     w = Window.partitionBy("column").orderBy("value")
     # One value more than allowed tells that a column has too many.
     few = (counts.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= max_allowed + 1).groupBy("column")
            .agg(F.count(F.lit(1)).alias("seen"), F.array_sort(F.collect_list("value")).alias("vals")))
-    return (base.join(cardinality(df, columns), "column").join(few, "column", "left")
+    return (base.join(cardinality(df, columns, counts=counts), "column").join(few, "column", "left")
             .select("column", "dtype", (F.col("null_count") > 0).alias("nullable"), F.col("is_unique").alias("unique"),
                     "min_value", "max_value", "distinct_count",
                     F.when(F.col("seen") <= max_allowed, F.col("vals")).alias("allowed_values")))

@@ -122,8 +122,13 @@ def match_rules(events: DataFrame, rules: DataFrame) -> DataFrame:
     able = able.filter((F.col("condition") != "critical_issues") | F.col("has_critical")).filter(
         (F.col("condition") != "high_issues") | F.col("has_critical") | F.col("has_high")).filter(
         (F.col("condition") != "breaking_schema_change") | F.col("has_breaking"))
-    covers = F.col("source_ids").isNull() | (F.size("source_ids") == 0) | F.array_contains("source_ids", F.col("source_id"))
-    return able.join(rules.filter("is_active"), "condition").filter(covers).select("event_id", "rule_id").distinct()
+    able = able.select("event_id", "condition", "source_id")
+    active = rules.filter("is_active").select("rule_id", "condition", "source_ids")
+    # Rules for named sources meet the events of those sources only.
+    named = active.select("rule_id", "condition", F.explode("source_ids").alias("source_id"))
+    open_ = active.filter(F.col("source_ids").isNull() | (F.size("source_ids") == 0)).select("rule_id", "condition")
+    return (able.join(named, ["condition", "source_id"]).select("event_id", "rule_id")
+            .unionByName(able.join(open_, "condition").select("event_id", "rule_id")).distinct())
 
 
 def fingerprint(parts: dict[str, Column]) -> Column:

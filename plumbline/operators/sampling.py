@@ -92,9 +92,9 @@ def block(df: DataFrame, target: int, order: Sequence[str], block_size: int = 0,
     blocks = max(math.ceil(total / size), 1)
     each = per_block or max(target // blocks, 1)
     indexed = row_numbers(df, order, "__i").withColumn("__b", F.floor(F.col("__i") / size)).withColumn("__u", unit(["__i"], seed))
-    # Blocks are large; only about ``each`` rows of them are ranked. The last block may be short, so it is kept.
-    share = enough(each, size)
-    thinned = indexed.filter((F.col("__u") < share) | (F.col("__b") == blocks - 1)) if share < 1.0 else indexed
+    # Blocks are large; only a little more than ``each`` rows of one are ranked. The last may be short.
+    last = enough(each, total - (blocks - 1) * size)
+    thinned = indexed.filter(F.col("__u") < F.when(F.col("__b") == blocks - 1, last).otherwise(enough(each, size)))
     w = Window.partitionBy("__b").orderBy("__u", "__i")
     picked = thinned.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= each)
     return picked.orderBy("__u", "__i").limit(target).drop("__i", "__b", "__u", "__r")

@@ -23,11 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.plans.primitives import adjacent_stats, exact_quantiles, value_counts
+from plumbline.plans.primitives import AGGREGATE_WEIGHT, adjacent_stats, agg_row, exact_quantiles, value_counts, weight
 from plumbline.plans.registry import SEVERITIES, CheckConfig, CheckSpec, find
 
-STATS_PER_AGG = 160
-
 RESULT_SCHEMA = T.StructType([
     T.StructField("check", T.StringType()),
     T.StructField("category", T.StringType()),
@@ -224,7 +222,7 @@ def _answer(df: DataFrame, asks: list[Any]) -> list[Any]:
     quantiles = {i: a for i, a in enumerate(asks) if isinstance(a, Quantile)}
     out: list[Any] = [None] * len(asks)
     if plain:
-        row = df.agg(*[a.alias(f"a{i}") for i, a in plain.items()]).first()
+        row = agg_row(df, {f"a{i}": a for i, a in plain.items()})
         for i in plain:
             out[i] = row[f"a{i}"]
     if quantiles:
@@ -286,47 +284,62 @@ def _short(exc: BaseException) -> str:
     return f"{type(exc).__name__}: {str(exc).splitlines()[0] if str(exc) else ''}"[:300]
 
 
-def _struct(item: Planned, v: Verdict) -> Column:
-    total = F.greatest(v.total.cast("long"), F.lit(0))
-    bad = v.unexpected.cast("long")
-    ok = F.coalesce(v.ok, F.lit(False))
-    severity = item.config.severity or item.spec.severity
-    expected = json.dumps(item.config.params, default=str, sort_keys=True)
-    return F.struct(
-        F.lit(item.spec.name).alias("check"), F.lit(item.spec.category).alias("category"),
-        F.lit(v.column).cast("string").alias("column"), F.lit(severity).alias("severity"),
-        F.when(ok, "pass").otherwise("fail").alias("status"),
-        bad.alias("unexpected_count"), total.alias("total_count"),
-        F.when(total > 0, F.round(bad * 100.0 / total, 6)).otherwise(F.lit(0.0)).alias("unexpected_pct"),
-        F.round(v.observed.cast("double"), 6).alias("observed"),
-        F.lit(expected).alias("expected"),
-        F.when(ok, F.lit(None).cast("string")).otherwise(
-            F.concat_ws(" ", F.lit(item.spec.name + ":"), bad.cast("string"), F.lit("of"),
-                        total.cast("string"), F.lit("unexpected"))).alias("message"))
+def quoted(text: str | None) -> str:
+    """Spark SQL literal."""
+    if text is None:
+        return "cast(null as string)"
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _frame_result(frame: Frame, part: list[tuple[Planned, Verdict]]) -> DataFrame:
+    """Aggregate a frame once; one result row per verdict."""
     stats: dict[str, Any] = {}
     for _, v in part:
         stats.update(v.stats)
-    return (frame.aggregate(stats)
-            .select(F.explode(F.array(*[_struct(i, v) for i, v in part])).alias("r")).select("r.*"))
+    values, structs = [], []
+    for i, (item, v) in enumerate(part):
+        values += [v.unexpected.cast("long").alias(f"b{i}"), v.total.cast("long").alias(f"t{i}"), v.ok.alias(f"k{i}"),
+                   v.observed.cast("double").alias(f"o{i}")]
+        spec = item.spec
+        fields = {
+            "check": quoted(spec.name), "category": quoted(spec.category), "column": quoted(v.column),
+            "severity": quoted(item.config.severity or spec.severity), "status": f"if(coalesce(k{i}, false), 'pass', 'fail')",
+            "unexpected_count": f"b{i}", "total_count": f"greatest(t{i}, 0L)",
+            "unexpected_pct": f"if(t{i} > 0, round(cast(b{i} as double) * 100 / t{i}, 6), 0.0D)", "observed": f"round(o{i}, 6)",
+            "expected": quoted(json.dumps(item.config.params, default=str, sort_keys=True)),
+            "message": f"if(coalesce(k{i}, false), cast(null as string), concat({quoted(spec.name)}, ': ', b{i}, ' of ', t{i}, ' unexpected'))"}
+        structs.append("named_struct(" + ", ".join(f"'{k}', {e}" for k, e in fields.items()) + ")")
+    return frame.aggregate(stats).select(*values).selectExpr(f"explode(array({', '.join(structs)})) as r").select("r.*")
+
+
+def _compilable(verdicts: list[tuple[Planned, Verdict]]) -> list[list[tuple[Planned, Verdict]]]:
+    """Verdicts of a frame in groups whose aggregates compile well; those of
+    the same column stay together, so a split reads few columns twice."""
+    out: list[list[tuple[Planned, Verdict]]] = [[]]
+    held: set[str] = set()
+    load = 0
+    for item, v in sorted(verdicts, key=lambda x: x[1].column or ""):
+        fresh = {a: weight(c) for a, c in v.stats.items() if a not in held}
+        if load and load + sum(fresh.values()) > AGGREGATE_WEIGHT:
+            out.append([])
+            held, load, fresh = set(), 0, {a: weight(c) for a, c in v.stats.items()}
+        out[-1].append((item, v))
+        held |= set(v.stats)
+        load += sum(fresh.values())
+    return out
 
 
 def results(df: DataFrame, planned: Sequence[Planned]) -> DataFrame:
     """Turn planned checks into one result frame; failures become rows."""
-    by_frame: dict[str, tuple[Frame, list[list[tuple[Planned, Verdict]]]]] = {}
+    by_frame: dict[str, tuple[Frame, list[tuple[Planned, Verdict]]]] = {}
     for item in planned:
         if item.error is not None:
             continue
         for v in item.scope.verdicts:
-            frame, chunks = by_frame.setdefault(v.frame.key, (v.frame, [[]]))
-            if sum(len(x.stats) for _, x in chunks[-1]) + len(v.stats) > STATS_PER_AGG:
-                chunks.append([])
-            chunks[-1].append((item, v))
+            by_frame.setdefault(v.frame.key, (v.frame, []))[1].append((item, v))
     parts: list[DataFrame] = []
-    for frame, chunks in by_frame.values():
-        for chunk in chunks:
+    for frame, verdicts in by_frame.values():
+        for chunk in _compilable(verdicts):
             try:
                 parts.append(_frame_result(frame, chunk))
                 continue

@@ -7,6 +7,7 @@ more than one row per partition (or per requested statistic) to the driver.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,8 +16,48 @@ from plumbline.session import checkpointed
 
 # Above this many rows an exact quantile is found by narrowing a bracket
 # instead of by one `percentile` buffer.
-PERCENTILE_BUFFER_ROWS = 1_000_000
-SKETCH_ACCURACY = 10_000
+PERCENTILE_BUFFER_ROWS = 100_000
+SKETCH_ACCURACY = 2_000
+# Generated code of a wider aggregate is too long for the JIT compiler and
+# runs an order of magnitude slower. Splitting costs no extra reading: each
+# part scans its own columns only.
+AGGREGATE_WEIGHT = 56
+BUFFERS = {"kurtosis": 5, "skewness": 4, "corr": 6, "covar": 4, "stddev": 3, "var_": 3, "regr": 4, "avg": 2, "percentile": 4}
+
+
+def weight(agg: Column | str) -> int:
+    """Buffer fields of an aggregate, roughly."""
+    text = str(agg)
+    return next((n for name, n in BUFFERS.items() if name in text), 1)
+
+
+def split_aggregates(aggs: dict[str, Column]) -> list[dict[str, Column]]:
+    """Groups of aggregates that compile well, in order."""
+    parts: list[dict[str, Column]] = [{}]
+    load = 0
+    for name, agg in aggs.items():
+        w = weight(agg)
+        if load and load + w > AGGREGATE_WEIGHT:
+            parts.append({})
+            load = 0
+        parts[-1][name] = agg
+        load += w
+    return parts
+
+
+def agg_row(df: DataFrame, aggs: dict[str, Column]) -> dict[str, Any]:
+    """Aggregates of a table as driver scalars."""
+    out: dict[str, Any] = {}
+    for part in split_aggregates(aggs):
+        out.update(df.agg(*[c.alias(n) for n, c in part.items()]).first().asDict() if part else {})
+    return out
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Share a table of few files out to all cores before work that costs
+    much CPU per row; a table of many splits is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def value_counts(df: DataFrame, keys: dict[str, Column], n: str = "n") -> DataFrame:
@@ -195,75 +236,75 @@ def exact_quantiles(df: DataFrame, wanted: Sequence[tuple[Column, float]],
     """Exact interpolated quantiles of columns, as driver scalars.
 
     Small inputs use `percentile`, whose buffer holds the distinct values.
-    Larger ones keep bracketing the two order statistics around each quantile
-    with mergeable sketches (error 1/10000 of the rows in the bracket, per
-    pass) until the bracket fits the same buffer; a bracket of one hot value
-    is already the answer.
+    Larger ones bracket the two order statistics around each quantile with a
+    mergeable sketch (one per column), count what lies below and inside, and
+    narrow again until the inside fits the same buffer. A bracket of one value
+    is the answer, however many rows hold it.
     """
     limit = buffer_rows or PERCENTILE_BUFFER_ROWS
-    wanted = list(wanted)
-    if not wanted:
-        return []
-    if df.count() <= limit:
-        # One buffer per column serves all its quantiles.
-        groups: dict[str, list[int]] = {}
-        for i, (c, _) in enumerate(wanted):
-            groups.setdefault(str(c), []).append(i)
-        row = df.agg(*[F.percentile(wanted[ids[0]][0].cast("double"), [float(wanted[i][1]) for i in ids])
-                       for ids in groups.values()]).first()
-        found: list[float | None] = [None] * len(wanted)
-        for values, ids in zip(row, groups.values()):
-            for k, i in enumerate(ids):
-                found[i] = None if values is None else values[k]
-        return found
-    state = []
-    counts = df.agg(*[F.count(c).alias(f"n{i}") for i, (c, _) in enumerate(wanted)]).first()
-    for i, (c, q) in enumerate(wanted):
-        n = counts[i]
-        pos = float(q) * (n - 1)
-        state.append({"c": c.cast("double"), "n": n, "lo": None, "hi": None, "below": 0, "inside": n,
-                      "k": (int(pos), min(int(pos) + 1, n - 1)) if n else None, "frac": pos - int(pos)})
+    wanted = [(c.cast("double"), float(q)) for c, q in wanted]
+    columns: dict[str, tuple[Column, list[int]]] = {}
+    for i, (c, _) in enumerate(wanted):
+        columns.setdefault(str(c), (c, []))[1].append(i)
+    out: list[float | None] = [None] * len(wanted)
+    slack = 2.0 / SKETCH_ACCURACY
+
+    def ends(q: float) -> list[float]:
+        return [max(q - slack, 0.0), min(q + slack, 1.0)]
+
+    first: dict[str, Column] = {}
+    for j, (c, ids) in enumerate(columns.values()):
+        first |= {f"n{j}": F.count(c), f"lo{j}": F.min(c), f"hi{j}": F.max(c),
+                  f"s{j}": F.percentile_approx(c, [p for i in ids for p in ends(wanted[i][1])], SKETCH_ACCURACY)}
+    row = agg_row(df, first)
+    small, state = {}, []
+    for j, (c, ids) in enumerate(columns.values()):
+        n = row[f"n{j}"]
+        if n and n <= limit:
+            small[f"q{j}"] = (F.percentile(c, [wanted[i][1] for i in ids]), ids)
+        elif n:
+            for at, i in enumerate(ids):
+                q = wanted[i][1]
+                pos = q * (n - 1)
+                state.append({"i": i, "c": c, "k0": int(pos), "k1": min(int(pos) + 1, n - 1), "frac": pos - int(pos),
+                              "lo": row[f"lo{j}"] if q <= slack else row[f"s{j}"][2 * at],
+                              "hi": row[f"hi{j}"] if q >= 1 - slack else row[f"s{j}"][2 * at + 1],
+                              "least": row[f"lo{j}"], "most": row[f"hi{j}"], "below": 0, "inside": n})
+    if small:
+        for (_, ids), values in zip(small.values(), agg_row(df, {k: a for k, (a, _) in small.items()}).values()):
+            for i, v in zip(ids, values):
+                out[i] = v
 
     def inside(s: dict) -> Column:
-        cond = s["c"].isNotNull()
-        if s["lo"] is not None:
-            cond = cond & (s["c"] >= s["lo"]) & (s["c"] <= s["hi"])
-        return cond
-
-    while True:
-        open_ = [s for s in state if s["n"] and s["inside"] > limit and (s["lo"] is None or s["lo"] < s["hi"])]
-        if not open_:
-            break
-        slack = 2.0 / SKETCH_ACCURACY
-        aggs = []
-        for j, s in enumerate(open_):
-            m = s["inside"]
-            p0 = max(0.0, (s["k"][0] - s["below"]) / m - slack)
-            p1 = min(1.0, (s["k"][1] - s["below"] + 1) / m + slack)
-            aggs.append(F.percentile_approx(F.when(inside(s), s["c"]), [p0, p1], SKETCH_ACCURACY).alias(f"b{j}"))
-            aggs += [F.min(F.when(inside(s), s["c"])).alias(f"mn{j}"), F.max(F.when(inside(s), s["c"])).alias(f"mx{j}")]
-        row = df.agg(*aggs).first()
-        for j, s in enumerate(open_):
-            m = s["inside"]
-            s["lo"] = row[f"mn{j}"] if (s["k"][0] - s["below"]) / m <= slack else row[f"b{j}"][0]
-            s["hi"] = row[f"mx{j}"] if (s["k"][1] - s["below"] + 1) / m >= 1 - slack else row[f"b{j}"][1]
-        row = df.agg(*[a for j, s in enumerate(open_) for a in (
-            F.count_if(s["c"] < s["lo"]).alias(f"l{j}"), F.count_if(inside(s)).alias(f"i{j}"))]).first()
+        return s["c"].between(s["lo"], s["hi"])
+
+    open_ = list(state)
+    while open_:
+        counts = agg_row(df, {f"{k}{j}": F.count_if(cond) for j, s in enumerate(open_)
+                              for k, cond in (("b", s["c"] < F.lit(s["lo"])), ("w", inside(s)))})
         for j, s in enumerate(open_):
-            s["below"], s["inside"] = row[f"l{j}"], row[f"i{j}"]
-    final = [F.percentile(F.when(inside(s), s["c"]),
-                          [(k - s["below"]) / max(s["inside"] - 1, 1) for k in s["k"]]).alias(f"v{i}")
-             for i, s in enumerate(state) if s["n"] and (s["lo"] is None or s["lo"] < s["hi"])]
-    row = df.agg(*final).first() if final else {}
-    out: list[float | None] = []
-    for i, s in enumerate(state):
-        if not s["n"]:
-            out.append(None)
-        elif s["lo"] is not None and s["lo"] == s["hi"]:
-            out.append(s["lo"])
+            s["below"], s["inside"] = counts[f"b{j}"], counts[f"w{j}"]
+            if not s["below"] <= s["k0"] <= s["k1"] < s["below"] + s["inside"]:
+                # Outside the sketch's promise: start over from the full range.
+                s["lo"], s["hi"], s["below"], s["inside"] = s["least"], s["most"], 0, s["below"] + s["inside"] + limit + 1
+        open_ = [s for s in open_ if s["inside"] > limit and s["lo"] < s["hi"]]
+        if open_:
+            sketches = agg_row(df, {f"s{j}": F.percentile_approx(F.when(inside(s), s["c"]), [
+                max((s["k0"] - s["below"]) / s["inside"] - slack, 0.0), min((s["k1"] - s["below"] + 1) / s["inside"] + slack, 1.0)],
+                SKETCH_ACCURACY) for j, s in enumerate(open_)})
+            for j, s in enumerate(open_):
+                lo, hi = sketches[f"s{j}"]
+                s["lo"] = s["lo"] if (s["k0"] - s["below"]) / s["inside"] <= slack else lo
+                s["hi"] = s["hi"] if (s["k1"] - s["below"] + 1) / s["inside"] >= 1 - slack else hi
+    final = {f"v{s['i']}": F.percentile(F.when(inside(s), s["c"]), [(k - s["below"]) / max(s["inside"] - 1, 1) for k in (s["k0"], s["k1"])])
+             for s in state if s["lo"] < s["hi"]}
+    values = agg_row(df, final)
+    for s in state:
+        if s["lo"] == s["hi"]:
+            out[s["i"]] = s["lo"]
         else:
-            a, b = row[f"v{i}"]
-            out.append(a + (b - a) * s["frac"])
+            a, b = values[f"v{s['i']}"]
+            out[s["i"]] = a + (b - a) * s["frac"]
     return out
 
 

@@ -50,6 +50,7 @@ def check(category: str, severity: str = "medium", name: str | None = None):
 
 def find(name: str) -> CheckSpec:
     """Look a check up by ``Name`` (any case) or ``category.Name``."""
+    import plumbline.operators.checks  # noqa: F401  (fills the catalog on first use)
     if name in CATALOG:
         return CATALOG[name]
     for spec in CATALOG.values():

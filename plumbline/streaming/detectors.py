@@ -17,7 +17,7 @@ from plumbline.operators.anomaly import Prepared, isolation_forest
 from plumbline.plans.primitives import chunked
 from plumbline.session import checkpointed
 
-CHUNK = 100_000
+CHUNK = 250_000
 TINY = 1e-10
 
 
