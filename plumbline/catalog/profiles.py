@@ -107,6 +107,17 @@ def profiles() -> None:
              f"(select col, arg_min(null_pct, ts) f, arg_max(null_pct, ts) l, min(null_pct) mn, max(null_pct) mx, avg(null_pct) av from ({duck(days)}) x group by col having count(*) >= 2) y")
 
 
+    daily = f"(select strftime(ts, '%Y-%m-%d') d, max(row_count) c, row_number() over (order by strftime(ts, '%Y-%m-%d')) - 1 as i from ({duck(days)}) x group by 1) y"
+    fit = "regr_slope(c, i)"
+    r = "corr(c, i)"
+    register("profile_row_count_trend", lambda s, d: profile.row_count_trend(stored(s, d)),
+             f"select n as profiles, round((l - f) * 100.0 / f, 6) as change_pct, case when abs((l - f) * 100.0 / f) < 5 then 'stable' when l > f then 'up' else 'down' end as trend, round(slope, 6) as slope, "
+             f"abs(t) > 2.048407 as is_significant from (select count(*) n, arg_min(c, i) f, arg_max(c, i) l, {fit} as slope, {r} * sqrt((count(*) - 2) / (1 - {r} * {r})) as t from {daily}) z")
+    pct = "select l_orderkey, case when l_discount = 0 then '' when l_discount > 0.09 then 'n/a' else concat(cast(cast(l_discount * 1000 as int) as string), '.5%') end as txt from {lineitem}"
+    register("parse_percent", lambda s, d: source(s, d, pct).select("txt", profile.parse_percent(F.col("txt")).alias("pct")).groupBy("txt", "pct").agg(F.count(F.lit(1)).alias("n")),
+             f"select txt, coalesce(try_cast(replace(txt, '%', '') as double), 0) as pct, count(*) as n from ({duck(pct)}) x group by 1, 2")
+
+
 def rule_queries() -> None:
     register("rules_suggest", lambda s, d: rules.suggest(rules.profile_rows(source(s, d, NULLS))),
              # Written out for this source from measured shares.

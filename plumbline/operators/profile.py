@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from plumbline.functions import patterns as P
 from plumbline.operators.checks.table import period_number, row_bytes
-from plumbline.plans.primitives import exact_quantiles, spread, value_counts
+from plumbline.operators.stats import trend_stats
+from plumbline.plans.primitives import exact_quantiles, row_numbers, spread, value_counts
 from plumbline.session import checkpointed
 
 TOP = 10
@@ -316,3 +317,22 @@ def column_trends(profiles: DataFrame) -> DataFrame:
                       F.round("avg_value", 6).alias("avg_value"),
                       F.round(F.when(F.col("first") != 0, change / F.col("first") * 100).otherwise(0.0), 2).alias("change_pct"),
                       F.when(F.abs(change) < 1.0, "stable").when(change > 0, "up").otherwise("down").alias("trend"))
+
+
+def row_count_trend(profiles: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """One row: direction of the row count from the first to the last profile
+    (5 percent or more), slope per profile and its significance."""
+    per = trend_of_profiles(profiles).select("profile_id", "ts", "row_count")
+    order = F.struct("ts", "profile_id")
+    ends = per.agg(F.count(F.lit(1)).alias("profiles"), F.min_by("row_count", order).alias("first"), F.max_by("row_count", order).alias("last"))
+    fit = trend_stats(row_numbers(per, ["ts", "profile_id"], "i"), F.col("i"), F.col("row_count")).select("slope", "p")
+    change = (F.col("last") - F.col("first")) / F.col("first") * 100
+    return ends.select(
+        "profiles", F.round(F.when(F.col("first") > 0, change), 6).alias("change_pct"),
+        F.when((F.col("first") <= 0) | (F.abs(change) < 5.0), "stable").when(change > 0, "up").otherwise("down").alias("trend"),
+        F.round(fit.select("slope").scalar(), 6).alias("slope"), F.coalesce(fit.select("p").scalar() < alpha, F.lit(False)).alias("is_significant"))
+
+
+def parse_percent(text: Column) -> Column:
+    """Number of a text like ``25.5%``; 0 when empty or unreadable."""
+    return F.coalesce(F.replace(text, F.lit("%"), F.lit("")).try_cast("double"), F.lit(0.0))

@@ -224,7 +224,8 @@ def suggest_cross(df: DataFrame, verify: bool = True) -> DataFrame:
 
 def select_rules(rules: DataFrame, preset: str | None = None, include: Sequence[str] | None = None,
                  exclude: Sequence[str] | None = None, min_confidence: float | None = None) -> DataFrame:
-    """Filter by preset, categories and confidence, best first."""
+    """Filter by preset, categories and confidence; one rule per check and
+    column (the most confident), best first."""
     cond = F.lit(True)
     if preset:
         cond = cond & F.col("category").isin(list(PRESETS[preset][1]))
@@ -234,7 +235,9 @@ def select_rules(rules: DataFrame, preset: str | None = None, include: Sequence[
         cond = cond & ~F.col("category").isin(list(exclude))
     if min_confidence is not None:
         cond = cond & (F.col("confidence") >= min_confidence)
-    return rules.filter(cond).orderBy(F.desc("confidence"), "column", "check")
+    best = rules.filter(cond).groupBy("column", "check").agg(F.max_by(
+        F.struct("category", "confidence", "severity", "params"), F.struct("confidence", "params")).alias("r"))
+    return best.select("column", "check", "r.*").orderBy(F.desc("confidence"), "column", "check")
 
 
 def generate_suite(df: DataFrame, preset: str = "default", columns: Sequence[str] | None = None,
