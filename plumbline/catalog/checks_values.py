@@ -331,6 +331,26 @@ def drift() -> None:
          f"abs({b} - {a}) * 1.0 / {a}", "(select 1) x"))
 
 
+def standard_sql(pts: str) -> str:
+    """Columns a and b standardised, rows numbered."""
+    return (f"select (a - m1) / s1 as a, (b - m2) / s2 as b, row_number() over (order by a, b) as i from ({pts}) p, "
+            f"(select avg(a) m1, stddev_pop(a) s1, avg(b) m2, stddev_pop(b) s2 from ({pts}) t) q")
+
+
+def core_sql(pts: str, eps: float, n: int) -> dict[str, str]:
+    """Core flags by comparing all pairs (the table is small at this scale)."""
+    return {"z": standard_sql(pts), "core": f"select x.a, x.b, count(*) >= {n} as core from {{z}} x join {{z}} y on power(x.a - y.a, 2) + power(x.b - y.b, 2) <= {eps * eps!r} group by x.i, x.a, x.b"}
+
+
+def lof_sql(pts: str, k: int) -> dict[str, str]:
+    """Local outlier factors by comparing all pairs."""
+    return {"z": standard_sql(pts),
+            "nn": f"select i, j, d from (select x.i, y.i as j, sqrt(power(x.a - y.a, 2) + power(x.b - y.b, 2)) as d, row_number() over (partition by x.i order by power(x.a - y.a, 2) + power(x.b - y.b, 2), y.i) r from {{z}} x join {{z}} y on x.i <> y.i) w where r <= {k}",
+            "kd": "select i, max(d) as kd from {nn} group by i",
+            "lrd": "select nn.i, 1 / (avg(greatest(kd.kd, d)) + 1e-10) as l from {nn} nn join {kd} kd on kd.i = nn.j group by nn.i",
+            "lof": "select nn.i, avg(b.l) / max(a.l) as s from {nn} nn join {lrd} b on b.i = nn.j join {lrd} a on a.i = nn.i group by nn.i"}
+
+
 def anomaly() -> None:
     def frac(cond, total="count(value)"):
         return {"bad": f"count(*) filter (where {cond})", "total": total, "v": f"count(*) filter (where {cond}) * 1.0 / {total}"}
@@ -356,14 +376,11 @@ def anomaly() -> None:
            frm="data, (select avg(l_quantity) m1, stddev_samp(l_quantity) s1, avg(l_extendedprice) m2, stddev_samp(l_extendedprice) s2, corr(l_quantity, l_extendedprice) r from data) q"))
     pts = "select cast(c_nationkey as double) as a, c_acctbal as b from {customer}"
     near = ("(select coalesce(sum(noise::int), 0) bad, count(*) total from (select not p.core and not exists (select 1 from core c where power(c.a - p.a, 2) + power(c.b - p.b, 2) <= 0.04 and c.core) as noise from core p) n) g")
-    chk("DBSCAN", pts, {"eps": 0.2, "min_samples": 20},
-        vd("a,b", "max(bad)", "max(total)", "v <= 0.1", "max(bad) * 1.0 / max(total)", near),
-        ctes={"z": "select (a - m1) / s1 as a, (b - m2) / s2 as b, row_number() over () as i from (select cast(c_nationkey as double) as a, c_acctbal as b from {customer}) p, "
-                   "(select avg(c_nationkey) m1, stddev_pop(c_nationkey) s1, avg(c_acctbal) m2, stddev_pop(c_acctbal) s2 from {customer}) q",
-              "core": "select x.a, x.b, count(*) >= 20 as core from {z} x join {z} y on power(x.a - y.a, 2) + power(x.b - y.b, 2) <= 0.04 group by x.i, x.a, x.b"})
+    chk("DBSCAN", pts, {"eps": 0.2, "min_samples": 20}, vd("a,b", "max(bad)", "max(total)", "v <= 0.1", "max(bad) * 1.0 / max(total)", near), ctes=core_sql(pts, 0.2, 20))
+    chk("LOF", pts, {"n_neighbors": 20, "contamination": 0.05},
+        vd("a,b", "count(*) filter (where s > t)", "count(*)", "v <= 0.1", "count(*) filter (where s > t) * 1.0 / count(*)", "(select s, quantile_cont(s, 0.95) over () as t from lof) f"), ctes=lof_sql(pts, 20))
     many = {"columns": ["l_quantity", "l_extendedprice", "l_discount"]}
     chk("IsolationForest", "lineitem", {**many, "contamination": 0.02, "n_estimators": 50})
-    chk("LOF", pts, {"n_neighbors": 20, "contamination": 0.05})
     chk("OneClassSVM", "lineitem", {**many, "nu": 0.05})
     chk("EllipticEnvelope", "lineitem", {**many, "contamination": 0.03})
     chk("PCAnomaly", "lineitem", {**many, "n_components": 2})

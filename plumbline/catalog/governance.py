@@ -7,8 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.catalog.base import duck, register, source, table
-from plumbline.catalog.checks_rows import NULLS
-from plumbline.catalog.checks_values import PEOPLE, found
+from plumbline.catalog.checks_values import PEOPLE, core_sql, found, lof_sql
 from plumbline.functions import patterns as P
 from plumbline.operators import anomaly, lineage, privacy, retention, routing, runs, sampling, schema_evolution, sketches
 from plumbline.session import checkpointed
@@ -153,13 +152,23 @@ def anomaly_queries() -> None:
                                                           "broken": (table(s, d, "region").select("r_name", F.col("r_name").alias("id")), "id")}, "statistical", threshold=1.7).select(
         "source", "total_rows", F.col("error").isNotNull().alias("failed")),
         "select 'orders' as source, count(*) as total_rows, false as failed from orders union all select 'parts', count(*), false from part union all select 'broken', null, true")
+    rep = "select count(*) as total_rows, count(*) filter (where {0}) as anomaly_count, round(count(*) filter (where {0}) * 1.0 / count(*), 6)::double as anomaly_rate from {1}"
+    heads = lambda parts: "with " + ", ".join(f"{k} as ({duck(v)})" for k, v in parts.items()) + " "
+    cust = "select c_acctbal as a, cast(c_nationkey as double) as b from {customer}"
+    # Two standardised columns: the second component is their difference (or sum).
+    pair = ("(select power(z1 - r * z2, 2) / 4 as s from (select (o_totalprice - avg(o_totalprice) over ()) / stddev_pop(o_totalprice) over () z1, (o_custkey - avg(o_custkey) over ()) / stddev_pop(o_custkey) over () z2, "
+            "(select sign(corr(o_totalprice, o_custkey)) from orders) r from orders) x) y")
+    known = {
+        "lof": heads(lof_sql(cust, 20)) + rep.format("s > (select quantile_cont(s, 0.98) from lof)", "lof"),
+        "dbscan": heads(core_sql(cust, 0.2, 10)) + rep.format("noise", "(select not p.core and not exists (select 1 from core c where power(c.a - p.a, 2) + power(c.b - p.b, 2) <= 0.04 and c.core) as noise from core p) n"),
+        "autoencoder": rep.format(f"s > (select quantile_cont(s, 0.95) from {pair})", pair),
+    }
     for name, params in (("isolation_forest", {"contamination": 0.02, "n_estimators": 50}), ("lof", {"contamination": 0.02}), ("one_class_svm", {"nu": 0.05}),
                          ("dbscan", {"eps": 0.2, "min_samples": 10}), ("autoencoder", {"encoding_dim": 1}), ("ensemble", {}), ("mahalanobis", {}), ("kmeans", {"n_clusters": 4})):
-        # Models: the report is compared by its row total only in the tests.
         src = "customer" if name in ("lof", "dbscan") else "orders"
         key, names = ("c_custkey", ["c_acctbal", "c_nationkey"]) if src == "customer" else ("o_orderkey", cols)
         register(f"anomaly_{name}", lambda s, d, name=name, params=params, src=src, key=key, names=names: anomaly.report(
-            anomaly.detect(table(s, d, src), key, name, names, **params)))
+            anomaly.detect(table(s, d, src), key, name, names, **params)), known.get(name))
     register("anomaly_explain", lambda s, d: anomaly.explain(orders(s, d), "o_orderkey", [r["id"] for r in anomaly.top_anomalies(
         detect(s, d, threshold=1.5), 5).collect()], cols, trees=30, donors=10))
 

@@ -231,6 +231,7 @@ def dbscan_flags(p: Prepared, eps: float, min_samples: int) -> tuple[DataFrame,
 
 
 MAX_HALVINGS = 40
+POINT_PAIRS = 5_000_000
 
 
 def linked_cells(core: DataFrame, dims: int, eps: float) -> DataFrame:
@@ -250,16 +251,16 @@ def linked_cells(core: DataFrame, dims: int, eps: float) -> DataFrame:
         s = side / (2 ** level)
         return F.concat_ws("_", *[F.floor(F.col("x")[i] / s).cast("string") for i in range(dims)])
 
-    def boxes(level: int) -> DataFrame:
-        """Tight boxes of the cells of a level, with the cell they halve."""
+    def boxes(level: int, by_point: bool = False) -> DataFrame:
+        """Tight boxes of the cells of a level, or of single points, with the
+        cell of the level above they lie in."""
         parent = key(max(level - 1, 0))
-        if level > MAX_HALVINGS:
-            # Points this close differ in their last bits only: compare them as they are.
+        if by_point:
             return grid.select("top", parent.alias("parent"), F.col("id").cast("string").alias("part"),
-                               F.col("x").alias("lo"), F.col("x").alias("hi"))
+                               F.col("x").alias("lo"), F.col("x").alias("hi"), F.lit(1).cast("long").alias("n"))
         return grid.withColumn("parent", parent).withColumn("part", key(level)).groupBy("top", "parent", "part").agg(
             F.array(*[F.min(F.col("x")[i]) for i in range(dims)]).alias("lo"),
-            F.array(*[F.max(F.col("x")[i]) for i in range(dims)]).alias("hi"))
+            F.array(*[F.max(F.col("x")[i]) for i in range(dims)]).alias("hi"), F.count(F.lit(1)).alias("n"))
 
     def bounds(pairs: DataFrame) -> DataFrame:
         low, high = F.lit(0.0), F.lit(0.0)
@@ -268,11 +269,12 @@ def linked_cells(core: DataFrame, dims: int, eps: float) -> DataFrame:
             wide = F.greatest(F.col("hi_a")[i] - F.col("lo_b")[i], F.col("hi_b")[i] - F.col("lo_a")[i])
             low, high = low + gap * gap, high + wide * wide
         pairs = pairs.withColumn("low", F.sqrt(low)).withColumn("high", F.sqrt(high))
-        return pairs.filter(F.col("low") <= eps).select("a", "b", "pa", "pb", "high")
+        return pairs.filter(F.col("low") <= eps).select("a", "b", "pa", "pb", "high", "n_a", "n_b")
 
     def sides(cells: DataFrame, *extra: str) -> tuple[DataFrame, DataFrame]:
         return tuple(cells.select(F.col("top").alias(s), F.col("part").alias(f"p{s}"), F.col("lo").alias(f"lo_{s}"),
-                                  F.col("hi").alias(f"hi_{s}"), *[F.col(e).alias(f"{e}_{s}") for e in extra]) for s in "ab")
+                                  F.col("hi").alias(f"hi_{s}"), F.col("n").alias(f"n_{s}"),
+                                  *[F.col(e).alias(f"{e}_{s}") for e in extra]) for s in "ab")
 
     first = checkpointed(boxes(0).withColumns({f"g{i}": F.floor(F.col("lo")[i] / side) for i in range(axes)}))
     spots = [f"g{i}" for i in range(axes)]
@@ -283,16 +285,20 @@ def linked_cells(core: DataFrame, dims: int, eps: float) -> DataFrame:
         left = left.withColumn(g, F.col(f"{g}_a") + F.col("off")[i])
         right = right.withColumnRenamed(f"{g}_b", g)
     near = checkpointed(bounds(left.join(right, spots).filter("a < b")))
-    links, level = None, 0
+    links, level, by_point = None, 0, False
     while True:
         sure = near.filter(F.col("high") <= eps).select("a", "b").distinct()
         links = checkpointed(sure if links is None else links.unionByName(sure).distinct())
-        open_ = checkpointed(near.filter(F.col("high") > eps).select("a", "b", "pa", "pb").join(links, ["a", "b"], "left_anti"))
-        if level > MAX_HALVINGS or open_.isEmpty():
+        open_ = checkpointed(near.filter(F.col("high") > eps).drop("high").join(links, ["a", "b"], "left_anti"))
+        if by_point or open_.isEmpty():
             return links
         level += 1
-        left, right = sides(checkpointed(boxes(level)), "parent")
-        open_ = open_.withColumnsRenamed({"pa": "parent_a", "pb": "parent_b"})
+        # Few undecided pairs of points are compared as they are; so are points
+        # so close that they differ in their last bits only.
+        undecided = open_.agg(F.sum(F.col("n_a").cast("double") * F.col("n_b"))).first()[0]
+        by_point = undecided <= POINT_PAIRS or level > MAX_HALVINGS
+        left, right = sides(checkpointed(boxes(level, by_point)), "parent")
+        open_ = open_.select("a", "b", F.col("pa").alias("parent_a"), F.col("pb").alias("parent_b"))
         near = checkpointed(bounds(open_.join(left, ["a", "parent_a"]).join(right, ["b", "parent_b"])))
 
 

@@ -8,8 +8,6 @@ one row with a weight, so a place that holds a third of the table is one row.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window

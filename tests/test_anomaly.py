@@ -91,8 +91,11 @@ def test_dbscan_matches_brute_force(spark, data):
         assert np.abs(np.array([got[i].score for i in range(len(x))]) - want).max() < 0.2
 
 
-def test_linked_cells_separate_touching_clusters(spark):
-    # Two dense strips with a gap just above eps, then just below.
+@pytest.mark.parametrize("point_pairs", [5_000_000, 0])
+def test_linked_cells_separate_touching_clusters(spark, monkeypatch, point_pairs):
+    # Two dense strips with a gap just above eps, then just below; with 0, cells are halved to the end.
+    monkeypatch.setattr(A, "POINT_PAIRS", point_pairs)
+    monkeypatch.setattr(A, "MAX_HALVINGS", 6)
     for gap, clusters in ((0.31, 2), (0.29, 1)):
         left = [(i * 0.05, 0.0) for i in range(40)]
         right = [(39 * 0.05 + gap + i * 0.05, 0.0) for i in range(40)]
