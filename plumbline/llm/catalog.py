@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from plumbline.llm import bpe, token_counts
+from plumbline.llm import bpe, language, licenses, token_counts
 from plumbline.llm.base import read
 
 QUERIES, ORACLES = {}, {}
@@ -31,3 +31,13 @@ def op4(spark, sf):
 @query("op9_token_counts")
 def op9(spark, sf):
     return token_counts.token_report(read(spark, sf, "documents"), vocabulary())
+
+
+@query("op1_license_scan")
+def op1(spark, sf):
+    return licenses.license_scan(read(spark, sf, "documents"))
+
+
+@query("op5_language")
+def op5(spark, sf):
+    return language.language_report(read(spark, sf, "documents"))
