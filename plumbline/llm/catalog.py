@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from plumbline.llm import bpe, language, licenses, token_counts
+from plumbline.llm import bpe, language, licenses, pii, token_counts
 from plumbline.llm.base import read
 
 QUERIES, ORACLES = {}, {}
@@ -41,3 +41,8 @@ def op1(spark, sf):
 @query("op5_language")
 def op5(spark, sf):
     return language.language_report(read(spark, sf, "documents"))
+
+
+@query("op8_pii")
+def op8(spark, sf):
+    return pii.pii_report(read(spark, sf, "documents"))
