@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from plumbline.llm import bpe, language, licenses, pii, token_counts
+from plumbline.llm import bpe, embeddings, language, licenses, pii, token_counts
 from plumbline.llm.base import read
 
 QUERIES, ORACLES = {}, {}
@@ -46,3 +46,8 @@ def op5(spark, sf):
 @query("op8_pii")
 def op8(spark, sf):
     return pii.pii_report(read(spark, sf, "documents"))
+
+
+@query("op7_embedding_near_dup")
+def op7(spark, sf):
+    return embeddings.near_duplicates(read(spark, sf, "embeddings"))
