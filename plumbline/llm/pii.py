@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm.base import pieces, small_batches, text_or_empty, texts_of
 
@@ -306,7 +307,7 @@ def find(docs: DataFrame, field: Field, text: str = "text", keep: list[str] | No
     docs = docs.drop("base", "spans")
     kept = [c for c in docs.columns if keep is None or c in keep]
     shared = docs.sparkSession.sparkContext.broadcast(field)
-    span = "array<struct<kind:string,start:int,stop:int>>"
+    span = T.ArrayType(T.StructType().add("kind", "string").add("start", "int").add("stop", "int"))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
