@@ -307,7 +307,7 @@ def find(docs: DataFrame, field: Field, text: str = "text", keep: list[str] | No
     docs = docs.drop("base", "spans")
     kept = [c for c in docs.columns if keep is None or c in keep]
     shared = docs.sparkSession.sparkContext.broadcast(field)
-    span = T.ArrayType(T.StructType().add("kind", "string").add("start", "int").add("stop", "int"))
+    span = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
