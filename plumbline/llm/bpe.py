@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm.base import list_array, pieces, small_batches, spans_index, text_or_empty, texts_of
 from plumbline.llm.bytebpe import PRE_TOKEN, Vocabulary, cut_spaces, cut_special, load
@@ -148,7 +149,7 @@ def encode(docs: DataFrame, vocabulary_file: str, text: str = "text", ids: str =
     docs = docs.drop(ids, *([decoded] if decoded else []))
     kept = [c for c in docs.columns if keep is None or c in keep]
     shared = docs.sparkSession.sparkContext.broadcast(load(vocabulary_file))  # bounded by the vocabulary file
-    schema = docs.select(*kept).schema.add(ids, "array<int>")
+    schema = docs.select(*kept).schema.add(ids, T.ArrayType(T.IntegerType()))
     if decoded:
         schema = schema.add(decoded, "string")
 

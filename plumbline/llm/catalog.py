@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from plumbline.llm import bpe, embeddings, language, licenses, pii, token_counts
+from plumbline.llm import bpe, decontaminate, embeddings, language, licenses, pii, token_counts
 from plumbline.llm.base import read
 
 QUERIES, ORACLES = {}, {}
@@ -51,3 +51,8 @@ def op8(spark, sf):
 @query("op7_embedding_near_dup")
 def op7(spark, sf):
     return embeddings.near_duplicates(read(spark, sf, "embeddings"))
+
+
+@query("op3_decontaminate")
+def op3(spark, sf):
+    return decontaminate.report(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
