@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from plumbline.llm import bpe, decontaminate, embeddings, language, licenses, pii, token_counts
+from plumbline.llm import bpe, dartminhash, decontaminate, embeddings, language, licenses, pii, token_counts
 from plumbline.llm.base import read
 
 QUERIES, ORACLES = {}, {}
@@ -56,3 +56,8 @@ def op7(spark, sf):
 @query("op3_decontaminate")
 def op3(spark, sf):
     return decontaminate.report(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
+@query("op10_minhash_near_dup")
+def op10(spark, sf):
+    return dartminhash.near_duplicates(read(spark, sf, "documents"))
