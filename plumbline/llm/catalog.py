@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from plumbline.llm import bpe, dartminhash, decontaminate, embeddings, language, licenses, pii, token_counts
+from plumbline.llm import bpe, dartminhash, decontaminate, embeddings, language, licenses, pii, token_counts, toxicity
 from plumbline.llm.base import read
 
 QUERIES, ORACLES = {}, {}
@@ -61,3 +61,8 @@ def op3(spark, sf):
 @query("op10_minhash_near_dup")
 def op10(spark, sf):
     return dartminhash.near_duplicates(read(spark, sf, "documents"))
+
+
+@query("op2_toxicity")
+def op2(spark, sf):
+    return toxicity.report(read(spark, sf, "documents"), read(spark, sf, "labels"))
