@@ -183,10 +183,18 @@ def decode(rows: DataFrame, vocabulary_file: str, ids: str = "ids", text: str =
     return rows.mapInArrow(run, schema)
 
 
+def digest_columns() -> list:
+    """n_tokens and the digests of ``ids`` (decimal, joined by commas) and ``decoded``."""
+    return [F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
+
+
 def digests(docs: DataFrame, vocabulary_file: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row."""
     coded = encode(docs.select("doc_id", text_or_empty().alias("text")), vocabulary_file, decoded="decoded", keep=["doc_id"])
-    return coded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.select("doc_id", *digest_columns())
+
+
+def tokenized(docs: DataFrame, vocabulary_file: str) -> DataFrame:
+    """Every row without its text, with ``ids``, n_tokens and the digests of ids and decoded text."""
+    coded = encode(docs.withColumn("text", text_or_empty()).drop("n_tokens", "ids_sha256", "decoded_sha256"), vocabulary_file, decoded="decoded", keep=[c for c in docs.columns if c not in ("text", "n_tokens", "ids_sha256", "decoded_sha256")])
+    return coded.select(*[c for c in coded.columns if c != "decoded"], *digest_columns())
