@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.session import checkpoint_folder
+
 #: Characters of text that a Python task works on at a time; a longer text is worked on alone.
 BATCH_CHARS = 3_000_000
 #: Rows in an Arrow batch; with texts of up to 100 kB a batch stays in the tens of megabytes.
@@ -60,3 +63,21 @@ def list_array(flat: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.A
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+class Scratch:
+    """Intermediate tables of one operator, written to the shared folder; ``drop`` removes them all."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, f"{checkpoint_folder(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` written out and read again."""
+        self.n += 1
+        path = f"{self.folder}/{self.n}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

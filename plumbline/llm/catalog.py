@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from plumbline.llm import bpe, dartminhash, decontaminate, embeddings, language, licenses, pii, token_counts, toxicity
+from plumbline.llm import bpe, dartminhash, decontaminate, embeddings, language, licenses, pii, suffix_dedup, token_counts, toxicity
 from plumbline.llm.base import read
 
 QUERIES, ORACLES = {}, {}
@@ -66,3 +66,8 @@ def op10(spark, sf):
 @query("op2_toxicity")
 def op2(spark, sf):
     return toxicity.report(read(spark, sf, "documents"), read(spark, sf, "labels"))
+
+
+@query("op6_suffix_dedup")
+def op6(spark, sf):
+    return suffix_dedup.report(read(spark, sf, "documents"))
