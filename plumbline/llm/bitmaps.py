@@ -20,25 +20,37 @@ def bitmap(hashes: DataFrame, column: str, bits: int = BITS) -> DataFrame:
 
 
 def maybe(df: DataFrame, hashed: Column, ids: DataFrame, id_hash: str, name: str = "__maybe", bits: int = BITS) -> DataFrame:
-    """``df`` with a boolean column: whether the row's hash may be among those of ``ids``. No row is shuffled."""
-    marks = F.broadcast(bitmap(ids, id_hash, bits).withColumnRenamed("word", "__word").withColumnRenamed("mask", "__mask"))  # bounded by 1 << (bits - 6) rows
-    df = df.withColumn("__h", hashed).withColumn("__word", F.shiftright(F.pmod("__h", F.lit(1 << bits)), 6))
-    hit = F.expr("coalesce((__mask & shiftleft(1L, cast(pmod(__h, 64) as int))) != 0, false)")
-    return df.join(marks, "__word", "left").withColumn(name, hit).drop("__word", "__mask", "__h")
+    """``df`` with a boolean column ``name``: whether the row's hash may be among those of ``ids``. No row is shuffled."""
+    h, word, mask = (fresh(df, x) for x in ("__h", "__word", "__mask"))
+    marks = F.broadcast(bitmap(ids, id_hash, bits).select(F.col("word").alias(word), F.col("mask").alias(mask)))  # bounded by 1 << (bits - 6) rows
+    df = df.withColumn(h, hashed).withColumn(word, F.shiftright(F.pmod(h, F.lit(1 << bits)), 6))
+    hit = F.expr(f"coalesce((`{mask}` & shiftleft(1L, cast(pmod(`{h}`, 64) as int))) != 0, false)")
+    return df.join(marks, word, "left").withColumn(name, hit).drop(word, mask, h)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def split(docs: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``key`` is surely not in ``ids`` (or null), and the others."""
+    name, columns = fresh(docs, "__maybe"), [F.col(f"`{c}`") for c in docs.columns]
+    marked = maybe(docs, F.xxhash64(F.col(key).cast("string")), ids.select(F.xxhash64(F.col(key).cast("string")).alias("h")), "h", name)
+    unsure = F.col(name) & F.col(key).isNotNull()
+    return marked.filter(~unsure).select(*columns), marked.filter(unsure).select(*columns)
 
 
 def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose ``key`` is not in ``dropped`` (key); rows without a key stay. Whole rows are shuffled only
     where the bit map cannot rule them out."""
-    columns = docs.columns
-    marked = maybe(docs, F.xxhash64(F.col(key).cast("string")), dropped.select(F.xxhash64(F.col(key).cast("string")).alias("h")), "h")
-    kept = marked.filter(~F.col("__maybe") | F.col(key).isNull()).select(*columns)
-    unsure = marked.filter(F.col("__maybe") & F.col(key).isNotNull()).select(*columns).join(dropped.select(key).distinct(), key, "left_anti").select(*columns)
-    return kept.unionByName(unsure)
+    kept, unsure = split(docs, dropped, key)
+    return kept.unionByName(unsure.join(dropped.select(key).distinct(), key, "left_anti").select(*[f"`{c}`" for c in docs.columns]))
 
 
 def within(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose ``key`` is in ``ids`` (key)."""
-    columns = docs.columns
-    marked = maybe(docs, F.xxhash64(F.col(key).cast("string")), ids.select(F.xxhash64(F.col(key).cast("string")).alias("h")), "h")
-    return marked.filter("__maybe").select(*columns).join(ids.select(key).distinct(), key, "left_semi").select(*columns)
+    return split(docs, ids, key)[1].join(ids.select(key).distinct(), key, "left_semi").select(*[f"`{c}`" for c in docs.columns])

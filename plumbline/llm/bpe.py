@@ -171,7 +171,7 @@ def decode(rows: DataFrame, vocabulary_file: str, ids: str = "ids", text: str =
     small_batches(rows.sparkSession)
     rows = rows.drop(text)
     shared = rows.sparkSession.sparkContext.broadcast(load(vocabulary_file))
-    schema = rows.schema.add(text, "string")
+    schema = rows.select("*").schema.add(text, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(shared.value)
