@@ -142,8 +142,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: st
     found = spots.withColumn("inside", F.size(F.array_distinct(F.flatten(F.collect_list("ipos").over(stretch)))))
     best = (found.groupBy("key", "item", "in_all").agg(F.max_by("pos", F.struct("inside", -F.col("pos"))).alias("from"), F.max("inside").alias("inside"))
             .withColumn("coverage", F.col("inside") / F.col("in_all")).filter(F.col("coverage") >= coverage - 1e-9))
-    # Slots of the windows in that stretch: how item values became document values.
-    inside = met.join(best, ["key", "item", "in_all"]).filter(F.col("pos").between(F.col("from"), F.col("from") + STRETCH * F.col("in_all")))
+    # Slots of the windows in that stretch: how item values became document values. A window that occurs twice in an item
+    # is aligned where most others are; of two readings the one with fewer slots counts.
+    inside = (met.join(best, ["key", "item", "in_all"]).filter(F.col("pos").between(F.col("from"), F.col("from") + STRETCH * F.col("in_all")))
+              .withColumn("shift", F.col("pos") - F.col("ipos")))
+    support = inside.groupBy("key", "item", "shift").agg(F.countDistinct("ipos").alias("support"))
+    inside = (inside.join(support, ["key", "item", "shift"]).groupBy("key", "item", "pos")
+              .agg(F.max_by(F.struct("slots", "ivalues", "values"), F.struct("support", -F.bit_count("slots"), -F.col("ipos"))).alias("w")).select("key", "item", "w.*"))
     slot = F.filter(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda k: F.col("slots").bitwiseAND(F.element_at(F.array(*[F.lit(1 << j) for j in range(WIDTH)]), k + 1)) != 0)
     pairs = (inside.select("key", "item", F.explode(F.transform(slot, lambda k: F.struct(F.element_at("ivalues", k + 1).alias("was"), F.element_at("values", k + 1).alias("now")))).alias("p"))
              .groupBy("key", "item", "p.was", "p.now").agg(F.count(F.lit(1)).alias("n")))
