@@ -194,13 +194,15 @@ def repeated(right: list[bytes], left: list[bytes], low: np.ndarray, high: np.nd
         r_class[r_order] = np.cumsum(r_common < length - j)
         l_class[l_order] = np.cumsum(l_common < j)
         own = np.flatnonzero((low <= j) & (j <= high))
+        if len(own) < 2:
+            continue
         key = r_class[own] * (n + 1) + l_class[own]
         turn = np.argsort(key, kind="stable")
         same = key[turn][1:] == key[turn][:-1]
         twice = np.append(same, False) | np.append(False, same)
         rows.append(own[turn[twice]])
         steps.append(np.full(int(twice.sum()), j))
-    return np.concatenate(rows), np.concatenate(steps)
+    return np.concatenate([np.zeros(0, np.int64), *rows]), np.concatenate([np.zeros(0, np.int64), *steps])
 
 
 def runs(row: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -70,3 +70,9 @@ def test_multikey_sort():
     order = suffix_dedup.multikey_sort(strings)
     assert [s.tobytes() for s in strings[order]] == sorted(s.tobytes() for s in strings)
     assert suffix_dedup.ranked(strings[:1])[1].tolist() == [-1]
+
+
+def test_strings_of_their_own_only():
+    none = suffix_dedup.repeated([b"a" * 200], [b""], np.array([0]), np.array([0]), 200, 32)
+    apart = suffix_dedup.repeated([b"a" * 200, b"a" * 190], [b"", b"b" * 10], np.array([0, 10]), np.array([0, 10]), 200, 32)
+    assert none[0].tolist() == [] and apart[0].tolist() == []
