@@ -28,6 +28,12 @@ def erfc(x: Column) -> Column:
     return F.when(x >= 0, tail).otherwise(F.lit(2.0) - tail)
 
 
+def finite(c: Column) -> Column:
+    """``c`` as a double; NaN and infinities are missing numbers."""
+    x = c.cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+
+
 def normal_cdf(z: Column) -> Column:
     return erfc(-z / math.sqrt(2.0)) * 0.5
 

@@ -1,8 +1,9 @@
 """Anomaly detection. Every detector returns the table's ids with a score and
 a flag; models are small and travel to the rows, never the rows to a model.
 
-Row identity is an explicit id column. Missing numbers are replaced by the
-column mean before any detector sees them.
+Row identity is an explicit id column. Missing numbers, NaN and infinities
+included, are replaced by the mean of the finite ones before any detector sees
+them.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.numeric import finite
 from plumbline.functions.special import chi_square_quantile
 from plumbline.operators.components import components
 from plumbline.operators.neighbours import knn
@@ -41,8 +43,7 @@ class Prepared:
         self.id_col, self.columns = id_col, numeric_columns(df, columns, id_col)
         if not self.columns:
             raise ValueError("no numeric column to analyse")
-        self.df = df.select(F.col(id_col).alias("id"), *[F.col(c).cast("double").alias(f"x{i}")
-                                                         for i, c in enumerate(self.columns)])
+        self.df = df.select(F.col(id_col).alias("id"), *[finite(F.col(c)).alias(f"x{i}") for i, c in enumerate(self.columns)])
         self.d = len(self.columns)
         aggs = {"n": F.count(F.lit(1))}
         for i in range(self.d):
@@ -126,29 +127,61 @@ def grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[list[float
     return nodes
 
 
+@F.pandas_udf(T.IntegerType())
+def poisson(u: pd.Series, mean: pd.Series) -> pd.Series:
+    """Quantiles of the Poisson law, added up in chunks of a mean of at most 32, so that no term underflows."""
+    u, mean = u.to_numpy(float), mean.to_numpy(float)
+    out, rest, part = np.zeros(len(u), np.int64), mean.copy(), 0
+    while (rest > 0).any():
+        m = np.minimum(rest, 32.0)
+        p, total, k = np.exp(-m), np.exp(-m), np.zeros(len(u), np.int64)
+        # Each chunk needs a number of its own; it is drawn from the digits of the first.
+        v = np.modf(np.sin((u + part) * 78.233 + 12.9898) * 43758.5453)[0] % 1.0 if part else u
+        while ((total < v) & (k < 400)).any():
+            step = (total < v) & (k < 400)
+            k += step
+            p = np.where(step, p * m / np.maximum(k, 1), p)
+            total = np.where(step, total + p, total)
+        out += np.where(rest > 0, k, 0)
+        rest, part = rest - m, part + 1
+    return pd.Series(out.astype(np.int32))
+
+
+def forest_rows(p: Prepared, trees: int, samples: int, seed: int) -> DataFrame:
+    """(tree, no, x): the rows that fit each tree, about ``samples`` of them.
+
+    Drawn from distinct rows with their counts: a row that occurs w times is drawn a number of times that follows its
+    weight, and every draw falls to a tree by hash. So copies are as likely as any other rows, and no task ever holds
+    the copies of one. When all rows are to be used, each tree gets them all.
+    """
+    distinct = p.df.select(F.array(*p.x).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("w"))
+    if p.n <= samples:
+        draws = distinct.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("no", F.explode(F.sequence(F.lit(1), F.col("w"))))
+        return draws.select("tree", F.col("no").cast("long").alias("no"), "x")
+    unit = F.pmod(F.xxhash64("x", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    times = poisson(unit, F.col("w") * (1.3 * samples * trees / p.n))
+    draws = distinct.withColumn("times", times).filter("times > 0").withColumn("no", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return draws.select(F.pmod(F.xxhash64("x", "no", F.lit(seed + 1)), F.lit(trees)).cast("int").alias("tree"), F.col("no").cast("long").alias("no"), "x")
+
+
 def fit_forest(p: Prepared, trees: int, samples: int, seed: int) -> tuple[list[np.ndarray], float]:
-    """Trees fitted in parallel, each on its own hashed rows (at most
-    ``samples``); the model is bounded by the parameters."""
-    want = 1.3 * samples / max(p.n, 1)
-    pool = p.df
-    share = 4.0 * trees * want
-    if share < 1.0:
-        # One cheap hash thins the table before the per-tree draws.
-        pool = pool.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-        want = 1.0 / (4.0 * trees)
-    draw = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
-                    lambda t: F.pmod(F.xxhash64("id", F.lit(seed + 1), t), F.lit(1_000_000)) < int(want * 1_000_000) + 1)
-    rows = pool.select("id", F.explode(draw).alias("tree"), F.array(*p.x).alias("x"))
+    """Trees fitted in parallel, each on its own rows (at most ``samples``); the model is bounded by the parameters.
+    A table without rows has no forest."""
+    if not p.n:
+        raise ValueError("no row to fit a forest on")
+    rows = forest_rows(p, trees, samples, seed)
     limit = math.ceil(math.log2(max(samples, 2)))
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").sample(frac=1.0, random_state=seed + int(key[0])).head(samples)
+        pdf = pdf.assign(k=pdf["x"].map(tuple)).sort_values(["k", "no"]).sample(frac=1.0, random_state=seed + int(key[0])).head(samples)
         tree = grow(np.array(pdf["x"].tolist(), dtype=float), np.random.default_rng(seed + int(key[0])), limit)
         return pd.DataFrame({"tree": [int(key[0])], "rows": [len(pdf)], "model": [json.dumps(tree)]})
 
     fitted = rows.groupBy("tree").applyInPandas(fit, "tree int, rows int, model string").collect()
     fitted.sort(key=lambda r: r["tree"])
-    size = float(np.mean([r["rows"] for r in fitted])) if fitted else 1.0
+    if not fitted:
+        raise ValueError("no row was drawn for any tree")
+    size = float(np.mean([r["rows"] for r in fitted]))
     return [np.array(json.loads(r["model"])) for r in fitted], average_path(size) or 1.0
 
 

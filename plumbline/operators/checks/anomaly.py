@@ -1,4 +1,7 @@
-"""Outlier checks: the share of flagged rows stays below a maximum."""
+"""Outlier checks: the share of flagged rows stays below a maximum.
+
+NaN and infinities are missing numbers: they are not judged.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ from collections import deque
 
 from pyspark.sql import functions as F
 
+from plumbline.functions.numeric import finite
 from plumbline.functions.special import grubbs_critical
 from plumbline.operators import anomaly as A
 from plumbline.plans.planner import Quantile
@@ -23,7 +27,7 @@ def flagged(t, column, hit, applicable, max_ratio):
 @check("anomaly")
 def IQRAnomaly(t, column, iqr_multiplier=1.5, max_anomaly_ratio=0.05, detect_lower=True, detect_upper=True):
     """Values beyond the quartile fences."""
-    c = F.col(column)
+    c = finite(F.col(column))
     q1, q3 = yield [Quantile(c, 0.25), Quantile(c, 0.75)]
     hit = F.lit(False)
     if q1 is not None:
@@ -38,7 +42,7 @@ def IQRAnomaly(t, column, iqr_multiplier=1.5, max_anomaly_ratio=0.05, detect_low
 @check("anomaly")
 def ZScoreAnomaly(t, column, threshold=3.0, max_anomaly_ratio=0.05):
     """Values far from the mean in sample deviations."""
-    c = F.col(column)
+    c = finite(F.col(column))
     mean, sd = yield [F.avg(c), F.stddev_samp(c)]
     flagged(t, column, F.abs(c - mean) / sd > threshold if sd else F.lit(False), c.isNotNull(), max_anomaly_ratio)
 
@@ -46,7 +50,7 @@ def ZScoreAnomaly(t, column, threshold=3.0, max_anomaly_ratio=0.05):
 @check("anomaly")
 def MADAnomaly(t, column, threshold=3.5, max_anomaly_ratio=0.05):
     """Values far from the median in median absolute deviations."""
-    c = F.col(column)
+    c = finite(F.col(column))
     (median,) = yield [Quantile(c, 0.5)]
     mad = None
     if median is not None:
@@ -62,7 +66,7 @@ def GrubbsTest(t, column, alpha=0.05, max_iterations=10, max_anomaly_ratio=0.05)
     Only the ``max_iterations`` smallest and largest values can be removed, so
     they and the moments of the column are all the test needs.
     """
-    c = F.col(column).cast("double")
+    c = finite(F.col(column))
     n, mean, var = yield [F.count(c), F.avg(c), F.var_samp(c)]
     filled = t.df.select(c.alias("x")).filter(F.col("x").isNotNull())
     low = [r[0] for r in filled.orderBy("x").limit(max_iterations).collect()]
@@ -87,7 +91,7 @@ def GrubbsTest(t, column, alpha=0.05, max_iterations=10, max_anomaly_ratio=0.05)
 @check("anomaly")
 def TukeyFences(t, column, detect_mild=True, detect_extreme=True, max_anomaly_ratio=0.05):
     """Mild values lie beyond 1.5, extreme ones beyond 3 quartile distances."""
-    c = F.col(column)
+    c = finite(F.col(column))
     q1, q3 = yield [Quantile(c, 0.25), Quantile(c, 0.75)]
     hit = F.lit(False)
     if q1 is not None:
@@ -104,7 +108,7 @@ def TukeyFences(t, column, detect_mild=True, detect_extreme=True, max_anomaly_ra
 @check("anomaly")
 def PercentileAnomaly(t, column, lower_percentile=1.0, upper_percentile=99.0, max_anomaly_ratio=0.02):
     """Values outside two percentiles."""
-    c = F.col(column)
+    c = finite(F.col(column))
     lo, hi = yield [Quantile(c, lower_percentile / 100.0), Quantile(c, upper_percentile / 100.0)]
     hit = (c < lo) | (c > hi) if lo is not None else F.lit(False)
     flagged(t, column, hit, c.isNotNull(), max_anomaly_ratio)

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from plumbline.functions.numeric import chi_square_sf, normal_cdf
+from plumbline.functions.numeric import chi_square_sf, finite, normal_cdf
 from plumbline.plans.planner import Quantile
 from plumbline.plans.primitives import running_totals, value_counts
 from plumbline.plans.registry import check
@@ -100,8 +100,8 @@ def Outlier(t, column, iqr_multiplier=1.5):
 
 @check("distribution")
 def ZScoreOutlier(t, column, threshold=3.0):
-    """Values more than ``threshold`` sample deviations from the mean."""
-    c = F.col(column)
+    """Values more than ``threshold`` sample deviations from the mean; NaN and infinities are not judged."""
+    c = finite(F.col(column))
     mean, sd = yield [F.avg(c), F.stddev_samp(c)]
     far = F.abs(c - mean) / sd > threshold if sd else F.lit(False)
     t.rows(column, far, c.isNotNull())

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from plumbline.operators.checks.distribution import shares
 from plumbline.operators.checks.profiling import mutual_information, pair_entropy
 from plumbline.operators.ranks import kendall, spearman
+from plumbline.functions.numeric import finite
 from plumbline.plans.planner import Quantile
 from plumbline.plans.registry import check
 
@@ -123,8 +124,8 @@ def FeatureVariance(t, column, min_variance=0.01):
 
 @check("ml_feature")
 def FeatureOutlierRatio(t, column, max_outlier_ratio=0.05, method="iqr"):
-    """Share of outliers by quartile fences, z-score 3 or MAD 3.5."""
-    c = F.col(column)
+    """Share of outliers by quartile fences, z-score 3 or MAD 3.5; NaN and infinities are not judged."""
+    c = finite(F.col(column))
     hit = F.lit(False)
     if method == "iqr":
         q1, q3 = yield [Quantile(c, 0.25), Quantile(c, 0.75)]

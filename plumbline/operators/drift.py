@@ -170,6 +170,20 @@ def limit_cvm_sf(x: float) -> float:
     return float(min(1.0, max(0.0, 1.0 - total / (math.pi * math.sqrt(x)))))
 
 
+def harmonic(n: int) -> float:
+    """1 + 1/2 + ... + 1/n by the asymptotic series at n + 16, for any n."""
+    m = n + 16
+    far = math.log(m) + 0.5772156649015329 + 1 / (2 * m) - 1 / (12 * m ** 2) + 1 / (120 * m ** 4) - 1 / (252 * m ** 6)
+    return far - sum(1 / k for k in range(n + 1, m + 1))
+
+
+def harmonic_squares(n: int) -> float:
+    """1 + 1/4 + ... + 1/n^2, likewise."""
+    m = n + 16
+    far = math.pi ** 2 / 6 - 1 / m + 1 / (2 * m ** 2) - 1 / (6 * m ** 3) + 1 / (30 * m ** 5) - 1 / (42 * m ** 7)
+    return far - sum(1 / k ** 2 for k in range(n + 1, m + 1))
+
+
 @F.pandas_udf(T.DoubleType())
 def anderson_p(stat: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
     """Scholz-Stephens p-value, kept within the tabled 0.001 to 0.25."""
@@ -178,13 +192,9 @@ def anderson_p(stat: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
             return 1.0
         total = int(a + b)
         big_h = 1 / a + 1 / b
-        if total <= 4000:
-            inv = 1 / np.arange(1, total)
-            h = float(inv.sum())
-            tail = np.cumsum(inv[::-1])[::-1]
-            g = float(sum(tail[i] / (total - i) for i in range(1, total - 1)))
-        else:
-            h, g = math.log(total - 1) + 0.5772156649015329 + 1 / (2 * (total - 1)), math.pi ** 2 / 6
+        h = harmonic(total - 1)
+        # The double sum of 1 / ((n - i) j) over i < j < n in closed form.
+        g = harmonic_squares(total) - (h + harmonic(total)) / total
         c_a = (4 * g - 6) * 1 + (10 - 6 * g) * big_h
         c_b = (2 * g - 4) * 4 + 8 * h * 2 + (2 * g - 14 * h - 4) * big_h - 8 * h + 4 * g - 6
         c_c = (6 * h + 2 * g - 2) * 4 + (4 * h - 4 * g + 6) * 2 + (2 * h - 6) * big_h + 4 * h

@@ -43,10 +43,10 @@ def cut_into_cells(points: DataFrame, dims: int, cell_rows: int = CELL_ROWS) ->
         qs = [i / FAN for i in range(1, FAN)]
         cuts = (marked.filter(F.col("dim").isNotNull()).groupBy("cell")
                 .agg(F.percentile_approx("v", qs, 1000).alias("cuts")))
-        # Below, at and above each cut are different children: one value that
-        # holds most of a cell becomes a cell of its own.
-        child = (F.size(F.filter("cuts", lambda c: c < F.col("v")))
-                 + F.size(F.filter("cuts", lambda c: c <= F.col("v"))))
+        # A value up to a cut lies left of it. A value at which several cuts fall holds a large share of the cell and
+        # becomes a cell of its own; so no cell has few points, and every round still parts the least from the greatest.
+        child = (F.size(F.filter("cuts", lambda c: c < F.col("v"))) * 2
+                 + F.when(F.size(F.filter("cuts", lambda c: c == F.col("v"))) > 1, 1).otherwise(0))
         state = checkpointed(
             marked.join(cuts, "cell", "left")
             .withColumn("cell", F.when(F.col("dim").isNotNull(), F.concat("cell", F.lit("."), child.cast("string")))

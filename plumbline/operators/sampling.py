@@ -146,10 +146,9 @@ class Progress:
 
 def progressive(df: DataFrame, target: int, keys: Sequence[str], start_ratio: float = 0.01, growth: float = 2.0,
                 tolerance: float = 0.01, max_stages: int = 5, seed: int = 42) -> Progress:
-    """Grow nested samples until the means of the first five numeric columns
-    settle. Each stage is one aggregate; the samples are nested by hash."""
+    """Grow nested samples until the means of all numeric columns settle. Each stage is one aggregate; the samples are nested by hash."""
     total = df.count()
-    numbers = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)][:5]
+    numbers = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
     size, means, done = max(int(total * start_ratio), 1000), [], False
     for _ in range(max_stages):
         part = df.filter(unit(keys, seed) < min(1.0, size / max(total, 1)))

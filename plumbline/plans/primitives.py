@@ -12,6 +12,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.numeric import finite
 from plumbline.session import checkpointed
 
 # Above this many rows an exact quantile is found by narrowing a bracket
@@ -233,69 +234,61 @@ def adjacent_stats(df: DataFrame, order: Sequence[str], carry: dict[str, Column]
 
 def exact_quantiles(df: DataFrame, wanted: Sequence[tuple[Column, float]],
                     buffer_rows: int | None = None) -> list[float | None]:
-    """Exact interpolated quantiles of columns, as driver scalars.
-
-    Small inputs use `percentile`, whose buffer holds the distinct values.
-    Larger ones bracket the two order statistics around each quantile with a
-    mergeable sketch (one per column), count what lies below and inside, and
-    narrow again until the inside fits the same buffer. A bracket of one value
-    is the answer, however many rows hold it.
+    """Exact interpolated quantiles of columns, as driver scalars; nulls, NaN and infinities do not count.
+
+    A bracket around the two order statistics of each quantile begins as the whole range and is narrowed until what
+    lies inside fits the buffer of one `percentile`. Each round proposes two values, from a mergeable sketch of the
+    inside, and counts what lies below and up to them; the tightest valid bracket of the ends and the proposals is the
+    next one. After a round that gained nothing the middle of the bracket is proposed, so every second round at the
+    latest drops rows or halves the range; a bracket between whose ends no number lies is the answer. All sizes take
+    this way; small inputs need no round.
     """
     limit = buffer_rows or PERCENTILE_BUFFER_ROWS
-    wanted = [(c.cast("double"), float(q)) for c, q in wanted]
+    wanted = [(finite(c), float(q)) for c, q in wanted]
     columns: dict[str, tuple[Column, list[int]]] = {}
     for i, (c, _) in enumerate(wanted):
         columns.setdefault(str(c), (c, []))[1].append(i)
     out: list[float | None] = [None] * len(wanted)
-    slack = 2.0 / SKETCH_ACCURACY
-
-    def ends(q: float) -> list[float]:
-        return [max(q - slack, 0.0), min(q + slack, 1.0)]
-
-    first: dict[str, Column] = {}
-    for j, (c, ids) in enumerate(columns.values()):
-        first |= {f"n{j}": F.count(c), f"lo{j}": F.min(c), f"hi{j}": F.max(c),
-                  f"s{j}": F.percentile_approx(c, [p for i in ids for p in ends(wanted[i][1])], SKETCH_ACCURACY)}
-    row = agg_row(df, first)
-    small, state = {}, []
+    row = agg_row(df, {k: a for j, (c, _) in enumerate(columns.values())
+                       for k, a in ((f"n{j}", F.count(c)), (f"lo{j}", F.min(c)), (f"hi{j}", F.max(c)))})
+    state = []
     for j, (c, ids) in enumerate(columns.values()):
         n = row[f"n{j}"]
-        if n and n <= limit:
-            small[f"q{j}"] = (F.percentile(c, [wanted[i][1] for i in ids]), ids)
-        elif n:
-            for at, i in enumerate(ids):
-                q = wanted[i][1]
-                pos = q * (n - 1)
-                state.append({"i": i, "c": c, "k0": int(pos), "k1": min(int(pos) + 1, n - 1), "frac": pos - int(pos),
-                              "lo": row[f"lo{j}"] if q <= slack else row[f"s{j}"][2 * at],
-                              "hi": row[f"hi{j}"] if q >= 1 - slack else row[f"s{j}"][2 * at + 1],
-                              "least": row[f"lo{j}"], "most": row[f"hi{j}"], "below": 0, "inside": n})
-    if small:
-        for (_, ids), values in zip(small.values(), agg_row(df, {k: a for k, (a, _) in small.items()}).values()):
-            for i, v in zip(ids, values):
-                out[i] = v
+        for i in ids if n else []:
+            pos = wanted[i][1] * (n - 1)
+            state.append({"i": i, "c": c, "k0": int(pos), "k1": min(int(pos) + 1, n - 1), "frac": pos - int(pos),
+                          "lo": row[f"lo{j}"], "hi": row[f"hi{j}"], "below": 0, "inside": n, "stuck": False})
+    slack = 2.0 / SKETCH_ACCURACY
 
     def inside(s: dict) -> Column:
         return s["c"].between(s["lo"], s["hi"])
 
-    open_ = list(state)
-    while open_:
-        counts = agg_row(df, {f"{k}{j}": F.count_if(cond) for j, s in enumerate(open_)
-                              for k, cond in (("b", s["c"] < F.lit(s["lo"])), ("w", inside(s)))})
+    def open_ones() -> list[dict]:
+        return [s for s in state if s["inside"] > limit and s["lo"] < (s["lo"] / 2 + s["hi"] / 2) < s["hi"]]
+
+    while open_ := open_ones():
+        sketched = [s for s in open_ if not s["stuck"]]
+        guesses = agg_row(df, {f"s{j}": F.percentile_approx(F.when(inside(s), s["c"]), [
+            max((s["k0"] - s["below"]) / s["inside"] - slack, 0.0), min((s["k1"] - s["below"] + 1) / s["inside"] + slack, 1.0)],
+            SKETCH_ACCURACY) for j, s in enumerate(sketched)})
+        for j, s in enumerate(sketched):
+            s["try"] = sorted(guesses[f"s{j}"])
+        for s in open_:
+            if s["stuck"]:
+                s["try"] = [s["lo"] / 2 + s["hi"] / 2] * 2
+        counts = agg_row(df, {f"{kind}{j}_{t}": F.count_if(s["c"] < F.lit(x) if kind == "b" else s["c"] <= F.lit(x))
+                              for j, s in enumerate(open_) for t, x in enumerate(s["try"]) for kind in ("b", "u")})
         for j, s in enumerate(open_):
-            s["below"], s["inside"] = counts[f"b{j}"], counts[f"w{j}"]
-            if not s["below"] <= s["k0"] <= s["k1"] < s["below"] + s["inside"]:
-                # Outside the sketch's promise: start over from the full range.
-                s["lo"], s["hi"], s["below"], s["inside"] = s["least"], s["most"], 0, s["below"] + s["inside"] + limit + 1
-        open_ = [s for s in open_ if s["inside"] > limit and s["lo"] < s["hi"]]
-        if open_:
-            sketches = agg_row(df, {f"s{j}": F.percentile_approx(F.when(inside(s), s["c"]), [
-                max((s["k0"] - s["below"]) / s["inside"] - slack, 0.0), min((s["k1"] - s["below"] + 1) / s["inside"] + slack, 1.0)],
-                SKETCH_ACCURACY) for j, s in enumerate(open_)})
-            for j, s in enumerate(open_):
-                lo, hi = sketches[f"s{j}"]
-                s["lo"] = s["lo"] if (s["k0"] - s["below"]) / s["inside"] <= slack else lo
-                s["hi"] = s["hi"] if (s["k1"] - s["below"] + 1) / s["inside"] >= 1 - slack else hi
+            before = (s["lo"], s["hi"], s["inside"])
+            upto = s["below"] + s["inside"]
+            for t, x in enumerate(s["try"]):
+                below, to = counts[f"b{j}_{t}"], counts[f"u{j}_{t}"]
+                if below <= s["k0"] and x >= s["lo"]:
+                    s["lo"], s["below"] = x, below
+                if to > s["k1"] and x <= s["hi"]:
+                    s["hi"], upto = x, to
+            s["inside"] = upto - s["below"]
+            s["stuck"] = (s["lo"], s["hi"], s["inside"]) == before or s["inside"] > 0.9 * before[2]
     final = {f"v{s['i']}": F.percentile(F.when(inside(s), s["c"]), [(k - s["below"]) / max(s["inside"] - 1, 1) for k in (s["k0"], s["k1"])])
              for s in state if s["lo"] < s["hi"]}
     values = agg_row(df, final)
