@@ -115,20 +115,23 @@ def slices(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFr
     left. Strings that begin ``low`` to ``high`` bytes left of the anchor are its own. A bit map of the places picks
     candidates while the texts are read again; an exact join follows."""
     hashed = wanted.select("rid", "at", "first").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array(place_hash(*(b.column(c).to_numpy() for c in ("rid", "at", "first"))).view(np.int64))], ["h"]) for b in batches), "h long")
-    some = np.zeros(1 << 17, dtype=np.int64)
-    rows = bitmap(hashed, "h").collect()  # at most 1 << 17 rows of two numbers
-    some[[r["word"] for r in rows]] = [r["mask"] for r in rows]
-    filled = docs.sparkSession.sparkContext.broadcast(some.view(np.uint64))
+    # Two maps over different bits of the hash; each has at most 1 << 17 rows of two numbers.
+    maps = np.zeros((2, 1 << 17), dtype=np.int64)
+    for k in range(2):
+        rows = bitmap(hashed.select(F.shiftrightunsigned("h", 23 * k).alias("h")), "h").collect()
+        maps[k, [r["word"] for r in rows]] = [r["mask"] for r in rows]
+    filled = docs.sparkSession.sparkContext.broadcast(maps.view(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = filled.value
+        mask, low23 = filled.value, np.uint64((1 << 23) - 1)
         for batch in pieces(batches, "raw", SEGMENT):
             for data, row, offset, start, end in segments(batch, length):
                 at, first, last, g, whole = anchors(data, start, end, length, gram)
                 which = np.searchsorted(end, first, side="right")
                 shift = (offset - start)[which]
-                spot = place_hash(batch.column(1).take(pa.array(row[which])).to_numpy(), at + shift, first + shift) & np.uint64((1 << 23) - 1)
-                keep = np.flatnonzero(mask[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63)) & np.uint64(1))
+                spot = place_hash(batch.column(1).take(pa.array(row[which])).to_numpy(), at + shift, first + shift)
+                hit = [mask[k, ((spot >> np.uint64(23 * k) & low23) >> np.uint64(6)).astype(np.int64)] >> (spot >> np.uint64(23 * k) & np.uint64(63)) & np.uint64(1) for k in range(2)]
+                keep = np.flatnonzero(hit[0] & hit[1])
                 at, first, last, g, which, shift = at[keep], first[keep], last[keep], g[keep], which[keep], shift[keep]
                 raw = data.tobytes()
                 right = [raw[a:z] for a, z in zip(at.tolist(), (last + length).tolist(), strict=True)]
