@@ -229,9 +229,9 @@ def schema_queries() -> None:
         schema_evolution.learned_snapshot(table(s, d, "customer")), schema_evolution.learned_snapshot(table(s, d, "supplier")), 0.6))
 
 
-TREE = "select cast(floor(c_custkey / 2) as bigint) as src, c_custkey as dst, case when c_custkey % 2 = 0 then 'transforms_to' else 'derives_from' end as edge_type from {customer} where c_custkey > 0"
+TREE = "select cast(floor(c_custkey / 2) as bigint) as src, c_custkey as dst, case when c_custkey % 2 = 0 then 'transforms_to' else 'derives_from' end as edge_type from {customer} "
 NODES = "select c_custkey as id, c_name as name, case when c_custkey = 0 then 'source' when c_nationkey < 12 then 'transform' else 'sink' end as node_type, c_nationkey as source_id from {customer}"
-RATES = "select c_nationkey as source_id, o_orderdate as ts, cast(o_orderkey % 20 as double) / 100 as anomaly_rate, o_orderkey from {orders} join {customer} on o_custkey = c_custkey where c_nationkey <> 7"
+RATES = "select c_nationkey as source_id, o_orderdate as ts, cast(o_orderkey % 20 as double) / 100 as anomaly_rate, o_orderkey from {orders} join {customer} on o_custkey = c_custkey"
 START = "select c_custkey as id from {customer} where c_mktsegment = 'BUILDING' and c_acctbal > 9000"
 
 
@@ -348,11 +348,13 @@ def run_queries() -> None:
     register("audit_stats", lambda s, d: runs.audit_stats(source(s, d, audits), NOW),
              f"select count(*) as total_events, count(*) filter (where ts::date = date '2024-01-30') as events_today, count(*) filter (where ts >= timestamp '2024-01-23 12:00:00') as events_this_week, "
              f"round(count(*) filter (where status = 'failure') * 1.0 / count(*), 6)::double as error_rate, round(avg(duration_ms) filter (where duration_ms <> 0), 6) as avg_duration_ms from ({duck(audits)}) a")
+    register("audit_counts", lambda s, d: runs.audit_counts(source(s, d, audits)),
+             f"select 'type' as kind, event_type as value, count(*) as count from ({duck(audits)}) a group by 2 union all select 'status', status, count(*) from ({duck(audits)}) a group by 2")
     moves = "select o_orderkey, o_orderpriority as policy, case when o_orderstatus = 'F' then 'completed' when o_orderstatus = 'P' then 'failed' else 'pending' end as status, cast(floor(o_totalprice) as bigint) as size_bytes from {orders}"
     register("tier_stats", lambda s, d: runs.tier_stats(source(s, d, moves)),
              f"select count(*) as migrations, count(*) filter (where status = 'completed') as completed, count(*) filter (where status = 'failed') as failed, coalesce(sum(size_bytes) filter (where status = 'completed'), 0)::bigint as bytes_moved from ({duck(moves)}) m")
-    register("tier_policies", lambda s, d: runs.policies_per_tier(source(s, d, "select n_nationkey as tier from {nation}"), source(s, d, "select c_nationkey as from_tier from {customer} where c_acctbal > 5000")),
-             "select n_nationkey as tier, count(c_custkey) as policies from nation left join customer on c_nationkey = n_nationkey and c_acctbal > 5000 group by 1")
+    register("tier_policies", lambda s, d: runs.policies_per_tier(source(s, d, "select n_nationkey as tier from {nation}"), source(s, d, "select c_nationkey as from_tier from {customer}")),
+             "select n_nationkey as tier, count(c_custkey) as policies from nation left join customer on c_nationkey = n_nationkey group by 1")
 
 
 EVENTS = ("select event_id, ts, event_type, case when value > 80 then 'critical' when value > 50 then 'high' when value > 20 then 'medium' when value > 5 then 'low' else 'strange' end as severity, "

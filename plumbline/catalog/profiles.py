@@ -134,8 +134,8 @@ def rule_queries() -> None:
                      "select \"column\", 'ZScoreOutlier', 'statistics', 0.6, 'low', '{\"threshold\": 3.0}' from p where num = 1 and hi > lo")) + ") z")
     register("rules_suite", lambda s, d: rules.generate_suite(table(s, d, "orders"), "strict"))
     register("rules_cross_column", lambda s, d: rules.suggest_cross(source(
-        s, d, "select o.o_orderdate, l.l_shipdate, l.l_extendedprice, l.l_discount, l.l_extendedprice * l.l_discount as cut, l.l_extendedprice - l.l_extendedprice * l.l_discount as net, "
-              "l.l_quantity from {lineitem} l join {orders} o on l.l_orderkey = o.o_orderkey")))
+        s, d, "select o.o_orderdate as order_date, l.l_shipdate as ship_date, l.l_quantity as quantity, l.l_extendedprice / l.l_quantity as unit_price, l.l_extendedprice as total, "
+              "l.l_extendedprice * l.l_tax as tax, l.l_extendedprice as subtotal from {lineitem} l join {orders} o on l.l_orderkey = o.o_orderkey")))
     register("rules_apply_suite", apply_suite)
     rate = "avg(case when regexp_matches(text, '" + P.PII["email"] + "') then 1.0 else 0.0 end)"
     register("rules_confidence", lambda s, d: table(s, d, "documents").groupBy("lang").agg(

@@ -137,12 +137,11 @@ def detector_queries() -> None:
 
 def forest(spark: SparkSession, sf: str) -> DataFrame:
     """Forest refitted per micro-batch; alerts per batch."""
-    found: list = []
-    handle = D.forest_batch(found, 0.02, 20)
-    query = (points(stream(spark, sf)).writeStream.foreachBatch(handle).trigger(availableNow=True)
-             .option("checkpointLocation", f"{jobs.checkpoint_folder(spark)}/forest-{jobs.uuid.uuid4().hex}").start())
+    folder = f"{jobs.checkpoint_folder(spark)}/forest-{jobs.uuid.uuid4().hex}"
+    query = (points(stream(spark, sf)).writeStream.foreachBatch(D.forest_batch(f"{folder}/alerts", 0.02, 20)).trigger(availableNow=True)
+             .option("checkpointLocation", f"{folder}/state").start())
     query.awaitTermination()
-    return spark.createDataFrame(found, "epoch long, alerts long")
+    return spark.read.schema("id long, score double, epoch long").parquet(f"{folder}/alerts").groupBy("epoch").agg(F.count(F.lit(1)).alias("alerts"))
 
 
 for part in (dedup_queries, throttle_queries, escalation_queries, detector_queries):

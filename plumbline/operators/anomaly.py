@@ -152,11 +152,13 @@ def forest_rows(p: Prepared, trees: int, samples: int, seed: int) -> DataFrame:
 
     Drawn from distinct rows with their counts: a row that occurs w times is drawn a number of times that follows its
     weight, and every draw falls to a tree by hash. So copies are as likely as any other rows, and no task ever holds
-    the copies of one. When all rows are to be used, each tree gets them all.
+    the copies of one. Where all different rows fit one sample, each tree gets them all in proportion to their counts,
+    and each at least once, so that a rare row among a few frequent ones is seen.
     """
     distinct = p.df.select(F.array(*p.x).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("w"))
-    if p.n <= samples:
-        draws = distinct.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("no", F.explode(F.sequence(F.lit(1), F.col("w"))))
+    if distinct.limit(samples + 1).count() <= samples:
+        share = F.greatest(F.lit(1), F.least(F.col("w"), F.round(F.col("w") * (samples / p.n)).cast("long"))).cast("int")
+        draws = distinct.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("no", F.explode(F.sequence(F.lit(1), share)))
         return draws.select("tree", F.col("no").cast("long").alias("no"), "x")
     unit = F.pmod(F.xxhash64("x", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
     times = poisson(unit, F.col("w") * (1.3 * samples * trees / p.n))
@@ -173,7 +175,9 @@ def fit_forest(p: Prepared, trees: int, samples: int, seed: int) -> tuple[list[n
     limit = math.ceil(math.log2(max(samples, 2)))
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(k=pdf["x"].map(tuple)).sort_values(["k", "no"]).sample(frac=1.0, random_state=seed + int(key[0])).head(samples)
+        pdf = pdf.assign(k=pdf["x"].map(tuple)).sort_values(["no", "k"])
+        # First draws of different rows go before further draws of the same one.
+        pdf = pd.concat([pdf[pdf["no"] == 1].sample(frac=1.0, random_state=seed + int(key[0])), pdf[pdf["no"] > 1].sample(frac=1.0, random_state=seed + int(key[0]))]).head(samples)
         tree = grow(np.array(pdf["x"].tolist(), dtype=float), np.random.default_rng(seed + int(key[0])), limit)
         return pd.DataFrame({"tree": [int(key[0])], "rows": [len(pdf)], "model": [json.dumps(tree)]})
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+from zoneinfo import ZoneInfo, available_timezones
+
 from pyspark.sql import functions as F
 
 from plumbline.functions.numeric import haversine_km, in_polygon
@@ -14,16 +17,9 @@ COUNTRY_BOXES = {
     "GB": (49.8, 60.9, -8.7, 1.8), "CA": (41.6, 83.2, -141.1, -52.6), "AU": (-43.7, -10.0, 112.9, 153.7),
     "BR": (-33.8, 5.3, -74.0, -34.7), "IN": (6.7, 35.6, 68.1, 97.5),
 }
-# Standard offset from UTC in hours.
-ZONE_HOURS = {
-    "UTC": 0, "GMT": 0, "Europe/London": 0, "Europe/Lisbon": 0, "Europe/Paris": 1, "Europe/Berlin": 1,
-    "Europe/Madrid": 1, "Europe/Rome": 1, "Europe/Athens": 2, "Africa/Cairo": 2, "Europe/Moscow": 3,
-    "Asia/Dubai": 4, "Asia/Karachi": 5, "Asia/Kolkata": 5.5, "Asia/Dhaka": 6, "Asia/Bangkok": 7,
-    "Asia/Shanghai": 8, "Asia/Singapore": 8, "Asia/Tokyo": 9, "Asia/Seoul": 9, "Australia/Sydney": 10,
-    "Pacific/Auckland": 12, "America/Sao_Paulo": -3, "America/New_York": -5, "America/Toronto": -5,
-    "America/Chicago": -6, "America/Denver": -7, "America/Los_Angeles": -8, "America/Anchorage": -9,
-    "Pacific/Honolulu": -10,
-}
+# Standard offset from UTC in hours of every zone that the system's zone tables know, by rule: the lesser of the offsets in
+# January and July.
+ZONE_HOURS = {z: min(datetime(2024, m, 15, tzinfo=ZoneInfo(z)).utcoffset().total_seconds() for m in (1, 7)) / 3600 for z in sorted(available_timezones())}
 
 
 def point(lat_column, lon_column):
@@ -85,12 +81,16 @@ def GeoBoundingBox(t, lat_column, lon_column, min_lat, max_lat, min_lon, max_lon
 
 
 @check("geospatial")
-def GeoCountry(t, lat_column, lon_column, country_code, use_approximate=True):
-    """Points lie in the bounding box of a country."""
+def GeoCountry(t, lat_column, lon_column, country_code, use_approximate=True, box=None):
+    """Points lie in the bounding box of a country; ``box`` (least and greatest latitude, least and greatest longitude)
+    gives that of a country that is not known."""
     if not use_approximate:
         raise ValueError("only bounding boxes are known; give GeoPolygon an exact border")
+    box = box or COUNTRY_BOXES.get(country_code.upper())
+    if box is None:
+        raise ValueError(f"no bounding box of {country_code!r} is known; give one as box")
     lat, lon, both = point(lat_column, lon_column)
-    t.rows(f"{lat_column},{lon_column}", ~in_box(lat, lon, *COUNTRY_BOXES[country_code.upper()]), both)
+    t.rows(f"{lat_column},{lon_column}", ~in_box(lat, lon, *box), both)
 
 
 def ring_of(polygon):

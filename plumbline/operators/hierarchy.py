@@ -2,7 +2,8 @@
 
 Pointer doubling: after round r a node knows its ancestor 2^r steps up, so a
 chain of length d needs log2(d) joins instead of d. Nodes that have reached
-their root leave the join.
+their root leave the join. Ids with several parents are a general graph and
+take a way of their own.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from plumbline.session import checkpointed
 
 
 def parent_edges(df: DataFrame, node: Column, parent: Column) -> DataFrame:
-    """(id, jump, depth): one step up; parents outside the table are roots."""
-    edges = df.select(node.alias("id"), parent.alias("up")).filter(F.col("id").isNotNull()).dropDuplicates(["id"])
+    """(id, jump, depth): one step up; parents outside the table are roots. For ids with one parent."""
+    edges = df.select(node.alias("id"), parent.alias("up")).filter(F.col("id").isNotNull()).groupBy("id").agg(F.min("up").alias("up"))
     known = edges.select(F.col("id").alias("up")).withColumn("known", F.lit(True))
     return (edges.join(known, "up", "left")
             .select("id", F.when(F.col("known"), F.col("up")).alias("jump"))
@@ -34,9 +35,52 @@ def doubled(state: DataFrame, steps: int) -> DataFrame:
     return state
 
 
+def all_edges(df: DataFrame, node: Column, parent: Column) -> tuple[DataFrame, DataFrame, bool]:
+    """(id) of all nodes, (id, up) of all edges within the table, and whether a node has several parents."""
+    pairs = df.select(node.alias("id"), parent.alias("up")).filter(F.col("id").isNotNull())
+    ids = pairs.select("id").distinct()
+    edges = checkpointed(pairs.filter(F.col("up").isNotNull()).distinct().join(ids.select(F.col("id").alias("up")), "up", "left_semi").select("id", "up"))
+    return ids, edges, not edges.groupBy("id").count().filter("count > 1").isEmpty()
+
+
+def levels(ids: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
+    """(id, depth, root_reached) by the longest way up, for nodes of several parents: one round per level, down from the
+    roots. Nodes below or on a cycle count as deeper than ``max_depth``."""
+    frontier = checkpointed(ids.join(edges.select("id").distinct(), "id", "left_anti"))
+    found = frontier.withColumn("depth", F.lit(0).cast("long"))
+    for depth in range(1, max_depth + 2):
+        frontier = checkpointed(edges.join(frontier.select(F.col("id").alias("up")), "up").select("id").distinct())
+        if frontier.isEmpty():
+            break
+        found = found.unionByName(frontier.withColumn("depth", F.lit(depth).cast("long")))
+    deepest = found.groupBy("id").agg(F.max("depth").alias("depth"))
+    return (ids.join(deepest, "id", "left").select("id", F.coalesce("depth", F.lit(max_depth + 1)).cast("long").alias("depth"))
+            .withColumn("root_reached", F.col("depth") <= max_depth))
+
+
+def cycle_members(edges: DataFrame) -> DataFrame:
+    """(id): nodes that reach themselves, for nodes of several parents. Nodes without a way in or out are peeled off
+    (one round per level); of the rest, which lie on or between cycles, the reach is closed by doubling."""
+    n = -1
+    while (left := edges.count()) != n:
+        n = left
+        edges = edges.join(edges.select(F.col("id").alias("up")).distinct(), "up", "left_semi")
+        edges = checkpointed(edges.join(edges.select(F.col("up").alias("id")).distinct(), "id", "left_semi").select("id", "up"))
+    reach, n = edges, -1
+    while (found := reach.count()) != n:
+        n = found
+        further = reach.select("id", F.col("up").alias("mid")).join(reach.select(F.col("id").alias("mid"), "up"), "mid").select("id", "up")
+        reach = checkpointed(reach.unionByName(further).distinct())
+    return reach.filter("id = up").select("id")
+
+
 def climb(df: DataFrame, node: Column, parent: Column, max_depth: int) -> DataFrame:
-    """(id, depth, root_reached): steps to the root, followed for more than
-    ``max_depth`` steps; ``root_reached`` is false when the chain goes on."""
+    """(id, depth, root_reached): steps to the root (the most, where ids have
+    several parents), followed for more than ``max_depth`` steps;
+    ``root_reached`` is false when the chain goes on."""
+    ids, edges, several = all_edges(df, node, parent)
+    if several:
+        return levels(ids, edges, max_depth)
     state = doubled(parent_edges(df, node, parent), max_depth + 1)
     return state.select("id", "depth", F.col("jump").isNull().alias("root_reached"))
 
@@ -47,8 +91,12 @@ def on_cycle(df: DataFrame, node: Column, parent: Column, max_depth: int = 100)
     Chains that go on after ``max_depth`` steps are followed for as many steps
     as there are such chains. Whoever has not ended by then is on or below a
     cycle, and the node reached lies on it; every node of a cycle is reached
-    from another node of the same cycle.
+    from another node of the same cycle. Where ids have several parents, all
+    their edges count.
     """
+    _, edges, several = all_edges(df, node, parent)
+    if several:
+        return cycle_members(edges)
     state = doubled(parent_edges(df, node, parent), max_depth + 1)
     endless = state.filter(F.col("jump").isNotNull())
     n = endless.count()

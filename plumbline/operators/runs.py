@@ -229,6 +229,13 @@ def audit_stats(events: DataFrame, as_of: str) -> DataFrame:
         F.round(F.avg(F.when(F.col("duration_ms") != 0, F.col("duration_ms"))), 6).alias("avg_duration_ms"))
 
 
+def audit_counts(events: DataFrame) -> DataFrame:
+    """(kind, value, count): audit events by type and by status, from one pass."""
+    return (events.select(F.explode(F.array(F.struct(F.lit("type").alias("kind"), F.col("event_type").alias("value")),
+                                            F.struct(F.lit("status").alias("kind"), F.col("status").alias("value")))).alias("c"))
+            .groupBy("c.kind", "c.value").agg(F.count(F.lit(1)).alias("count")))
+
+
 def tier_stats(migrations: DataFrame) -> DataFrame:
     """One row: migrations, completed, failed, bytes of completed ones."""
     return migrations.agg(

@@ -87,10 +87,11 @@ def diff(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ()) -> DataFram
 
 
 def version_changes(versions: DataFrame) -> DataFrame:
-    """Changes from each version to the next; versions are 1, 2, 3, ..."""
-    later = versions.filter(F.col("version") > 1)
-    earlier = versions.withColumn("version", F.col("version") + 1)
-    earlier = earlier.filter(F.col("version") <= versions.agg(F.max("version")).scalar())
+    """Changes from each version to the next one there is; numbers may have gaps."""
+    order = versions.select("version").distinct()  # one row per version
+    steps = order.withColumn("next", F.lead("version").over(Window.orderBy("version"))).filter("next is not null")
+    earlier = versions.join(steps, "version").withColumn("version", F.col("next")).drop("next")
+    later = versions.join(steps.select(F.col("next").alias("version")), "version", "left_semi")
     return diff(earlier, later, ("version",))
 
 
@@ -107,7 +108,7 @@ def summary(versions: DataFrame) -> DataFrame:
 
 
 def next_semantic_version(major: int, minor: int, patch: int, severities: list[str]) -> tuple[int, int, int]:
-    """Breaking changes raise the major, warnings the minor, others the patch number."""
+    """Breaking changes raise the major, all other changes the minor number; without a change the patch number rises."""
     if "breaking" in severities:
         return major + 1, 0, 0
     return (major, minor + 1, 0) if "warning" in severities or "non_breaking" in severities else (major, minor, patch + 1)

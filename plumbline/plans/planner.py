@@ -370,13 +370,35 @@ def results(df: DataFrame, planned: Sequence[Planned]) -> DataFrame:
     return out
 
 
+def settled(df: DataFrame, planned: Sequence[Planned]) -> DataFrame:
+    """The results as a table of known rows (one per check and column); if they fail together, each check runs alone."""
+    try:
+        rows = results(df, planned).collect()
+    except PySparkException:
+        rows = []
+        for item in planned:
+            try:
+                rows += results(df, [item]).collect()
+            except PySparkException as exc:
+                item.error = _short(exc)
+                rows += results(df, [item]).collect()
+    return df.sparkSession.createDataFrame(rows, RESULT_SCHEMA)
+
+
 def run(df: DataFrame, configs: Sequence[CheckConfig], refs: dict[str, DataFrame] | None = None,
         as_of: datetime | str | None = None, min_severity: str | None = None,
         catch_exceptions: bool = True) -> DataFrame:
-    """Check a table. One row per check (and column); see RESULT_SCHEMA."""
+    """Check a table. One row per check (and column); see RESULT_SCHEMA.
+
+    With ``catch_exceptions`` the checks run at once, and one that fails on the data (a division by zero in a user's
+    expression, say) becomes an ``error`` row beside the results of the others. Without it the result is lazy and
+    errors are raised.
+    """
     planned = plan(df, configs, refs, as_of)
-    out = results(df, planned)
-    if not catch_exceptions:
+    if catch_exceptions:
+        out = settled(df, planned)
+    else:
+        out = results(df, planned)
         for item in planned:
             if item.error:
                 raise ValueError(item.error)

@@ -7,6 +7,7 @@ format. Those need the driver or connector jar on the class path.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -146,8 +147,9 @@ def vendor_options(kind: str, config: dict[str, Any]) -> tuple[str, dict[str, st
 
 
 def kafka_options(config: dict[str, Any], batch: bool) -> dict[str, str]:
-    """Options of a Kafka read; a batch ends at the latest offsets, a stream
-    takes at most ``max_messages`` per trigger."""
+    """Options of a Kafka read. A stream takes at most ``max_messages`` per trigger. A batch with ``max_messages`` and
+    the number of ``partitions`` ends at an offset in each, so that about as many messages come (the offsets must
+    exist); any other batch ends at the latest offsets."""
     out = {"kafka.bootstrap.servers": config["bootstrap_servers"], "subscribe": config["topic"],
            "startingOffsets": config.get("auto_offset_reset", "earliest")}
     if config.get("group_id"):
@@ -156,7 +158,13 @@ def kafka_options(config: dict[str, Any], batch: bool) -> dict[str, str]:
                       ("sasl_jaas_config", "kafka.sasl.jaas.config")):
         if config.get(key):
             out[name] = config[key]
-    if batch:
+    if batch and config.get("max_messages") and config.get("partitions"):
+        # Offsets are per partition: the batch ends when each has given its share. ``starting_offsets`` are numbers.
+        start = config.get("starting_offsets") or [0] * int(config["partitions"])
+        share = -(-int(config["max_messages"]) // int(config["partitions"]))
+        out["startingOffsets"] = json.dumps({config["topic"]: {str(i): int(x) for i, x in enumerate(start)}})
+        out["endingOffsets"] = json.dumps({config["topic"]: {str(i): int(x) + share for i, x in enumerate(start)}})
+    elif batch:
         out["endingOffsets"] = "latest"
     else:
         out["maxOffsetsPerTrigger"] = str(config.get("max_messages", 10_000))

@@ -175,16 +175,13 @@ def ema(pts: DataFrame, alpha: float = 0.1, threshold: float = 3.0, multiplier:
     return rows.groupBy("session", "chunk").cogroup(carried.groupBy("session", "chunk")).applyInPandas(judge, ALERT)
 
 
-def forest_batch(sink: list | None = None, contamination: float = 0.02, trees: int = 50):
-    """foreachBatch function: fit a forest on the micro-batch, score it, and
-    hand the alerts on."""
-    def handle(batch: DataFrame, epoch: int, write=None) -> DataFrame | None:
-        if batch.isEmpty():
-            return None
-        found = isolation_forest(Prepared(batch, "event_id", ["value"]), trees, contamination).filter("is_anomaly")
-        if sink is not None:
-            sink.append((epoch, found.count()))
-        return found
+def forest_batch(path: str, contamination: float = 0.02, trees: int = 50):
+    """foreachBatch function: fit a forest on the micro-batch, score it, and write the alerts to ``path``, a folder that
+    all executors share. Each epoch has a folder of its own that a repeated epoch overwrites, so no alert is told twice."""
+    def handle(batch: DataFrame, epoch: int) -> None:
+        if not batch.isEmpty():
+            found = isolation_forest(Prepared(batch, "event_id", ["value"]), trees, contamination).filter("is_anomaly")
+            found.select("id", "score").write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
     return handle
 
 
