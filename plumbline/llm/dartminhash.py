@@ -33,6 +33,8 @@ FIRST = -6
 BLOCK = 400_000
 #: A pair is verified exactly when the share of equal coordinates is at least this; 0.8 shows as less with 1e-9.
 ESTIMATE = 0.65
+#: Turns in which documents outside a key's largest class are compared with members of it, and members that a key offers.
+TURNS, HUBS = 2, 4
 #: Documents at home in one chunk of a shared key.
 CHUNK = 1_000
 
@@ -208,6 +210,18 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, weighted: b
     return both.select("a", "b", "ea", "na", "eb", "nb").mapInArrow(run, pairs.schema)
 
 
+def hub_pairs(meets: DataFrame, group: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of documents outside the largest class of a shared key with a member of that class. Each key offers
+    a few members, chosen by hash, so a document that shares several keys meets several members."""
+    rows = meets.select("h", "id").join(group, "id")
+    sizes = rows.groupBy("h", "component").agg(F.count(F.lit(1)).alias("n"), F.array(*[
+        F.min_by("id", F.xxhash64("id", "h", F.lit(turn * HUBS + k))) for k in range(HUBS)]).alias("hubs"))
+    largest = sizes.groupBy("h").agg(F.max_by(F.struct("component", "hubs"), F.struct("n", -F.col("component"))).alias("lead"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    outside = rows.join(largest, "h").filter("component != lead.component")
+    hub = F.element_at("lead.hubs", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(HUBS)).cast("int") + 1)
+    return outside.select(F.least("id", hub).alias("a"), F.greatest("id", hub).alias("b")).distinct()
+
+
 def crossing(mixed: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that share a key and are promising. ``mixed``: h, id, component, sketch.
 
@@ -251,8 +265,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     Texts are alike when their sets of five-word shingles (with ``weighted``: their counts) have a Jaccard similarity of
     at least ``similarity``; equal texts always are. Classes are the connected components of alike texts. First every
-    document of a key is compared with the least id of that key, which settles the large groups in linear work; then
-    documents that share a key but not yet a class are compared with each other.
+    document of a key is compared with the least id of that key, then those outside the key's largest class with a few
+    members of it, chosen by hash, which settles large groups in linear work; at last all documents that share a key but
+    not yet a class are compared with each other.
 
     A null text is a class of its own; texts without words are alike only when equal. Rows that share an id are one
     document. A null id has a null class and is kept. An empty table gives an empty result.
@@ -267,6 +282,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     links = checkpointed(verified(promising(direct, classes), docs, key, text, weighted, similarity))
     nodes = meets.select("id").distinct()
     group = checkpointed(components(nodes, links))
+    for turn in range(TURNS):
+        more = checkpointed(verified(promising(hub_pairs(meets, group, turn), classes), docs, key, text, weighted, similarity))
+        if more.isEmpty():
+            break
+        links = checkpointed(links.unionByName(more))
+        group = checkpointed(components(nodes, links))
     grouped = meets.select("h", "id").join(group, "id")
     mixed = grouped.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("h")
     rows = grouped.join(mixed, "h", "left_semi").join(classes.select("id", "sketch"), "id")
