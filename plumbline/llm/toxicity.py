@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import words as W
 from plumbline.llm.base import list_array, pieces, small_batches
-from plumbline.llm.bitmaps import within, without
+from plumbline.llm.bitmaps import bitmap, within, without
 from plumbline.session import checkpointed
 
 #: The chain: columns of the labels table, in order, and the value that means "in the category".
@@ -37,7 +37,7 @@ CHI_SQUARE, MAX_FEATURES = 37.0, 4_096
 #: Training bound: about so many labelled documents, chosen by a hash of their id, fit the linear models.
 TRAIN_ROWS = 20_000
 FOLDS = 3
-STEPS, DECAY = 500, 2e-4
+ITERATIONS, DECAY = 60, 2e-4
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -97,16 +97,36 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit(row: np.ndarray, col: np.ndarray, width: int, extra: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Logistic regression on presence features (row, col) and dense ``extra`` columns, by Adam steps."""
-    theta = np.zeros(width + extra.shape[1] + 1)
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, STEPS + 1):
-        p = sigmoid(score(row, col, len(y), extra, theta, width))
-        error = (p - y) / max(1, len(y))
+    """Logistic regression on presence features (row, col) and dense ``extra`` columns, by L-BFGS with halved steps."""
+    ridge = np.append(np.full(width + extra.shape[1], DECAY), 0.0)
+
+    def loss(theta: np.ndarray) -> tuple[float, np.ndarray]:
+        z = score(row, col, len(y), extra, theta, width)
+        error = (sigmoid(z) - y) / max(1, len(y))
         g = np.concatenate([np.bincount(col, weights=error[row], minlength=width), extra.T @ error, [error.sum()]])
-        g[:-1] += DECAY * theta[:-1]
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        theta -= 0.1 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
+        return float(np.mean(np.logaddexp(0, z) - y * z)) + 0.5 * float(ridge @ theta ** 2), g + ridge * theta
+
+    theta = np.zeros(width + extra.shape[1] + 1)
+    f, g = loss(theta)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(ITERATIONS):
+        q, weights = g.copy(), []
+        for s, t in reversed(past):
+            weights.append((s @ q) / (s @ t))
+            q -= weights[-1] * t
+        if past:
+            q *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1])
+        for (s, t), w in zip(past, reversed(weights), strict=True):
+            q += (w - (t @ q) / (s @ t)) * s
+        step = 1.0
+        while (new := loss(theta - step * q))[0] > f - 1e-4 * step * float(g @ q) and step > 1e-6:
+            step /= 2
+        s, t = -step * q, new[1] - g
+        if f - new[0] < 1e-9:
+            break
+        theta, f, g = theta + s, *new
+        if s @ t > 1e-12:
+            past = [*past[-9:], (s, t)]
     return theta[:width], theta[width:-1], float(theta[-1])
 
 
@@ -158,15 +178,15 @@ def selected(rows: DataFrame, categories: int) -> tuple[list[np.ndarray], list[t
         return F.when(below > 0, F.pow(a * (F.lit(n_b) - b) - b * (F.lit(n_a) - a), 2) * float(n) / below).otherwise(0.0)
 
     strong = reduce(lambda x, y: x | y, [far(i) >= CHI_SQUARE for i in range(categories)])
-    spots = sums.filter(strong).select("spot").collect()  # at most BUCKETS numbers
+    spots = bitmap(sums.filter(strong).select(F.col("spot").cast("long").alias("spot")), "spot", BUCKETS.bit_length() - 1).collect()  # at most BUCKETS / 64 rows
     if not spots:
         return [np.zeros(0, np.uint64) for _ in range(categories)], sides
-    mask = np.zeros(BUCKETS, bool)
-    mask[[r["spot"] for r in spots]] = True
-    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(mask))
+    mask = np.zeros(BUCKETS // 64, np.int64)
+    mask[[r["word"] for r in spots]] = [r["mask"] for r in spots]
+    shared = rows.sparkSession.sparkContext.broadcast(mask.view(np.uint8))
 
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(shared.value).astype(bool)
+        wanted = np.unpackbits(shared.value, bitorder="little").astype(bool)
         for batch in pieces(batches, limit=W.BLOCK_BYTES):
             texts, y = texts_and_marks(batch, categories)
             h, o = features(texts)
@@ -199,8 +219,8 @@ def learn(docs: DataFrame, labels: DataFrame, chain=CHAIN, train_rows: int = TRA
     rows = checkpointed(labelled(docs, labels, chain))
     wanted, sides = selected(rows, categories)
     every = np.unique(np.concatenate(wanted))
-    n = max(1, rows.count())
-    part = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, train_rows / n)))
+    share = min(1.0, train_rows / max(1, rows.count()))
+    part = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share))
     shared = docs.sparkSession.sparkContext.broadcast(every)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,13 +232,18 @@ def learn(docs: DataFrame, labels: DataFrame, chain=CHAIN, train_rows: int = TRA
             yield pa.RecordBatch.from_arrays([*columns, list_array(col[order], np.bincount(row, minlength=len(texts)), pa.int32())], ["doc_id", *[f"y{i}" for i in range(categories)], "x"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    got = part.mapInArrow(run, f"doc_id {kind}, {', '.join(f'y{i} int' for i in range(categories))}, x array<int>").orderBy("doc_id").collect()  # bounded by train_rows
-    row = np.repeat(np.arange(len(got)), [len(r["x"]) for r in got])
-    col = np.array([c for r in got for c in r["x"]], dtype=np.int64)
-    fold = np.arange(len(got)) % FOLDS
-    links, earlier = [], np.zeros((len(got), 0))
+    got = part.mapInArrow(run, f"doc_id {kind}, {', '.join(f'y{i} int' for i in range(categories))}, x array<int>")
+    got = got.repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id", "x").toArrow()  # bounded by train_rows and MAX_FEATURES
+    marks = {c: got.column(c).to_pandas().to_numpy(dtype=float, na_value=np.nan) for c in got.column_names if c not in ("doc_id", "x")}
+    lists = got.column("x").combine_chunks()
+    row = np.repeat(np.arange(len(got)), np.diff(lists.offsets.to_numpy())).astype(np.int32)
+    col = lists.flatten().to_numpy()
+    del lists
+    n = len(got)
+    fold = np.arange(n) % FOLDS
+    links, earlier = [], np.zeros((n, 0))
     for i, (name, _) in enumerate(chain):
-        y = np.array([np.nan if r[f"y{i}"] is None else r[f"y{i}"] for r in got], dtype=float)
+        y = marks[f"y{i}"]
         own = np.isin(every, wanted[i], assume_unique=True)
         place = np.cumsum(own) - 1
         used = own[col]
@@ -235,15 +260,15 @@ def learn(docs: DataFrame, labels: DataFrame, chain=CHAIN, train_rows: int = TRA
         if not known.any() or min(sides[i]) == 0:
             level = logit(np.array([sides[i][0] / max(1, sum(sides[i]))]))[0]
             links.append(Link(name, np.zeros(0, np.uint64), np.zeros(0), np.zeros(earlier.shape[1]), float(level)))
-            earlier = np.column_stack([earlier, np.full(len(got), level)])
+            earlier = np.column_stack([earlier, np.full(n, level)])
             continue
         theta = model(known)
         links.append(Link(name, every[own], theta[:width], theta[width:-1], float(theta[-1])))
-        out = np.zeros(len(got))
+        out = np.zeros(n)
         for k in range(FOLDS):
             inside = known & (fold != k)
             if inside.any():
-                out[fold == k] = sigmoid(score(r_i, c_i, len(got), earlier, model(inside), width))[fold == k]
+                out[fold == k] = sigmoid(score(r_i, c_i, n, earlier, model(inside), width))[fold == k]
         earlier = np.column_stack([earlier, logit(out)])
     return links
 
