@@ -26,8 +26,8 @@ from plumbline.session import checkpointed
 
 #: The chain: columns of the labels table, in order, and the value that means "in the category".
 CHAIN = (("quality", 0), ("toxic", 1))
-#: A document is rejected when this category reaches this probability.
-REJECT, THRESHOLD = "toxic", 0.5
+#: A document is rejected when this category reaches the link's threshold, which lies between these.
+REJECT, THRESHOLDS = "toxic", (0.02, 0.5)
 #: Bytes of a word's beginnings that are features.
 PREFIXES = (4, 5, 6)
 #: Buckets of the first count, in which features share a place; those of promising buckets are then counted apart.
@@ -79,13 +79,15 @@ def chi_square(a: np.ndarray, b: np.ndarray, n_a: float, n_b: float) -> np.ndarr
 
 @dataclass
 class Link:
-    """One model of the chain: feature hashes (ascending) with weights, weights of the earlier categories, intercept."""
+    """One model of the chain: feature hashes (ascending) with weights, weights of the earlier categories, intercept,
+    and the probability from which on a text counts as in the category."""
 
     name: str
     hashes: np.ndarray
     weights: np.ndarray
     earlier: np.ndarray
     intercept: float
+    threshold: float = THRESHOLDS[1]
 
 
 def logit(p: np.ndarray) -> np.ndarray:
@@ -134,6 +136,18 @@ def score(row, col, n, extra, theta, width) -> np.ndarray:
     return np.bincount(row, weights=theta[col], minlength=n) + extra @ theta[width:-1] + theta[-1]
 
 
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The cut of out-of-fold probabilities with the best F1, midway in log odds between the two it parts."""
+    order = np.argsort(-p, kind="stable")
+    p, y = p[order], y[order]
+    hits = np.cumsum(y)
+    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    f1[:-1][p[:-1] == p[1:]] = 0  # equal probabilities are not parted
+    at = len(f1) - 1 - int(f1[::-1].argmax())
+    below = p[at + 1] if at + 1 < len(p) else p[at] / 2
+    return float(np.clip(sigmoid((logit(p[at]) + logit(below)) / 2), *THRESHOLDS))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, chain=CHAIN) -> DataFrame:
     """(doc_id, text, y0, y1, ...): documents with a label; 1 and 0 tell whether they are in a category, null is unknown.
     Labels that contradict each other count as in the category."""
@@ -269,6 +283,7 @@ def learn(docs: DataFrame, labels: DataFrame, chain=CHAIN, train_rows: int = TRA
             inside = known & (fold != k)
             if inside.any():
                 out[fold == k] = sigmoid(score(r_i, c_i, n, earlier, model(inside), width))[fold == k]
+        links[-1].threshold = best_threshold(out[known], y[known])
         earlier = np.column_stack([earlier, logit(out)])
     return links
 
@@ -306,7 +321,9 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Without a label on both sides nothing is rejected on its account: the model is then the constant share.
     """
-    return predict(docs, learn(docs, labels)).withColumn("kept", F.col(f"p_{REJECT}") < THRESHOLD)
+    links = learn(docs, labels)
+    limit = next(link.threshold for link in links if link.name == REJECT)
+    return predict(docs, links).withColumn("kept", F.col(f"p_{REJECT}") < limit)
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:

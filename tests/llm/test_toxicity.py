@@ -38,6 +38,11 @@ def test_chain_uses_the_earlier_probability(spark):
     assert [x.name for x in links] == ["quality", "toxic"] and [len(x.earlier) for x in links] == [0, 1] and links[1].earlier[0] != 0
 
 
+def test_threshold_parts_the_sides():
+    p, y = np.array([0.9, 0.3, 0.2, 0.05, 0.04]), np.array([1, 1, 0, 0, 0])
+    assert 0.2 < toxicity.best_threshold(p, y) < 0.3 and toxicity.best_threshold(p, 1 - y) >= toxicity.THRESHOLDS[0]
+
+
 def test_chi_square():
     assert toxicity.chi_square(np.array([10, 0, 5]), np.array([0, 0, 5]), 10, 10).tolist() == [20.0, 0.0, 0.0]
 
@@ -55,6 +60,6 @@ def test_odd_rows_and_no_labels(spark, odd):
     some = labels.limit(0)
     for marks in (some, spark.createDataFrame([(1, 1, 0), (5, None, None), (None, 1, 1), (9, 1, 0)], "doc_id long, quality int, toxic int")):
         rows = toxicity.report(odd, marks).collect()
-        assert len(rows) == odd.count() and all(r.kept == (r.p_toxic < 0.5) for r in rows)
+        assert len(rows) == odd.count() and all(r.kept for r in rows if r.p_toxic < toxicity.THRESHOLDS[0]) and not any(r.kept for r in rows if r.p_toxic >= toxicity.THRESHOLDS[1])
     assert toxicity.report(odd.limit(0), some).collect() == []
     assert toxicity.clean(odd, some).count() == odd.count()
