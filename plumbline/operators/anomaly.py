@@ -422,10 +422,10 @@ def robust_distance(p: Prepared, robust: bool, rounds: int = 6) -> Column:
         return dist
     previous = None
     for _ in range(rounds):
-        (half,) = p.df.agg(F.percentile_approx(dist, 0.5, 10000)).first()
+        (half,) = exact_quantiles(p.df, [(dist, 0.5)])
         mean, cov, _ = covariance(p.df.filter(dist <= F.lit(half)), p.z)
         raw = quadratic(p.z, mean, np.linalg.pinv(cov))
-        (median,) = p.df.agg(F.percentile_approx(raw, 0.5, 10000)).first()
+        (median,) = exact_quantiles(p.df, [(raw, 0.5)])
         # Scale so that the median distance is that of normal data.
         dist = raw * (chi_square_quantile(0.5, p.d) / median) if median else raw
         if previous is not None and abs(half - previous) < 1e-9:

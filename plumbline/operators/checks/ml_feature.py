@@ -89,8 +89,9 @@ def FeatureImportance(t, column, target_column, min_importance=0.01, method="mut
     if method == "correlation":
         return t.value(column, t.stat(F.abs(F.corr(column, target_column))), lo=float(min_importance))
     if method == "f_score":
+        (centre,) = yield [F.avg(c)]  # class means about it, so large values lose no digits
         g = t.frame(f"anova:{column}:{target_column}", lambda: t.df.filter(c.isNotNull()).groupBy(target_column).agg(
-            F.count(F.lit(1)).alias("n"), F.avg(c).alias("m"), F.var_pop(c).alias("v")))
+            F.count(F.lit(1)).alias("n"), F.avg(c - F.lit(float(centre or 0.0))).alias("m"), F.var_pop(c).alias("v")))
         n, k = t.stat(F.sum("n"), g), t.stat(F.count(F.lit(1)), g)
         mean = t.stat(F.sum(F.col("m") * F.col("n")), g) / n
         between = t.stat(F.sum(F.col("m") * F.col("m") * F.col("n")), g) - mean * mean * n

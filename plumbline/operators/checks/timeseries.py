@@ -98,10 +98,14 @@ PHASES = {"daily": F.hour, "weekly": F.weekday, "monthly": F.dayofmonth,
 
 @check("timeseries")
 def Seasonality(t, timestamp_column, value_column, period, min_strength=0.3):
-    """Share of the variance explained by the phase of the period."""
+    """Share of the variance explained by the phase of the period.
+
+    Phase means are taken about the mean of the column, so large values lose no digits.
+    """
+    (centre,) = yield [F.avg(value_column)]
     g = t.frame(f"season:{timestamp_column}:{value_column}:{period}", lambda: t.df.filter(
         F.col(value_column).isNotNull()).groupBy(PHASES[period](moment(timestamp_column)).alias("phase")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(value_column).alias("m"), F.var_pop(value_column).alias("v")))
+        F.count(F.lit(1)).alias("n"), F.avg(F.col(value_column) - F.lit(float(centre or 0.0))).alias("m"), F.var_pop(value_column).alias("v")))
     n, total = F.col("n"), t.stat(F.sum("n"), g)
     mean = t.stat(F.sum(F.col("m") * n), g) / total
     between = t.stat(F.sum(F.col("m") * F.col("m") * n), g) - mean * mean * total

@@ -76,9 +76,9 @@ def keyed_stream(pts: DataFrame, advance, fresh, state_schema: str, lateness: st
             scores.append(score)
             hits.append(hit)
         state.update(tuple(current))
+        # A moment behind the watermark is no timer; the state then goes at the next step of the watermark.
         until = int(pdf["ts"].max().timestamp() * 1000) + idle_ms
-        if until > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(until)
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
         yield pdf.assign(score=scores, is_anomaly=hits)[["session", "event_id", "ts", "value", "score", "is_anomaly"]]
 
     return pts.withWatermark("ts", lateness).groupBy("session").applyInPandasWithState(

@@ -70,9 +70,9 @@ def decide_stream(events: DataFrame, key: Column, ts: str, event_id: str, automa
             current, ok = step(current, t)
             passed.append(ok)
         state.update(tuple(float(v) for v in current))
+        # A moment behind the watermark is no timer; the state then goes at the next step of the watermark.
         until = int((pdf["t"].max() + reset) * 1000) + 1
-        if until > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(until)
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": pdf["key"], "event_id": pdf["event_id"], "t": pdf["t"], "passed": passed})
 
     kind = rows.schema["event_id"].dataType.simpleString()
