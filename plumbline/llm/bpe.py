@@ -7,11 +7,11 @@ stands in the word; pairs are looked up by binary search over sorted pair keys.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.base import list_array, pieces, small_batches, spans_index, text_or_empty, texts_of
@@ -19,6 +19,9 @@ from plumbline.llm.bytebpe import PRE_TOKEN, Vocabulary, cut_spaces, cut_special
 
 #: Pieces of text a task remembers; beyond it, the memory starts over.
 REMEMBERED = 200_000
+#: Bytes of text that are encoded at a time.
+BATCH_BYTES = 500_000
+DIGESTS = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
 NO_RANK = np.iinfo(np.int64).max
 
 
@@ -139,27 +142,39 @@ class Decoder:
         return [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
-def encode(docs: DataFrame, vocabulary_file: str, text: str = "text", ids: str = "ids", decoded: str | None = None, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with ``ids`` array<int>, the tokens of its text, and on demand ``decoded``, the text made of them again.
+def encode(docs: DataFrame, vocabulary_file: str, text: str = "text", ids: str | None = "ids", decoded: str | None = None, digests: bool = False,
+           keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with ``ids`` array<int>, the tokens of its text, and on demand ``decoded``, the text made of them again,
+    and with ``digests`` the columns of ``DIGESTS``: number, SHA-256 of the decimal ids joined by commas and SHA-256 of
+    the decoded text.
 
     A null or empty text has no tokens. The columns ``keep`` (all by default) pass through; columns of the new names
     are replaced. One narrow pass: no shuffle. Special strings in a text become their tokens, as the file's library does by default.
     """
     small_batches(docs.sparkSession)
-    docs = docs.drop(ids, *([decoded] if decoded else []))
+    docs = docs.drop(*filter(None, (ids, decoded)), *(DIGESTS if digests else ()))
     kept = [c for c in docs.columns if keep is None or c in keep]
     shared = docs.sparkSession.sparkContext.broadcast(load(vocabulary_file))  # bounded by the vocabulary file
-    schema = docs.select(*kept).schema.add(ids, T.ArrayType(T.IntegerType()))
-    if decoded:
-        schema = schema.add(decoded, "string")
+    schema = docs.select(*kept).schema
+    for name, kind in ((ids, T.ArrayType(T.IntegerType())), (decoded, T.StringType()), *(DIGESTS.items() if digests else ())):
+        if name:
+            schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = Encoder(shared.value), Decoder(shared.value)
-        for batch in pieces(batches, text):
+        for batch in pieces(batches, text, BATCH_BYTES):
             flat, counts = encoder.encode(texts_of(batch, text))
-            columns, names = [*batch.select(kept).columns, list_array(flat, counts, pa.int32())], [*kept, ids]
+            columns, names = list(batch.select(kept).columns), list(kept)
+            if ids:
+                columns, names = [*columns, list_array(flat, counts, pa.int32())], [*names, ids]
+            back = decoder.decode(flat, counts) if decoded or digests else []
             if decoded:
-                columns, names = [*columns, pa.array(decoder.decode(flat, counts), pa.string())], [*names, decoded]
+                columns, names = [*columns, pa.array(back, pa.string())], [*names, decoded]
+            if digests:
+                cuts = np.append(0, np.cumsum(counts)).tolist()
+                told = [sha256(",".join(map(str, flat[a:b].tolist())).encode()).hexdigest() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                columns += [pa.array(counts, pa.int64()), pa.array(told, pa.string()), pa.array([sha256(x.encode()).hexdigest() for x in back], pa.string())]
+                names += DIGESTS
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.mapInArrow(run, schema)
@@ -183,18 +198,11 @@ def decode(rows: DataFrame, vocabulary_file: str, ids: str = "ids", text: str =
     return rows.mapInArrow(run, schema)
 
 
-def digest_columns() -> list:
-    """n_tokens and the digests of ``ids`` (decimal, joined by commas) and ``decoded``."""
-    return [F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
-
-
 def digests(docs: DataFrame, vocabulary_file: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row."""
-    coded = encode(docs.select("doc_id", text_or_empty().alias("text")), vocabulary_file, decoded="decoded", keep=["doc_id"])
-    return coded.select("doc_id", *digest_columns())
+    return encode(docs.select("doc_id", text_or_empty().alias("text")), vocabulary_file, ids=None, digests=True, keep=["doc_id"])
 
 
 def tokenized(docs: DataFrame, vocabulary_file: str) -> DataFrame:
     """Every row without its text, with ``ids``, n_tokens and the digests of ids and decoded text."""
-    coded = encode(docs.withColumn("text", text_or_empty()).drop("n_tokens", "ids_sha256", "decoded_sha256"), vocabulary_file, decoded="decoded", keep=[c for c in docs.columns if c not in ("text", "n_tokens", "ids_sha256", "decoded_sha256")])
-    return coded.select(*[c for c in coded.columns if c != "decoded"], *digest_columns())
+    return encode(docs.withColumn("text", text_or_empty()), vocabulary_file, digests=True, keep=[c for c in docs.columns if c != "text"])
