@@ -40,3 +40,15 @@ def test_backoff_and_bounds(spark):
 
 def test_long_words_are_cut():
     assert list(map(len, language.words_of("a" * 150))) == [64, 64, 22]
+
+
+def test_scores_do_not_depend_on_what_is_broadcast(spark):
+    """Rare words and n-grams count as well, whatever part of them goes to every task."""
+    train = spark.createDataFrame([("the cat the dog the end", "en")] * 3 + [("der hund der kater", "de")] * 3 + [("katu txakur zaldi", "eu"), ("中文字 天地人", "zh")], "text string, lang string")
+    texts = ["txakur", "zaldi the", "txakurra zaldia", "天地人", "天地", "hunde", "the", "²", "", None, "qqq", *["zaldi qqqq"] * 50, "the zaldi " * 1_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {r.doc_id: (r.lang_pred, round(r.score, 5)) for r in language.identify(docs, language.learn(train)).collect()}
+    assert want[0][0] == want[2][0] == "eu"
+    for words, grams in ((2, 5), (0, 0), (1_000, 5), (2, 10_000)):
+        got = {r.doc_id: (r.lang_pred, round(r.score, 5)) for r in language.identify(docs, language.learn(train, words, grams)).collect()}
+        assert got == want
