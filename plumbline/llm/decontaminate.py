@@ -137,7 +137,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: st
     candidates = hits.select("key", "h").distinct().join(probe_hashes, "h").select("key", "item").distinct()
     met = candidates.join(items, "item").join(hits, ["key", "h"]).select("key", "item", "ipos", "in_all", "pos", "slots", "ivalues", "values")
     # The best stretch: as long as the item and a little more, it holds the most of the item's windows.
-    stretch = Window.partitionBy("key", "item").orderBy(F.floor(F.col("pos") * 1000 / F.col("in_all"))).rangeBetween(0, int(STRETCH * 1000))
+    stretch = Window.partitionBy("key", "item").orderBy(F.floor(F.col("pos").cast("long") * 1000 / F.col("in_all"))).rangeBetween(0, int(STRETCH * 1000))
     spots = met.groupBy("key", "item", "in_all", "pos").agg(F.collect_set("ipos").alias("ipos"))
     found = spots.withColumn("inside", F.size(F.array_distinct(F.flatten(F.collect_list("ipos").over(stretch)))))
     best = (found.groupBy("key", "item", "in_all").agg(F.max_by("pos", F.struct("inside", -F.col("pos"))).alias("from"), F.max("inside").alias("inside"))

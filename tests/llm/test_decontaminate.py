@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from plumbline.llm import decontaminate
 from plumbline.llm.decontaminate import templates
 
@@ -61,3 +63,11 @@ def test_odd_rows_and_empty_tables(spark, odd):
     assert decontaminate.clean(odd, items).columns == odd.columns
     assert decontaminate.report(odd.limit(0), items).collect() == []
     assert all(r.kept for r in decontaminate.report(odd, items.limit(0)).collect())
+
+
+def test_match_far_into_a_long_document(spark, monkeypatch):
+    """Places behind word 2,147,483 are judged where they are."""
+    real = decontaminate.window_table
+    monkeypatch.setattr(decontaminate, "window_table", lambda rows, key, text="text", filled=None: real(rows, key, text, filled).withColumn("pos", (F.col("pos") + (0 if filled is None else 2_200_000)).cast("int")))
+    rows = decontaminate.report(frame(spark, [(1, f"Some text before. {ITEM}."), (2, "nothing of this kind")]), bench(spark, [(11, ITEM)])).collect()
+    assert {r.doc_id: r.item_ids for r in rows} == {1: [11], 2: []}
