@@ -3,7 +3,8 @@
 Numbers, names and units of a text become typed placeholders, so that a question whose slots were filled anew has the
 same template. Template windows of five words are hash-joined with those of the benchmark; where enough of an item's
 windows lie together in a document, the values of its slots are checked: one item value must always have become the
-same document value, and different values different ones.
+same document value, and different values different ones. Beside the templates every text is read word for word in lower
+case, so that a copy matches whatever its letter case and however many of its words are slots.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import words as W
-from plumbline.llm.base import pieces, small_batches
+from plumbline.llm.base import list_array, pieces, small_batches
 from plumbline.llm.bitmaps import bitmap, without
 from plumbline.session import checkpointed
 
@@ -36,6 +37,8 @@ kilometre kilometres g kg mg gram grams kilogram kilograms lb lbs oz pound pound
 litres gallon gallons cup cups s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years
 mph kmh km/h usd eur gbp dollar dollars euro euros cent cents percent degree degrees celsius fahrenheit volt volts watt watts
 joule joules newton newtons hz khz mhz byte bytes kb mb gb""".split()
+#: How a text is read: opening words literal, opening capitalised words as names, word for word, a short line as a whole.
+PLAIN, NAMED, VERBATIM, LINE = range(4)
 NUM, NAME, UNIT = (np.uint64(x) for x in (0x6E756D, 0x6E616D65, 0x756E6974))
 
 
@@ -58,20 +61,43 @@ def templates(texts: list[bytes]) -> tuple[W.Words, np.ndarray, np.ndarray, np.n
     return w, plain, named, number | unit | name
 
 
-def window_rows(w: W.Words, reading: np.ndarray, literal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def window_rows(w: W.Words, reading: np.ndarray, literal: np.ndarray, least: int = LITERAL) -> tuple[np.ndarray, np.ndarray]:
     """First word and hash of the windows with enough literal words."""
     at, hashes = W.windows(reading, w.text, WIDTH)
     count = np.append(0, np.cumsum(literal))
-    keep = count[at + WIDTH] - count[at] >= LITERAL
+    keep = count[at + WIDTH] - count[at] >= least
     return at[keep], hashes[keep]
 
 
+def short_rows(w: W.Words, lines: bool) -> tuple[np.ndarray, np.ndarray]:
+    """First word and hash of the texts with fewer than five words, or also of such lines of a text."""
+    groups = [w.text]
+    if lines:
+        groups.append(np.append(0, np.cumsum(w.data == 10))[w.start])
+    at, hashes = [], []
+    for group in groups if len(w.hash) else []:
+        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        size = np.diff(np.append(first, len(group)))
+        first, size = first[size < WIDTH], size[size < WIDTH]
+        total = size.astype(np.uint64)
+        for k in range(WIDTH - 1):
+            more = k < size
+            total[more] = total[more] * W.MULTIPLIER + w.hash[first[more] + k]
+        at.append(first)
+        hashes.append(W.mix(total))
+    if not at:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    at, hashes = np.concatenate(at), np.concatenate(hashes)
+    at, one = np.unique(at, return_index=True)
+    return at, hashes[one]
+
+
 def window_table(rows: DataFrame, key: str, text: str = "text", filled: np.ndarray | None = None) -> DataFrame:
-    """(key, pos, h, values, slots, n): template windows of every row, in both readings.
+    """(key, mode, pos, h, values, slots, n): windows of every row in every reading.
 
-    ``values`` are the hashes of the window's words as written, ``slots`` which of them are placeholders (as bits),
-    ``n`` the number of different windows positions of the row. With ``filled``, the bits of a map over window hashes,
-    only windows that pass it come.
+    ``values`` are the hashes of the window's words as written (empty without slots), ``slots`` which of them are
+    placeholders (as bits), ``n`` the number of windows of the row in this reading. With ``filled``, the bits of a map over
+    window hashes, only windows that pass it come.
     """
     small_batches(rows.sparkSession)
     slim = rows.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("text is not null")
@@ -82,32 +108,32 @@ def window_table(rows: DataFrame, key: str, text: str = "text", filled: np.ndarr
         for batch in pieces(batches, limit=W.BLOCK_BYTES):
             texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column(1)]
             w, plain, named, slot = templates(texts)
-            if len(w.hash) < WIDTH:
+            if not len(w.hash):
                 continue
             first_word = np.append(0, np.cumsum(w.counts))[:-1]
-            literal = ~slot
-            at, hashes = window_rows(w, plain, literal)
-            positions = np.bincount(w.text[at], minlength=len(texts))
-            other, names = window_rows(w, named, named == w.hash)
-            changed = np.append(0, np.cumsum(named != plain))
-            fresh = changed[other + WIDTH] > changed[other]  # a window that reads the same in both is told once
-            at, hashes = np.concatenate([at, other[fresh]]), np.concatenate([hashes, names[fresh]])
-            second = np.append(np.zeros(len(at) - int(fresh.sum()), bool), np.ones(int(fresh.sum()), bool))
-            if bits is not None:
-                spot = hashes & np.uint64((1 << BITS) - 1)
-                hit = (bits[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                at, hashes, second = at[hit], hashes[hit], second[hit]
-            if not len(at):
-                continue
-            values = w.hash[at[:, None] + np.arange(WIDTH)]
-            is_slot = np.where(second[:, None], (named != w.hash)[at[:, None] + np.arange(WIDTH)], slot[at[:, None] + np.arange(WIDTH)])
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(pa.array(w.text[at])), pa.array((at - first_word[w.text[at]]).astype(np.int32)), pa.array(hashes.view(np.int64)),
-                pa.FixedSizeListArray.from_arrays(pa.array(values.ravel().view(np.int64)), WIDTH).cast(pa.list_(pa.int64())),
-                pa.array((is_slot << np.arange(WIDTH)).sum(axis=1).astype(np.int32)), pa.array(positions[w.text[at]].astype(np.int32))],
-                ["key", "pos", "h", "values", "slots", "n"])
-
-    return slim.mapInArrow(run, f"key {slim.schema['key'].dataType.simpleString()}, pos int, h long, values array<long>, slots int, n int")
+            readings = ((PLAIN, *window_rows(w, plain, ~slot), slot), (NAMED, *window_rows(w, named, named == w.hash), named != w.hash),
+                        (VERBATIM, *window_rows(w, w.hash, ~slot, 0), None), (LINE, *short_rows(w, bits is not None), None))
+            for mode, at, hashes, slots in readings:
+                size = np.bincount(w.text[at], minlength=len(texts))
+                hashes = W.mix(hashes + np.uint64(mode))
+                if bits is not None:
+                    spot = hashes & np.uint64((1 << BITS) - 1)
+                    hit = (bits[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                    at, hashes = at[hit], hashes[hit]
+                if not len(at):
+                    continue
+                text_of = w.text[at]
+                if slots is None:
+                    marks, values = np.zeros(len(at), np.int32), list_array(np.zeros(0, np.int64), np.zeros(len(at), np.int64), pa.int64())
+                else:
+                    inner = at[:, None] + np.arange(WIDTH)
+                    marks = (slots[inner] << np.arange(WIDTH)).sum(axis=1).astype(np.int32)
+                    values = list_array(w.hash[inner].ravel().view(np.int64), np.full(len(at), WIDTH), pa.int64())
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).take(pa.array(text_of)), pa.array(np.full(len(at), mode, np.int32)), pa.array((at - first_word[text_of]).astype(np.int32)),
+                    pa.array(hashes.view(np.int64)), values, pa.array(marks), pa.array(size[text_of].astype(np.int32))], ["key", "mode", "pos", "h", "values", "slots", "n"])
+
+    return slim.mapInArrow(run, f"key {slim.schema['key'].dataType.simpleString()}, mode int, pos int, h long, values array<long>, slots int, n int")
 
 
 def bit_array(hashes: DataFrame) -> np.ndarray:
@@ -122,12 +148,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: st
     """(key, item, coverage, consistency, literal): documents that hold a benchmark item or a re-parameterised one.
 
     ``coverage`` is the share of the item's windows in the best stretch of the document, ``consistency`` the share of its
-    slots that agree with a one-to-one renaming of values, ``literal`` whether all values are the item's own. Items with
-    fewer than five words, or without a window of two literal words, match nothing; null and empty texts neither. Rows
-    that share an id are judged together; rows without one are not reported.
+    slots that agree with a one-to-one renaming of values, ``literal`` whether all values are the item's own. The readings
+    are judged apart, and the best one tells. Items with fewer than five words match whole texts and whole lines; null and
+    empty texts match nothing. Rows that share an id are judged together; rows without one are not reported.
     """
-    items = checkpointed(window_table(benchmark.filter(F.col(item).isNotNull()), item).select(F.col("key").alias("item"), F.col("pos").alias("ipos"), "h", F.col("values").alias("ivalues"), "slots", F.col("n").alias("in_all")))
-    hits = checkpointed(window_table(docs.filter(F.col(key).isNotNull()), key, filled=bit_array(items)).drop("slots", "n"))
+    items = checkpointed(window_table(benchmark.filter(F.col(item).isNotNull()), item).select(F.struct("key", "mode").alias("item"), F.col("pos").alias("ipos"), "h", F.col("values").alias("ivalues"), "slots", F.col("n").alias("in_all")))
+    hits = checkpointed(window_table(docs.filter(F.col(key).isNotNull()), key, filled=bit_array(items)).drop("mode", "slots", "n"))
     # Of n windows at least a share must be found, so one of the others' number plus one is: the rarest serve as probes.
     commonness = items.groupBy("h").agg(F.count(F.lit(1)).alias("shared"))
     rare = Window.partitionBy("item").orderBy("shared", "ipos")
@@ -156,8 +182,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: st
     backward = pairs.groupBy("key", "item", "now").agg(F.max("n").alias("top"), F.sum("n").alias("all"))
     agree = (forward.groupBy("key", "item").agg((F.sum("top") / F.sum("all")).alias("there"), (F.sum("same") == F.sum("all")).alias("literal"))
              .join(backward.groupBy("key", "item").agg((F.sum("top") / F.sum("all")).alias("back")), ["key", "item"]))
-    return (best.join(agree, ["key", "item"], "left")
-            .select(F.col("key").alias(key), F.col("item").alias(item), "coverage", F.coalesce(F.least("there", "back"), F.lit(1.0)).alias("consistency"), F.coalesce("literal", F.lit(True)).alias("literal")))
+    told = best.join(agree, ["key", "item"], "left").withColumn("consistency", F.coalesce(F.least("there", "back"), F.lit(1.0))).withColumn("literal", F.coalesce("literal", F.lit(True)))
+    order = F.struct(F.col("literal") | (F.col("consistency") >= CONSISTENT), "coverage", "consistency", "literal")
+    return (told.groupBy("key", F.col("item.key").alias("of")).agg(F.max_by(F.struct("coverage", "consistency", "literal"), order).alias("x"))
+            .select(F.col("key").alias(key), F.col("of").alias(item), "x.*"))
 
 
 def contaminated(found: DataFrame, consistent: float = CONSISTENT) -> DataFrame:

@@ -71,3 +71,12 @@ def test_match_far_into_a_long_document(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "window_table", lambda rows, key, text="text", filled=None: real(rows, key, text, filled).withColumn("pos", (F.col("pos") + (0 if filled is None else 2_200_000)).cast("int")))
     rows = decontaminate.report(frame(spark, [(1, f"Some text before. {ITEM}."), (2, "nothing of this kind")]), bench(spark, [(11, ITEM)])).collect()
     assert {r.doc_id: r.item_ids for r in rows} == {1: [11], 2: []}
+
+
+def test_copies_in_any_letter_case_and_items_of_slots(spark):
+    """Word for word copies match without regard to case, to the share of slots and to the length of the item."""
+    items = [(11, ITEM), (12, "too short"), (13, "12 7 30 45 8 19 22 51"), (14, "Alice Bob Carol Dave Erin Frank Grace")]
+    docs = [(1, "Before. " + ITEM.upper() + " after"), (2, "before " + ITEM.lower() + " after"), (3, "before " + ITEM.title()), (4, "list 12 7 30 45 8 19 22 51 end"),
+            (5, "with Alice Bob Carol Dave Erin Frank Grace there"), (6, "Too short!"), (7, "one line\nTOO SHORT\nother"), (8, "this is too short for it"), (9, "list 12 9 30 44 8 18 22 50 end")]
+    got = {r.doc_id: r.item_ids for r in decontaminate.report(frame(spark, docs), bench(spark, items)).collect()}
+    assert got == {1: [11], 2: [11], 3: [11], 4: [13], 5: [14], 6: [12], 7: [12], 8: [], 9: []}
