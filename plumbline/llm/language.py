@@ -84,12 +84,14 @@ def most_frequent(counts: DataFrame, key: str, most: int) -> tuple[DataFrame, in
     return totals.filter(F.lit(False) if least is None else level >= least), number, kept == number <= most
 
 
-def met(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """``rows`` joined to ``table`` by ``key``; a key that holds many of the rows is not shuffled."""
-    least = max(1_000, rows.count() // OFTEN)
-    often = rows.groupBy(key).count().filter(F.col("count") > least).select(key).collect()  # fewer than OFTEN
+def met(rows: DataFrame, table: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
+    """``rows`` joined to ``table`` by ``key``; a key that holds many of the rows is not shuffled. ``sizes`` (key, m) has
+    the number of rows of every key."""
+    least = max(1_000, (sizes.agg(F.sum("m")).first()[0] or 0) // OFTEN)
+    often = sizes.filter(F.col("m") > least).select(key).collect()  # fewer than OFTEN
     if not often:
         return rows.join(table, key)
+    table = checkpointed(table)
     often = F.broadcast(rows.sparkSession.createDataFrame(often, rows.select(key).schema))
     return rows.join(often, key, "left_anti").join(table, key).unionByName(rows.join(F.broadcast(table.join(often, key, "left_semi")), key))
 
@@ -202,6 +204,12 @@ class Scorer(dict):
             total = total + self.table[list(map(self.__getitem__, words[i:i + TASK_WORDS // 4]))].sum(axis=0, dtype=np.float64)
         return total
 
+    def total_of(self, places: list[int]) -> np.ndarray:
+        total = self.model.prior.astype(np.float64)
+        for i in range(0, len(places), TASK_WORDS):
+            total = total + self.table[places[i:i + TASK_WORDS]].sum(axis=0, dtype=np.float64)
+        return total
+
     def best(self, total: np.ndarray) -> tuple[str, float]:
         best = int(total.argmax())
         return self.model.languages[best], float(1.0 / np.exp(np.maximum(total - total[best], -700)).sum())
@@ -246,13 +254,14 @@ def identify_rare(slim: DataFrame, model: Model, shared, key: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A row per document with the score of its words in the model, and its other words with their number; the words
         # of a long text go on in rows without a score.
-        scorer, task, n = Scorer(shared.value), TaskContext.get().partitionId() << 33, 0
+        scorer, known, task, n = Scorer(shared.value), shared.value.words.get, TaskContext.get().partitionId() << 33, 0
         for batch in pieces(batches):
             ids, at, parts, letters, rest, numbers = [], [], [], [], [], []
             for i, text in enumerate(texts_of(batch)):
                 words = words_of(text)
-                rare = Counter(w for w in words if w not in shared.value.words)
-                total = scorer.total([w for w in words if w in shared.value.words] if rare else words)
+                places = list(map(known, words))
+                rare = Counter([w for w, p in zip(words, places, strict=True) if p is None])
+                total = scorer.total_of([p for p in places if p is not None] if rare else places)
                 others = list(rare)
                 for j in range(0, max(1, len(others)), TASK_WORDS):
                     ids.append(task + n)
@@ -267,7 +276,8 @@ def identify_rare(slim: DataFrame, model: Model, shared, key: str) -> DataFrame:
 
     heads = checkpointed(slim.mapInArrow(run, f"id long, key {kind}, part array<double>, letters boolean, rest string, numbers array<long>"))
     rare = (heads.filter("rest is not null").select("id", F.explode(F.arrays_zip(F.split("rest", " ").alias("word"), F.col("numbers").alias("n"))).alias("x")).select("id", "x.word", "x.n"))
-    sums = met(rare, rare_scores(rare.select("word").distinct(), model, shared), "word")
+    sizes = checkpointed(rare.groupBy("word").agg(F.count(F.lit(1)).alias("m")))
+    sums = met(rare, rare_scores(sizes.select("word"), model, shared), "word", sizes)
     sums = sums.groupBy("id").agg(F.array(*[F.sum(F.element_at("vec", i + 1) * F.col("n")) for i in range(len(model.languages))]).alias("more"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,8 +303,9 @@ def rare_scores(words: DataFrame, model: Model, shared) -> DataFrame:
 
     unseen = words.filter(F.size("by") == 0).select("word")
     asked = checkpointed(unseen.mapInArrow(open_grams, "word string, gram string"))
-    by_gram = model.all_grams.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("by"))
-    grams = met(asked, by_gram, "gram").groupBy("word").agg(F.collect_list(F.struct("gram", "by")).alias("grams"))  # a word has few n-grams
+    sizes = checkpointed(asked.groupBy("gram").agg(F.count(F.lit(1)).alias("m")))
+    by_gram = model.all_grams.join(sizes.select("gram"), "gram", "left_semi").groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("by"))
+    grams = met(asked, by_gram, "gram", sizes).groupBy("word").agg(F.collect_list(F.struct("gram", "by")).alias("grams"))  # a word has few n-grams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -315,7 +326,7 @@ def rare_scores(words: DataFrame, model: Model, shared) -> DataFrame:
                 out[i] = own.unseen(texts[i], {x["gram"]: r for x, r in zip(found[i] or [], rows, strict=True)})
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.rint(out * FIXED).astype(np.int64).tolist(), pa.list_(pa.int64()))], ["word", "vec"])
 
-    return checkpointed(words.join(grams, "word", "left").mapInArrow(run, "word string, vec array<long>"))
+    return words.join(grams, "word", "left").mapInArrow(run, "word string, vec array<long>")
 
 
 def held_out() -> Column:
