@@ -22,8 +22,11 @@ from plumbline.llm.bitmaps import bitmap, without
 from plumbline.session import checkpointed
 
 WIDTH = 5
-#: Share of an item's windows that must lie together in a document.
-COVERAGE = 0.8
+#: Share of an item's windows that must lie together in a document; an edit in the middle takes five of them. Of short
+#: items it is the larger share, up to so many windows.
+COVERAGE, SHORT, SHORT_WINDOWS = 0.5, 0.8, 6
+#: Or so many words of an item in one aligned stretch.
+RUN = 13
 #: Share of the slots whose values must agree with a one-to-one renaming.
 CONSISTENT = 0.8
 #: Windows of mostly placeholders say nothing; so many words of one must be literal.
@@ -37,20 +40,25 @@ kilometre kilometres g kg mg gram grams kilogram kilograms lb lbs oz pound pound
 litres gallon gallons cup cups s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years
 mph kmh km/h usd eur gbp dollar dollars euro euros cent cents percent degree degrees celsius fahrenheit volt volts watt watts
 joule joules newton newtons hz khz mhz byte bytes kb mb gb""".split()
-#: How a text is read: opening words literal, opening capitalised words as names, word for word, a short line as a whole.
-PLAIN, NAMED, VERBATIM, LINE = range(4)
+#: How a text is read: opening capitalised words literal or as names, all as names, word for word, a short line as a whole.
+TEMPLATE, NAMED, VERBATIM, LINE = range(4)
+# Words that are numbers.
+SPELLED = """one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen
+twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion""".split()
 NUM, NAME, UNIT = (np.uint64(x) for x in (0x6E756D, 0x6E616D65, 0x756E6974))
 
 
 def templates(texts: list[bytes]) -> tuple[W.Words, np.ndarray, np.ndarray, np.ndarray]:
     """Words, their template hashes with the first word of a sentence literal and as a name, and whether they are slots.
 
-    A word that begins with a digit is a number; a unit word after a number is a unit; a capitalised word that does not
+    A word that begins with a digit or spells a number is a number; a unit word after a number is a unit; a capitalised word that does not
     open a sentence is a name. Whether an opening capitalised word is a name cannot be told, so both readings count.
     """
     w = W.split(texts)
     number, capital, opens = w.number(), w.capital(), w.opens()
-    units = np.sort(W.split([u.encode() for u in UNITS]).hash)
+    units, spelled = (np.sort(W.split([u.encode() for u in x]).hash) for x in (UNITS, SPELLED))
+    at = np.minimum(np.searchsorted(spelled, w.hash), len(spelled) - 1)
+    number = number | (spelled[at] == w.hash)
     at = np.minimum(np.searchsorted(units, w.hash), len(units) - 1)
     after = np.zeros(len(w.hash), bool)
     after[1:] = number[:-1] & (w.text[1:] == w.text[:-1])
@@ -61,11 +69,22 @@ def templates(texts: list[bytes]) -> tuple[W.Words, np.ndarray, np.ndarray, np.n
     return w, plain, named, number | unit | name
 
 
-def window_rows(w: W.Words, reading: np.ndarray, literal: np.ndarray, least: int = LITERAL) -> tuple[np.ndarray, np.ndarray]:
-    """First word and hash of the windows with enough literal words."""
-    at, hashes = W.windows(reading, w.text, WIDTH)
+def slots_of(w: W.Words, reading: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words of the places of a reading, where a run of names or of numbers within a sentence is one place, and
+    the values of these places."""
+    start = np.ones(len(reading), bool)
+    start[1:] = (reading[1:] != reading[:-1]) | ((reading[1:] != NAME) & (reading[1:] != NUM)) | (w.text[1:] != w.text[:-1]) | w.opens()[1:]
+    first = np.flatnonzero(start)
+    size = np.diff(np.append(first, len(reading)))
+    inner = (np.arange(len(reading)) - np.repeat(first, size)).astype(np.uint64)
+    return first, np.where(size > 1, np.add.reduceat(W.mix(w.hash + inner), first), w.hash[first])
+
+
+def window_rows(text: np.ndarray, reading: np.ndarray, literal: np.ndarray, least: int = LITERAL) -> tuple[np.ndarray, np.ndarray]:
+    """First place and hash of the windows with enough literal words."""
+    at, hashes = W.windows(reading, text, WIDTH)
     count = np.append(0, np.cumsum(literal))
-    keep = count[at + WIDTH] - count[at] >= least
+    keep = count[at + WIDTH] - count[at] >= least if len(at) else np.zeros(0, bool)
     return at[keep], hashes[keep]
 
 
@@ -93,9 +112,9 @@ def short_rows(w: W.Words, lines: bool) -> tuple[np.ndarray, np.ndarray]:
 
 
 def window_table(rows: DataFrame, key: str, text: str = "text", filled: np.ndarray | None = None) -> DataFrame:
-    """(key, mode, pos, h, values, slots, n): windows of every row in every reading.
+    """(key, mode, pos, h, values, slots, n): windows of every row in every reading, ``pos`` in places of that reading.
 
-    ``values`` are the hashes of the window's words as written (empty without slots), ``slots`` which of them are
+    ``values`` are the hashes of the window's words, or runs of them, as written (empty without slots), ``slots`` which of them are
     placeholders (as bits), ``n`` the number of windows of the row in this reading. With ``filled``, the bits of a map over
     window hashes, only windows that pass it come.
     """
@@ -110,11 +129,25 @@ def window_table(rows: DataFrame, key: str, text: str = "text", filled: np.ndarr
             w, plain, named, slot = templates(texts)
             if not len(w.hash):
                 continue
-            first_word = np.append(0, np.cumsum(w.counts))[:-1]
-            readings = ((PLAIN, *window_rows(w, plain, ~slot), slot), (NAMED, *window_rows(w, named, named == w.hash), named != w.hash),
-                        (VERBATIM, *window_rows(w, w.hash, ~slot, 0), None), (LINE, *short_rows(w, bits is not None), None))
-            for mode, at, hashes, slots in readings:
-                size = np.bincount(w.text[at], minlength=len(texts))
+            open_first, open_value = slots_of(w, plain)
+            name_first, name_value = slots_of(w, named)
+            every = np.arange(len(w.hash))
+            readings = []
+            for mode, first, value, ways in ((TEMPLATE, open_first, open_value, (plain, named)), (NAMED, name_first, name_value, (named,)), (VERBATIM, every, w.hash, (w.hash,))):
+                text, size = w.text[first], None
+                for way in ways:
+                    slots = slot[first] if way is plain else (way != w.hash)[first]
+                    at, hashes = window_rows(text, way[first], ~slots, 0 if mode == VERBATIM else LITERAL)
+                    if size is None:
+                        size = np.bincount(text[at], minlength=len(texts))
+                    else:  # a window that reads the same in both is told once
+                        changed = np.append(0, np.cumsum((named != plain)[first]))
+                        fresh = changed[at + WIDTH] > changed[at] if len(at) else np.zeros(0, bool)
+                        at, hashes = at[fresh], hashes[fresh]
+                    readings.append((mode, text, at, hashes, None if mode == VERBATIM else slots, value, size))
+            at, hashes = short_rows(w, bits is not None)
+            readings.append((LINE, w.text, at, hashes, None, None, np.bincount(w.text[at], minlength=len(texts))))
+            for mode, text, at, hashes, slots, value, size in readings:
                 hashes = W.mix(hashes + np.uint64(mode))
                 if bits is not None:
                     spot = hashes & np.uint64((1 << BITS) - 1)
@@ -122,15 +155,16 @@ def window_table(rows: DataFrame, key: str, text: str = "text", filled: np.ndarr
                     at, hashes = at[hit], hashes[hit]
                 if not len(at):
                     continue
-                text_of = w.text[at]
+                text_of = text[at]
                 if slots is None:
                     marks, values = np.zeros(len(at), np.int32), list_array(np.zeros(0, np.int64), np.zeros(len(at), np.int64), pa.int64())
                 else:
                     inner = at[:, None] + np.arange(WIDTH)
                     marks = (slots[inner] << np.arange(WIDTH)).sum(axis=1).astype(np.int32)
-                    values = list_array(w.hash[inner].ravel().view(np.int64), np.full(len(at), WIDTH), pa.int64())
+                    values = list_array(value[inner].ravel().view(np.int64), np.full(len(at), WIDTH), pa.int64())
+                begin = np.searchsorted(text, np.arange(len(texts)))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).take(pa.array(text_of)), pa.array(np.full(len(at), mode, np.int32)), pa.array((at - first_word[text_of]).astype(np.int32)),
+                    batch.column(0).take(pa.array(text_of)), pa.array(np.full(len(at), mode, np.int32)), pa.array((at - begin[text_of]).astype(np.int32)),
                     pa.array(hashes.view(np.int64)), values, pa.array(marks), pa.array(size[text_of].astype(np.int32))], ["key", "mode", "pos", "h", "values", "slots", "n"])
 
     return slim.mapInArrow(run, f"key {slim.schema['key'].dataType.simpleString()}, mode int, pos int, h long, values array<long>, slots int, n int")
@@ -147,30 +181,46 @@ def bit_array(hashes: DataFrame) -> np.ndarray:
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", coverage: float = COVERAGE) -> DataFrame:
     """(key, item, coverage, consistency, literal): documents that hold a benchmark item or a re-parameterised one.
 
-    ``coverage`` is the share of the item's windows in the best stretch of the document, ``consistency`` the share of its
+    An item is held when a share of its windows lies together, or ``RUN`` of its words in one aligned run. ``coverage`` is
+    the share of the item's windows in the best stretch of the document, ``consistency`` the share of its
     slots that agree with a one-to-one renaming of values, ``literal`` whether all values are the item's own. The readings
     are judged apart, and the best one tells. Items with fewer than five words match whole texts and whole lines; null and
     empty texts match nothing. Rows that share an id are judged together; rows without one are not reported.
     """
     items = checkpointed(window_table(benchmark.filter(F.col(item).isNotNull()), item).select(F.struct("key", "mode").alias("item"), F.col("pos").alias("ipos"), "h", F.col("values").alias("ivalues"), "slots", F.col("n").alias("in_all")))
     hits = checkpointed(window_table(docs.filter(F.col(key).isNotNull()), key, filled=bit_array(items)).drop("mode", "slots", "n"))
-    # Of n windows at least a share must be found, so one of the others' number plus one is: the rarest serve as probes.
+    items = checkpointed(items.withColumn("nth", F.dense_rank().over(Window.partitionBy("item").orderBy("ipos"))))
+    need = F.least(F.col("in_all"), F.greatest(F.ceil(F.col("in_all") * coverage - 1e-9), F.least(F.ceil(F.col("in_all") * SHORT - 1e-9), F.lit(SHORT_WINDOWS))))
+    # Of n windows at least ``need`` must be found, so one of the others' number plus one is: the rarest serve as probes.
+    # A run of windows holds a whole block of about half its length, so the rarest of every block serves as well.
+    run = RUN - WIDTH + 1
     commonness = items.groupBy("h").agg(F.count(F.lit(1)).alias("shared"))
     rare = Window.partitionBy("item").orderBy("shared", "ipos")
-    positions = items.join(commonness, "h").groupBy("item", "ipos", "in_all").agg(F.max("shared").alias("shared"))
-    probes = positions.withColumn("place", F.row_number().over(rare)).filter(F.col("place") <= F.col("in_all") - F.ceil(F.col("in_all") * coverage - 1e-9) + 1).select("item", "ipos")
+    block = Window.partitionBy("item", F.floor(F.col("nth") / ((run + 1) // 2))).orderBy("shared", "ipos")
+    positions = items.join(commonness, "h").groupBy("item", "ipos", "nth", "in_all").agg(F.max("shared").alias("shared"))
+    probes = (positions.withColumn("place", F.row_number().over(rare)).withColumn("first", F.row_number().over(block))
+              .filter((F.col("place") <= F.col("in_all") - need + 1) | (F.col("first") == 1)).select("item", "ipos"))
     probe_hashes = items.join(probes, ["item", "ipos"], "left_semi").select("item", "h").distinct()
     candidates = hits.select("key", "h").distinct().join(probe_hashes, "h").select("key", "item").distinct()
-    met = candidates.join(items, "item").join(hits, ["key", "h"]).select("key", "item", "ipos", "in_all", "pos", "slots", "ivalues", "values")
+    met = candidates.join(items, "item").join(hits, ["key", "h"]).select("key", "item", "ipos", "nth", "in_all", "pos", "slots", "ivalues", "values")
     # The best stretch: as long as the item and a little more, it holds the most of the item's windows.
     stretch = Window.partitionBy("key", "item").orderBy(F.floor(F.col("pos").cast("long") * 1000 / F.col("in_all"))).rangeBetween(0, int(STRETCH * 1000))
     spots = met.groupBy("key", "item", "in_all", "pos").agg(F.collect_set("ipos").alias("ipos"))
     found = spots.withColumn("inside", F.size(F.array_distinct(F.flatten(F.collect_list("ipos").over(stretch)))))
-    best = (found.groupBy("key", "item", "in_all").agg(F.max_by("pos", F.struct("inside", -F.col("pos"))).alias("from"), F.max("inside").alias("inside"))
-            .withColumn("coverage", F.col("inside") / F.col("in_all")).filter(F.col("coverage") >= coverage - 1e-9))
+    covered = (found.groupBy("key", "item", "in_all").agg(F.max_by("pos", F.struct("inside", -F.col("pos"))).alias("from"), F.max("inside").alias("inside"))
+               .withColumn("coverage", F.col("inside") / F.col("in_all")))
+    # The longest run: neighbouring windows of the item at neighbouring places.
+    shifted = met.select("key", "item", (F.col("pos") - F.col("ipos")).alias("shift"), "nth", "pos").distinct()
+    island = F.col("nth") - F.row_number().over(Window.partitionBy("key", "item", "shift").orderBy("nth"))
+    runs = shifted.withColumn("island", island).groupBy("key", "item", "shift", "island").agg(F.count(F.lit(1)).alias("length"), F.min("pos").alias("run_from"), F.max("pos").alias("run_to"))
+    runs = runs.filter(F.col("length") >= run).groupBy("key", "item").agg(F.max_by(F.struct("run_from", "run_to"), F.struct("length", -F.col("run_from"))).alias("run"))
+    whole = F.col("inside") >= need
+    best = checkpointed(covered.join(runs, ["key", "item"], "left").filter(whole | F.col("run").isNotNull())
+                        .withColumn("to", F.when(whole, F.col("from") + STRETCH * F.col("in_all")).otherwise(F.col("run.run_to")))
+                        .withColumn("from", F.when(whole, F.col("from")).otherwise(F.col("run.run_from"))).drop("run"))
     # Slots of the windows in that stretch: how item values became document values. A window that occurs twice in an item
     # is aligned where most others are; of two readings the one with fewer slots counts.
-    inside = (met.join(best, ["key", "item", "in_all"]).filter(F.col("pos").between(F.col("from"), F.col("from") + STRETCH * F.col("in_all")))
+    inside = (met.join(best, ["key", "item", "in_all"]).filter(F.col("pos").between(F.col("from"), F.col("to")))
               .withColumn("shift", F.col("pos") - F.col("ipos")))
     support = inside.groupBy("key", "item", "shift").agg(F.countDistinct("ipos").alias("support"))
     inside = (inside.join(support, ["key", "item", "shift"]).groupBy("key", "item", "pos")

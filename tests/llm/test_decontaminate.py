@@ -80,3 +80,15 @@ def test_copies_in_any_letter_case_and_items_of_slots(spark):
             (5, "with Alice Bob Carol Dave Erin Frank Grace there"), (6, "Too short!"), (7, "one line\nTOO SHORT\nother"), (8, "this is too short for it"), (9, "list 12 9 30 44 8 18 22 50 end")]
     got = {r.doc_id: r.item_ids for r in decontaminate.report(frame(spark, docs), bench(spark, items)).collect()}
     assert got == {1: [11], 2: [11], 3: [11], 4: [13], 5: [14], 6: [12], 7: [12], 8: [], 9: []}
+
+
+def test_edited_longer_slots_and_long_parts(spark):
+    """An inner edit, slots of another length and a long part of an item do not hide it."""
+    long = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(59)]
+    items = [(11, ITEM), (12, " ".join(long)), (13, "say what is the capital of it")]
+    renamed = ITEM.replace("Boston", "New York").replace("Chicago", "Los Angeles").replace("60", "seventy five")
+    docs = [(1, "intro " + ITEM.replace("other", "second")), (2, "intro " + ITEM.replace("while the", "while") + " tail"), (3, "intro words\n" + renamed + "\nmore"),
+            (4, "before " + " ".join(long[15:45]) + " after"), (5, "before " + " ".join(long[15:27]) + " after"), (6, "and what is the capital of"), (7, " ".join(reversed(long))),
+            (8, "intro " + " ".join(["changed" if i in (20, 40) else x for i, x in enumerate(long)]))]
+    got = {r.doc_id: r.item_ids for r in decontaminate.report(frame(spark, docs), bench(spark, items)).collect()}
+    assert got == {1: [11], 2: [11], 3: [11], 4: [12], 5: [], 6: [], 7: [], 8: [12]}
