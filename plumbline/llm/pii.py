@@ -1,7 +1,8 @@
 """Personal data by a skip-chain conditional random field over whole documents.
 
-Base patterns find emails, ip addresses, card and phone numbers; those stay. Every other token that carries a digit or
-an at sign is a node of the field. Neighbouring nodes share chain potentials, and equal or similar tokens anywhere in
+Base patterns find emails, ip addresses, card and phone numbers; those stay, each is one observed node of the field. So
+is every run of numbers joined by blanks, dots, hyphens and brackets, and every other token that carries a digit or an at
+sign. Neighbouring nodes share chain potentials, and equal or similar tokens anywhere in
 the document share skip potentials, so that a value recognised once is recognised where its form alone says too
 little. Loopy message passing over all documents of a batch at once gives the marginals.
 """
@@ -31,6 +32,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 NOT_DIGITS = re.compile(r"[^0-9]+")
+RUN = re.compile(r"\+?\(?[0-9]++(?:[\x20().-]{1,3}+[0-9]++)++")
+GROUP = re.compile(r"[0-9]+")
 MARK = re.compile(r"[0-9@]\S*")
 EDGE = ".,;:!?\"'()[]{}<>|"
 
@@ -143,12 +146,62 @@ class Graph:
     edges: list[tuple[int, int, int]]
 
 
-def graph(texts: list[str], spans: list[list[Span]]) -> Graph:
-    """Nodes and edges. A repeated value links each occurrence with the one before, so edges grow with the nodes."""
-    g = Graph([], [], [], [], [], [])
-    for d, text in enumerate(texts):
-        base, b = spans[d], 0
-        last_key: dict[str, int] = {}
+def values(token: str) -> list[str]:
+    """All that an equal token may have in common with this one: a number also without its country prefix, which has one
+    to three digits after a plus, or without leading zeros."""
+    equal = keys(token)[0]
+    digits = NOT_DIGITS.sub("", token)
+    if "@" in token or token.count(".") >= 3 or len(digits) < 8:
+        return [equal]
+    shorter = [digits[k:] for k in (1, 2, 3)] if token.startswith("+") else [digits.lstrip("0")]
+    return list(dict.fromkeys([equal, *[x for x in shorter if len(x) >= 8]]))
+
+
+def number_runs(text: str, known: set[str]) -> Iterator[tuple[int, int]]:
+    """Runs of at least six digits in two or more groups. Groups that together are a ``known`` value are a run of their own."""
+    for m in RUN.finditer(text):
+        groups = [g.span() for g in GROUP.finditer(text, m.start(), m.end())]
+        cuts, i, begin = [], 0, 0
+        while i < len(groups):
+            digits, found = "", None
+            for j in range(i, len(groups) if known else i):
+                digits += text[groups[j][0]:groups[j][1]]
+                if len(digits) > 22:
+                    break
+                if digits in known or digits.lstrip("0") in known:
+                    found = j + 1
+            if found:
+                cuts += [(begin, i), (i, found)]
+                begin = i = found
+            else:
+                i += 1
+        for i, j in [*cuts, (begin, len(groups))]:
+            if i < j and sum(e - s for s, e in groups[i:j]) >= 6 and j - i > 1:
+                start, least = groups[i][0], groups[i - 1][1] if i else m.start()
+                while start > least and text[start - 1] in "+(":
+                    start -= 1
+                yield start, groups[j - 1][1]
+
+
+def candidates(text: str, base: list[Span]) -> list[tuple[int, int, int]]:
+    """(start, end, label) of the nodes of a text in order, without overlaps: base spans, number runs, other tokens."""
+    out: list[tuple[int, int, int]] = []
+    for kind, start, end in base:
+        if not out or start >= out[-1][1]:
+            out.append((start, end, LABELS.index(kind)))
+    known = {v for a, b, label in out if label > 2 for v in values(text[a:b])}
+    taken = out
+
+    def free(spans: Iterator[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        b, fresh = 0, []
+        for start, end in spans:
+            while b < len(taken) and taken[b][1] <= start:
+                b += 1
+            if b == len(taken) or taken[b][0] >= end:
+                fresh.append((start, end, 0))
+        return sorted(taken + fresh)
+
+    def tokens() -> Iterator[tuple[int, int]]:
         done = 0
         for m in MARK.finditer(text):
             head = m.start()
@@ -157,27 +210,36 @@ def graph(texts: list[str], spans: list[list[Span]]) -> Graph:
             done = m.end()
             raw = text[head:done]
             token = raw.strip(EDGE)
-            if not token or (len(token) < 6 and "@" not in token):
-                continue
-            start = head + raw.index(token)
-            end = start + len(token)
-            while b < len(base) and base[b][2] <= start:
-                b += 1
-            inside = [s for s in base[b:b + 4] if s[1] < end and s[2] > start]
+            if token and (len(token) >= 6 or "@" in token):
+                yield head + raw.index(token), head + raw.index(token) + len(token)
+
+    taken = free(number_runs(text, known))
+    return free(tokens())
+
+
+def graph(texts: list[str], spans: list[list[Span]]) -> Graph:
+    """Nodes and edges. A repeated value links each occurrence with the one before, so edges grow with the nodes."""
+    g = Graph([], [], [], [], [], [])
+    for d, text in enumerate(texts):
+        last_key: dict[str, int] = {}
+        for start, end, label in candidates(text, spans[d]):
+            token = text[start:end]
             i = len(g.doc)
             if i and g.doc[-1] == d and not text[g.end[-1]:start].strip():
                 g.edges.append((i - 1, i, 0))
-            equal, like = keys(token)
-            for kind, key in ((1, "=" + equal), (2, "~" + like if like else "")):
-                if key:
-                    if (h := last_key.get(key)) is not None and (kind == 1 or keys(text[g.start[h]:g.end[h]])[0] != equal):
-                        g.edges.append((h, i, kind))
-                    last_key[key] = i
+            equal, like = values(token), keys(token)[1]
+            linked = {h for x in equal if (h := last_key.get("=" + x)) is not None}
+            g.edges += [(h, i, 1) for h in sorted(linked)]
+            if like and (h := last_key.get("~" + like)) is not None and h not in linked and keys(text[g.start[h]:g.end[h]])[0] != equal[0]:
+                g.edges.append((h, i, 2))
+            last_key |= {"=" + x: i for x in equal}
+            if like:
+                last_key["~" + like] = i
             g.doc.append(d)
             g.start.append(start)
             g.end.append(end)
             g.feats.append(features(text, start, end))
-            g.label.append(LABELS.index(inside[0][0]) if inside else 0)
+            g.label.append(label)
     return g
 
 

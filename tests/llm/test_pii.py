@@ -68,3 +68,20 @@ def test_masking(odd):
     assert rows[1].text == "The mit license applies. Mail [EMAIL] or [IP] now." and rows[1].n_chars == len(rows[1].text)
     assert rows[2].text is None and rows[3].text == "" and rows[10].text.startswith("card [CARD] [PHONE]")
     assert pii.mask(odd, field).columns == odd.columns and not any(brute(r.text or "") for r in rows.values())
+
+
+def test_numbers_written_with_blanks_are_whole_nodes():
+    """A card in groups and a phone number in brackets are one node each, tied to their recognised form alone."""
+    field = pii.Field(np.zeros((pii.FEATURES, 5)), np.zeros((5, 5)), 5.0, 0.0)
+    for text, kind, again in (("+1 (743) 555-3824 call or (743) 555-3824 now", "phone", "(743) 555-3824"), ("+49 170 1234567 or 0170 1234567", "phone", "0170 1234567"),
+                              ("4041894974608795 x 4041 8949 7460 8795 12", "card", "4041 8949 7460 8795"), ("+1 (743) 555-3824 then 12 743-555-3824", "phone", "743-555-3824")):
+        base = base_spans(text)[:1]
+        g = pii.graph([text], [base])
+        i = [text[a:b] for a, b in zip(g.start, g.end, strict=True)].index(again)
+        assert g.label[0] == pii.LABELS.index(kind) and (0, i, 1) in g.edges, text
+        assert pii.marginals(g, field)[i, g.label[0]] >= pii.SURE
+    text = "+1 (743) 555-3824 call or (743) 555-3824 now"
+    assert ("phone", text.index("(743) 555-3824 now"), text.index(" now")) in pii.all_spans([text], field)[1][0]
+    apart = pii.graph([t := "+1 (743) 555-3824 and (212) 555-3824"], [base_spans(t)])
+    assert not any(kind for _, _, kind in apart.edges)
+    assert len(list(pii.number_runs("1 " * 100_000, {"4041894974608795"}))) == 1
