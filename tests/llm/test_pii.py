@@ -85,3 +85,13 @@ def test_numbers_written_with_blanks_are_whole_nodes():
     apart = pii.graph([t := "+1 (743) 555-3824 and (212) 555-3824"], [base_spans(t)])
     assert not any(kind for _, _, kind in apart.edges)
     assert len(list(pii.number_runs("1 " * 100_000, {"4041894974608795"}))) == 1
+
+
+def test_copies_count_once_in_the_sample(spark, monkeypatch):
+    """A text with many copies teaches as one."""
+    seen = []
+    monkeypatch.setattr(pii, "train", lambda rows: seen.append(sorted(map(repr, rows))) or pii.Field(np.zeros((pii.FEATURES, 5)), np.zeros((5, 5)), 0.0, 0.0))
+    texts = [f"mail a{i}@example.com or 10.0.0.{i}" for i in range(20)]
+    for rows in (texts, texts + texts[:1] * 300):
+        pii.learn(spark.createDataFrame([(x,) for x in rows], "text string"), documents=50, nodes=1_000)
+    assert seen[0] == seen[1] and len(seen[0]) == 40
