@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from plumbline.llm import bpe, dartminhash, decontaminate, embeddings, language, licenses, pii, suffix_dedup, token_counts, toxicity
+from plumbline.llm import bpe, dartminhash, decontaminate, embeddings, fim, language, licenses, pii, suffix_dedup, token_counts, toxicity
 from plumbline.llm.base import read
 
 QUERIES, ORACLES = {}, {}
@@ -71,3 +71,8 @@ def op2(spark, sf):
 @query("op6_suffix_dedup")
 def op6(spark, sf):
     return suffix_dedup.report(read(spark, sf, "documents"))
+
+
+@query("op11_fill_in_middle")
+def op11(spark, sf):
+    return fim.report(read(spark, sf, "documents"))
