@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from plumbline.llm import bpe, dartminhash, decontaminate, embeddings, fim, language, licenses, pii, suffix_dedup, token_counts, toxicity
+from plumbline.llm import bpe, dartminhash, decontaminate, embeddings, fim, language, licenses, pii, suffix_dedup, token_counts, toxicity, vector_codes
 from plumbline.llm.base import read
 
 QUERIES, ORACLES = {}, {}
@@ -76,3 +76,8 @@ def op6(spark, sf):
 @query("op11_fill_in_middle")
 def op11(spark, sf):
     return fim.report(read(spark, sf, "documents"))
+
+
+@query("op12_vector_codes")
+def op12(spark, sf):
+    return vector_codes.report(read(spark, sf, "embeddings"))
