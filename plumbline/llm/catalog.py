@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from plumbline.llm import bpe, dartminhash, decontaminate, embeddings, fim, language, licenses, pii, suffix_dedup, token_counts, toxicity, vector_codes
+from plumbline.llm import bpe, chat, dartminhash, decontaminate, embeddings, fim, language, licenses, pii, suffix_dedup, token_counts, toxicity, vector_codes
 from plumbline.llm.base import read
 
 QUERIES, ORACLES = {}, {}
@@ -81,3 +81,8 @@ def op11(spark, sf):
 @query("op12_vector_codes")
 def op12(spark, sf):
     return vector_codes.report(read(spark, sf, "embeddings"))
+
+
+@query("op13_chat_format")
+def op13(spark, sf):
+    return chat.report(read(spark, sf, "conversations"))
