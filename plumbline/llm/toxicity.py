@@ -2,10 +2,12 @@
 
 Categories are predicted one after the other by linear models; each later model also sees the probabilities of the
 earlier ones. So that it learns how far to trust them, it is trained with out-of-fold probabilities: those that a model
-gives to rows it was not fitted on.
+gives to rows it was not fitted on, with features chosen without them.
 
 Features are the words of a whole text, their beginnings, and the shares of capitals, marks and digits, as presence.
-Which of them matter is found by counts over every labelled row.
+Candidates come from the training sample, drawn class by class; which of them matter is told by counts over every labelled
+row and by an effect size, which does not grow with the rows. A link whose out-of-fold probabilities do not part the sides, or
+without rows on both sides, rejects nothing.
 """
 
 from __future__ import annotations
@@ -21,22 +23,24 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import words as W
 from plumbline.llm.base import list_array, pieces, small_batches
-from plumbline.llm.bitmaps import bitmap, within, without
+from plumbline.llm.bitmaps import maybe, within, without
 from plumbline.session import checkpointed
 
 #: The chain: columns of the labels table, in order, and the value that means "in the category".
 CHAIN = (("quality", 0), ("toxic", 1))
 #: A document is rejected when this category reaches the link's threshold, which lies between these.
-REJECT, THRESHOLDS = "toxic", (0.02, 0.5)
+REJECT, THRESHOLDS = "toxic", (0.2, 0.5)
 #: Bytes of a word's beginnings that are features.
 PREFIXES = (4, 5, 6)
-#: Buckets of the first count, in which features share a place; those of promising buckets are then counted apart.
-BUCKETS = 1 << 20
-#: Chi-square that a bucket, then a feature, must reach (a chance of 1e-9), and how many features a model has at most.
-CHI_SQUARE, MAX_FEATURES = 37.0, 4_096
-#: Training bound: about so many labelled documents, chosen by a hash of their id, fit the linear models.
+#: Features that a model has at most, at least, and per training row between them; candidates that are counted for each category; rows
+#: a feature must be in.
+MAX_FEATURES, MIN_FEATURES, ROWS_PER_FEATURE, CANDIDATES, PRESENT = 2_048, 16, 8, 4_096, 3
+#: Training bound: about so many labelled documents fit the linear models, as many of each combination of marks as there is room
+#: for, chosen by a hash of their id. Each stands for the rows it was drawn from.
 TRAIN_ROWS = 20_000
-FOLDS = 3
+FOLDS, SKETCH_WORDS = 3, 5
+#: A threshold that no probability reaches, and what a real one must show: the share of hits among the rejected.
+NEVER, PRECISION = 2.0, 0.8
 ITERATIONS, DECAY = 60, 2e-4
 
 
@@ -70,11 +74,25 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h[new], o[new]
 
 
-def chi_square(a: np.ndarray, b: np.ndarray, n_a: float, n_b: float) -> np.ndarray:
-    """Of presence against category: ``a`` of ``n_a`` rows in the category and ``b`` of ``n_b`` others have the feature."""
+def folds(texts: list[bytes]) -> np.ndarray:
+    """A fold for every text, by the least hash of its runs of words, so that near copies mostly share a fold."""
+    w = W.split(texts)
+    at, run = W.windows(w.hash, w.text, SKETCH_WORDS)
+    least = np.full(len(texts), np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(least, w.text, W.mix(w.hash ^ np.uint64(1)))
+    if len(at):
+        long = w.counts >= SKETCH_WORDS
+        least[long] = np.iinfo(np.uint64).max
+        np.minimum.at(least, w.text[at], run)
+    return (W.mix(least) % np.uint64(FOLDS)).astype(np.int32)
+
+
+def effect(a: np.ndarray, b: np.ndarray, n_a: float, n_b: float) -> np.ndarray:
+    """The size of the correlation of presence and category, less half a row on either side: ``a`` of ``n_a`` rows in the
+    category and ``b`` of ``n_b`` others have the feature."""
     n, present = n_a + n_b, a + b
     below = present * (n - present) * float(n_a) * float(n_b)
-    return np.where(below > 0, (a * (n_b - b) - b * (n_a - a)) ** 2 * n / np.maximum(below, 1e-300), 0.0)
+    return np.where(below > 0, np.maximum(0.0, abs(a * (n_b - b) - b * (n_a - a)) - n / 2) / np.sqrt(np.maximum(below, 1e-300)), 0.0)
 
 
 @dataclass
@@ -98,15 +116,16 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(row: np.ndarray, col: np.ndarray, width: int, extra: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Logistic regression on presence features (row, col) and dense ``extra`` columns, by L-BFGS with halved steps."""
+def fit(row: np.ndarray, col: np.ndarray, width: int, extra: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Logistic regression on presence features (row, col) and dense ``extra`` columns, rows weighted, by L-BFGS with halved steps."""
+    weight = weight / max(1e-300, weight.sum())
     ridge = np.append(np.full(width + extra.shape[1], DECAY), 0.0)
 
     def loss(theta: np.ndarray) -> tuple[float, np.ndarray]:
         z = score(row, col, len(y), extra, theta, width)
-        error = (sigmoid(z) - y) / max(1, len(y))
+        error = (sigmoid(z) - y) * weight
         g = np.concatenate([np.bincount(col, weights=error[row], minlength=width), extra.T @ error, [error.sum()]])
-        return float(np.mean(np.logaddexp(0, z) - y * z)) + 0.5 * float(ridge @ theta ** 2), g + ridge * theta
+        return float(weight @ (np.logaddexp(0, z) - y * z)) + 0.5 * float(ridge @ theta ** 2), g + ridge * theta
 
     theta = np.zeros(width + extra.shape[1] + 1)
     f, g = loss(theta)
@@ -136,86 +155,133 @@ def score(row, col, n, extra, theta, width) -> np.ndarray:
     return np.bincount(row, weights=theta[col], minlength=n) + extra @ theta[width:-1] + theta[-1]
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The cut of out-of-fold probabilities with the best F1, midway in log odds between the two it parts."""
+def best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, precision: float = 0.0) -> float:
+    """The cut of out-of-fold probabilities with the best F1 among those of at least that precision, midway in log odds between
+    the two it parts; ``NEVER`` if there is none."""
+    weight = np.ones(len(p)) if weight is None else weight
     order = np.argsort(-p, kind="stable")
-    p, y = p[order], y[order]
-    hits = np.cumsum(y)
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    p, y, weight = p[order], y[order], weight[order]
+    hits = np.cumsum(y * weight)
+    f1 = 2 * hits / (np.cumsum(weight) + hits[-1])
     f1[:-1][p[:-1] == p[1:]] = 0  # equal probabilities are not parted
+    f1[hits < precision * np.cumsum(weight)] = 0
+    if not f1.any():
+        return NEVER
     at = len(f1) - 1 - int(f1[::-1].argmax())
     below = p[at + 1] if at + 1 < len(p) else p[at] / 2
     return float(np.clip(sigmoid((logit(p[at]) + logit(below)) / 2), *THRESHOLDS))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, chain=CHAIN) -> DataFrame:
-    """(doc_id, text, y0, y1, ...): documents with a label; 1 and 0 tell whether they are in a category, null is unknown.
-    Labels that contradict each other count as in the category."""
+def safe_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """``best_threshold`` if what it rejects is mostly in the category, and surely (by two deviations) more often than all rows; else ``NEVER``."""
+    cut = best_threshold(p, y, weight, PRECISION)
+    over = p >= cut
+    if not over.any():
+        return NEVER
+    share, found, n = float(weight @ y / weight.sum()), float(weight[over] @ y[over] / weight[over].sum()), int(over.sum())
+    low = (found + 2 / n - 2 * (found * (1 - found) / n + 1 / n ** 2) ** 0.5) / (1 + 4 / n)
+    return cut if low > share else NEVER
+
+
+def marked(labels: DataFrame, chain=CHAIN) -> DataFrame:
+    """(doc_id, y0, y1, ...): 1 and 0 tell whether the document is in a category, null is unknown. Labels that contradict each
+    other count as in the category."""
     marks = labels.groupBy("doc_id").agg(*[F.max((F.col(c) == v).cast("int")).alias(f"y{i}") for i, (c, v) in enumerate(chain)])
-    marks = checkpointed(marks.filter(F.col("doc_id").isNotNull() & F.coalesce(*[F.col(f"y{i}") for i in range(len(chain))]).isNotNull()))
-    return within(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), marks.select("doc_id")).join(marks, "doc_id")
+    return checkpointed(marks.filter(F.col("doc_id").isNotNull() & F.coalesce(*[F.col(f"y{i}") for i in range(len(chain))]).isNotNull()))
 
 
-def texts_and_marks(batch: pa.RecordBatch, categories: int) -> tuple[list[bytes], np.ndarray]:
-    texts = [x.as_buffer().to_pybytes() for x in batch.column(batch.schema.get_field_index("text"))]
-    return texts, np.stack([pa.compute.fill_null(batch.column(batch.schema.get_field_index(f"y{i}")), -1).to_numpy() for i in range(categories)])
+def drawn(docs: DataFrame, marks: DataFrame, categories: int, train_rows: int) -> DataFrame:
+    """(doc_id, text, y0, ..., weight): the training sample. Every combination of marks has room for the same number of rows."""
+    names = [f"y{i}" for i in range(categories)]
+    sizes = marks.groupBy(*names).count().collect()  # a row per combination of marks
+    room = train_rows / max(1, len(sizes))
+    share = F.lit(1.0)
+    for r in sizes:
+        same = [F.col(c).eqNullSafe(F.lit(r[c])) for c in names]
+        share = F.when(reduce(lambda a, b: a & b, same), min(1.0, room / r["count"])).otherwise(share)
+    some = marks.withColumn("weight", 1 / share).filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
+    return checkpointed(within(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), some.select("doc_id")).join(some, "doc_id"))
 
 
-def selected(rows: DataFrame, categories: int) -> tuple[list[np.ndarray], list[tuple[int, int]]]:
-    """Per category: hashes of the features that tell it apart, from all labelled rows; and the sizes of both sides."""
-    sides = rows.agg(*[F.sum((F.col(f"y{i}") == v).cast("long")).alias(f"n{i}{v}") for i in range(categories) for v in (1, 0)]).first()
-    sides = [(sides[f"n{i}1"] or 0, sides[f"n{i}0"] or 0) for i in range(categories)]
+def texts_of(batch: pa.RecordBatch) -> list[bytes]:
+    return [x.as_buffer().to_pybytes() for x in batch.column(batch.schema.get_field_index("text"))]
 
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros((2 * categories, BUCKETS), np.int32)
-        for batch in pieces(batches, limit=W.BLOCK_BYTES):
-            texts, y = texts_and_marks(batch, categories)
-            h, o = features(texts)
-            spot = (h % np.uint64(BUCKETS)).astype(np.int64)
-            for i in range(categories):
-                for v in (1, 0):
-                    np.add.at(count[2 * i + 1 - v], spot[y[i][o] == v], 1)
-        for at in range(0, BUCKETS, 1 << 16):
-            part = count[:, at:at + (1 << 16)]
-            some = np.flatnonzero(part.any(axis=0))
-            if len(some):
-                yield pa.RecordBatch.from_arrays([pa.array((some + at).astype(np.int32)), *[pa.array(part[k, some].astype(np.int64)) for k in range(2 * categories)]], ["spot", *[f"c{k}" for k in range(2 * categories)]])
 
+def marks_of(batch: pa.RecordBatch, categories: int) -> np.ndarray:
+    return np.stack([pa.compute.fill_null(batch.column(batch.schema.get_field_index(f"y{i}")), -1).to_numpy() for i in range(categories)])
+
+
+def candidates(sample: DataFrame, categories: int) -> np.ndarray:
+    """Hashes, ascending, of the features of greatest effect within the sample: at most ``CANDIDATES`` per category."""
+    sides = sample.agg(*[F.sum(F.when(F.col(f"y{i}") == v, F.col("weight"))).alias(f"n{i}{v}") for i in range(categories) for v in (1, 0)]).first()
     names = [f"c{k}" for k in range(2 * categories)]
-    kinds = ", ".join(f"{n} long" for n in names)
-    sums = rows.mapInArrow(totals, f"spot int, {kinds}").groupBy("spot").agg(*[F.sum(n).alias(n) for n in names])
-
-    def far(i: int):  # the chi-square of ``chi_square`` as a column
-        a, b, (n_a, n_b) = F.col(f"c{2 * i}").cast("double"), F.col(f"c{2 * i + 1}").cast("double"), sides[i]
-        n = n_a + n_b
-        below = (a + b) * (F.lit(float(n)) - a - b) * float(n_a) * float(n_b)
-        return F.when(below > 0, F.pow(a * (F.lit(n_b) - b) - b * (F.lit(n_a) - a), 2) * float(n) / below).otherwise(0.0)
-
-    strong = reduce(lambda x, y: x | y, [far(i) >= CHI_SQUARE for i in range(categories)])
-    spots = bitmap(sums.filter(strong).select(F.col("spot").cast("long").alias("spot")), "spot", BUCKETS.bit_length() - 1).collect()  # at most BUCKETS / 64 rows
-    if not spots:
-        return [np.zeros(0, np.uint64) for _ in range(categories)], sides
-    mask = np.zeros(BUCKETS // 64, np.int64)
-    mask[[r["word"] for r in spots]] = [r["mask"] for r in spots]
-    shared = rows.sparkSession.sparkContext.broadcast(mask.view(np.uint8))
-
-    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(shared.value, bitorder="little").astype(bool)
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            different, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+            every = np.concatenate([c for _, c in held], axis=1)
+            return different, np.stack([np.bincount(at, weights=c, minlength=len(different)) for c in every])
+
         for batch in pieces(batches, limit=W.BLOCK_BYTES):
-            texts, y = texts_and_marks(batch, categories)
-            h, o = features(texts)
-            hit = wanted[(h % np.uint64(BUCKETS)).astype(np.int64)]
-            different, at = np.unique(h[hit], return_inverse=True)
-            o = o[hit]
-            columns = [np.bincount(at, weights=(y[i][o] == v), minlength=len(different)).astype(np.int64) for i in range(categories) for v in (1, 0)]
-            yield pa.RecordBatch.from_arrays([pa.array(different.view(np.int64)), *map(pa.array, columns)], ["h", *names])
-
-    exact = checkpointed(rows.mapInArrow(apart, f"h long, {kinds}").groupBy("h").agg(*[F.sum(n).alias(n) for n in names]))
-    out = []
+            h, o = features(texts_of(batch))
+            y, weight = marks_of(batch, categories), batch.column(batch.schema.get_field_index("weight")).to_numpy()
+            held.append((h, np.stack([np.ones(len(h)), *[(y[i][o] == v) * weight[o] for i in range(categories) for v in (1, 0)]])))
+            if sum(len(h) for h, _ in held[1:]) > 400_000:
+                held = [added()]
+        if held:
+            h, total = added()
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *map(pa.array, total)], ["h", "n", *names])
+
+    sums = sample.select("text", "weight", *[f"y{i}" for i in range(categories)]).mapInArrow(counts, f"h long, n double, {', '.join(f'{c} double' for c in names)}")
+    sums = sums.groupBy("h").agg(*[F.sum(c).alias(c) for c in ("n", *names)]).filter(F.col("n") >= PRESENT)
+    found = []
     for i in range(categories):
-        best = exact.withColumn("x", far(i)).filter(F.col("x") >= CHI_SQUARE).orderBy(F.desc("x"), "h").limit(MAX_FEATURES).select("h").collect()
-        out.append(np.sort(np.array([r["h"] for r in best], dtype=np.int64).view(np.uint64)))
-    return out, sides
+        n_a, n_b = (float(sides[f"n{i}{v}"] or 0) for v in (1, 0))
+        if n_a and n_b:
+            a, b = F.col(f"c{2 * i}"), F.col(f"c{2 * i + 1}")
+            below = (a + b) * (F.lit(n_a + n_b) - a - b)
+            size = F.when(below > 0, F.abs(a * (F.lit(n_b) - b) - b * (F.lit(n_a) - a)) / F.sqrt(below)).otherwise(0.0)
+            found.append(sums.withColumn("x", size).filter("x > 0").orderBy(F.desc("x"), "h").limit(CANDIDATES).select("h"))
+    rows = reduce(DataFrame.union, found).distinct().collect() if found else []  # at most CANDIDATES per category
+    return np.sort(np.array([r["h"] for r in rows], dtype=np.int64).view(np.uint64))
+
+
+def counted(docs: DataFrame, marks: DataFrame, wanted: np.ndarray, categories: int) -> np.ndarray:
+    """Rows by [category, side (in, out), fold, feature] over all labelled documents; the last feature stands for every document.
+    Documents travel as lists of the candidates they hold."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)  # bounded by CANDIDATES
+    slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.col("doc_id").isNotNull())
+    kept = maybe(slim, F.xxhash64("doc_id"), marks.select(F.xxhash64("doc_id").alias("h")), "h", "__maybe").filter("__maybe").select("doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, limit=W.BLOCK_BYTES):
+            texts = texts_of(batch)
+            row, col = presence(texts, shared.value)
+            row, col = np.append(row, np.arange(len(texts))), np.append(col, np.full(len(texts), len(shared.value)))
+            order = np.argsort(row, kind="stable")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(folds(texts)), list_array(col[order], np.bincount(row, minlength=len(texts)), pa.int32())], ["doc_id", "fold", "x"])
+
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    lists = kept.mapInArrow(run, f"doc_id {kind}, fold int, x array<int>").join(marks, "doc_id")
+    names = [(i, v) for i in range(categories) for v in (1, 0)]
+    sums = lists.select("fold", F.explode("x").alias("x"), *[(F.col(f"y{i}") == v).cast("long").alias(f"c{i}{v}") for i, v in names]).groupBy("fold", "x").agg(*[F.sum(f"c{i}{v}").alias(f"c{i}{v}") for i, v in names])
+    out = np.zeros((categories, 2, FOLDS, len(wanted) + 1))
+    for r in sums.collect():  # at most FOLDS rows per candidate
+        for i, v in names:
+            out[i, 1 - v, r["fold"], r["x"]] = r[f"c{i}{v}"] or 0
+    return out
+
+
+def strongest(counts: np.ndarray, rows: int) -> np.ndarray:
+    """Which features a model of so many training rows uses; ``counts`` by [side, feature], the last one for all rows."""
+    a, b = counts[0, :-1], counts[1, :-1]
+    size = np.where(a + b >= PRESENT, effect(a, b, counts[0, -1], counts[1, -1]), 0.0)
+    best = np.argsort(-size, kind="stable")[:min(MAX_FEATURES, max(MIN_FEATURES, rows // ROWS_PER_FEATURE))]
+    out = np.zeros(len(a), bool)
+    out[best[size[best] > 0]] = True
+    return out
 
 
 def presence(texts: list[bytes], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,63 +293,62 @@ def presence(texts: list[bytes], hashes: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def learn(docs: DataFrame, labels: DataFrame, chain=CHAIN, train_rows: int = TRAIN_ROWS) -> list[Link]:
-    """The chain, from labelled documents. A category without rows on both sides gets a constant model."""
+    """The chain, from labelled documents. A category without rows on both sides gets a constant model that rejects nothing."""
     small_batches(docs.sparkSession)
     categories = len(chain)
-    rows = checkpointed(labelled(docs, labels, chain))
-    wanted, sides = selected(rows, categories)
-    every = np.unique(np.concatenate(wanted))
-    share = min(1.0, train_rows / max(1, rows.count()))
-    part = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * share))
-    shared = docs.sparkSession.sparkContext.broadcast(every)
+    marks = marked(labels, chain)
+    sample = drawn(docs, marks, categories, train_rows)
+    wanted = candidates(sample, categories)
+    counts = counted(docs, marks, wanted, categories)
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    given = ["doc_id", "weight", *[f"y{i}" for i in range(categories)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, limit=W.BLOCK_BYTES):
-            texts, _ = texts_and_marks(batch, categories)
+            texts = texts_of(batch)
             row, col = presence(texts, shared.value)
             order = np.argsort(row, kind="stable")
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", *[f"y{i}" for i in range(categories)])]
-            yield pa.RecordBatch.from_arrays([*columns, list_array(col[order], np.bincount(row, minlength=len(texts)), pa.int32())], ["doc_id", *[f"y{i}" for i in range(categories)], "x"])
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in given]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(folds(texts)), list_array(col[order], np.bincount(row, minlength=len(texts)), pa.int32())], [*given, "fold", "x"])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    got = part.mapInArrow(run, f"doc_id {kind}, {', '.join(f'y{i} int' for i in range(categories))}, x array<int>")
-    got = got.repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id", "x").toArrow()  # bounded by train_rows and MAX_FEATURES
-    marks = {c: got.column(c).to_pandas().to_numpy(dtype=float, na_value=np.nan) for c in got.column_names if c not in ("doc_id", "x")}
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    got = sample.mapInArrow(run, f"doc_id {kind}, weight double, {', '.join(f'y{i} int' for i in range(categories))}, fold int, x array<int>")
+    got = got.repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id", "fold", "x").toArrow()  # bounded by train_rows and CANDIDATES
+    values = {c: got.column(c).to_pandas().to_numpy(dtype=float, na_value=np.nan) for c in got.column_names if c not in ("doc_id", "x")}
     lists = got.column("x").combine_chunks()
     row = np.repeat(np.arange(len(got)), np.diff(lists.offsets.to_numpy())).astype(np.int32)
     col = lists.flatten().to_numpy()
     del lists
-    n = len(got)
-    fold = np.arange(n) % FOLDS
+    n, fold, weight = len(got), values["fold"], values["weight"]
     links, earlier = [], np.zeros((n, 0))
     for i, (name, _) in enumerate(chain):
-        y = marks[f"y{i}"]
-        own = np.isin(every, wanted[i], assume_unique=True)
-        place = np.cumsum(own) - 1
-        used = own[col]
-        r_i, c_i, width = row[used], place[col[used]], int(own.sum())
-
-        def model(train: np.ndarray) -> np.ndarray:
-            """Coefficients fitted on the rows marked in ``train``."""
-            number = np.cumsum(train) - 1
-            inside = train[r_i]
-            w, e, b = fit(number[r_i[inside]], c_i[inside], width, earlier[train], y[train])
-            return np.concatenate([w, e, [b]])
-
+        y = values[f"y{i}"]
         known = ~np.isnan(y)
-        if not known.any() or min(sides[i]) == 0:
-            level = logit(np.array([sides[i][0] / max(1, sum(sides[i]))]))[0]
-            links.append(Link(name, np.zeros(0, np.uint64), np.zeros(0), np.zeros(earlier.shape[1]), float(level)))
+
+        def model(train: np.ndarray, use: np.ndarray) -> np.ndarray:
+            """Coefficients by candidate, 0 where it is not used, of the earlier links, and the intercept, fitted on the rows marked in ``train``."""
+            number, place = np.cumsum(train) - 1, np.cumsum(use) - 1
+            inside = train[row] & use[col]
+            w, e, b = fit(number[row[inside]], place[col[inside]], int(use.sum()), earlier[train], y[train], weight[train])
+            full = np.zeros(len(wanted))
+            full[use] = w
+            return np.concatenate([full, e, [b]])
+
+        parts = [known & (fold != k) for k in range(FOLDS)]
+        if not all(0 < y[part].sum() < part.sum() for part in (known, *parts)):
+            total = counts[i, :, :, -1].sum(axis=1)
+            level = logit(np.array([total[0] / max(1, total.sum())]))[0]
+            links.append(Link(name, np.zeros(0, np.uint64), np.zeros(0), np.zeros(earlier.shape[1]), float(level), NEVER))
             earlier = np.column_stack([earlier, np.full(n, level)])
             continue
-        theta = model(known)
-        links.append(Link(name, every[own], theta[:width], theta[width:-1], float(theta[-1])))
+        use = strongest(counts[i].sum(axis=1), int(known.sum()))
+        theta = model(known, use)
+        links.append(Link(name, wanted[use], theta[:len(wanted)][use], theta[len(wanted):-1], float(theta[-1])))
         out = np.zeros(n)
-        for k in range(FOLDS):
-            inside = known & (fold != k)
-            if inside.any():
-                out[fold == k] = sigmoid(score(r_i, c_i, n, earlier, model(inside), width))[fold == k]
-        links[-1].threshold = best_threshold(out[known], y[known])
+        for k, part in enumerate(parts):
+            others = strongest(np.delete(counts[i], k, axis=1).sum(axis=1), int(part.sum()))
+            out[fold == k] = sigmoid(score(row, col, n, earlier, model(part, others), len(wanted)))[fold == k]
+        links[-1].threshold = safe_threshold(out[known], y[known], weight[known])
         earlier = np.column_stack([earlier, logit(out)])
     return links
 
@@ -303,7 +368,7 @@ def predict(docs: DataFrame, links: list[Link], key: str = "doc_id", text: str =
             w[np.searchsorted(every, link.hashes)] = link.weights
             weights.append(w)
         for batch in pieces(batches, limit=W.BLOCK_BYTES):
-            texts = [x.as_buffer().to_pybytes() for x in batch.column(1)]
+            texts = texts_of(batch)
             row, col = presence(texts, every)
             earlier = np.zeros((len(texts), 0))
             out = []
@@ -319,7 +384,7 @@ def predict(docs: DataFrame, links: list[Link], key: str = "doc_id", text: str =
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, p_quality, p_toxic, kept) of every row of ``docs``; p_quality is the probability of low quality.
 
-    Without a label on both sides nothing is rejected on its account: the model is then the constant share.
+    Without labels on both sides, or where they cannot be told apart, nothing is rejected. Rows that share an id share its label.
     """
     links = learn(docs, labels)
     limit = next(link.threshold for link in links if link.name == REJECT)
