@@ -18,25 +18,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import words as W
-from plumbline.llm.base import list_array, pieces, small_batches
+from plumbline.llm.base import Scratch, list_array, pieces, small_batches
 from plumbline.llm.bitmaps import within, without
 from plumbline.operators.components import components
 from plumbline.session import checkpointed
 
 WIDTH = 5
 SIMILARITY = 0.8
-#: 40 keys of 6 coordinates: a pair of similarity 0.8 shares no key with a probability of 5e-6.
-ROWS, KEYS = 6, 40
+#: 30 keys of 5 coordinates: a pair of similarity 0.8 shares no key with a probability of 7e-6.
+ROWS, KEYS = 5, 30
 #: Ranks below 2 ** FIRST form the first band; each further band doubles the rank.
 FIRST = -6
 #: Shingles that one block of darts is thrown for.
 BLOCK = 400_000
-#: A pair is verified exactly when the share of equal coordinates is at least this; 0.8 shows as less with 1e-9.
-ESTIMATE = 0.65
+#: A pair is verified exactly when the share of equal coordinates is at least this; 0.8 shows as less with 2e-8.
+ESTIMATE = 0.62
+#: Area that the darts of one draw fall into; a larger one is drawn part by part.
+AREA = 256.0
 #: Turns in which documents outside a key's largest class are compared with members of it, and members that a key offers.
 TURNS, HUBS = 2, 4
-#: Documents at home in one chunk of a shared key.
-CHUNK = 1_000
+#: Documents, and shingles of documents, at home in one chunk of a shared key.
+CHUNK, CHUNK_SHINGLES = 1_000, 1_000_000
 
 
 @lru_cache(maxsize=64)
@@ -73,21 +75,25 @@ def throw(elements: np.ndarray, owner: np.ndarray, weights: np.ndarray | None, d
                 e_s, o_s, w_s = e[wide], o[wide], weights[live][wide]
             else:
                 e_s, o_s, w_s = e, o, None if weights is None else weights[live]
-            seed = W.mix(e_s + np.uint64((band * 64 + s) * 0x51_7CC1 + 1))
-            count = np.searchsorted(dart_counts((right - left) * (high - low)), (seed >> np.uint64(11)).astype(np.float64) * 2.0 ** -53, side="right")
-            hit = np.flatnonzero(count)
-            n = count[hit]
-            number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            dart = W.mix(np.repeat(seed[hit], n) ^ W.mix(number.astype(np.uint64) + np.uint64(0x1234_5678_9ABC)))
-            who = np.repeat(o_s[hit], n)
-            if w_s is not None:  # a dart counts when it falls within the weight
-                across = left + (right - left) * (W.mix(dart + np.uint64(77)) >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
-                inside = across < np.repeat(w_s[hit], n)
-                dart, who = dart[inside], who[inside]
-            coordinate = (W.mix(dart + np.uint64(13)) % np.uint64(size)).astype(np.int64)
-            # The band and the place within it order the ranks; the same number tells darts apart.
-            rank = np.uint64(band) << np.uint64(58) | dart >> np.uint64(6)
-            np.minimum.at(signature, who * size + coordinate, rank)
+            area = (right - left) * (high - low)
+            for part in range(max(1, int(np.ceil(area / AREA)))):
+                seed = W.mix(e_s + np.uint64((band * 64 + s) * 0x51_7CC1 + 1))
+                if part:
+                    seed = W.mix(seed + np.uint64(part))
+                count = np.searchsorted(dart_counts(min(AREA, area - part * AREA)), (seed >> np.uint64(11)).astype(np.float64) * 2.0 ** -53, side="right")
+                hit = np.flatnonzero(count)
+                n = count[hit]
+                number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                dart = W.mix(np.repeat(seed[hit], n) ^ W.mix(number.astype(np.uint64) + np.uint64(0x1234_5678_9ABC)))
+                who = np.repeat(o_s[hit], n)
+                if w_s is not None:  # a dart counts when it falls within the weight
+                    across = left + (right - left) * (W.mix(dart + np.uint64(77)) >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
+                    inside = across < np.repeat(w_s[hit], n)
+                    dart, who = dart[inside], who[inside]
+                coordinate = (W.mix(dart + np.uint64(13)) % np.uint64(size)).astype(np.int64)
+                # The band and the place within it order the ranks; the same number tells darts apart.
+                rank = np.uint64(band) << np.uint64(58) | dart >> np.uint64(6)
+                np.minimum.at(signature, who * size + coordinate, rank)
         open_ &= (signature.reshape(documents, size) == none).any(axis=1)
         band, low = band + 1, high
     return signature.reshape(documents, size)
@@ -223,62 +229,156 @@ def hub_pairs(meets: DataFrame, group: DataFrame, turn: int) -> DataFrame:
 
 
 def crossing(mixed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a key and are promising. ``mixed``: h, id, component, sketch.
+    """(h, place, own, chunk, visit, lead, id, component, ...): the documents of every key, cut into chunks that are held whole.
 
-    A key's documents are cut into chunks by a hash; each chunk meets all later ones as they stream by, so a task holds
-    one chunk whatever the size of the group.
+    ``mixed`` has h, place, id, component, size and more. A document stays in its own chunk; one outside the largest class of its
+    key also visits the other chunks. So any two of different components meet in a chunk that one of them is at home in, and a
+    large class travels once however many documents are compared with it.
     """
-    sizes = mixed.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    rows = (mixed.join(sizes, "h").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks").cast("long")).cast("int"))
-            .withColumn("chunk", F.explode(F.sequence("own", F.col("chunks") - 1))).withColumn("visit", F.col("own") != F.col("chunk"))
-            .repartition("h", "chunk").sortWithinPartitions("h", "chunk", "visit").select("h", "chunk", "visit", "id", "component", "sketch"))
-
+    parts = mixed.groupBy("h", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
+    sizes = parts.groupBy("h").agg(F.max_by("component", F.struct("n", "component")).alias("largest"),
+                                   F.ceil(F.greatest(F.sum("n") / CHUNK, F.sum("s") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
+    rows = mixed.join(sizes, "h").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks").cast("long")).cast("int")).withColumn("lead", F.col("component") == F.col("largest"))
+    return (rows.withColumn("chunk", F.explode(F.when(F.col("lead"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))))
+            .drop("largest", "chunks").withColumn("visit", F.col("own") != F.col("chunk")).repartition("h", "chunk").sortWithinPartitions("h", "chunk", "visit"))
+
+
+class Homes:
+    """The documents at home in one chunk, and what is compared with them."""
+
+    def __init__(self, place: int):
+        self.place, self.parts, self.own, self.root = place, [], 0, {}
+
+    def add(self, part: pa.RecordBatch) -> None:
+        """More documents, in ascending order of arrival; they are numbered on."""
+        self.parts.append(part)
+        self.group = np.concatenate([p.column("component").to_numpy() for p in self.parts])
+        self.lead = np.concatenate([np.asarray(p.column("lead")) for p in self.parts])
+        self.sketch, self.marks = (np.concatenate([f(p) for p in self.parts]) for f in (sketches_of, marks_of))
+        self.id = np.concatenate([p.column("id").to_numpy() for p in self.parts])
+        if "set" in part.schema.names:
+            self.set, self.n = ([x for p in self.parts for x in lists_of(p, c)] for c in ("set", "n"))
+            self.total = np.array([x.sum() for x in self.n])
+        self.own = len(self.id)
+
+    def top(self, component: int) -> int:
+        while (up := self.root.get(component, component)) != component:
+            component = up
+        return component
+
+    def near(self, sketch: np.ndarray, marks: np.ndarray, component: int, before: int, visits: bool, own: int, chunk: int) -> np.ndarray:
+        """Numbers, below ``before``, of the promising documents of other components that share no earlier key. Of two that visit
+        each other's chunks the one of the greater chunk number is the visitor."""
+        other = self.group[:before] != component
+        if visits and own < chunk:
+            other &= self.lead[:before]
+        at = np.flatnonzero(other)
+        at = at[estimate((self.sketch[at] == sketch).mean(axis=1)) >= ESTIMATE]
+        return at[~(self.marks[at, :self.place] == marks[:self.place]).any(axis=1)]
+
+
+def sketches_of(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+
+
+def marks_of(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack(lists_of(batch, "marks"))
+
+
+def lists_of(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
+    column = batch.column(name)
+    cuts = column.offsets.to_numpy()
+    return np.split(column.values.to_numpy()[cuts[0]:cuts[-1]], cuts[1:-1] - cuts[0])
+
+
+def chunk_meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Homes, pa.RecordBatch, int, np.ndarray]]:
+    """(homes, batch, row, numbers of the homes that the row is to be compared with), chunk by chunk."""
+    now, homes = None, None
+    for batch in batches:
+        marks = list(zip(*(batch.column(c).to_pylist() for c in ("h", "chunk", "visit")), strict=True))
+        start = 0
+        while start < len(marks):
+            stop = start + 1
+            while stop < len(marks) and marks[stop] == marks[start]:
+                stop += 1
+            part = batch.slice(start, stop - start)
+            if marks[start][:2] != now:
+                now, homes = marks[start][:2], Homes(part.column("place")[0].as_py())
+            visits, before = marks[start][2], homes.own
+            if not visits:
+                homes.add(part)
+            if homes.own:
+                sketch, keys, group, own = sketches_of(part), marks_of(part), part.column("component").to_numpy(), part.column("own").to_numpy()
+                for r in range(part.num_rows):
+                    near = homes.near(sketch[r], keys[r], group[r], homes.own if visits else before + r, visits, own[r], now[1])
+                    if len(near):
+                        yield homes, part, r, near
+            start = stop
+
+
+def hopeful(met: DataFrame) -> DataFrame:
+    """(h, id) of the documents that have someone to be compared with; ``met`` as ``crossing`` returns it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, homes = None, []
-        for batch in batches:
-            marks = list(zip(*(batch.column(c).to_pylist() for c in ("h", "chunk", "visit")), strict=True))
-            start = 0
-            while start < len(marks):
-                stop = start + 1
-                while stop < len(marks) and marks[stop] == marks[start]:
-                    stop += 1
-                part = batch.slice(start, stop - start)
-                ids, group = part.column("id").to_numpy(), part.column("component").to_numpy()
-                sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
-                if marks[start][:2] != now:
-                    now, homes = marks[start][:2], []
-                if not marks[start][2]:
-                    homes.append((ids, group, sketch))
-                for ids_h, group_h, sketch_h in homes:
-                    for r in range(len(ids)):
-                        near = np.flatnonzero((group_h != group[r]) & (estimate((sketch_h == sketch[r]).mean(axis=1)) >= ESTIMATE))
-                        if len(near):
-                            a = np.full(len(near), ids[r])
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, ids_h[near])), pa.array(np.maximum(a, ids_h[near]))], ["a", "b"])
-                start = stop
+        for homes, part, r, near in chunk_meetings(batches):
+            h = part.column("h")[0].as_py()
+            new = [i for i in (*homes.id[near].tolist(), part.column("id")[r].as_py()) if i not in homes.root]
+            if new:
+                homes.root.update(dict.fromkeys(new))
+                yield pa.RecordBatch.from_arrays([pa.array([h] * len(new), pa.int64()), pa.array(new, pa.int64())], ["h", "id"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return met.select("h", "place", "own", "chunk", "visit", "lead", "id", "component", "sketch", "marks").mapInArrow(run, "h long, id long").distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, weighted: bool = False) -> DataFrame:
+def forest(met: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between components, found by exact comparison within each chunk: no more than join what meets there into trees,
+    so that rows stay in proportion to documents, though no alike pair is left apart."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for homes, part, r, near in chunk_meetings(batches):
+            component = int(part.column("component")[r].as_py())
+            here = homes.top(component)
+            near = near[[homes.top(c) != here for c in homes.group[near].tolist()]]
+            if not len(near):
+                continue
+            one = part.slice(r, 1)
+            own, weight = lists_of(one, "set")[0].view(np.uint64), lists_of(one, "n")[0]
+            lengths = np.array([len(homes.set[k]) for k in near])
+            flat, n = np.concatenate([homes.set[k] for k in near]).view(np.uint64), np.concatenate([homes.n[k] for k in near])
+            at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+            low = np.add.reduceat(np.where(own[at] == flat, np.minimum(weight[at], n), 0), np.cumsum(lengths) - lengths)
+            alike = near[low >= similarity * (homes.total[near] + weight.sum() - low) - 1e-9]
+            found = []
+            for k in alike.tolist():
+                a, b = homes.top(component), homes.top(int(homes.group[k]))
+                if a != b:
+                    homes.root[max(a, b)] = min(a, b)
+                    found.append(k)
+            if found:
+                i, ids = part.column("id")[r].as_py(), homes.id[found]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids, i)), pa.array(np.maximum(ids, i))], ["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, weighted: bool = False, rows: int = ROWS, keys: int = KEYS) -> DataFrame:
     """(key, class_id, kept) of every row: the least id of its class of near copies, and whether that is its own.
 
-    Texts are alike when their sets of five-word shingles (with ``weighted``: their counts) have a Jaccard similarity of
-    at least ``similarity``; equal texts always are. Classes are the connected components of alike texts. First every
-    document of a key is compared with the least id of that key, then those outside the key's largest class with a few
+    Texts are alike when their sets of five-word shingles (with ``weighted``: their counts, the sum of the lesser by the sum of the
+    greater) have a Jaccard similarity of at least ``similarity``; equal texts always are. Classes are the connected components of
+    alike texts. First every document is compared with the least id of one of its keys, then documents outside a key's largest class with a few
     members of it, chosen by hash, which settles large groups in linear work; at last all documents that share a key but
-    not yet a class are compared with each other.
+    not yet a class are compared with each other, chunk by chunk.
 
     A null text is a class of its own; texts without words are alike only when equal. Rows that share an id are one
     document. A null id has a null class and is kept. An empty table gives an empty result.
     """
     docs = docs.select(F.col(key).cast("long").alias(key), text)
-    signed = checkpointed(signatures(docs, key, text, weighted))
-    classes = checkpointed(signed.groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
-    keyed = classes.select("id", F.explode("keys").alias("h"))
-    shared = keyed.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least != most")
-    meets = checkpointed(keyed.join(shared, "h").select("h", "id", "least"))
-    direct = meets.filter("id != least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    scratch = Scratch(docs.sparkSession)
+    signed = signatures(docs, key, text, weighted, rows, keys)
+    classes = scratch.keep(signed.groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+    keyed = classes.select("id", F.posexplode("keys").alias("place", "h"))
+    shared = keyed.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least != most").select("h", "least")
+    meets = scratch.keep(keyed.join(shared, "h").select("h", "place", "id", "least"))
+    direct = meets.filter("id != least").groupBy(F.col("id").alias("b")).agg(F.min("least").alias("a")).select("a", "b")
     links = checkpointed(verified(promising(direct, classes), docs, key, text, weighted, similarity))
     nodes = meets.select("id").distinct()
     group = checkpointed(components(nodes, links))
@@ -288,15 +388,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
             break
         links = checkpointed(links.unionByName(more))
         group = checkpointed(components(nodes, links))
-    grouped = meets.select("h", "id").join(group, "id")
-    mixed = grouped.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("h")
-    rows = grouped.join(mixed, "h", "left_semi").join(classes.select("id", "sketch"), "id")
-    more = checkpointed(verified(crossing(rows), docs, key, text, weighted, similarity))
+    grouped = meets.select("h", "place", "id").join(group, "id")
+    several = grouped.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("h")
+    mixed = scratch.keep(grouped.join(several, "h", "left_semi"))
+    signs = classes.select("id", "sketch", F.transform("keys", lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")).alias("marks"))
+    near = scratch.keep(hopeful(crossing(mixed.join(signs, "id").withColumn("size", F.lit(0)))))
+    sets = scratch.keep(shingle_sets(within(docs.select(key, text), near.select(F.col("id").alias(key)).distinct(), key), key, text, weighted).dropDuplicates(["id"]))
+    full = mixed.join(near, ["h", "id"], "left_semi").join(signs, "id").join(sets, "id").withColumn("size", F.size("set"))
+    more = checkpointed(forest(crossing(full), similarity))
     if not more.isEmpty():
         group = checkpointed(components(nodes, links.unionByName(more)))
-    of_text = classes.join(group, "id", "left").select("digest", F.coalesce("component", F.col("id")).alias("class_id"))
+    of_text = classes.select("id", "digest").join(group, "id", "left").select("digest", F.coalesce("component", F.col("id")).alias("class_id"))
     # The same id under several texts joins their classes.
-    of_id = signed.select("id", "digest").join(of_text, "digest").groupBy("id").agg(F.min("class_id").alias("class_id"))
+    names = docs.select(F.col(key).alias("id"), F.md5(text).alias("digest")).filter("id is not null and digest is not null")
+    of_id = names.join(of_text, "digest").groupBy("id").agg(F.min("class_id").alias("class_id"))
     return (docs.select(key).join(of_id.withColumnRenamed("id", key), key, "left")
             .select(key, F.coalesce("class_id", F.col(key)).alias("class_id")).withColumn("kept", F.coalesce(F.col(key) == F.col("class_id"), F.lit(True))))
 
