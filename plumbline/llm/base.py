@@ -14,8 +14,8 @@ from plumbline.session import checkpoint_folder
 
 #: Characters of text that a Python task works on at a time; a longer text is worked on alone.
 BATCH_CHARS = 3_000_000
-#: Rows in an Arrow batch; with texts of up to 100 kB a batch stays in the tens of megabytes.
-BATCH_ROWS = 512
+#: Rows and bytes in an Arrow batch, whichever is reached first.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -25,6 +25,7 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches that go to Python tasks; texts are long, so rows alone are no bound."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:

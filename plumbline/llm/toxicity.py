@@ -228,7 +228,7 @@ def candidates(sample: DataFrame, categories: int) -> np.ndarray:
             h, o = features(texts_of(batch))
             y, weight = marks_of(batch, categories), batch.column(batch.schema.get_field_index("weight")).to_numpy()
             held.append((h, np.stack([np.ones(len(h)), *[(y[i][o] == v) * weight[o] for i in range(categories) for v in (1, 0)]])))
-            if sum(len(h) for h, _ in held[1:]) > 400_000:
+            if sum(len(h) for h, _ in held[1:]) > 150_000:
                 held = [added()]
         if held:
             h, total = added()

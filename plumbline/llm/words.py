@@ -13,7 +13,7 @@ import numpy as np
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Texts are worked on in blocks of about this many bytes; the arrays take some forty bytes for each.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 500_000
 
 _byte = np.arange(256)
 DIGIT = (_byte >= 48) & (_byte <= 57)
