@@ -7,8 +7,6 @@ chunks, so a session that holds most of the points is shared out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +14,7 @@ from pyspark.sql import functions as F
 from plumbline.operators.anomaly import Prepared, isolation_forest
 from plumbline.plans.primitives import chunked
 from plumbline.session import checkpointed
+from plumbline.streaming.ordered import Fold, fold_stream
 
 CHUNK = 250_000
 TINY = 1e-10
@@ -60,29 +59,27 @@ ALERT = "session string, event_id long, ts timestamp, value double, score double
 
 
 def keyed_stream(pts: DataFrame, advance, fresh, state_schema: str, lateness: str, idle_ms: int) -> DataFrame:
-    """Stateful pass over a stream of points; a session idle for ``idle_ms``
-    of event time is forgotten."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        current = list(state.get) if state.exists else fresh()
-        pdf = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+    """Stateful pass over a stream of points, in event order however they
+    arrive; a session idle for ``idle_ms`` of event time is forgotten."""
+    def fold(state: tuple | None, pdf: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        current = list(state) if state is not None else fresh()
         scores, hits = [], []
         for v in pdf["value"]:
             current, score, hit = advance(current, float(v))
-            scores.append(score)
-            hits.append(hit)
-        state.update(tuple(current))
-        until = int(pdf["ts"].max().timestamp() * 1000) + idle_ms
-        if until > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(until)
-        yield pdf.assign(score=scores, is_anomaly=hits)[["session", "event_id", "ts", "value", "score", "is_anomaly"]]
-
-    return pts.withWatermark("ts", lateness).groupBy("session").applyInPandasWithState(
-        update, ALERT, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+            scores.append(float(score))
+            hits.append(bool(hit))
+        return tuple(current), pd.DataFrame({"event_id": pdf["event_id"], "t": pdf["t_us"], "value": pdf["value"], "score": scores, "is_anomaly": hits})
+
+    return alert_stream(pts, Fold(state_schema, "event_id long, t long, value double, score double, is_anomaly boolean", fold, idle_ms), lateness)
+
+
+def alert_stream(pts: DataFrame, fold: Fold, lateness: str) -> DataFrame:
+    """A fold over points as a stream of judged points; the fold's ``t`` becomes the time."""
+    told = fold_stream(pts.withColumnsRenamed({"session": "key", "ts": "event_time"}), fold, lateness)
+    rest = [c for c in told.columns if c not in ("key", "event_id", "t")]
+    out = told.select(F.col("key").alias("session"), "event_id", F.timestamp_micros("t").alias("ts"), *rest)
+    out.closing = told.closing
+    return out
 
 
 def rolling_zscore_stream(pts: DataFrame, window: int = 100, threshold: float = 3.0, lateness: str = "10 minutes",

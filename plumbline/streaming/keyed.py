@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.plans.primitives import ordered_scan, rank_in_group
 from plumbline.streaming.automata import Automaton
+from plumbline.streaming.ordered import MOST_IDLE_MS, Fold, fold_stream
 
 
 def prepared(events: DataFrame, key: Column, ts: str, event_id: str) -> DataFrame:
@@ -49,36 +50,21 @@ def decide(events: DataFrame, key: Column, ts: str, event_id: str, automaton: Au
 
 
 def decide_stream(events: DataFrame, key: Column, ts: str, event_id: str, automaton: Automaton, lateness: str = "10 minutes") -> DataFrame:
-    """The same decisions on a stream. State per key is the automaton's few
-    numbers; it expires when it no longer matters. Events of one micro-batch
-    are put in time order; rows later than the watermark are dropped."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    rows = (events.withColumn("event_time", F.col(ts).cast("timestamp")).withWatermark("event_time", lateness)
-            .select(key.cast("string").alias("key"), F.col(event_id).alias("event_id"), "event_time",
-                    (F.unix_micros("event_time") / F.lit(1e6)).alias("t")))
-    step, reset, n = automaton.step, automaton.reset, len(automaton.fields)
-
-    def update(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        current = tuple(state.get) if state.exists else None
-        pdf = pd.concat(list(frames)).sort_values(["t", "event_id"])
-        passed = []
-        for t in pdf["t"]:
-            current, ok = step(current, t)
-            passed.append(ok)
-        state.update(tuple(float(v) for v in current))
-        until = int((pdf["t"].max() + reset) * 1000) + 1
-        if until > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(until)
-        yield pd.DataFrame({"key": pdf["key"], "event_id": pdf["event_id"], "t": pdf["t"], "passed": passed})
+    """The same decisions on a stream, in event order however rows arrive: a decision is told once the watermark has passed its
+    event. State per key is the automaton's few numbers beside the rows that wait; it is forgotten when it no longer matters."""
+    rows = events.select(key.cast("string").alias("key"), F.col(event_id).alias("event_id"), F.col(ts).cast("timestamp").alias("event_time"))
+    step, n = automaton.step, len(automaton.fields)
+
+    def advance(state: tuple | None, pdf: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        passed, times = [], pdf["t_us"] / 1e6
+        for t in times:
+            state, ok = step(state, t)
+            passed.append(bool(ok))
+        return tuple(float(v) for v in state), pd.DataFrame({"event_id": pdf["event_id"], "t": times, "passed": passed})
 
     kind = rows.schema["event_id"].dataType.simpleString()
-    return rows.groupBy("key").applyInPandasWithState(
-        update, f"key string, event_id {kind}, t double, passed boolean",
-        ", ".join(f"s{i} double" for i in range(n)), "append", GroupStateTimeout.EventTimeTimeout)
+    idle = int(min(automaton.reset * 1000, MOST_IDLE_MS)) + 1
+    return fold_stream(rows, Fold(", ".join(f"s{i} double" for i in range(n)), f"event_id {kind}, t double, passed boolean", advance, idle), lateness)
 
 
 # -- batch forms that need no Python ----------------------------------------
