@@ -3,13 +3,13 @@ their end over the same events."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.catalog.base import register, table
 from plumbline.streaming import automata as A
 from plumbline.streaming import detectors as D
-from plumbline.streaming import jobs, keyed
+from plumbline.streaming import forests, jobs, keyed
 
 USER, TYPE = "user_id", "event_type"
 
@@ -144,5 +144,36 @@ def forest(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema("id long, score double, epoch long").parquet(f"{folder}/alerts").groupBy("epoch").agg(F.count(F.lit(1)).alias("alerts"))
 
 
-for part in (dedup_queries, throttle_queries, escalation_queries, detector_queries):
+# Every 89th event is moved far away, each to a place of its own.
+PLANTED = "event_id % 89 = 7"
+
+
+def planted(df: DataFrame) -> DataFrame:
+    far = F.when(F.expr(PLANTED), 1e6 * (1 + F.col("event_id"))).otherwise(F.col("value"))
+    return forests.wide_points(df.withColumn("moved", far), TYPE, "ts", "event_id", ["moved", "value"])
+
+
+def caught(spark: SparkSession, sf: str, kind: forests.Turning) -> DataFrame:
+    """Per session: points, planted ones behind the first window and how many of them were found, and the points that stream and batch judge
+    differently."""
+    batch = forests.as_batch(planted(events(spark, sf)), kind)
+    live = jobs.drain(forests.as_stream(planted(stream(spark, sf)), kind)).select(F.col("session").alias("s"), F.col("event_id").alias("e"), F.col("score").alias("live"))
+    both = batch.join(live, (F.col("session") == F.col("s")) & (F.col("event_id") == F.col("e")), "full").withColumn(
+        "nth", F.row_number().over(Window.partitionBy("session").orderBy("ts", "event_id")))
+    late = F.expr(PLANTED) & (F.col("nth") > kind.back)
+    return both.groupBy("session").agg(F.count("event_id").alias("points"), F.count_if(late).alias("planted"), F.count_if(late & F.col("is_anomaly")).alias("found"),
+                                       F.count_if(~F.col("score").eqNullSafe(F.col("live"))).alias("different"))
+
+
+def turning_queries() -> None:
+    for name, kind in (("windowed_forest", forests.windowed_forest(50, 0.15, 30)), ("half_space_mass", forests.half_space_trees(50, 0.7, 15, 6)), ("random_cuts", forests.robust_random_cut_forest(40, 0.2, 6, 160))):
+        seen = f"(select *, row_number() over (partition by event_type order by ts, event_id) > {kind.back} as late from events) e"
+        register(f"stream_{name}", lambda s, d, kind=kind: caught(s, d, kind),
+                 f"select event_type as session, count(*) as points, count(*) filter (where late and {PLANTED}) as planted, count(*) filter (where late and {PLANTED}) as found, 0::bigint as different from {seen} group by 1")
+    register("stream_rolling_columns", lambda s, d: forests.rolling_columns(events(s, d).withColumn("double_value", F.col("value") * 2), TYPE, "ts", "event_id", ["value", "double_value"], 50, 2.0)
+             .filter("is_anomaly").select("session", "event_id", F.round("score", 4).alias("score"), F.size("anomaly_columns").alias("columns"), F.size("details").alias("judged")),
+             f"select session, event_id, round(score, 4) as score, 2::int as columns, 2::int as judged from {ROLLING} where score > 2.0")
+
+
+for part in (dedup_queries, throttle_queries, escalation_queries, detector_queries, turning_queries):
     part()

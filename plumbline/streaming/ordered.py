@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,7 +65,7 @@ class InEventOrder(StatefulProcessor):
             first, nth = int(part["t_us"].iloc[0]), 0
             while self.pages.containsKey((first, nth)):
                 nth += 1
-            self.pages.updateValue((first, nth), tuple(part[c].tolist() for c, _ in self.columns))
+            self.pages.updateValue((first, nth), tuple([v.tolist() if isinstance(v, np.ndarray) else v for v in part[c].tolist()] for c, _ in self.columns))
 
     def wake(self, state: Any, at: int | None) -> None:
         """Move the timer that ``state`` names."""
