@@ -370,19 +370,41 @@ def results(df: DataFrame, planned: Sequence[Planned]) -> DataFrame:
     return out
 
 
-def settled(df: DataFrame, planned: Sequence[Planned]) -> DataFrame:
-    """The results as a table of known rows (one per check and column); if they fail together, each check runs alone."""
+#: Categories whose checks take strings as they are.
+TEXT_CATEGORIES = {"completeness", "uniqueness", "string", "schema", "table", "referential", "cross_table"}
+#: Parts of the names of parameters that hold an expression of the caller.
+EXPRESSIONS = ("expression", "filter", "condition", "query", "when", "where", "formula", "assertion")
+
+
+def may_fail(df: DataFrame, item: Planned) -> bool:
+    """Whether the data can make a planned check fail: it evaluates an expression of the caller, comes from outside the
+    library, or reads text columns as anything but text (a number in a parameter, a numeric statistic)."""
+    if item.spec is None or not item.spec.fn.__module__.startswith("plumbline."):
+        return item.error is None
+    if item.error is not None:
+        return False
+    params = item.config.params
+    if any(part in name for name, v in params.items() if v for part in EXPRESSIONS):
+        return True
+    given = [x for v in params.values() for x in (v if isinstance(v, (list, tuple, set)) else [v])]
+    sure = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    texts = [f.name for f in df.schema if f.name in given and not isinstance(f.dataType, sure)]
+    other = [x for x in given if not (isinstance(x, str) and x in df.columns)]
+    return bool(texts) and item.spec.category not in TEXT_CATEGORIES and (
+        item.spec.category != "distribution" or any(not isinstance(x, str) for x in other))
+
+
+def settled(df: DataFrame, planned: Sequence[Planned]) -> list[Any]:
+    """The result rows of checks that the data can make fail. They run together; if that fails, by halves, so that one failing check
+    costs a few scans and not one for each of the others."""
     try:
-        rows = results(df, planned).collect()
-    except PySparkException:
-        rows = []
-        for item in planned:
-            try:
-                rows += results(df, [item]).collect()
-            except PySparkException as exc:
-                item.error = _short(exc)
-                rows += results(df, [item]).collect()
-    return df.sparkSession.createDataFrame(rows, RESULT_SCHEMA)
+        return results(df, planned).collect()
+    except PySparkException as exc:
+        if len(planned) > 1:
+            half = len(planned) // 2
+            return settled(df, planned[:half]) + settled(df, planned[half:])
+        planned[0].error = _short(exc)
+        return results(df, planned).collect()
 
 
 def run(df: DataFrame, configs: Sequence[CheckConfig], refs: dict[str, DataFrame] | None = None,
@@ -390,13 +412,18 @@ def run(df: DataFrame, configs: Sequence[CheckConfig], refs: dict[str, DataFrame
         catch_exceptions: bool = True) -> DataFrame:
     """Check a table. One row per check (and column); see RESULT_SCHEMA.
 
-    With ``catch_exceptions`` the checks run at once, and one that fails on the data (a division by zero in a user's
-    expression, say) becomes an ``error`` row beside the results of the others. Without it the result is lazy and
-    errors are raised.
+    The result is lazy. With ``catch_exceptions``, checks that the data can make fail (a division by zero in a user's
+    expression, say) run at once in a scan of their own, and one that does fail becomes an ``error`` row beside the results of
+    the others. Without it errors are raised.
     """
     planned = plan(df, configs, refs, as_of)
     if catch_exceptions:
-        out = settled(df, planned)
+        risky = [i for i in planned if may_fail(df, i)]
+        sure = [i for i in planned if not any(i is r for r in risky)]
+        out = results(df, sure) if sure or not risky else None
+        if risky:
+            known = df.sparkSession.createDataFrame(settled(df, risky), RESULT_SCHEMA)
+            out = known if out is None else out.unionByName(known)
     else:
         out = results(df, planned)
         for item in planned:
