@@ -30,7 +30,7 @@ def test_exact_reparameterised_and_inconsistent(spark):
     docs = [(1, f"Some text before. {ITEM}. And after it."), (2, f"intro words\n{renamed}\nmore"), (3, f"intro words\n{mixed}\nmore"), (4, half + " and goes elsewhere from here on without a question"),
             (5, "nothing of this kind at all in these plain words"), (6, None), (7, ""), (8, ITEM.upper()), (9, "pad " * 5_000 + ITEM + " pad" * 5_000)]
     got = {r.doc_id: r for r in decontaminate.report(frame(spark, docs), bench(spark, [(11, ITEM), (12, "too short"), (13, None), (14, ""), (15, "1 2 3 4 5 6 7 8")])).collect()}
-    assert {i: r.item_ids for i, r in got.items() if not r.kept} == {1: [11], 2: [11], 9: [11]}
+    assert {i: r.item_ids for i, r in got.items() if not r.kept} == {1: [11], 2: [11], 8: [11], 9: [11]}
     assert got[1].consistency == 1.0 and got[2].consistency == 1.0 and got[4].kept and got[3].kept and len(got) == 9
     found = {r.doc_id: r for r in decontaminate.matches(frame(spark, docs), bench(spark, [(11, ITEM)])).collect()}
     assert found[1].literal and not found[2].literal and found[3].consistency < decontaminate.CONSISTENT
