@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from ctypes import CDLL
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,16 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
-    """Batches cut where their texts exceed ``limit`` bytes. Every row comes once."""
+    """Batches cut where their texts exceed ``limit`` bytes. Every row comes once. At the end the memory that the task has freed
+    goes back to the system, as the worker may wait long for its next task."""
+    yield from _pieces(batches, text, limit)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim:
+        trim(0)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(text))
         sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0))
