@@ -59,19 +59,97 @@ def levels(ids: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
 
 
 def cycle_members(edges: DataFrame) -> DataFrame:
-    """(id): nodes that reach themselves, for nodes of several parents. Nodes without a way in or out are peeled off
-    (one round per level); of the rest, which lie on or between cycles, the reach is closed by doubling."""
+    """(id): nodes on a cycle, for nodes of several parents, ``edges`` (id, up) being distinct.
+
+    The graph is shrunk first: in turns, nodes without a way in or out are peeled off, and stretches of nodes with one way in and one way
+    out become one edge, found by pointer doubling, so a tree or a ring of n nodes is gone after some log2(n) joins. What is
+    left are the nodes where ways part or meet; its strongly connected parts tell which edges, and so which stretches, lie on
+    a cycle. Rows stay in proportion to the edges throughout.
+    """
+    left, belongs, rings, turn = edges.select("id", "up", F.lit(None).cast("string").alias("stretch")), [], [], 0
     n = -1
-    while (left := edges.count()) != n:
-        n = left
-        edges = edges.join(edges.select(F.col("id").alias("up")).distinct(), "up", "left_semi")
-        edges = checkpointed(edges.join(edges.select(F.col("up").alias("id")).distinct(), "id", "left_semi").select("id", "up"))
-    reach, n = edges, -1
-    while (found := reach.count()) != n:
-        n = found
-        further = reach.select("id", F.col("up").alias("mid")).join(reach.select(F.col("id").alias("mid"), "up"), "mid").select("id", "up")
-        reach = checkpointed(reach.unionByName(further).distinct())
-    return reach.filter("id = up").select("id")
+    while (m := left.count()) != n:
+        n = m
+        left = checkpointed(left.join(left.select(F.col("id").alias("up")).distinct(), "up", "left_semi"))
+        left = checkpointed(left.join(left.select(F.col("up").alias("id")).distinct(), "id", "left_semi").select("id", "up", "stretch"))
+        left, held, ring = contracted(left, turn)
+        belongs, rings, turn = belongs + held, rings + ring, turn + 1
+    part = strong_parts(left.select("id", "up").distinct())
+    ends = left.join(part.select("id", F.col("part").alias("a")), "id").join(part.select(F.col("id").alias("up"), F.col("part").alias("b")), "up").filter("a = b")
+    members = ends.select("id")
+    # Stretches of later turns hold nodes and stretches of earlier ones.
+    live = checkpointed(ends.filter("stretch is not null").select("stretch").distinct())
+    for held in reversed(belongs):
+        inside = checkpointed(held.join(live, "stretch", "left_semi"))
+        members = members.unionByName(inside.filter("id is not null").select("id"))
+        live = checkpointed(live.unionByName(inside.filter("inner is not null").select(F.col("inner").alias("stretch"))).distinct())
+    for ring in rings:
+        members = members.unionByName(ring)
+    return members.distinct()
+
+
+def contracted(edges: DataFrame, turn: int) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+    """Edges (id, up, stretch) with each stretch of nodes of one way in and one way out as one edge; what the new stretches hold, as
+    (id, inner, stretch): nodes and former stretches; and the nodes of rings that nothing leads into or out of."""
+    ways = edges.select(F.col("id").alias("v"), F.lit(1).alias("out"), F.lit(0).alias("in"), (F.col("id") == F.col("up")).cast("int").alias("loop")).unionByName(
+        edges.select(F.col("up").alias("v"), F.lit(0).alias("out"), F.lit(1).alias("in"), F.lit(0).alias("loop")))
+    inner = checkpointed(ways.groupBy("v").agg(F.sum("out").alias("out"), F.sum("in").alias("in"), F.sum("loop").alias("loop"))
+                         .filter("out = 1 and `in` = 1 and loop = 0").select("v"))
+    n = inner.count()
+    if not n:
+        return edges, [], []
+    on = edges.join(inner, F.col("id") == F.col("v")).select("id", "up", F.col("stretch").alias("inner"))
+    marked = inner.select(F.col("v").alias("jump"), F.lit(True).alias("more"))
+    # Whoever has reached the end of its stretch leaves the join; ``tail`` is the stretch's last node.
+    state = checkpointed(on.select("id", F.col("up").alias("jump"), F.col("id").alias("tail")).join(marked, "jump", "left"))
+    reach = 1
+    while reach < 2 * n and not state.filter("more").isEmpty():
+        ahead = state.select(F.col("id").alias("jump"), F.col("jump").alias("next"), F.col("tail").alias("last"), F.col("more").alias("on"))
+        moved = state.filter("more").join(ahead, "jump").select("id", F.col("next").alias("jump"), F.col("last").alias("tail"), F.col("on").alias("more"))
+        state = checkpointed(state.filter("more is null").select("id", "jump", "tail", "more").unionByName(moved))
+        reach *= 2
+    ended = state.filter("more is null").select("id", "jump", F.concat(F.lit(f"{turn}:"), F.col("tail").cast("string")).alias("name"))
+    ring = state.filter("more").select("id")
+    outside = edges.join(inner, F.col("id") == F.col("v"), "left_anti")
+    into = checkpointed(outside.join(ended.select(F.col("id").alias("up"), "jump", "name"), "up", "left"))
+    held = (on.join(ended, "id").select("id", "inner", F.col("name").alias("stretch"))
+            .unionByName(into.filter("name is not null and stretch is not null").select(F.lit(None).cast(edges.schema["id"].dataType).alias("id"), F.col("stretch").alias("inner"), F.col("name").alias("stretch"))))
+    fewer = into.select("id", F.coalesce("jump", F.col("up")).alias("up"), F.coalesce("name", F.col("stretch")).alias("stretch"))
+    return checkpointed(fewer), [checkpointed(held)], [checkpointed(ring)]
+
+
+def strong_parts(edges: DataFrame) -> DataFrame:
+    """(id, part): strongly connected parts of the graph of distinct ``edges`` (id, up), for nodes on a cycle only.
+
+    Rounds of forward colouring and backward reach: every node takes the greatest id that leads to it; the nodes of a colour that lead
+    back to the colour's own node are one part. Ways between colours can be on no cycle and go.
+    """
+    edges, parts = checkpointed(edges), []
+    while not edges.isEmpty():
+        colour = checkpointed(edges.select("id").union(edges.select("up")).distinct().withColumn("c", F.col("id")))
+        fresh = colour
+        while not fresh.isEmpty():  # only nodes whose colour has changed tell it on
+            told = edges.join(fresh, "id").groupBy("up").agg(F.max("c").alias("n")).withColumnRenamed("up", "id")
+            fresh = checkpointed(told.join(colour, "id").filter("n > c").select("id", F.col("n").alias("c")))
+            colour = checkpointed(colour.join(fresh.select("id", F.col("c").alias("n")), "id", "left").select("id", F.coalesce("n", "c").alias("c")))
+        inside = checkpointed(edges.join(colour, "id").join(colour.select(F.col("id").alias("up"), F.col("c").alias("d")), "up").filter("c = d").select("id", "up", "c"))
+        back = checkpointed(colour.filter("id = c"))
+        front = back
+        while not front.isEmpty():
+            came = inside.join(front.select(F.col("id").alias("up"), F.col("c").alias("d")), "up").filter("c = d").select("id", "c").distinct()
+            front = checkpointed(came.join(back.select("id"), "id", "left_anti"))
+            back = checkpointed(back.unionByName(front))
+        rest = inside.join(back.select("id"), "id", "left_anti").join(back.select(F.col("id").alias("up")), "up", "left_anti")
+        # A colour's node alone is on a cycle only if it leads to itself.
+        mine = inside.join(back.select("id"), "id", "left_semi").join(back.select(F.col("id").alias("up")), "up", "left_semi")
+        parts.append(checkpointed(mine.select("id", F.col("c").alias("part")).distinct()))
+        edges = checkpointed(rest.select("id", "up"))
+    if not parts:
+        return edges.select("id", F.col("up").alias("part"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def climb(df: DataFrame, node: Column, parent: Column, max_depth: int) -> DataFrame:
