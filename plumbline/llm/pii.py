@@ -2,7 +2,8 @@
 
 Base patterns find emails, ip addresses, card and phone numbers; those stay, each is one observed node of the field. So
 is every run of numbers joined by blanks, dots, hyphens and brackets, and every other token that carries a digit or an at
-sign. Neighbouring nodes share chain potentials, and equal or similar tokens anywhere in
+sign. The field has a kind of its own, secrets, and learns it and further phone numbers from weak sources: forms and key words in front, which
+are labels of the sample only and never of the documents judged. Neighbouring nodes share chain potentials, and equal or similar tokens anywhere in
 the document share skip potentials, so that a value recognised once is recognised where its form alone says too
 little. Loopy message passing over all documents of a batch at once gives the marginals.
 """
@@ -35,7 +36,7 @@ NOT_DIGITS = re.compile(r"[^0-9]+")
 RUN = re.compile(r"\+?\(?[0-9]++(?:[\x20().-]{1,3}+[0-9]++)++")
 GROUP = re.compile(r"[0-9]+")
 MARK = re.compile(r"[0-9@]\S*")
-EDGE = ".,;:!?\"'()[]{}<>|"
+EDGE = ".,;:!?\"'()[]{}<>|#$%&*"
 
 Span = tuple[str, int, int]
 
@@ -80,7 +81,15 @@ def base_spans(text: str) -> list[Span]:
 
 # ---- the field -------------------------------------------------------------------------------------------------------
 
-LABELS = ("none", *KINDS)
+#: Kinds that only the field adds, after the base kinds in every order.
+ADDED = ("secret",)
+LABELS = ("none", *KINDS, *ADDED)
+#: Weak sources: key words that stand in front of a secret, and a phone number's usual form with a prefix.
+KEY = re.compile(r"(?:token|secret|key|passwd|password|pwd|auth|bearer|credentials?)[\"']?\s*[:=]\s*[\"']?$", re.IGNORECASE)
+SECRET = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+NATIONAL = re.compile(r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![0-9])")
+#: Bits a character of a secret carries at least.
+ENTROPY = 2.8
 #: Hashed unary features.
 FEATURES = 1 << 12
 #: Training bound: so many documents, chosen by a hash of their text, and so many nodes of them.
@@ -112,6 +121,23 @@ def shape(token: str) -> str:
     return re.sub(r"(.)\1+", lambda m: m.group(1) + ("+" if len(m.group()) < 4 else "#" if len(m.group()) < 14 else "*"), out)[:24]
 
 
+def entropy(token: str) -> float:
+    """Bits a character, by the frequencies within the token."""
+    counts = np.unique(np.frombuffer(token.encode("utf-8", "surrogatepass"), np.uint8), return_counts=True)[1]
+    share = counts / counts.sum()
+    return float(-(share * np.log2(share)).sum())
+
+
+def weak_label(text: str, start: int, end: int) -> int:
+    """What form and key words in front say of a token that is no base span."""
+    token = text[start:end]
+    if NATIONAL.fullmatch(token):
+        return LABELS.index("phone")
+    if SECRET.fullmatch(token) and KEY.search(text[max(0, start - 24):start]) and entropy(token) >= ENTROPY:
+        return LABELS.index("secret")
+    return 0
+
+
 def features(text: str, start: int, end: int) -> list[int]:
     """Hashed form and context features of a token."""
     token = text[start:end]
@@ -119,7 +145,9 @@ def features(text: str, start: int, end: int) -> list[int]:
     before = text[max(0, start - 24):start].split()
     after = text[end:end + 24].split()
     names = (f"s={shape(token)}", f"d={min(digits, 20)}", f"n={min(len(token), 30)}", f"@={'@' in token}", f".={min(token.count('.'), 5)}", f"+={token[0] == '+'}",
-             f"-={min(token.count('-'), 4)}", f"b={before[-1][-12:].lower() if before else ''}", f"B={shape(before[-1]) if before else ''}", f"A={shape(after[0]) if after else ''}", "1")
+             f"-={min(token.count('-'), 4)}", f"b={before[-1][-12:].lower() if before else ''}", f"B={shape(before[-1]) if before else ''}", f"A={shape(after[0]) if after else ''}",
+             f"k={bool(KEY.search(text[max(0, start - 24):start]))}", f"e={min(int(entropy(token) * 2), 12) if len(token) >= 16 and SECRET.fullmatch(token) else -1}",
+             f"N={bool(NATIONAL.fullmatch(token))}", "1")
     return [crc32(x.encode("utf-8", "surrogatepass")) % FEATURES for x in names]
 
 
@@ -162,6 +190,9 @@ def number_runs(text: str, known: set[str]) -> Iterator[tuple[int, int]]:
     for m in RUN.finditer(text):
         groups = [g.span() for g in GROUP.finditer(text, m.start(), m.end())]
         cuts, i, begin = [], 0, 0
+        if text[m.start()] == "+" and (whole := NATIONAL.match(text, m.start())):  # what follows is another number
+            i = begin = sum(s < whole.end() for s, _ in groups)
+            yield whole.span()
         while i < len(groups):
             digits, found = "", None
             for j in range(i, len(groups) if known else i):
@@ -291,7 +322,7 @@ def neighbours(g: Graph) -> list[list[tuple[int, int]]]:
 
 def marginals(g: Graph, field: Field) -> np.ndarray:
     """Node marginals by damped sum-product messages; nodes with a base label are observed."""
-    n, k = len(g.doc), len(LABELS)
+    n, k = len(g.doc), len(field.chain)
     label = np.array(g.label)
     score = field.unary[np.array(g.feats)].sum(axis=1)
     score[label > 0] = -50.0
@@ -332,18 +363,21 @@ def all_spans(texts: list[str], field: Field) -> tuple[list[list[Span]], list[li
             p = marginals(g, field)
             best = p[:, 1:].argmax(axis=1) + 1
             for i in np.flatnonzero((np.array(g.label) == 0) & (p[np.arange(len(best)), best] >= SURE)).tolist():
-                full[start + g.doc[i]].append((LABELS[best[i]], g.start[i], g.end[i]))
+                token = texts[start + g.doc[i]][g.start[i]:g.end[i]]
+                if LABELS[best[i]] != "card" or luhn(NOT_DIGITS.sub("", token)):
+                    full[start + g.doc[i]].append((LABELS[best[i]], g.start[i], g.end[i]))
         start = stop
     for f in full:
-        f.sort(key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+        f.sort(key=lambda s: (s[1], LABELS.index(s[0]), s[2]))
     return base, full
 
 
 def learn(docs: DataFrame, text: str = "text", documents: int = TRAIN_DOCUMENTS, nodes: int = TRAIN_NODES) -> Field:
-    """The field, fitted on a bounded sample: about ``documents`` different texts, chosen by hash, among those with six digits in a row or an at
-    sign, and at most ``nodes`` of their nodes. Base spans are its labels."""
+    """The field, fitted on a bounded sample: about ``documents`` different texts, chosen by hash, among those with an at sign, or
+    six digits, a number in groups or a long run of letters and digits, and at most ``nodes`` of their nodes. Base spans and weak
+    sources are its labels."""
     small_batches(docs.sparkSession)
-    sample = (docs.select(F.col(text).alias("text")).filter(F.col("text").rlike("[0-9]{6}|@")).withColumn("h", F.xxhash64("text")))
+    sample = (docs.select(F.col(text).alias("text")).filter(F.col("text").rlike("[0-9]{6}|@|[0-9]{3}[ -][0-9]{4}|[0-9A-Fa-f]{20}")).withColumn("h", F.xxhash64("text")))
     # The cut is a hash value, found from counts, so no text is sorted or sent before it is chosen.
     # Copies of a text count once, in the cut and in the sample.
     n = sample.select("h").distinct().count()
@@ -355,6 +389,10 @@ def learn(docs: DataFrame, text: str = "text", documents: int = TRAIN_DOCUMENTS,
         for batch in pieces(batches):
             texts = texts_of(batch)
             g = graph(texts, [base_spans(t) for t in texts])
+            g.label = [y or weak_label(texts[d], a, b) for y, d, a, b in zip(g.label, g.doc, g.start, g.end, strict=True)]
+            equal = [(i, j) for i, j, t in g.edges if t == 1]
+            for i, j in [*equal, *reversed(equal)]:  # a value told once is told wherever it stands in the document
+                g.label[i], g.label[j] = g.label[i] or g.label[j], g.label[j] or g.label[i]
             near = neighbours(g)
             yield pa.RecordBatch.from_arrays([pa.array(g.feats, pa.list_(pa.int32())), pa.array(g.label, pa.int32()), pa.array([[t for t, _ in x] for x in near], pa.list_(pa.int32())),
                                               pa.array([[y for _, y in x] for x in near], pa.list_(pa.int32()))], ["x", "y", "t", "l"])
@@ -388,11 +426,12 @@ def joined(column: str):
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row; the counts are those of base spans."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans) of every row; the counts of kinds are those of base
+    spans, ``n_spans`` counts all, those that the field adds included."""
     slim = docs.select("doc_id", text_or_empty().alias("text"))
     found = find(slim, learn(slim), keep=["doc_id"])
     counts = [F.size(F.expr(f"filter(base, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def mask(docs: DataFrame, field: Field) -> DataFrame:

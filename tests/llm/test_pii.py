@@ -95,3 +95,33 @@ def test_copies_count_once_in_the_sample(spark, monkeypatch):
     for rows in (texts, texts + texts[:1] * 300):
         pii.learn(spark.createDataFrame([(x,) for x in rows], "text string"), documents=50, nodes=1_000)
     assert seen[0] == seen[1] and len(seen[0]) == 40
+
+
+def test_marginals_of_small_graphs_are_exact():
+    """On graphs without a cycle, message passing gives the marginals that all labellings add up to."""
+    rng = np.random.default_rng(3)
+    k = len(pii.LABELS)
+    for edges in ([], [(0, 1, 0)], [(0, 1, 0), (1, 2, 1), (1, 3, 2)], [(0, 2, 1), (1, 2, 0), (2, 3, 0)]):
+        field = pii.Field(rng.normal(size=(pii.FEATURES, k)), rng.normal(size=(k, k)), 1.5, 0.7)
+        feats = rng.integers(0, pii.FEATURES, (4, 3)).tolist()
+        g = pii.Graph([0] * 4, [0] * 4, [0] * 4, feats, [0, 0, 2, 0], edges)
+        total = np.zeros((4, k))
+        for labels in np.ndindex(*[k] * 4):
+            if labels[2] != 2:
+                continue
+            w = sum(field.unary[f].sum(0)[y] for i, (f, y) in enumerate(zip(feats, labels, strict=True)) if i != 2)
+            w += sum(field.chain[labels[i], labels[j]] if t == 0 else (labels[i] == labels[j]) * (field.same, field.similar)[t - 1] for i, j, t in edges)
+            for i, y in enumerate(labels):
+                total[i, y] += np.exp(w)
+        assert np.abs(pii.marginals(g, field) - total / total.sum(1, keepdims=True)).max() < 1e-3
+
+
+def test_secrets_come_through_the_field(spark):
+    """Key words teach a kind of its own; a repeat without key words follows, and other long words stay."""
+    rng = random.Random(2)
+    secrets = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(120)]
+    rows = [(i, f'plain words here token = "{s}" and mail a{i}@example.com or {rng.randrange(10 ** 7)} things') for i, s in enumerate(secrets)]
+    rows += [(1000, f'token = "{secrets[0]}" then ' + "word " * 30 + secrets[0] + " end"), (1001, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1 and 1234567 alone"), (1002, "+1 (826) 555-4081 190.137.223.204 here")]
+    got = {r.doc_id: r for r in pii.pii_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum("secret:" in got[i].spans for i in range(120)) >= 118 and got[1000].spans.count("secret:") == 2
+    assert "secret" not in got[1001].spans and got[0].n_spans == 2 and (got[1002].n_phone, got[1002].n_ip) == (0, 1)
