@@ -211,18 +211,28 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, blocks: int = BL
     Vectors link when their labels are equal and not null and their cosine in double precision is at least ``cosine``.
     A vector that is null, empty, zero or holds a null or non-finite number links with nothing, nor do vectors of
     different widths. Equal vectors are one class: they are compared once, and all copies count as links. Repeated
-    rows are copies. An empty table gives an empty result.
+    rows are copies. A row without an id links like any other; its component is that of the smallest id there is, null if there is
+    none. Rows that share an id are in one component, and each counts the links of its own vector. An empty table gives an empty result.
     """
     plain = vectors.select("vec_id", "label", "embedding")
     usable = (F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
               & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0))
     good = plain.filter(usable)
-    classes = checkpointed(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")).withColumn("width", F.size("embedding")))
-    found = checkpointed(links(classes.filter("id is not null"), cosine, blocks, grid, chunk))
+    different = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies")).withColumn("width", F.size("embedding"))
+    # Classes have numbers of their own: rows may lack an id, and different vectors may share one.
+    classes = checkpointed(checkpointed(different).withColumn("id", F.monotonically_increasing_id()))
+    found = checkpointed(links(classes.select("label", "width", "id", "copies", "embedding"), cosine, blocks, grid, chunk))
     direct = found.groupBy("id").agg(F.sum("n").alias("n"))
-    group = components(found.select("id").distinct(), found.select(F.col("id").alias("a"), F.col("other").alias("b")))
-    of_class = (classes.join(direct, "id", "left").join(group, "id", "left")
-                .select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
+    # The same id under several vectors joins their components.
+    shared = (good.filter("vec_id is not null").select("label", "embedding", "vec_id").distinct().join(classes.select("label", "embedding", "id"), ["label", "embedding"])
+              .groupBy("vec_id").agg(F.min("id").alias("a"), F.max("id").alias("most"), F.collect_set("id").alias("ids")).filter("a != most"))
+    joined = shared.select("a", F.explode("ids").alias("b")).filter("a != b")
+    linked_with = found.select(F.col("id").alias("a"), F.col("other").alias("b")).unionByName(joined)
+    group = checkpointed(components(linked_with.select(F.explode(F.array("a", "b")).alias("id")).distinct(), linked_with))
+    placed_in = classes.select("id", "least").join(group, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = placed_in.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_class = (classes.join(direct, "id", "left").join(placed_in.select("id", "component"), "id").join(least, "component")
+                .select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"))
     linked = good.join(of_class, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = plain.filter(~F.coalesce(usable, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

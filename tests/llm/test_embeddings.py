@@ -59,3 +59,13 @@ def test_repeated_rows_and_empty_table(spark):
 def test_rotation_keeps_lengths():
     q = embeddings.rotation(8)
     assert np.allclose(q @ q.T, np.eye(8)) and embeddings.blocks_of(3, 8) == [slice(0, 1), slice(1, 2), slice(2, 3)]
+
+
+def test_null_and_shared_ids(spark):
+    """Rows without an id link, and different vectors of one id keep their own links."""
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    near_a, near_b = [1.0, 0.05, 0.0], [0.0, 1.0, 0.05]
+    rows = [(1, a, 0), (2, near_a, 0), (None, [1.0, 0.0, 0.05], 0), (7, b, 0), (7, near_a, 0), (8, near_b, 0), (None, [0.0, 0.0, 1.0], 0), (9, b, 1)]
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
+    assert got == sorted([("1", 3, "1", True), ("2", 3, "1", False), ("None", 3, "1", False), ("7", 3, "1", False), ("7", 1, "1", False), ("8", 1, "1", False),
+                          ("None", 0, "None", False), ("9", 0, "9", True)])
