@@ -18,6 +18,29 @@ from plumbline.plans.registry import CheckConfig
 NUM = ["l_quantity", "l_extendedprice", "l_discount"]
 
 
+def cross_oracle(rows: str) -> str:
+    """The rules whose names fit, and how many rows contradict them."""
+    rules_of = (("ColumnComparison", '{"column_a": "ship_date", "column_b": "order_date", "operator": "gte"}', "comparison", 0.8, "ship_date < order_date"),
+                ("ColumnSum", '{"columns": ["subtotal", "tax"], "target_column": "total", "tolerance": 0.01}', "sum", 0.75, "abs(subtotal + tax - total) > 0.01"),
+                ("ColumnProduct", '{"columns": ["quantity", "unit_price"], "target_column": "total", "tolerance": 0.01}', "product", 0.75, "abs(quantity * unit_price - total) > 0.01"),
+                ("ColumnRatio", '{"denominator_column": "subtotal", "max_ratio": 1.0, "min_ratio": 0.0, "numerator_column": "tax"}', "ratio", 0.7, "tax / subtotal not between 0 and 1"),
+                ("ColumnPercentage", '{"denominator_column": "subtotal", "max_percentage": 100.0, "min_percentage": 0.0, "numerator_column": "tax"}', "percentage", 0.7, "tax / subtotal * 100 not between 0 and 100"))
+    related = (('{"column_a": "quantity", "column_b": "total", "max_correlation": 1.0, "min_correlation": 0.5}', "corr(quantity, total) between 0.5 and 1"),
+               ('{"column_a": "quantity", "column_b": "unit_price", "max_correlation": 1.0, "min_correlation": 0.1}', "corr(quantity, unit_price) between 0.1 and 1"))
+    parts = [f"select '{c}' as \"check\", '{e}' as expected, '{p}' as pattern, {w}::double as confidence, count(*) filter (where {bad}) = 0 as holds, count(*) filter (where {bad}) as unexpected_count, count(*) as total_count from r"
+             for c, e, p, w, bad in rules_of]
+    parts += [f"select 'ColumnCorrelation', '{e}', 'correlation', 0.65::double, {ok}, (not ({ok}))::int::bigint, 1::bigint from r" for e, ok in related]
+    return f"with r as ({rows}) " + " union all ".join(parts)
+
+
+def composite_oracle(rows: str) -> str:
+    """Pairs of the two key-like columns, and of each with the two columns of few values; rows that are not alone with their pair."""
+    pairs = (("batch_id", "ref_no", "id_column_combination", 0.75), *((a, b, "id_categorical_combination", 0.65) for a in ("batch_id", "ref_no") for b in ("o_orderstatus", "o_orderpriority")))
+    parts = [f"select 'MultiColumnUnique' as \"check\", '{{\"columns\": [\"{a}\", \"{b}\"]}}' as expected, '{p}' as pattern, {w}::double as confidence, max(k) = 1 as holds, "
+             f"coalesce(sum(k) filter (where k > 1), 0)::bigint as unexpected_count, sum(k)::bigint as total_count from (select count(*) as k from r group by {a}, {b}) g" for a, b, p, w in pairs]
+    return f"with r as ({rows}) " + " union all ".join(parts)
+
+
 def per_column(cols: list[str], template: str, frm: str) -> str:
     """The template once per column ({c}), unioned."""
     return " union all ".join(f"select '{c}' as \"column\", {template.replace('{c}', c)} from {frm}" for c in cols)
@@ -133,9 +156,14 @@ def rule_queries() -> None:
                      "select \"column\", 'NonNegative', 'statistics', 0.75, 'low', '{}' from p where num = 1 and lo >= 0 and regexp_matches(\"column\", '(id|count|quantity|amount|price|age)$')",
                      "select \"column\", 'ZScoreOutlier', 'statistics', 0.6, 'low', '{\"threshold\": 3.0}' from p where num = 1 and hi > lo")) + ") z")
     register("rules_suite", lambda s, d: rules.generate_suite(table(s, d, "orders"), "strict"))
-    register("rules_cross_column", lambda s, d: rules.suggest_cross(source(
-        s, d, "select o.o_orderdate as order_date, l.l_shipdate as ship_date, l.l_quantity as quantity, l.l_extendedprice / l.l_quantity as unit_price, l.l_extendedprice as total, "
-              "l.l_extendedprice * l.l_tax as tax, l.l_extendedprice as subtotal from {lineitem} l join {orders} o on l.l_orderkey = o.o_orderkey")))
+    wide = ("select o.o_orderdate as order_date, l.l_shipdate as ship_date, l.l_quantity as quantity, l.l_extendedprice / l.l_quantity as unit_price, l.l_extendedprice as total, "
+            "l.l_extendedprice * l.l_tax as tax, l.l_extendedprice as subtotal from {lineitem} l join {orders} o on l.l_orderkey = o.o_orderkey")
+    register("rules_cross_column", lambda s, d: rules.suggest_cross(source(s, d, wide)), cross_oracle(wide.format(lineitem="lineitem", orders="orders")))
+    keyed = "select cast(floor(o_orderkey * 0.8) as bigint) as batch_id, cast(floor(o_orderkey / 3) * 2 + o_orderkey % 2 as bigint) as ref_no, o_orderstatus, o_orderpriority, o_custkey from {orders}"
+    register("rules_composite_keys", lambda s, d: rules.suggest_cross(source(s, d, keyed)), composite_oracle(keyed.format(orders="orders")))
+    bucketed = "select o_custkey, o_custkey % 10 as bucket, o_orderstatus, o_orderpriority from {orders}"
+    register("rules_dependencies", lambda s, d: rules.dependencies(source(s, d, bucketed)),
+             "select 'o_custkey' as determinant, 'bucket' as dependent, count(distinct o_custkey) as distinct_determinant, count(distinct row(o_custkey, o_custkey % 10)) as distinct_pair, true as holds from orders")
     register("rules_apply_suite", apply_suite)
     rate = "avg(case when regexp_matches(text, '" + P.PII["email"] + "') then 1.0 else 0.0 end)"
     register("rules_confidence", lambda s, d: table(s, d, "documents").groupBy("lang").agg(

@@ -129,6 +129,8 @@ EXCLUSIVE = (("phone_home", "phone_work", "phone_mobile"), ("payment_card", "pay
 DEPENDENT = (("country", "currency"), ("zip", "city"), ("product_id", "product_name"))
 IMPLIED = (("status", "active", "email"), ("status", "active", "phone"), ("is_premium", "true", "subscription_tier"))
 KEY_HINTS = ("id", "key", "code", "num", "ref")
+# Percent of different values of a part of a composite key, and how many values a category has.
+KEY_SHARE, FEW_VALUES = (50, 99.9), (2, 100)
 
 
 def matched(hints: Sequence[str], columns: Sequence[str]) -> list[str]:
@@ -142,6 +144,58 @@ def matched(hints: Sequence[str], columns: Sequence[str]) -> list[str]:
     return found
 
 
+def distinct_sketches(df: DataFrame, groups: Sequence[Sequence[str]]) -> tuple[int, list[int]]:
+    """Number of rows, and about how many different values each group of columns has: one scan, one sketch a group."""
+    sketch = [F.approx_count_distinct(F.struct(*[F.col(f"`{c}`") for c in g]) if len(g) > 1 else F.col(f"`{g[0]}`"), 0.02).alias(f"d{i}") for i, g in enumerate(groups)]
+    row = df.agg(F.count(F.lit(1)).alias("n"), *sketch).first()
+    return row["n"], [row[f"d{i}"] for i in range(len(groups))]
+
+
+def composite_keys(df: DataFrame) -> list[tuple[str, str, float, str]]:
+    """(column, column, confidence, pattern) of pairs that may be a key: columns named like keys that are mostly but not
+    wholly unique, with each other, and the first of them with columns of a few values."""
+    plain = [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    if not any(h in c.lower() for c in plain for h in KEY_HINTS):
+        return []
+    n, distinct = distinct_sketches(df, [[c] for c in plain])
+    ids, few = [], []
+    for c, d in zip(plain, distinct, strict=True):
+        hinted = any(h in c.lower() for h in KEY_HINTS)
+        if hinted and any(abs(d / max(n, 1) - share / 100) < 0.1 for share in KEY_SHARE):
+            d = df.select(c).distinct().filter(F.col(c).isNotNull()).count()  # too near a bound for a sketch
+        if KEY_SHARE[0] <= 100 * d / max(n, 1) < KEY_SHARE[1] and hinted:
+            ids.append(c)
+        elif FEW_VALUES[0] < d < FEW_VALUES[1]:
+            few.append(c)
+    pairs = [(a, b, 0.75, "id_column_combination") for i, a in enumerate(ids) for b in ids[i + 1:i + 3]]
+    pairs += [(a, b, 0.65, "id_categorical_combination") for a in ids[:2] for b in few[:3]]
+    return pairs
+
+
+def dependencies(df: DataFrame, columns: Sequence[str] | None = None, most: float = 0.5, tolerance: float = 0.1) -> DataFrame:
+    """(determinant, dependent, distinct_determinant, distinct_pair, holds): pairs where a value of the first column seems to fix
+    that of the second, found by sketches of single columns and pairs (two scans in all), then decided by exact counts of the
+    candidates alone. Determinants that are nearly unique (over ``most`` of the rows) fix everything and are left out."""
+    names = list(columns or [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)])
+    n, distinct = distinct_sketches(df, [[c] for c in names])
+    size = dict(zip(names, distinct, strict=True))
+    tried = [(a, b) for a in names for b in names if a != b and 1 < size[b] <= size[a] * (1 + tolerance) and size[a] <= most * n]
+    schema = "determinant string, dependent string, distinct_determinant long, distinct_pair long, holds boolean"
+    if not tried:
+        return df.sparkSession.createDataFrame([], schema)
+    both = distinct_sketches(df, [list(p) for p in tried])[1]
+    hopeful = [p for p, d in zip(tried, both, strict=True) if d <= size[p[0]] * (1 + tolerance)]
+    if not hopeful:
+        return df.sparkSession.createDataFrame([], schema)
+    exact = None
+    for a, b in hopeful:
+        counts = df.select(F.col(f"`{a}`").alias("a"), F.col(f"`{b}`").alias("b")).groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"), F.count_distinct("b").alias("k"))
+        row = counts.agg(F.lit(a).alias("determinant"), F.lit(b).alias("dependent"), F.count(F.lit(1)).alias("distinct_determinant"),
+                         F.sum(F.greatest("k", F.lit(1))).cast("long").alias("distinct_pair"), F.coalesce(F.bool_and(F.col("k") <= 1), F.lit(True)).alias("holds"))
+        exact = row if exact is None else exact.unionByName(row)
+    return exact
+
+
 def cross_candidates(df: DataFrame) -> list[tuple[CheckConfig, float, str]]:
     """Cross-column rules whose names fit: (config, confidence, pattern)."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
@@ -192,10 +246,8 @@ def cross_candidates(df: DataFrame) -> list[tuple[CheckConfig, float, str]]:
         hit = matched([when, then], cols)
         if hit:
             add("Conditional", {"when_column": hit[0], "when_value": value, "then_column": hit[1], "then_operator": "not_null"}, 0.7, "implication")
-    keys = [c for c in cols if any(h in c.lower() for h in KEY_HINTS)]
-    for i, a in enumerate(keys):
-        for b in keys[i + 1:i + 3]:
-            add("MultiColumnUnique", {"columns": [a, b]}, 0.75, "composite_key")
+    for a, b, confidence, pattern in composite_keys(df):
+        add("MultiColumnUnique", {"columns": [a, b]}, confidence, pattern)
     seen: set[tuple[str, str]] = set()
     kept = []
     for config, confidence, pattern in out:
