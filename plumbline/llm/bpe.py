@@ -1,13 +1,15 @@
 """BPE encoding and decoding by batched numpy merge rounds.
 
 The symbols of many words lie in one flat array. In every round each word merges its pair of lowest rank, wherever it
-stands in the word; pairs are looked up by binary search over sorted pair keys. Words without a known pair leave.
+stands in the word; pairs are looked up by binary search over sorted pair keys. Words without a known pair leave. A very long word
+has arrays of its own, in which a round touches only the places it merges and their neighbours.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import sha256
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ REMEMBERED = 200_000
 BATCH_BYTES = 500_000
 DIGESTS = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
 NO_RANK = np.iinfo(np.int64).max
+#: Bytes from which a word is merged by itself; both ways give the same ids.
+LONG_WORD = 1_000
 
 
 class Merger:
@@ -43,12 +47,67 @@ class Merger:
         at = np.searchsorted(self.keys, key)
         return np.where(same & (self.keys[at] == key), self.ranks[at], NO_RANK)
 
+    def encode_long(self, word: bytes) -> np.ndarray:
+        """Token ids of one word. Places wait under the rank of their pair; a place whose pair has changed meanwhile is passed over."""
+        symbols = self.first[np.frombuffer(word, dtype=np.uint8)]
+        n = len(symbols)
+        after, before = np.arange(1, n + 1), np.arange(-1, n)
+        rank = np.append(self.rank(symbols, np.ones(n - 1, bool)), NO_RANK)
+        alive = np.ones(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def wait(places: np.ndarray) -> list[int]:
+            """Put places under their ranks; the ranks that none waited under."""
+            of = rank[places]
+            places, of = places[of != NO_RANK], of[of != NO_RANK]
+            order = np.argsort(of, kind="stable")
+            places, of = places[order], of[order]
+            starts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+            fresh = []
+            for r, part in zip(of[starts].tolist(), np.split(places, starts[1:]), strict=False):
+                if r not in waiting:
+                    waiting[r] = []
+                    fresh.append(r)
+                waiting[r].append(part)
+            return fresh
+
+        heap = wait(np.arange(n))
+        heapify(heap)
+        while heap:
+            r = heappop(heap)
+            places = np.unique(np.concatenate(waiting.pop(r)))
+            places = places[rank[places] == r]
+            if not len(places):
+                continue
+            # Of overlapping occurrences every second counts, from the left.
+            fresh = np.append(True, after[places[:-1]] != places[1:])
+            run = np.maximum.accumulate(np.where(fresh, np.arange(len(places)), 0))
+            places = places[(np.arange(len(places)) - run) % 2 == 0]
+            gone = after[places]
+            symbols[places] = self.made[r]
+            alive[gone], rank[gone] = False, NO_RANK
+            after[places] = then = after[gone]
+            before[then] = places  # the last entry, behind the word, is never read
+            touched = np.concatenate([places, before[places]])
+            touched = np.unique(touched[touched >= 0])
+            right = after[touched]
+            key = symbols[touched] << 24 | symbols[np.minimum(right, n - 1)]
+            at = np.searchsorted(self.keys, key)
+            rank[touched] = np.where((right < n) & (self.keys[at] == key), self.ranks[at], NO_RANK)
+            for new in wait(touched):
+                heappush(heap, new)
+        return symbols[alive]
+
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all words one after another, and their number per word. An empty word has none."""
-        lengths = np.array([len(w) for w in words], dtype=np.int64)
-        symbols = self.first[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        long = [i for i, w in enumerate(words) if len(w) > LONG_WORD]
+        done_symbols = [self.encode_long(words[i]) for i in long]
+        done_words = [np.full(len(s), i) for i, s in zip(long, done_symbols, strict=True)]
+        short = words if not long else [b"" if len(w) > LONG_WORD else w for w in words]
+        lengths = np.array([len(w) for w in short], dtype=np.int64)
+        symbols = self.first[np.frombuffer(b"".join(short), dtype=np.uint8)]
         word = np.repeat(np.arange(len(words)), lengths)
-        done_words, done_symbols = [], []
         while len(symbols):
             head = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             rank = np.append(self.rank(symbols, word[1:] == word[:-1]), NO_RANK)

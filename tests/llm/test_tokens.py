@@ -1,6 +1,8 @@
 import hashlib
 import random
+import time
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -80,3 +82,15 @@ def test_columns_pass_through_and_new_names_replace(odd):
 def test_decode_round_trip(odd):
     back = bpe.decode(bpe.encode(odd.select("doc_id", "text"), FILE).withColumnRenamed("text", "was"), FILE)
     assert all(r.text == (r.was or "") for r in back.collect())
+
+
+def test_very_long_words_are_merged_alike(library):
+    """Words beyond ``LONG_WORD`` give the library's ids, in a time that grows with their length."""
+    encoder, rng = bpe.Encoder(load(FILE)), random.Random(1)
+    texts = ["a" * 3_001, "ab" * 2_000, "the" * 1_500, "".join(rng.choice("etaoinshrdlu") for _ in range(5_000)), "".join(rng.choice("aab") for _ in range(4_000)),
+             "\u00e9\u4e2d" * 900, " short words " + "x" * 1_001 + " more"]
+    ids, counts = encoder.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    start = time.time()
+    encoder.encode(["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000))])
+    assert time.time() - start < 30
