@@ -65,6 +65,12 @@ def sampling_queries() -> None:
     register("sample_stratified", lambda s, d: sampling.stratified(table(s, d, "orders"), 1500, "o_orderpriority", ["o_orderkey"]).agg(
         F.count(F.lit(1)).alias("rows"), F.count_distinct("o_orderpriority").alias("strata")),
         "select least(1500, sum(floor(n * 1.1 * 1500 / t)))::bigint as rows, count(*) as strata from (select count(*) n, sum(count(*)) over () t from orders group by o_orderpriority) g")
+    # Draws that both sides can compute: a multiplicative hash of the key.
+    spread = "((o_orderkey * 2654435761 + 12345) % 4294967296 + 0.5) / 4294967296.0"
+    register("sample_reservoir", lambda s, d: sampling.reservoir(table(s, d, "orders"), 400, ["o_orderkey"], draw=F.expr(spread).cast("double")).select("o_orderkey", "o_totalprice"),
+             f"select o_orderkey, o_totalprice from orders order by {spread} desc, o_orderkey limit 400")
+    register("sample_reservoir_weighted", lambda s, d: sampling.reservoir(table(s, d, "orders"), 400, ["o_orderkey"], "o_totalprice", draw=F.expr(spread).cast("double")).select("o_orderkey", "o_totalprice"),
+             f"select o_orderkey, o_totalprice from orders where o_totalprice > 0 order by -ln({spread}) / o_totalprice, o_orderkey limit 400")
     register("sample_hash", lambda s, d: sampling.hash_sample(table(s, d, "lineitem"), ["l_orderkey"], 1, 10).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
              .join(table(s, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("m")), "l_orderkey").agg(F.count_if(F.col("n") != F.col("m")).alias("split_keys")),
              "select 0::bigint as split_keys from (select count(*) from lineitem) t")

@@ -8,9 +8,11 @@ sample's size first.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,6 +62,43 @@ def hash_sample(df: DataFrame, keys: Sequence[str], numerator: int, denominator:
     return df.filter(h < numerator)
 
 
+def reservoir(df: DataFrame, n: int, keys: Sequence[str], weight: str | None = None, seed: int = 42, draw: Column | None = None, fan_in: int = 16) -> DataFrame:
+    """n rows drawn without replacement, with chances in proportion to ``weight`` (alike without one).
+
+    Every row has a priority -ln(u) / weight, u being a hash of its keys (or ``draw``, a number between 0 and 1). Each task keeps the n
+    rows of least priority as they stream by; reservoirs are merged some at a time, level by level, so the table is neither sorted nor
+    shuffled and no task holds more than a batch beside its n rows. Rows without a positive weight are never drawn; ties go by
+    the keys.
+    """
+    u = unit(keys, seed) if draw is None else draw
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    priority = F.when((w > 0) & ~F.isnan(w), -F.log(F.greatest(u, F.lit(1e-300))) / w)
+    rows = df.withColumn("__priority", priority).filter(F.col("__priority").isNotNull())
+    order = [("__priority", "ascending"), *[(k, "ascending") for k in keys]]
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bound = None, None
+        for batch in batches:
+            if bound is not None:
+                batch = batch.filter(pc.less_equal(batch.column("__priority"), bound))
+            if batch.num_rows:
+                held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+                if held.num_rows > 2 * n:
+                    held = held.take(pc.sort_indices(held, sort_keys=order)[:n]).combine_chunks()
+                    bound = held.column("__priority")[n - 1]
+        if held is not None:
+            yield from held.take(pc.sort_indices(held, sort_keys=order)[:n]).combine_chunks().to_batches()
+
+    if n <= 0:
+        return df.limit(0)
+    parts = rows.rdd.getNumPartitions()
+    rows = rows.mapInArrow(keep, rows.schema)
+    while parts > 1:
+        parts = -(-parts // fan_in)
+        rows = rows.repartition(parts).mapInArrow(keep, rows.schema)
+    return rows.drop("__priority")
+
+
 def systematic(df: DataFrame, step: int, order: Sequence[str], start: int = 0) -> DataFrame:
     """Every ``step``-th row of the order."""
     return row_numbers(df, order, "__i").filter(F.pmod(F.col("__i"), F.lit(step)) == start).drop("__i")

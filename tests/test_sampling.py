@@ -70,3 +70,19 @@ def test_sketches(df):
     assert K.bloom_contains(words, other, "id", 30000, 0.01).filter("maybe").count() < 30000 * 0.02
     top = K.heavy_hitters(df, "g").first()
     assert top.value == "hot" and top["count"] == 20000
+
+
+def test_weighted_reservoir(spark):
+    """The n rows of least priority, whatever the partitions; chances follow the weights."""
+    import math
+    rows = [(i, float(i % 5) if i % 7 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, w double")
+    draw = (F.pmod(F.col("id") * 7919 + 13, F.lit(10_007)) + 0.5) / 10_007.0
+    want = sorted((-math.log(((i * 7919 + 13) % 10_007 + 0.5) / 10_007) / w, i) for i, w in rows if w)[:100]
+    for parts in (1, 3, 40):
+        got = S.reservoir(df.repartition(parts), 100, ["id"], "w", draw=draw)
+        assert {r.id for r in got.collect()} == {i for _, i in want} and got.columns == ["id", "w"]
+    share = S.reservoir(df, 600, ["id"], "w").groupBy("w").count().collect()
+    count = {r.w: r["count"] for r in share}
+    assert set(count) == {1.0, 2.0, 3.0, 4.0} and count[4.0] > 1.8 * count[1.0]
+    assert S.reservoir(df, 10_000, ["id"]).count() == 3000 and S.reservoir(df.limit(0), 5, ["id"]).collect() == [] and S.reservoir(df, 0, ["id"]).collect() == []
