@@ -37,6 +37,8 @@ ESTIMATE = 0.62
 AREA = 256.0
 #: Turns in which documents outside a key's largest class are compared with members of it, and members that a key offers.
 TURNS, HUBS = 2, 4
+#: Members that one document meets in a turn; whom it does not meet there it meets in the chunks.
+MEETINGS = 4
 #: Documents, and shingles of documents, at home in one chunk of a shared key.
 CHUNK, CHUNK_SHINGLES = 1_000, 1_000_000
 
@@ -225,13 +227,14 @@ def hub_pairs(meets: DataFrame, group: DataFrame, turn: int) -> DataFrame:
     largest = sizes.groupBy("h").agg(F.max_by(F.struct("component", "hubs"), F.struct("n", -F.col("component"))).alias("lead"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     outside = rows.join(largest, "h").filter("component != lead.component")
     hub = F.element_at("lead.hubs", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(HUBS)).cast("int") + 1)
-    return outside.select(F.least("id", hub).alias("a"), F.greatest("id", hub).alias("b")).distinct()
+    few = outside.groupBy("id").agg(F.slice(F.array_sort(F.collect_set(hub)), 1, MEETINGS).alias("hubs")).select("id", F.explode("hubs").alias("hub"))
+    return few.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
 def crossing(mixed: DataFrame) -> DataFrame:
-    """(h, place, own, chunk, visit, lead, id, component, ...): the documents of every key, cut into chunks that are held whole.
+    """(h, place, own, chunk, visit, lead, id, component): the documents of every key, cut into chunks that are held whole.
 
-    ``mixed`` has h, place, id, component, size and more. A document stays in its own chunk; one outside the largest class of its
+    ``mixed`` has h, place, id, component and size. A document stays in its own chunk; one outside the largest class of its
     key also visits the other chunks. So any two of different components meet in a chunk that one of them is at home in, and a
     large class travels once however many documents are compared with it.
     """
@@ -240,7 +243,15 @@ def crossing(mixed: DataFrame) -> DataFrame:
                                    F.ceil(F.greatest(F.sum("n") / CHUNK, F.sum("s") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
     rows = mixed.join(sizes, "h").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks").cast("long")).cast("int")).withColumn("lead", F.col("component") == F.col("largest"))
     return (rows.withColumn("chunk", F.explode(F.when(F.col("lead"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))))
-            .drop("largest", "chunks").withColumn("visit", F.col("own") != F.col("chunk")).repartition("h", "chunk").sortWithinPartitions("h", "chunk", "visit"))
+            .withColumn("visit", F.col("own") != F.col("chunk")).select("h", "place", "own", "chunk", "visit", "lead", "id", "component"))
+
+
+def dealt(met: DataFrame, *carried: DataFrame) -> DataFrame:
+    """``met`` with the columns of the tables ``carried`` (id, ...), every chunk in one task, those at home first. What is carried joins
+    at the end, so that it is shuffled once by id and once by chunk."""
+    for table in carried:
+        met = met.join(table, "id")
+    return met.repartition("h", "chunk").sortWithinPartitions("h", "chunk", "visit")
 
 
 class Homes:
@@ -392,10 +403,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     several = grouped.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("h")
     mixed = scratch.keep(grouped.join(several, "h", "left_semi"))
     signs = classes.select("id", "sketch", F.transform("keys", lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")).alias("marks"))
-    near = scratch.keep(hopeful(crossing(mixed.join(signs, "id").withColumn("size", F.lit(0)))))
-    sets = scratch.keep(shingle_sets(within(docs.select(key, text), near.select(F.col("id").alias(key)).distinct(), key), key, text, weighted).dropDuplicates(["id"]))
-    full = mixed.join(near, ["h", "id"], "left_semi").join(signs, "id").join(sets, "id").withColumn("size", F.size("set"))
-    more = checkpointed(forest(crossing(full), similarity))
+    near = scratch.keep(hopeful(dealt(crossing(mixed.withColumn("size", F.lit(0))), signs)))
+    sets = shingle_sets(within(docs.select(key, text), near.select(F.col("id").alias(key)).distinct(), key), key, text, weighted).dropDuplicates(["id"])
+    sets = scratch.keep(sets.withColumn("size", F.size("set")))
+    hoping = scratch.keep(mixed.join(near, ["h", "id"], "left_semi").join(sets.select("id", "size"), "id"))
+    more = checkpointed(forest(dealt(crossing(hoping), signs, sets.drop("size")), similarity))
     if not more.isEmpty():
         group = checkpointed(components(nodes, links.unionByName(more)))
     of_text = classes.select("id", "digest").join(group, "id", "left").select("digest", F.coalesce("component", F.col("id")).alias("class_id"))
