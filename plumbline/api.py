@@ -24,23 +24,24 @@ __all__ = ["CheckConfig", "by_category", "check", "compare", "find", "generate_s
 
 def check(df: DataFrame, configs: Sequence[CheckConfig] | None = None, refs: dict[str, DataFrame] | None = None, as_of: Any = None,
           schema: Any = None, auto_schema: bool = False, min_severity: str | None = None, result_format: str = "summary",
-          catch_exceptions: bool = True) -> DataFrame:
+          catch_exceptions: bool = True, include_unexpected_rows: bool = False, max_unexpected_rows: int = 1000) -> DataFrame:
     """Run checks; one result row per check and column.
 
     ``schema`` adds a TableSchema check; ``auto_schema`` adds the rules learned
     from the table itself. ``result_format`` boolean_only keeps the verdict,
     basic adds the counts, summary and complete keep every column. The rows a
-    check rejects come from ``unexpected_rows``.
+    check rejects come from ``unexpected_rows``, or as JSON in a column of that
+    name with ``include_unexpected_rows``.
     """
     wanted = list(configs or ())
     if schema is not None:
         wanted.append(CheckConfig("TableSchema", {"schema": as_schema(schema)}))
     if auto_schema or (not wanted):
         wanted += rules.suite_configs(rules.generate_suite(df, "default"))
-    out = run(df, wanted, refs, as_of, min_severity, catch_exceptions)
+    out = run(df, wanted, refs, as_of, min_severity, catch_exceptions, include_unexpected_rows, max_unexpected_rows)
     keep = {"boolean_only": ["check", "column", "status"],
             "basic": ["check", "column", "severity", "status", "unexpected_count", "total_count"]}.get(result_format)
-    return out.select(*keep) if keep else out
+    return out.select(*keep, *(["unexpected_rows"] if include_unexpected_rows else [])) if keep else out
 
 
 def summary(result: DataFrame) -> DataFrame:

@@ -21,13 +21,22 @@ def key_filled(columns):
     return reduce(lambda a, b: a & b, [F.col(f"k{i}").isNotNull() for i in range(len(columns))])
 
 
+def rows_of(t, columns, frame, cond, where=None):
+    """The rows whose group meets ``cond``; groups are few beside the rows, so they are joined to them."""
+    def rows():
+        bad = frame.build().filter(cond).select(*[F.col(f"k{i}").alias(f"__k{i}") for i in range(len(columns))])
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(columns)])
+        return (t.df if where is None else t.df.filter(where)).join(bad, same, "left_semi")
+    return rows
+
+
 def repeated(t, columns, label=None, ignore_null=False, where=None, mostly=None):
     g = t.groups(columns, where)
     n = F.col("n")
     keep = key_filled(columns) if ignore_null else F.lit(True)
     bad, total = add(t, g, keep & (n > 1), n), add(t, g, keep, n)
     ok = (bad == 0) if mostly is None else (total - bad) >= F.lit(float(mostly)) * total
-    t.verdict(label or ",".join(columns), bad, total, ok, frame=g)
+    t.verdict(label or ",".join(columns), bad, total, ok, frame=g, rows=rows_of(t, columns, g, keep & (n > 1), where))
 
 
 def key_errors(t, columns, allow_null=False):
@@ -35,7 +44,7 @@ def key_errors(t, columns, allow_null=False):
     g = t.groups(columns)
     n, whole = F.col("n"), key_filled(columns)
     bad = whole & (n > 1) if allow_null else ~whole | (n > 1)
-    t.verdict(",".join(columns), add(t, g, bad, n), add(t, g, F.lit(True), n), frame=g)
+    t.verdict(",".join(columns), add(t, g, bad, n), add(t, g, F.lit(True), n), frame=g, rows=rows_of(t, columns, g, bad))
 
 
 def distinct_of(t, column):

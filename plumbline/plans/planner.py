@@ -13,13 +13,15 @@ from __future__ import annotations
 import hashlib
 import inspect
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
+from functools import reduce
 from typing import Any
 
+import pyarrow as pa
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -407,11 +409,50 @@ def settled(df: DataFrame, planned: Sequence[Planned]) -> list[Any]:
         return results(df, planned).collect()
 
 
+def with_rows(df: DataFrame, out: DataFrame, planned: Sequence[Planned], most: int) -> DataFrame:
+    """``out`` with the rejected rows of each check. All checks of single rows share one scan, in which each task keeps the ``most``
+    least rows of a check; checks of keys bring their rows themselves."""
+    told = [(i, v) for i in planned if i.error is None for v in i.scope.verdicts]
+    single = [(n, v) for n, (_, v) in enumerate(told) if v.rows is None and v.violation is not None]
+    parts = []
+    if single:
+        hits = F.array_compact(F.array(*[F.when(F.coalesce(v.violation, F.lit(False)), F.lit(n)) for n, v in single]))
+        parts.append(df.select(hits.alias("hits"), F.to_json(F.struct("*")).alias("row")).filter(F.size("hits") > 0).select(F.explode("hits").alias("n"), "row"))
+    parts += [v.rows().select(F.lit(n).alias("n"), F.to_json(F.struct("*")).alias("row")) for n, (_, v) in enumerate(told) if v.rows is not None]
+    if not parts:
+        return out.withColumn("unexpected_rows", F.lit(None).cast("array<string>"))
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[str]] = {}
+        for batch in batches:
+            for n, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = held.setdefault(n, [])
+                rows.append(row)
+                if len(rows) > 2 * most + 100:
+                    rows[:] = sorted(rows)[:most]
+        for n, rows in held.items():
+            rows = sorted(rows)[:most]
+            yield pa.RecordBatch.from_arrays([pa.array([n] * len(rows), pa.int32()), pa.array(rows, pa.string())], ["n", "row"])
+
+    rows = reduce(DataFrame.unionByName, parts).mapInArrow(least, "n int, row string")
+    first = Window.partitionBy("n").orderBy("row")
+    rows = rows.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= most)
+    lists = rows.groupBy("n").agg(F.array_sort(F.collect_list("row")).alias("found"))
+    names = [(n, i.spec.name, v.column, json.dumps(i.config.params, default=str, sort_keys=True)) for n, (i, v) in enumerate(told) if v.rows is not None or v.violation is not None]
+    index = df.sparkSession.createDataFrame(names, "n int, c string, k string, e string").join(lists, "n", "left").select(
+        "c", "k", "e", F.coalesce("found", F.array().cast("array<string>")).alias("unexpected_rows")).dropDuplicates(["c", "k", "e"])
+    same = (F.col("check") == F.col("c")) & F.col("column").eqNullSafe(F.col("k")) & (F.col("expected") == F.col("e")) & (F.col("status") != "error")
+    return out.join(index, same, "left").drop("c", "k", "e")
+
+
 def run(df: DataFrame, configs: Sequence[CheckConfig], refs: dict[str, DataFrame] | None = None,
         as_of: datetime | str | None = None, min_severity: str | None = None,
-        catch_exceptions: bool = True) -> DataFrame:
+        catch_exceptions: bool = True, include_unexpected_rows: bool = False, max_unexpected_rows: int = 1000) -> DataFrame:
     """Check a table. One row per check (and column); see RESULT_SCHEMA.
 
+    ``include_unexpected_rows`` adds ``unexpected_rows``: the rows that a check rejects as JSON, the ``max_unexpected_rows`` that
+    come first as text. It is null for checks that judge the whole table.
+
     The result is lazy. With ``catch_exceptions``, checks that the data can make fail (a division by zero in a user's
     expression, say) run at once in a scan of their own, and one that does fail becomes an ``error`` row beside the results of
     the others. Without it errors are raised.
@@ -429,6 +470,8 @@ def run(df: DataFrame, configs: Sequence[CheckConfig], refs: dict[str, DataFrame
         for item in planned:
             if item.error:
                 raise ValueError(item.error)
+    if include_unexpected_rows:
+        out = with_rows(df, out, planned, max_unexpected_rows)
     if min_severity:
         out = out.filter(F.col("severity").isin(*SEVERITIES[SEVERITIES.index(min_severity):]))
     return out

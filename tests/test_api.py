@@ -48,3 +48,19 @@ def test_custom_checks_can_be_registered(df):
     assert api.check(df, [api.CheckConfig("EvenIds", {"column": "id"})]).first().unexpected_count == 45
     from plumbline.plans.registry import CATALOG
     CATALOG.pop("custom.EvenIds")
+
+
+def test_rejected_rows_come_with_the_result(spark):
+    import json
+    df = spark.createDataFrame([(i, i % 10, "x" if i % 4 else None) for i in range(200)], "id long, v long, s string").repartition(7)
+    checks = [api.CheckConfig("Between", {"column": "v", "min_value": 0, "max_value": 6}), api.CheckConfig("Null", {"columns": ["s"]}), api.CheckConfig("Unique", {"column": "v"}),
+              api.CheckConfig("RowCount", {"expected": 3}), api.CheckConfig("Positive", {"column": "nope"}), api.CheckConfig("Between", {"column": "id", "min_value": 0, "max_value": 10 ** 6})]
+    rows = {(r.check, r.column): r for r in api.check(df, checks, include_unexpected_rows=True, max_unexpected_rows=25).collect()}
+    assert len(rows) == 6
+    told = [json.loads(x) for x in rows[("Between", "v")].unexpected_rows]
+    every = sorted(json.dumps({"id": i, "v": i % 10, **({"s": "x"} if i % 4 else {})}, separators=(",", ":")) for i in range(200) if i % 10 > 6)
+    assert len(told) == 25 and all(x["v"] > 6 for x in told) and rows[("Between", "v")].unexpected_rows == every[:25]
+    assert len(rows[("Null", "s")].unexpected_rows) == 25 and len(rows[("Unique", "v")].unexpected_rows) == 25
+    assert rows[("Between", "id")].unexpected_rows == [] and next(r for (c, _), r in rows.items() if c == "RowCount").unexpected_rows is None
+    assert next(r for (c, _), r in rows.items() if c == "Positive").unexpected_rows is None
+    assert "unexpected_rows" not in api.check(df, checks).columns
