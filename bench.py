@@ -46,7 +46,7 @@ check_Seasonality check_PIIDetection check_JoinIntegrity check_AnonymizationChec
 profile_numeric profile_cardinality profile_top_values profile_histogram profile_full rules_cross_column drift_ks drift_psi drift_wasserstein drift_mmd
 stats_mann_whitney pii_scan_documents mask_hash sample_random sample_block sample_stratified sketch_count_min sketch_bloom anomaly_zscore
 anomaly_isolation_forest anomaly_kmeans lineage_impact runs_trend_daily incident_correlations retention_size dedup_adaptive
-throttle_token_bucket stream_rolling_zscore stream_ema""".split()
+throttle_token_bucket stream_rolling_zscore stream_ema anomaly_lof anomaly_dbscan sample_reservoir_weighted rules_dependencies""".split()
 
 
 def main() -> None:

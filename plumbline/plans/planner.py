@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import inspect
 import json
+import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
@@ -378,6 +379,21 @@ TEXT_CATEGORIES = {"completeness", "uniqueness", "string", "schema", "table", "r
 EXPRESSIONS = ("expression", "filter", "condition", "query", "when", "where", "formula", "assertion")
 
 
+PLAIN = re.compile(r"(?:[\s()<>=!,+*-]|\d+(?:\.\d+)?|[A-Za-z_]\w*|`[^`]+`)+")
+CALL = re.compile(r"(\w+)\s*\(")
+WORDS = {"and", "or", "not", "is", "null", "between", "in", "true", "false"}
+
+
+def cannot_fail(df: DataFrame, text: str) -> bool:
+    """Whether an expression only compares and combines numbers, with arithmetic on floating ones alone: no division, call, cast or text."""
+    if not PLAIN.fullmatch(text) or {c.lower() for c in CALL.findall(text)} - WORDS:
+        return False
+    names = {w.strip("`") for w in re.findall(r"`[^`]+`|[A-Za-z_]\w*", text)}
+    kinds = {f.name: f.dataType for f in df.schema}
+    wanted = (T.DoubleType, T.FloatType) if re.search(r"[+*-]", text) else T.NumericType
+    return all(isinstance(kinds.get(w), wanted) for w in names if w.lower() not in WORDS)
+
+
 def may_fail(df: DataFrame, item: Planned) -> bool:
     """Whether the data can make a planned check fail: it evaluates an expression of the caller, comes from outside the
     library, or reads text columns as anything but text (a number in a parameter, a numeric statistic)."""
@@ -386,7 +402,7 @@ def may_fail(df: DataFrame, item: Planned) -> bool:
     if item.error is not None:
         return False
     params = item.config.params
-    if any(part in name for name, v in params.items() if v for part in EXPRESSIONS):
+    if any(not (isinstance(v, str) and cannot_fail(df, v)) for name, v in params.items() if v and any(part in name for part in EXPRESSIONS)):
         return True
     given = [x for v in params.values() for x in (v if isinstance(v, (list, tuple, set)) else [v])]
     sure = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)

@@ -108,3 +108,14 @@ def test_many_checks_are_chunked(lineitem):
     checks = [C("Between", {"column": c, "min_value": i, "max_value": 10 ** 7}) for i in range(60) for c in ("l_quantity", "l_extendedprice")]
     out = run(lineitem, checks).collect()
     assert len(out) == 120 and all(r.status in ("pass", "fail") for r in out)
+
+
+def test_only_expressions_that_can_fail_run_at_once(lineitem):
+    from plumbline.plans.planner import cannot_fail
+    good = ["l_quantity > 0", "l_extendedprice * (1 - l_discount) >= 0", "l_linenumber in (1, 2) or not (l_tax is null)", "l_partkey between 1 and 5"]
+    bad = ["1 / l_quantity > 0", "l_linenumber + 1 > 0", "l_returnflag > 3", "cast(l_tax as int) > 1", "abs(l_tax) > 1", "l_tax % 2 = 0", "nope > 1", "l_returnflag = 'A'"]
+    assert all(cannot_fail(lineitem, x) for x in good) and not any(cannot_fail(lineitem, x) for x in bad)
+    text = text_of(run(lineitem, [*ROW_CHECKS, *[C("RowLevel", {"expression": x}) for x in good]]))
+    assert len(re.findall(r"^\(\d+\) Scan parquet", text, re.M)) == 1
+    mixed = text_of(run(lineitem, [*ROW_CHECKS, C("RowLevel", {"expression": "1 / l_linenumber > 0"})]))
+    assert len(re.findall(r"^\(\d+\) Scan parquet", mixed, re.M)) == 1
