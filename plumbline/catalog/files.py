@@ -42,6 +42,14 @@ def round_trip(kind: str, suffix: str):
     return fn
 
 
+def json_arrays(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that hold one JSON array each, of at most 10,000 orders."""
+    path, df = place(spark, "arrays"), table(spark, sf, "orders")
+    arrays = df.groupBy(F.floor(F.col("o_orderkey") / 10_000).alias("part")).agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value"))
+    arrays.write.partitionBy("part").text(path)
+    return totals(read_file(spark, path, "json", SCHEMAS["orders"]))
+
+
 def masked_file(spark: SparkSession, sf: str) -> DataFrame:
     out = write_masked(privacy.mask(table(spark, sf, "customer"), ["c_name"], "hash"), place(spark, "masked"), "customer", "hash")
     return read_file(spark, out, "csv", "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").select("c_custkey", "c_name")
@@ -53,11 +61,13 @@ def sampled_file(spark: SparkSession, sf: str) -> DataFrame:
     return read_file(spark, path, kind).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("ids"))
 
 
-def exported_results(spark: SparkSession, sf: str) -> DataFrame:
-    path = place(spark, "results")
-    result = run(table(spark, sf, "customer"), [CheckConfig("Positive", {"column": "c_acctbal"}), CheckConfig("Null", {"columns": ["c_name"]})])
-    write_results(result, path, "json")
-    return shown(read_file(spark, path, "ndjson", result.schema))
+def exported_results(kind: str):
+    def fn(spark: SparkSession, sf: str) -> DataFrame:
+        path = place(spark, "results")
+        result = run(table(spark, sf, "customer"), [CheckConfig("Positive", {"column": "c_acctbal"}), CheckConfig("Null", {"columns": ["c_name"]})])
+        write_results(result, path, kind)
+        return shown(read_file(spark, path, "ndjson" if kind == "json" else kind, result.schema))
+    return fn
 
 
 def run_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,8 +80,10 @@ for _kind, _suffix in (("csv", ".csv"), ("json", ".ndjson"), ("parquet", ".parqu
     register(f"source_{_kind}", round_trip(_kind, _suffix), TOTALS)
 register("sink_masked", masked_file, "select c_custkey, sha256(c_name) as c_name from customer")
 register("sink_sample", sampled_file, "select least(200, count(*)) as n, least(200, count(*)) as ids from events")
-register("sink_results", exported_results,
-         "select 'Positive' as check_name, 'c_acctbal' as column_name, case when count(*) filter (where c_acctbal <= 0) = 0 then 'pass' else 'fail' end as status, "
+register("source_json_array", json_arrays, TOTALS)
+RESULTS = ("select 'Positive' as check_name, 'c_acctbal' as column_name, case when count(*) filter (where c_acctbal <= 0) = 0 then 'pass' else 'fail' end as status, "
          "count(*) filter (where c_acctbal <= 0) as unexpected_count, count(c_acctbal) as total_count, null::double as observed from customer union all "
          "select 'Null', 'c_name', case when count(*) = count(c_name) then 'pass' else 'fail' end, count(*) - count(c_name), count(*), null from customer")
+for _kind, _name in (("json", "sink_results"), ("csv", "sink_results_csv")):
+    register(_name, exported_results(_kind), RESULTS)
 register("sink_run_table", run_table, "select ts::date as day, count(*) as n from events group by 1")
