@@ -3,7 +3,8 @@
 Pointer doubling: after round r a node knows its ancestor 2^r steps up, so a
 chain of length d needs log2(d) joins instead of d. Nodes that have reached
 their root leave the join. Ids with several parents are a general graph and
-take a way of their own.
+take a way of their own. The joins of a loop are sort-merge joins: what a round leaves is
+a share of the table, nothing to send through the driver.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import checkpointed
+from plumbline.session import stored
 
 
 def parent_edges(df: DataFrame, node: Column, parent: Column) -> DataFrame:
@@ -25,12 +26,12 @@ def parent_edges(df: DataFrame, node: Column, parent: Column) -> DataFrame:
 
 def doubled(state: DataFrame, steps: int) -> DataFrame:
     """Follow chains until they end or at least ``steps`` steps were taken."""
-    state, reach = checkpointed(state), 1
+    state, reach = stored(state), 1
     while reach < steps and not state.filter(F.col("jump").isNotNull()).isEmpty():
         ahead = state.select(F.col("id").alias("jump"), F.col("jump").alias("next"), F.col("depth").alias("more"))
-        moved = (state.filter(F.col("jump").isNotNull()).join(ahead, "jump")
+        moved = (state.filter(F.col("jump").isNotNull()).join(ahead.hint("merge"), "jump")
                  .select("id", F.col("next").alias("jump"), (F.col("depth") + F.col("more")).alias("depth")))
-        state = checkpointed(state.filter(F.col("jump").isNull()).unionByName(moved))
+        state = stored(state.filter(F.col("jump").isNull()).unionByName(moved))
         reach *= 2
     return state
 
@@ -39,17 +40,17 @@ def all_edges(df: DataFrame, node: Column, parent: Column) -> tuple[DataFrame, D
     """(id) of all nodes, (id, up) of all edges within the table, and whether a node has several parents."""
     pairs = df.select(node.alias("id"), parent.alias("up")).filter(F.col("id").isNotNull())
     ids = pairs.select("id").distinct()
-    edges = checkpointed(pairs.filter(F.col("up").isNotNull()).distinct().join(ids.select(F.col("id").alias("up")), "up", "left_semi").select("id", "up"))
+    edges = stored(pairs.filter(F.col("up").isNotNull()).distinct().join(ids.select(F.col("id").alias("up")), "up", "left_semi").select("id", "up"))
     return ids, edges, not edges.groupBy("id").count().filter("count > 1").isEmpty()
 
 
 def levels(ids: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
     """(id, depth, root_reached) by the longest way up, for nodes of several parents: one round per level, down from the
     roots. Nodes below or on a cycle count as deeper than ``max_depth``."""
-    frontier = checkpointed(ids.join(edges.select("id").distinct(), "id", "left_anti"))
+    frontier = stored(ids.join(edges.select("id").distinct(), "id", "left_anti"))
     found = frontier.withColumn("depth", F.lit(0).cast("long"))
     for depth in range(1, max_depth + 2):
-        frontier = checkpointed(edges.join(frontier.select(F.col("id").alias("up")), "up").select("id").distinct())
+        frontier = stored(edges.join(frontier.select(F.col("id").alias("up")), "up").select("id").distinct())
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier.withColumn("depth", F.lit(depth).cast("long")))
@@ -70,19 +71,19 @@ def cycle_members(edges: DataFrame) -> DataFrame:
     n = -1
     while (m := left.count()) != n:
         n = m
-        left = checkpointed(left.join(left.select(F.col("id").alias("up")).distinct(), "up", "left_semi"))
-        left = checkpointed(left.join(left.select(F.col("up").alias("id")).distinct(), "id", "left_semi").select("id", "up", "stretch"))
+        left = stored(left.join(left.select(F.col("id").alias("up")).distinct(), "up", "left_semi"))
+        left = stored(left.join(left.select(F.col("up").alias("id")).distinct(), "id", "left_semi").select("id", "up", "stretch"))
         left, held, ring = contracted(left, turn)
         belongs, rings, turn = belongs + held, rings + ring, turn + 1
     part = strong_parts(left.select("id", "up").distinct())
     ends = left.join(part.select("id", F.col("part").alias("a")), "id").join(part.select(F.col("id").alias("up"), F.col("part").alias("b")), "up").filter("a = b")
     members = ends.select("id")
     # Stretches of later turns hold nodes and stretches of earlier ones.
-    live = checkpointed(ends.filter("stretch is not null").select("stretch").distinct())
+    live = stored(ends.filter("stretch is not null").select("stretch").distinct())
     for held in reversed(belongs):
-        inside = checkpointed(held.join(live, "stretch", "left_semi"))
+        inside = stored(held.join(live, "stretch", "left_semi"))
         members = members.unionByName(inside.filter("id is not null").select("id"))
-        live = checkpointed(live.unionByName(inside.filter("inner is not null").select(F.col("inner").alias("stretch"))).distinct())
+        live = stored(live.unionByName(inside.filter("inner is not null").select(F.col("inner").alias("stretch"))).distinct())
     for ring in rings:
         members = members.unionByName(ring)
     return members.distinct()
@@ -93,7 +94,7 @@ def contracted(edges: DataFrame, turn: int) -> tuple[DataFrame, list[DataFrame],
     (id, inner, stretch): nodes and former stretches; and the nodes of rings that nothing leads into or out of."""
     ways = edges.select(F.col("id").alias("v"), F.lit(1).alias("out"), F.lit(0).alias("in"), (F.col("id") == F.col("up")).cast("int").alias("loop")).unionByName(
         edges.select(F.col("up").alias("v"), F.lit(0).alias("out"), F.lit(1).alias("in"), F.lit(0).alias("loop")))
-    inner = checkpointed(ways.groupBy("v").agg(F.sum("out").alias("out"), F.sum("in").alias("in"), F.sum("loop").alias("loop"))
+    inner = stored(ways.groupBy("v").agg(F.sum("out").alias("out"), F.sum("in").alias("in"), F.sum("loop").alias("loop"))
                          .filter("out = 1 and `in` = 1 and loop = 0").select("v"))
     n = inner.count()
     if not n:
@@ -101,21 +102,21 @@ def contracted(edges: DataFrame, turn: int) -> tuple[DataFrame, list[DataFrame],
     on = edges.join(inner, F.col("id") == F.col("v")).select("id", "up", F.col("stretch").alias("inner"))
     marked = inner.select(F.col("v").alias("jump"), F.lit(True).alias("more"))
     # Whoever has reached the end of its stretch leaves the join; ``tail`` is the stretch's last node.
-    state = checkpointed(on.select("id", F.col("up").alias("jump"), F.col("id").alias("tail")).join(marked, "jump", "left"))
+    state = stored(on.select("id", F.col("up").alias("jump"), F.col("id").alias("tail")).join(marked, "jump", "left"))
     reach = 1
     while reach < 2 * n and not state.filter("more").isEmpty():
         ahead = state.select(F.col("id").alias("jump"), F.col("jump").alias("next"), F.col("tail").alias("last"), F.col("more").alias("on"))
-        moved = state.filter("more").join(ahead, "jump").select("id", F.col("next").alias("jump"), F.col("last").alias("tail"), F.col("on").alias("more"))
-        state = checkpointed(state.filter("more is null").select("id", "jump", "tail", "more").unionByName(moved))
+        moved = state.filter("more").join(ahead.hint("merge"), "jump").select("id", F.col("next").alias("jump"), F.col("last").alias("tail"), F.col("on").alias("more"))
+        state = stored(state.filter("more is null").select("id", "jump", "tail", "more").unionByName(moved))
         reach *= 2
     ended = state.filter("more is null").select("id", "jump", F.concat(F.lit(f"{turn}:"), F.col("tail").cast("string")).alias("name"))
     ring = state.filter("more").select("id")
     outside = edges.join(inner, F.col("id") == F.col("v"), "left_anti")
-    into = checkpointed(outside.join(ended.select(F.col("id").alias("up"), "jump", "name"), "up", "left"))
+    into = stored(outside.join(ended.select(F.col("id").alias("up"), "jump", "name"), "up", "left"))
     held = (on.join(ended, "id").select("id", "inner", F.col("name").alias("stretch"))
             .unionByName(into.filter("name is not null and stretch is not null").select(F.lit(None).cast(edges.schema["id"].dataType).alias("id"), F.col("stretch").alias("inner"), F.col("name").alias("stretch"))))
     fewer = into.select("id", F.coalesce("jump", F.col("up")).alias("up"), F.coalesce("name", F.col("stretch")).alias("stretch"))
-    return checkpointed(fewer), [checkpointed(held)], [checkpointed(ring)]
+    return stored(fewer), [stored(held)], [stored(ring)]
 
 
 def strong_parts(edges: DataFrame) -> DataFrame:
@@ -124,26 +125,26 @@ def strong_parts(edges: DataFrame) -> DataFrame:
     Rounds of forward colouring and backward reach: every node takes the greatest id that leads to it; the nodes of a colour that lead
     back to the colour's own node are one part. Ways between colours can be on no cycle and go.
     """
-    edges, parts = checkpointed(edges), []
+    edges, parts = stored(edges), []
     while not edges.isEmpty():
-        colour = checkpointed(edges.select("id").union(edges.select("up")).distinct().withColumn("c", F.col("id")))
+        colour = stored(edges.select("id").union(edges.select("up")).distinct().withColumn("c", F.col("id")))
         fresh = colour
         while not fresh.isEmpty():  # only nodes whose colour has changed tell it on
             told = edges.join(fresh, "id").groupBy("up").agg(F.max("c").alias("n")).withColumnRenamed("up", "id")
-            fresh = checkpointed(told.join(colour, "id").filter("n > c").select("id", F.col("n").alias("c")))
-            colour = checkpointed(colour.join(fresh.select("id", F.col("c").alias("n")), "id", "left").select("id", F.coalesce("n", "c").alias("c")))
-        inside = checkpointed(edges.join(colour, "id").join(colour.select(F.col("id").alias("up"), F.col("c").alias("d")), "up").filter("c = d").select("id", "up", "c"))
-        back = checkpointed(colour.filter("id = c"))
+            fresh = stored(told.join(colour, "id").filter("n > c").select("id", F.col("n").alias("c")))
+            colour = stored(colour.join(fresh.select("id", F.col("c").alias("n")), "id", "left").select("id", F.coalesce("n", "c").alias("c")))
+        inside = stored(edges.join(colour, "id").join(colour.select(F.col("id").alias("up"), F.col("c").alias("d")), "up").filter("c = d").select("id", "up", "c"))
+        back = stored(colour.filter("id = c"))
         front = back
         while not front.isEmpty():
             came = inside.join(front.select(F.col("id").alias("up"), F.col("c").alias("d")), "up").filter("c = d").select("id", "c").distinct()
-            front = checkpointed(came.join(back.select("id"), "id", "left_anti"))
-            back = checkpointed(back.unionByName(front))
+            front = stored(came.join(back.select("id"), "id", "left_anti"))
+            back = stored(back.unionByName(front))
         rest = inside.join(back.select("id"), "id", "left_anti").join(back.select(F.col("id").alias("up")), "up", "left_anti")
         # A colour's node alone is on a cycle only if it leads to itself.
         mine = inside.join(back.select("id"), "id", "left_semi").join(back.select(F.col("id").alias("up")), "up", "left_semi")
-        parts.append(checkpointed(mine.select("id", F.col("c").alias("part")).distinct()))
-        edges = checkpointed(rest.select("id", "up"))
+        parts.append(stored(mine.select("id", F.col("c").alias("part")).distinct()))
+        edges = stored(rest.select("id", "up"))
     if not parts:
         return edges.select("id", F.col("up").alias("part"))
     out = parts[0]
@@ -164,20 +165,21 @@ def climb(df: DataFrame, node: Column, parent: Column, max_depth: int) -> DataFr
 
 
 def on_cycle(df: DataFrame, node: Column, parent: Column, max_depth: int = 100) -> DataFrame:
-    """(id): nodes on a cycle of parents.
+    """(id): nodes on a cycle of parents, however long, so ``max_depth`` is no bound.
 
-    Chains that go on after ``max_depth`` steps are followed for as many steps
-    as there are such chains. Whoever has not ended by then is on or below a
-    cycle, and the node reached lies on it; every node of a cycle is reached
-    from another node of the same cycle. Where ids have several parents, all
-    their edges count.
+    Steps are doubled as in ``doubled``, but after each round only nodes that
+    some other one has reached stay: trees shrink to the cycles they lead to.
+    When every node is reached, the steps permute the nodes, which are then
+    those of the cycles. Where ids have several parents, all their edges count.
     """
     _, edges, several = all_edges(df, node, parent)
     if several:
         return cycle_members(edges)
-    state = doubled(parent_edges(df, node, parent), max_depth + 1)
-    endless = state.filter(F.col("jump").isNotNull())
-    n = endless.count()
-    if n > max_depth:
-        state = doubled(state, n)
-    return state.filter(F.col("jump").isNotNull()).select(F.col("jump").alias("id")).distinct()
+    state = stored(parent_edges(df, node, parent).filter("jump is not null").select("id", "jump"))
+    while True:
+        reached = state.select(F.col("jump").alias("id")).distinct()
+        left = stored(state.join(reached.hint("merge"), "id", "left_semi"))
+        if left.count() == state.count():
+            return left.select("id")
+        ahead = left.select(F.col("id").alias("jump"), F.col("jump").alias("next"))
+        state = stored(left.join(ahead.hint("merge"), "jump").select("id", F.col("next").alias("jump")))

@@ -48,3 +48,15 @@ def test_long_ring_with_one_more_parent(spark):
     df = ring.union(spark.range(1).select(F.lit(17).cast("long"), F.lit(11_111).cast("long"))).union(spark.range(n, n + 500).select("id", (F.col("id") - 1).alias("up")))
     got = hierarchy.on_cycle(df, F.col("id"), F.col("up"))
     assert got.count() == n and got.agg(F.max("id")).first()[0] == n - 1
+
+
+def test_rounds_of_joins_keep_sizes_small(spark):
+    """A chain into a ring of three and a lone chain: what the driver knows about the size of the result has few digits, whatever the rounds."""
+    n = 3_000
+    chain = spark.range(n).select("id", F.when(F.col("id") == 0, 2).otherwise(F.col("id") - 1).cast("long").alias("up"))
+    df = chain.union(spark.range(n, 2 * n).select("id", F.when(F.col("id") > n, F.col("id") - 1).alias("up")))
+    df = df.union(spark.createDataFrame([(2 * n, 2 * n), (2 * n + 1, None), (None, 5)], "id long, up long"))
+    for got, expected in ((hierarchy.on_cycle(df, F.col("id"), F.col("up")).select("id"), [0, 1, 2, 2 * n]),
+                          (hierarchy.climb(df, F.col("id"), F.col("up"), n + 1).filter("not root_reached").select("id"), [*range(n), 2 * n])):
+        assert sorted(r.id for r in got.collect()) == expected
+        assert got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 200
