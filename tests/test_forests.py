@@ -119,3 +119,19 @@ def test_rolling_score_of_several_columns(spark):
     got = {r.event_id: r for r in forests.rolling_columns(df, "session", "ts", "event_id", ["a", "b"], 30, 3.0).collect()}
     assert got[50].is_anomaly and got[50].anomaly_columns == ["b"] and set(got[50].details) == {"a", "b"} and got[50].details["b"].value == 112.0
     assert got[50].score == got[50].details["b"].score and list(got[200].details) == ["b"] and not got[20].is_anomaly
+
+
+def test_cut_trees_take_plain_arithmetic():
+    """Judging points costs less than a few array operations for each tree and level would."""
+    from time import process_time
+    x = np.random.default_rng(4).normal(size=(540, 2))
+    model = forests.robust_random_cut_forest(40, 0.2, 6, 160).start(0, x[:40], None)
+    a, b = np.zeros(2), np.ones(2)
+
+    def timed(work):
+        start = process_time()
+        work()
+        return process_time() - start
+
+    arrays = lambda: [np.minimum(a, b) for _ in range(500 * 6 * 130)]
+    assert min(timed(lambda: model.judge(x[40:])) for _ in range(3)) < min(timed(arrays) for _ in range(3))
