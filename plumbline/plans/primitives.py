@@ -7,6 +7,7 @@ more than one row per partition (or per requested statistic) to the driver.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +20,7 @@ from plumbline.session import checkpointed
 # instead of by one `percentile` buffer.
 PERCENTILE_BUFFER_ROWS = 100_000
 SKETCH_ACCURACY = 2_000
+QUANTILE_BINS = 4_096
 # Generated code of a wider aggregate is too long for the JIT compiler and
 # runs an order of magnitude slower. Splitting costs no extra reading: each
 # part scans its own columns only.
@@ -61,6 +63,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with columns that are computed once per row: filters stay above a generator, so what uses the columns reads their values
+    where it would otherwise repeat long expressions."""
+    row = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select("*", row.alias("__once")).select(*df.columns, *[F.col("__once").getField(n).alias(n) for n in columns])
+
+
 def value_counts(df: DataFrame, keys: dict[str, Column], n: str = "n") -> DataFrame:
     """Distinct key tuples with their row count (map-side combined, so a hot
     key reaches the shuffle as one row per task)."""
@@ -234,21 +243,29 @@ def adjacent_stats(df: DataFrame, order: Sequence[str], carry: dict[str, Column]
 
 def exact_quantiles(df: DataFrame, wanted: Sequence[tuple[Column, float]],
                     buffer_rows: int | None = None) -> list[float | None]:
-    """Exact interpolated quantiles of columns, as driver scalars; nulls, NaN and infinities do not count.
+    """Exact interpolated quantiles of columns, as driver scalars; nulls, NaN and infinities do not count."""
+    return [None if p is None else between(*p) for p in order_pairs(df, wanted, buffer_rows)]
+
+
+def between(a: float, b: float, share: float) -> float:
+    return a if a == b else a + (b - a) * share
+
+
+def order_pairs(df: DataFrame, wanted: Sequence[tuple[Column, float]], buffer_rows: int | None = None) -> list[tuple[float, float, float] | None]:
+    """For each quantile the values on either side of it and how far it lies between them.
 
     A bracket around the two order statistics of each quantile begins as the whole range and is narrowed until what
-    lies inside fits the buffer of one `percentile`. Each round proposes two values, from a mergeable sketch of the
-    inside, and counts what lies below and up to them; the tightest valid bracket of the ends and the proposals is the
-    next one. After a round that gained nothing the middle of the bracket is proposed, so every second round at the
-    latest drops rows or halves the range; a bracket between whose ends no number lies is the answer. All sizes take
-    this way; small inputs need no round.
+    lies inside fits the buffer of one `percentile`. A round counts the rows of a bracket in bins of equal width, each with its
+    least and greatest value: either the two statistics are the ends of two bins, or one bin is the next bracket. Quantiles that share
+    a bracket share its count. After a round that dropped few rows, most being close together in a wide range, a mergeable
+    sketch proposes the next bracket once. All sizes take this way; small inputs need no round.
     """
     limit = buffer_rows or PERCENTILE_BUFFER_ROWS
     wanted = [(finite(c), float(q)) for c, q in wanted]
     columns: dict[str, tuple[Column, list[int]]] = {}
     for i, (c, _) in enumerate(wanted):
         columns.setdefault(str(c), (c, []))[1].append(i)
-    out: list[float | None] = [None] * len(wanted)
+    out: list[tuple[float, float, float] | None] = [None] * len(wanted)
     row = agg_row(df, {k: a for j, (c, _) in enumerate(columns.values())
                        for k, a in ((f"n{j}", F.count(c)), (f"lo{j}", F.min(c)), (f"hi{j}", F.max(c)))})
     state = []
@@ -256,51 +273,74 @@ def exact_quantiles(df: DataFrame, wanted: Sequence[tuple[Column, float]],
         n = row[f"n{j}"]
         for i in ids if n else []:
             pos = wanted[i][1] * (n - 1)
-            state.append({"i": i, "c": c, "k0": int(pos), "k1": min(int(pos) + 1, n - 1), "frac": pos - int(pos),
-                          "lo": row[f"lo{j}"], "hi": row[f"hi{j}"], "below": 0, "inside": n, "stuck": False})
-    slack = 2.0 / SKETCH_ACCURACY
+            state.append({"i": i, "j": j, "c": c, "k0": int(pos), "k1": min(int(pos) + 1, n - 1), "frac": pos - int(pos),
+                          "lo": row[f"lo{j}"], "hi": row[f"hi{j}"], "below": 0, "inside": n, "ends": None, "sketch": False})
 
     def inside(s: dict) -> Column:
         return s["c"].between(s["lo"], s["hi"])
 
-    def open_ones() -> list[dict]:
-        return [s for s in state if s["inside"] > limit and s["lo"] < (s["lo"] / 2 + s["hi"] / 2) < s["hi"]]
-
-    while open_ := open_ones():
-        sketched = [s for s in open_ if not s["stuck"]]
-        guesses = agg_row(df, {f"s{j}": F.percentile_approx(F.when(inside(s), s["c"]), [
-            max((s["k0"] - s["below"]) / s["inside"] - slack, 0.0), min((s["k1"] - s["below"] + 1) / s["inside"] + slack, 1.0)],
-            SKETCH_ACCURACY) for j, s in enumerate(sketched)})
-        for j, s in enumerate(sketched):
-            s["try"] = sorted(guesses[f"s{j}"])
-        for s in open_:
-            if s["stuck"]:
-                s["try"] = [s["lo"] / 2 + s["hi"] / 2] * 2
-        counts = agg_row(df, {f"{kind}{j}_{t}": F.count_if(s["c"] < F.lit(x) if kind == "b" else s["c"] <= F.lit(x))
-                              for j, s in enumerate(open_) for t, x in enumerate(s["try"]) for kind in ("b", "u")})
-        for j, s in enumerate(open_):
-            before = (s["lo"], s["hi"], s["inside"])
-            upto = s["below"] + s["inside"]
-            for t, x in enumerate(s["try"]):
-                below, to = counts[f"b{j}_{t}"], counts[f"u{j}_{t}"]
-                if below <= s["k0"] and x >= s["lo"]:
-                    s["lo"], s["below"] = x, below
-                if to > s["k1"] and x <= s["hi"]:
-                    s["hi"], upto = x, to
-            s["inside"] = upto - s["below"]
-            s["stuck"] = (s["lo"], s["hi"], s["inside"]) == before or s["inside"] > 0.9 * before[2]
+    while open_ := [s for s in state if s["ends"] is None and s["inside"] > limit and s["lo"] < (s["lo"] / 2 + s["hi"] / 2) < s["hi"]]:
+        _by_sketch(df, [s for s in open_ if s["sketch"]], inside)
+        _by_bins(df, [s for s in open_ if not s["sketch"]], inside)
     final = {f"v{s['i']}": F.percentile(F.when(inside(s), s["c"]), [(k - s["below"]) / max(s["inside"] - 1, 1) for k in (s["k0"], s["k1"])])
-             for s in state if s["lo"] < s["hi"]}
+             for s in state if s["ends"] is None and s["lo"] < s["hi"]}
     values = agg_row(df, final)
     for s in state:
-        if s["lo"] == s["hi"]:
-            out[s["i"]] = s["lo"]
-        else:
-            a, b = values[f"v{s['i']}"]
-            out[s["i"]] = a + (b - a) * s["frac"]
+        ends = s["ends"] or ((s["lo"], s["hi"]) if s["lo"] == s["hi"] else values[f"v{s['i']}"])
+        out[s["i"]] = (*ends, s["frac"])
     return out
 
 
+def _by_bins(df: DataFrame, states: list[dict], inside: Callable[[dict], Column]) -> None:
+    """Narrow brackets by counts in bins, all in one job."""
+    groups: dict[tuple, list[dict]] = {}
+    for s in states:
+        groups.setdefault((s["j"], s["lo"], s["hi"]), []).append(s)
+    parts = []
+    for g, same in enumerate(groups.values()):
+        s = same[0]
+        # Halves, as the width of the whole range may be no number; where the bins would have no width, two are left.
+        width = (s["hi"] / 2 - s["lo"] / 2) / QUANTILE_BINS
+        place = F.floor((s["c"] / 2 - s["lo"] / 2) / width) if width > 0 else (s["c"] > s["lo"]).cast("long")
+        parts.append(df.filter(inside(s)).select(place.alias("bin"), s["c"].alias("v")).groupBy("bin")
+                     .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).withColumn("g", F.lit(g)))
+    if not parts:
+        return
+    bins: dict[int, list] = {}
+    for r in sorted(reduce(DataFrame.unionByName, parts).collect(), key=lambda r: (r.g, r.bin)):
+        bins.setdefault(r.g, []).append(r)
+    for g, same in enumerate(groups.values()):
+        for s in same:
+            at, before = s["below"], s["inside"]
+            for k, r in enumerate(bins[g]):
+                if at + r.n > s["k0"]:
+                    break
+                at += r.n
+            if s["k1"] >= at + r.n:
+                s["ends"] = (r.hi, bins[g][k + 1].lo)
+            else:
+                s["lo"], s["hi"], s["below"], s["inside"], s["sketch"] = r.lo, r.hi, at, r.n, r.n > 0.5 * before
+
+
+def _by_sketch(df: DataFrame, states: list[dict], inside: Callable[[dict], Column]) -> None:
+    """Narrow brackets by two values that a sketch proposes, counting what lies below and up to them."""
+    slack = 2.0 / SKETCH_ACCURACY
+    guesses = agg_row(df, {f"s{j}": F.percentile_approx(F.when(inside(s), s["c"]), [
+        max((s["k0"] - s["below"]) / s["inside"] - slack, 0.0), min((s["k1"] - s["below"] + 1) / s["inside"] + slack, 1.0)],
+        SKETCH_ACCURACY) for j, s in enumerate(states)})
+    counts = agg_row(df, {f"{kind}{j}_{t}": F.count_if(s["c"] < F.lit(x) if kind == "b" else s["c"] <= F.lit(x))
+                          for j, s in enumerate(states) for t, x in enumerate(sorted(guesses[f"s{j}"])) for kind in ("b", "u")})
+    for j, s in enumerate(states):
+        upto = s["below"] + s["inside"]
+        for t, x in enumerate(sorted(guesses[f"s{j}"])):
+            below, to = counts[f"b{j}_{t}"], counts[f"u{j}_{t}"]
+            if below <= s["k0"] and x >= s["lo"]:
+                s["lo"], s["below"] = x, below
+            if to > s["k1"] and x <= s["hi"]:
+                s["hi"], upto = x, to
+        s["inside"], s["sketch"] = upto - s["below"], False
+
+
 def reach(start: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
     """Breadth-first reach: ``start`` (id), ``edges`` (src, dst) to rows
     (root, id, depth) with the least depth. A round is one join and one anti

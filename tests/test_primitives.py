@@ -129,3 +129,15 @@ def test_rank_correlations(spark):
     rank = lambda v: np.array([sum(x < y for x in v) + (sum(x == y for x in v) + 1) / 2 for y in v])
     want = np.corrcoef(rank([r[0] for r in rows]), rank([r[1] for r in rows]))[0, 1]
     assert spearman(df, F.col("a"), F.col("b")).first().value == pytest.approx(want)
+
+
+def test_quantile_between_two_hot_values(spark):
+    """The two values that a quantile lies between fill the bracket: nothing narrower holds both."""
+    df = spark.createDataFrame([(float(i % 2),) for i in range(200)] + [(1e300,), (-1e300,), (None,), (float("nan"),)], "v double")
+    assert P.exact_quantiles(df, [(F.col("v"), q) for q in (0.5, 0.25, 0.75, 0.0, 1.0)], 40) == [0.5, 0.0, 1.0, -1e300, 1e300]
+
+
+def test_long_expression_is_computed_once(spark):
+    df = P.once(spark.range(5).select(F.col("id").cast("double").alias("x")), {"root": F.sqrt("x")})
+    plan = df.filter((F.col("root") >= 1) & (F.col("root") < 2) & (F.abs("root") > 0))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("SQRT(") == 1 and [r.root for r in df.filter("root >= 1 and root < 1.5").collect()] == [1.0, 2 ** 0.5]
