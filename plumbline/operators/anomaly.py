@@ -26,7 +26,7 @@ from plumbline.functions.numeric import finite
 from plumbline.functions.special import chi_square_quantile
 from plumbline.operators.components import components
 from plumbline.operators.neighbours import knn
-from plumbline.plans.primitives import agg_row, exact_quantiles
+from plumbline.plans.primitives import agg_row, between, exact_quantiles, once, order_pairs
 from plumbline.session import checkpointed
 
 
@@ -421,13 +421,22 @@ def robust_distance(p: Prepared, robust: bool, rounds: int = 6) -> Column:
     if not robust or p.n <= 2 * (p.d + 1):
         return dist
     previous = None
+    zs = [F.col(f"z{i}") for i in range(p.d)]
+    table = once(p.df, {f"z{i}": z for i, z in enumerate(p.z)}).select(*zs)
+    apart = once(table, {"dist": quadratic(zs, mean, np.linalg.pinv(cov))})
+    (middle,) = order_pairs(apart, [(F.col("dist"), 0.5)])
     for _ in range(rounds):
-        (half,) = exact_quantiles(p.df, [(dist, 0.5)])
-        mean, cov, _ = covariance(p.df.filter(dist <= F.lit(half)), p.z)
-        raw = quadratic(p.z, mean, np.linalg.pinv(cov))
-        (median,) = exact_quantiles(p.df, [(raw, 0.5)])
-        # Scale so that the median distance is that of normal data.
-        dist = raw * (chi_square_quantile(0.5, p.d) / median) if median else raw
+        half = between(*middle)
+        mean, cov, _ = covariance(apart.filter(F.col("dist") <= F.lit(half)), zs)
+        inverse = np.linalg.pinv(cov)
+        dist = raw = quadratic(p.z, mean, inverse)
+        apart = once(table, {"dist": quadratic(zs, mean, inverse)})
+        (middle,) = order_pairs(apart, [(F.col("dist"), 0.5)])
+        median = between(*middle)
+        if median:  # Scale so that the median distance is that of normal data; the scaled middle is that of the next round.
+            scale = chi_square_quantile(0.5, p.d) / median
+            dist, middle = raw * scale, (middle[0] * scale, middle[1] * scale, middle[2])
+            apart = once(table, {"dist": quadratic(zs, mean, inverse) * scale})
         if previous is not None and abs(half - previous) < 1e-9:
             break
         previous = half

@@ -154,3 +154,14 @@ def test_nearest_centre_beyond_the_broadcast_limit(spark, monkeypatch):
     got = {r.id: r.score for r in A.nearest_centre(pts, cen, 2).collect()}
     want = np.sqrt(((p[:, None] - c[None]) ** 2).sum(-1)).min(1)
     assert np.allclose([got[i] for i in range(300)], want)
+
+
+def test_robust_distance_takes_one_quantile_a_round(spark, monkeypatch):
+    rows = [(i, float(i % 17), float((i * 7) % 23)) for i in range(300)] + [(999, 500.0, -400.0)]
+    p = A.Prepared(spark.createDataFrame(rows, "id long, a double, b double"), "id", ["a", "b"])
+    calls, pairs = [], A.order_pairs
+    monkeypatch.setattr(A, "order_pairs", lambda *args: calls.append(1) or pairs(*args))
+    monkeypatch.setattr(A, "exact_quantiles", lambda *args: pytest.fail("a second quantile"))
+    dist = A.robust_distance(p, True)
+    assert 2 <= len(calls) <= 7
+    assert p.df.select("id", dist.alias("d")).orderBy(F.desc("d")).first().id == 999
