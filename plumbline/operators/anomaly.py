@@ -506,11 +506,12 @@ def one_class_svm(p: Prepared, kernel: str = "rbf", nu: float = 0.1, gamma: Any
         freq = np.random.default_rng(seed).normal(0.0, math.sqrt(2.0 * g), (p.d, features))
     else:
         raise ValueError("kernel must be rbf or linear")
-    frame = p.df.select("id", F.array(*p.z).alias("z"))
+    zs = [f"z{i}" for i in range(p.d)]
+    frame = p.df.select("id", *[z.alias(name) for z, name in zip(p.z, zs)])
     size = p.d if freq is None else 2 * features
 
-    def phi(z: pd.Series) -> np.ndarray:
-        rows = np.array(z.tolist(), dtype=float).reshape(len(z), -1)
+    def phi(z: Sequence[pd.Series]) -> np.ndarray:
+        rows = np.column_stack([x.to_numpy(float) for x in z])
         if freq is None:
             return rows
         angle = rows @ freq
@@ -518,19 +519,19 @@ def one_class_svm(p: Prepared, kernel: str = "rbf", nu: float = 0.1, gamma: Any
 
     def margin(w: np.ndarray) -> Column:
         @F.pandas_udf(T.DoubleType())
-        def score(z: pd.Series) -> pd.Series:
+        def score(*z: pd.Series) -> pd.Series:
             return pd.Series(phi(z) @ w)
-        return score("z")
+        return score(*zs)
 
     def mean_below(w: np.ndarray | None, rho: float) -> np.ndarray | None:
         def sums(batches: Any) -> Any:
             total = np.zeros(size + 1)
             for pdf in batches:
-                f = phi(pdf["z"])
+                f = phi([pdf[name] for name in zs])
                 low = np.ones(len(f), bool) if w is None else f @ w <= rho
                 total += np.append(f[low].sum(0), low.sum())
             yield pd.DataFrame([total], columns=[f"t{i}" for i in range(size + 1)])
-        parts = frame.select("z").mapInPandas(sums, ", ".join(f"t{i} double" for i in range(size + 1)))
+        parts = frame.select(*zs).mapInPandas(sums, ", ".join(f"t{i} double" for i in range(size + 1)))
         row = np.array(parts.agg(*[F.sum(f"t{i}") for i in range(size + 1)]).first(), dtype=float)
         return row[:-1] / row[-1] if row[-1] > 0 else None
 

@@ -165,3 +165,11 @@ def test_robust_distance_takes_one_quantile_a_round(spark, monkeypatch):
     dist = A.robust_distance(p, True)
     assert 2 <= len(calls) <= 7
     assert p.df.select("id", dist.alias("d")).orderBy(F.desc("d")).first().id == 999
+
+
+def test_one_class_svm_sends_plain_columns(spark, monkeypatch):
+    rows = [(i, float(i % 17), float((i * 7) % 23)) for i in range(300)]
+    p = A.Prepared(spark.createDataFrame(rows, "id long, a double, b double"), "id", ["a", "b"])
+    monkeypatch.setattr(A, "cut_at", lambda scores, q: scores)
+    scores = A.one_class_svm(p, nu=0.1, rounds=2)
+    assert scores.count() == 300 and "array(" not in scores._jdf.queryExecution().optimizedPlan().toString()
