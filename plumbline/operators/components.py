@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import checkpointed
+from plumbline.session import removed, stored
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component) for ``nodes`` (id) and ``edges`` (a, b); the component
     is its smallest id. Rounds grow with the logarithm of the graph."""
     links = edges.filter("a != b").select("a", "b").distinct()
-    links = checkpointed(links)
+    links = stored(links)
     seen = None
     while True:
         # Large star: link every larger neighbour to the smallest one around.
@@ -25,7 +25,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         moved = down.join(low, "a")
         small = (moved.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-        links = checkpointed(small)
+        old, links = links, stored(small)
+        removed(old)
         mark = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(mark) == seen:
             break

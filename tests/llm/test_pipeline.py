@@ -1,7 +1,9 @@
 import hashlib
+import time
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -62,3 +64,18 @@ def test_odd_rows_pass_every_stage(spark, odd):
 def test_all_eleven_queries_are_registered():
     names = list(entry.queries())
     assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files, name = lambda: manager.getAllFiles().size(), corpus_pipeline.CLEANUP
+    assert spark.conf.get(name, None) is None
+    before = files()
+    with corpus_pipeline.shuffles_removed(spark):
+        df = spark.range(1000, numPartitions=4).groupBy((F.col("id") % 7).alias("k")).count()
+        assert len(df.collect()) == len(df.collect()) == 7
+        until = time.time() + 20
+        while files() > before and time.time() < until:
+            time.sleep(0.1)
+        assert files() <= before
+    assert spark.conf.get(name, None) is None
