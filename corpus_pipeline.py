@@ -8,15 +8,13 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import bpe, dartminhash, decontaminate, pii, toxicity
 from plumbline.llm.base import read
-from plumbline.session import checkpoint_folder
+from plumbline.session import CLEANUP, checkpoint_folder, shuffles_removed  # noqa: F401
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,22 +47,6 @@ STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_copies), ("dec
 ORACLE_SQL = None
 
 
-#: Whether the shuffle files of a query go as soon as it has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of a query are deleted at its end. Otherwise they stay until the driver collects garbage, and a stage of some
-    hundred shuffles holds hundreds of small files for each on the disks."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table; each result is written to the shared folder and read again."""
     folder = f"{checkpoint_folder(spark)}/corpus-{uuid.uuid4().hex}"

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.base import pieces, small_batches, text_or_empty, texts_of
-from plumbline.session import checkpointed
+from plumbline.session import checkpointed, shuffles_removed
 
 WORD = re.compile(r"[^\W\d_]+")
 #: A word is cut to this many characters, so that a text without spaces is no single key.
@@ -31,6 +31,8 @@ MAX_WORDS, MAX_GRAMS, MAX_LANGUAGES = 150_000, 150_000, 500
 TASK_WORDS = 250_000
 #: Keys with more than this share of a join's rows are joined by broadcast.
 OFTEN = 5_000
+#: Most partitions, for each core, of what follows a shuffle and is written: tables that are kept, and the result.
+FILES = 4
 #: Scores that are summed in a shuffle are whole multiples of 1 / FIXED, so their order does not matter.
 FIXED = 1 << 28
 
@@ -43,6 +45,16 @@ def words_of(text: str) -> list[str]:
     return words
 
 
+def few(df: DataFrame) -> DataFrame:
+    """``df`` in a few partitions for each core. Each file written to a local folder costs the executor a process that sets its
+    mode; until that runs ``chmod``, it seems to hold all the executor's memory once more."""
+    return df.coalesce(FILES * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    return checkpointed(few(df))
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, lang, n) over all of ``docs`` (text, lang), counted in the tasks before the shuffle."""
 
@@ -91,7 +103,7 @@ def met(rows: DataFrame, table: DataFrame, key: str, sizes: DataFrame) -> DataFr
     often = sizes.filter(F.col("m") > least).select(key).collect()  # fewer than OFTEN
     if not often:
         return rows.join(table, key)
-    table = checkpointed(table)
+    table = kept(table)
     often = F.broadcast(rows.sparkSession.createDataFrame(often, rows.select(key).schema))
     return rows.join(often, key, "left_anti").join(table, key).unionByName(rows.join(F.broadcast(table.join(often, key, "left_semi")), key))
 
@@ -157,7 +169,7 @@ def scores(rows: list, key: str, languages: list[str], base: np.ndarray) -> tupl
 def learn(docs: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model | None:
     """A model of ``docs`` (text, lang); rows without a language teach nothing. None when no row has one and a word."""
     small_batches(docs.sparkSession)
-    counts = checkpointed(word_counts(docs.filter("lang is not null")))
+    counts = kept(word_counts(docs.filter("lang is not null")))
     totals = {r["lang"]: float(r["n"]) for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if not totals:
         return None
@@ -170,7 +182,7 @@ def learn(docs: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAM
         return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(marked) - (n - 1))), lambda i: F.substr(marked, i, F.lit(n)))
 
     gram_counts = counts.select("lang", "n", F.explode(F.concat(*[grams(n) for n in GRAMS])).alias("gram")).groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    gram_counts = checkpointed(gram_counts)
+    gram_counts = kept(gram_counts)
     gram_totals = {r["lang"]: float(r["n"]) for r in gram_counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     top_words, n_words, every_word = most_frequent(counts, "word", max_words)
     top_grams, n_grams, every_gram = most_frequent(gram_counts, "gram", max_grams)
@@ -274,9 +286,10 @@ def identify_rare(slim: DataFrame, model: Model, shared, key: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(0).take(pa.array(at, pa.int64())), pa.array(parts, pa.list_(pa.float64())), pa.array(letters),
                                               pa.array(rest, pa.string()), pa.array(numbers, pa.list_(pa.int64()))], ["id", "key", "part", "letters", "rest", "numbers"])
 
+    # Ids go by the task, so its partitions must not be put together here.
     heads = checkpointed(slim.mapInArrow(run, f"id long, key {kind}, part array<double>, letters boolean, rest string, numbers array<long>"))
     rare = (heads.filter("rest is not null").select("id", F.explode(F.arrays_zip(F.split("rest", " ").alias("word"), F.col("numbers").alias("n"))).alias("x")).select("id", "x.word", "x.n"))
-    sizes = checkpointed(rare.groupBy("word").agg(F.count(F.lit(1)).alias("m")))
+    sizes = kept(rare.groupBy("word").agg(F.count(F.lit(1)).alias("m")))
     sums = met(rare, rare_scores(sizes.select("word"), model, shared), "word", sizes)
     sums = sums.groupBy("id").agg(F.array(*[F.sum(F.element_at("vec", i + 1) * F.col("n")) for i in range(len(model.languages))]).alias("more"))
 
@@ -288,13 +301,13 @@ def identify_rare(slim: DataFrame, model: Model, shared, key: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], [key, "lang_pred", "score"])
 
     out = heads.filter("part is not null").join(sums, "id", "left").select("key", "part", "letters", "more")
-    return out.mapInArrow(finish, f"`{key}` {kind}, lang_pred string, score double")
+    return few(out).mapInArrow(finish, f"`{key}` {kind}, lang_pred string, score double")
 
 
 def rare_scores(words: DataFrame, model: Model, shared) -> DataFrame:
     """(word, vec) of different words that the broadcast model does not have: by all word counts, and for words without
     any by all n-gram counts. ``vec`` are scores times ``FIXED``."""
-    words = checkpointed(words.join(model.all_words, "word", "left").groupBy("word").agg(F.collect_list(F.when(F.col("lang").isNotNull(), F.struct("lang", "n"))).alias("by")))
+    words = kept(words.join(model.all_words, "word", "left").groupBy("word").agg(F.collect_list(F.when(F.col("lang").isNotNull(), F.struct("lang", "n"))).alias("by")))
 
     def open_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,8 +315,8 @@ def rare_scores(words: DataFrame, model: Model, shared) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in pairs], pa.string()), pa.array([g for _, g in pairs], pa.string())], ["word", "gram"])
 
     unseen = words.filter(F.size("by") == 0).select("word")
-    asked = checkpointed(unseen.mapInArrow(open_grams, "word string, gram string"))
-    sizes = checkpointed(asked.groupBy("gram").agg(F.count(F.lit(1)).alias("m")))
+    asked = kept(unseen.mapInArrow(open_grams, "word string, gram string"))
+    sizes = kept(asked.groupBy("gram").agg(F.count(F.lit(1)).alias("m")))
     by_gram = model.all_grams.join(sizes.select("gram"), "gram", "left_semi").groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("by"))
     grams = met(asked, by_gram, "gram", sizes).groupBy("word").agg(F.collect_list(F.struct("gram", "by")).alias("grams"))  # a word has few n-grams
 
@@ -337,4 +350,6 @@ def held_out() -> Column:
 def language_report(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row; learned from rows that are not held out and have a language."""
     train = docs.filter(F.col("doc_id").isNotNull() & ~held_out()).select(text_or_empty().alias("text"), "lang")
-    return identify(docs, learn(train)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    with shuffles_removed(docs.sparkSession):
+        out = identify(docs, learn(train))
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

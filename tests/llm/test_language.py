@@ -3,6 +3,7 @@ from zlib import crc32
 from pyspark.sql import functions as F
 
 from plumbline.llm import language
+from plumbline.session import CLEANUP, checkpointed
 
 
 def test_held_out_accuracy(spark):
@@ -52,3 +53,33 @@ def test_scores_do_not_depend_on_what_is_broadcast(spark):
     for words, grams in ((2, 5), (0, 0), (1_000, 5), (2, 10_000)):
         got = {r.doc_id: (r.lang_pred, round(r.score, 5)) for r in language.identify(docs, language.learn(train, words, grams)).collect()}
         assert got == want
+
+
+def test_tables_are_kept_in_few_files(spark, monkeypatch):
+    """However many partitions a shuffle has; each file of a local folder costs an executor a process."""
+    train = spark.createDataFrame([("the cat the dog the end", "en")] * 3 + [("der hund der kater", "de")] * 3 + [("katu txakur zaldi", "eu")], "text string, lang string")
+    texts = ["txakur zaldi", "zaldi the", "txakurra zaldia", "hunde", *["zaldi qqqq"] * 1_100]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cores = spark.sparkContext.defaultParallelism
+    settings = {"spark.sql.shuffle.partitions": str(language.FILES * cores + 8), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    tables, before = [], {k: spark.conf.get(k) for k in settings}
+    monkeypatch.setattr(language, "checkpointed", lambda df: tables.append(checkpointed(df)) or tables[-1])
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        out = language.identify(docs, language.learn(train, 2, 5))
+        rows, parts = out.collect(), out.rdd.getNumPartitions()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(rows) == len(texts) and len({r.doc_id for r in rows}) == len(texts)
+    assert len(tables) > 7 and max(parts, *(t.rdd.getNumPartitions() for t in tables)) <= language.FILES * cores
+
+
+def test_shuffle_files_go_with_their_query(spark, odd, monkeypatch):
+    """Not when the driver happens to collect garbage; the setting is as before afterwards."""
+    seen, identify = [], language.identify
+    monkeypatch.setattr(language, "identify", lambda *a: seen.append(spark.conf.get(CLEANUP, None)) or identify(*a))
+    before = spark.conf.get(CLEANUP, None)
+    assert language.language_report(odd).count() == odd.count()
+    assert seen == ["true"] and spark.conf.get(CLEANUP, None) == before
