@@ -33,6 +33,11 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
     """Batches cut where their texts exceed ``limit`` bytes. Every row comes once. At the end the memory that the task has freed
     goes back to the system, as the worker may wait long for its next task."""
     yield from _pieces(batches, text, limit)
+    release()
+
+
+def release() -> None:
+    """Memory that this process has freed goes back to the system."""
     pa.default_memory_pool().release_unused()
     trim = getattr(CDLL(None), "malloc_trim", None)  # of the GNU library
     if trim:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import words as W
-from plumbline.llm.base import list_array, pieces, small_batches
+from plumbline.llm.base import Scratch, list_array, pieces, small_batches
 from plumbline.llm.bitmaps import bitmap, without
 from plumbline.session import checkpointed
 
@@ -186,7 +186,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: st
     slots that agree with a one-to-one renaming of values, ``literal`` whether all values are the item's own. The readings
     are judged apart, and the best one tells. Items with fewer than five words match whole texts and whole lines; null and
     empty texts match nothing. Rows that share an id are judged together; rows without one are not reported.
+
+    What several later steps read is written out once. In one plan it would stand once for each of them, and the driver tells
+    its listeners the whole plan again at the end of every shuffle.
     """
+    scratch = Scratch(docs.sparkSession)
     items = checkpointed(window_table(benchmark.filter(F.col(item).isNotNull()), item).select(F.struct("key", "mode").alias("item"), F.col("pos").alias("ipos"), "h", F.col("values").alias("ivalues"), "slots", F.col("n").alias("in_all")))
     hits = checkpointed(window_table(docs.filter(F.col(key).isNotNull()), key, filled=bit_array(items)).drop("mode", "slots", "n"))
     items = checkpointed(items.withColumn("nth", F.dense_rank().over(Window.partitionBy("item").orderBy("ipos"))))
@@ -200,9 +204,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: st
     positions = items.join(commonness, "h").groupBy("item", "ipos", "nth", "in_all").agg(F.max("shared").alias("shared"))
     probes = (positions.withColumn("place", F.row_number().over(rare)).withColumn("first", F.row_number().over(block))
               .filter((F.col("place") <= F.col("in_all") - need + 1) | (F.col("first") == 1)).select("item", "ipos"))
-    probe_hashes = items.join(probes, ["item", "ipos"], "left_semi").select("item", "h").distinct()
+    probe_hashes = scratch.keep(items.join(probes, ["item", "ipos"], "left_semi").select("item", "h").distinct())
     candidates = hits.select("key", "h").distinct().join(probe_hashes, "h").select("key", "item").distinct()
-    met = candidates.join(items, "item").join(hits, ["key", "h"]).select("key", "item", "ipos", "nth", "in_all", "pos", "slots", "ivalues", "values")
+    met = scratch.keep(candidates.join(items, "item").join(hits, ["key", "h"]).select("key", "item", "ipos", "nth", "in_all", "pos", "slots", "ivalues", "values"))
     # The best stretch: as long as the item and a little more, it holds the most of the item's windows.
     stretch = Window.partitionBy("key", "item").orderBy(F.floor(F.col("pos").cast("long") * 1000 / F.col("in_all"))).rangeBetween(0, int(STRETCH * 1000))
     spots = met.groupBy("key", "item", "in_all", "pos").agg(F.collect_set("ipos").alias("ipos"))
@@ -226,7 +230,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: st
     inside = (inside.join(support, ["key", "item", "shift"]).groupBy("key", "item", "pos")
               .agg(F.max_by(F.struct("slots", "ivalues", "values"), F.struct("support", -F.bit_count("slots"), -F.col("ipos"))).alias("w")).select("key", "item", "w.*"))
     slot = F.filter(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda k: F.col("slots").bitwiseAND(F.element_at(F.array(*[F.lit(1 << j) for j in range(WIDTH)]), k + 1)) != 0)
-    pairs = (inside.select("key", "item", F.explode(F.transform(slot, lambda k: F.struct(F.element_at("ivalues", k + 1).alias("was"), F.element_at("values", k + 1).alias("now")))).alias("p"))
+    pairs = scratch.keep(inside.select("key", "item", F.explode(F.transform(slot, lambda k: F.struct(F.element_at("ivalues", k + 1).alias("was"), F.element_at("values", k + 1).alias("now")))).alias("p"))
              .groupBy("key", "item", "p.was", "p.now").agg(F.count(F.lit(1)).alias("n")))
     forward = pairs.groupBy("key", "item", "was").agg(F.max("n").alias("top"), F.sum("n").alias("all"), F.sum(F.when(F.col("was") == F.col("now"), F.col("n")).otherwise(0)).alias("same"))
     backward = pairs.groupBy("key", "item", "now").agg(F.max("n").alias("top"), F.sum("n").alias("all"))
@@ -234,8 +238,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: st
              .join(backward.groupBy("key", "item").agg((F.sum("top") / F.sum("all")).alias("back")), ["key", "item"]))
     told = best.join(agree, ["key", "item"], "left").withColumn("consistency", F.coalesce(F.least("there", "back"), F.lit(1.0))).withColumn("literal", F.coalesce("literal", F.lit(True)))
     order = F.struct(F.col("literal") | (F.col("consistency") >= CONSISTENT), "coverage", "consistency", "literal")
-    return (told.groupBy("key", F.col("item.key").alias("of")).agg(F.max_by(F.struct("coverage", "consistency", "literal"), order).alias("x"))
-            .select(F.col("key").alias(key), F.col("of").alias(item), "x.*"))
+    out = checkpointed(told.groupBy("key", F.col("item.key").alias("of")).agg(F.max_by(F.struct("coverage", "consistency", "literal"), order).alias("x"))
+                       .select(F.col("key").alias(key), F.col("of").alias(item), "x.*"))
+    scratch.drop()
+    return out
 
 
 def contaminated(found: DataFrame, consistent: float = CONSISTENT) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import words as W
-from plumbline.llm.base import list_array, pieces, small_batches
+from plumbline.llm.base import list_array, pieces, release, small_batches
 from plumbline.llm.bitmaps import maybe, within, without
 from plumbline.session import checkpointed
 
@@ -387,6 +387,7 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Without labels on both sides, or where they cannot be told apart, nothing is rejected. Rows that share an id share its label.
     """
     links = learn(docs, labels)
+    release()  # the training rows
     limit = next(link.threshold for link in links if link.name == REJECT)
     return predict(docs, links).withColumn("kept", F.col(f"p_{REJECT}") < limit)
 

@@ -36,6 +36,20 @@ def test_exact_reparameterised_and_inconsistent(spark):
     assert found[1].literal and not found[2].literal and found[3].consistency < decontaminate.CONSISTENT
 
 
+def test_no_plan_repeats_its_steps(spark, monkeypatch):
+    """The driver holds and tells every plan as text, again after every shuffle; a step that many others read must not stand in each."""
+    sizes = []
+
+    def noted(df):
+        sizes.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+        return df
+
+    monkeypatch.setattr(decontaminate, "checkpointed", lambda df, f=decontaminate.checkpointed: f(noted(df)))
+    docs = frame(spark, [(1, f"Some text before. {ITEM}. And after it."), (2, "nothing of this kind")])
+    assert [r.doc_id for r in noted(decontaminate.clean(docs, bench(spark, [(11, ITEM)]))).collect()] == [2]
+    assert max(sizes) <= 20
+
+
 def test_given_tables_against_windows(spark):
     sf = "/root/testdata/sf0.01"
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")

@@ -102,6 +102,16 @@ def test_reach_and_hierarchy(spark):
     assert depth[100] == (60, True) and depth[160] == (0, True) and not depth[4][1]
 
 
+def test_components_end_at_stars(spark, monkeypatch):
+    from plumbline.operators import components as module
+    tables = []
+    monkeypatch.setattr(module, "stored", lambda df, f=module.stored: tables.append(1) or f(df))
+    edges = spark.createDataFrame([(1, 2), (3, 1), (4, 5), (5, 5), (6, None)], "a long, b long")
+    nodes = spark.createDataFrame([(n,) for n in (1, 2, 3, 4, 5, 6)], "id long")
+    assert {r.id: r.component for r in components(nodes, edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
+    assert len(tables) == 2  # the links as given and after one round; no further round only confirms the stars
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 140)] + [(rng.randint(200, 230), rng.randint(200, 230)) for _ in range(40)]
