@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.catalog.base import register, table
+from plumbline.session import stored
 from plumbline.streaming import automata as A
 from plumbline.streaming import detectors as D
 from plumbline.streaming import forests, jobs, keyed
@@ -158,11 +159,14 @@ def caught(spark: SparkSession, sf: str, kind: forests.Turning) -> DataFrame:
     differently."""
     batch = forests.as_batch(planted(events(spark, sf)), kind)
     live = jobs.drain(forests.as_stream(planted(stream(spark, sf)), kind)).select(F.col("session").alias("s"), F.col("event_id").alias("e"), F.col("score").alias("live"))
-    both = batch.join(live, (F.col("session") == F.col("s")) & (F.col("event_id") == F.col("e")), "full").withColumn(
-        "nth", F.row_number().over(Window.partitionBy("session").orderBy("ts", "event_id")))
-    late = F.expr(PLANTED) & (F.col("nth") > kind.back)
-    return both.groupBy("session").agg(F.count("event_id").alias("points"), F.count_if(late).alias("planted"), F.count_if(late & F.col("is_anomaly")).alias("found"),
-                                       F.count_if(~F.col("score").eqNullSafe(F.col("live"))).alias("different"))
+    both = stored(batch.join(live, (F.col("session") == F.col("s")) & (F.col("event_id") == F.col("e")), "full")
+                  .select("session", "ts", "event_id", "is_anomaly", (~F.col("score").eqNullSafe(F.col("live"))).alias("different")))
+    # A session's first points are found by a limited rank and taken off again, so that no task sorts a whole session.
+    first = both.withColumn("nth", F.row_number().over(Window.partitionBy("session").orderBy("ts", "event_id"))).filter(F.col("nth") <= kind.back).drop("nth")
+    rows, far = both.withColumn("sign", F.lit(1)).unionByName(first.withColumn("sign", F.lit(-1))), F.expr(PLANTED)
+    whole, late = F.col("sign") > 0, lambda hit: F.coalesce(F.sum(F.when(hit, F.col("sign"))), F.lit(0).cast("long"))
+    return rows.groupBy("session").agg(F.count_if(whole & F.col("event_id").isNotNull()).alias("points"), late(far).alias("planted"), late(far & F.col("is_anomaly")).alias("found"),
+                                       F.count_if(whole & F.col("different")).alias("different"))
 
 
 def turning_queries() -> None:

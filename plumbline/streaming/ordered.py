@@ -1,7 +1,7 @@
 """Folds over a stream in event order, however its rows arrive.
 
-Rows wait in keyed state, in pages sorted by event time, until the watermark has passed them; a timer then sweeps the pages that
-are due and hands their rows to the fold in order, a page or so at a time. Rows later than the watermark are dropped by the
+Rows wait in keyed state, in pages of sorted runs, until the watermark has passed them; a timer then sweeps the pages that
+are due and hands their rows to the fold in order, some pages at a time. Rows later than the watermark are dropped by the
 engine before they get here, so no row can follow that belongs before one already told. A key without rows for as long as
 its state matters is forgotten by a timer, too.
 
@@ -16,8 +16,8 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,8 +29,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 #: Event time from which on a row is none but the closing one.
 FAR = "9999-01-01 00:00:00"
 MOST_IDLE_MS = 100 * 365 * 86_400_000
-#: Rows of a page of waiting rows.
-PAGE_ROWS = 1_024
+#: Rows of a page of waiting rows, of a run that is sorted before it is cut into pages, and of pages merged at once.
+PAGE_ROWS, RUN_ROWS, MERGED_ROWS = 1_024, 131_072, 32_768
 
 
 @dataclass(frozen=True)
@@ -53,19 +53,24 @@ class InEventOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pages = handle.getMapState("pages", "first long, nth long", ", ".join(f"`{c}` array<{t}>" for c, t in self.columns))
+        self.pages = handle.getMapState("pages", "first long, nth long", "rows binary")
         self.next = handle.getValueState("next", "at long")
         self.state = handle.getValueState("folded", self.fold.state)
         self.idle = handle.getValueState("idle", "at long")
 
     def store(self, pdf: pd.DataFrame) -> None:
         """Sorted rows as pages."""
+        rows, used = pa.Table.from_pandas(pdf[[c for c, _ in self.columns]], preserve_index=False), {}
         for k in range(0, len(pdf), PAGE_ROWS):
-            part = pdf.iloc[k:k + PAGE_ROWS]
-            first, nth = int(part["t_us"].iloc[0]), 0
+            first = int(pdf["t_us"].iloc[k])
+            nth = used.get(first, 0)
             while self.pages.containsKey((first, nth)):
                 nth += 1
-            self.pages.updateValue((first, nth), tuple([v.tolist() if isinstance(v, np.ndarray) else v for v in part[c].tolist()] for c, _ in self.columns))
+            used[first] = nth + 1
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema) as out:
+                out.write_table(rows.slice(k, PAGE_ROWS))
+            self.pages.updateValue((first, nth), (sink.getvalue().to_pybytes(),))
 
     def wake(self, state: Any, at: int | None) -> None:
         """Move the timer that ``state`` names."""
@@ -79,8 +84,7 @@ class InEventOrder(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         first = None
-        for pdf in rows:
-            pdf = pdf.sort_values(["t_us", "event_id"], ignore_index=True)
+        for pdf in runs(rows):
             self.store(pdf)
             at = int(pdf["t_us"].iloc[0]) // 1000 + 1
             first = at if first is None else min(first, at)
@@ -97,17 +101,21 @@ class InEventOrder(StatefulProcessor):
             self.idle.clear()
 
     def sweep(self, key: Any, until: int) -> Iterator[pd.DataFrame]:
-        """Tell all rows before ``until``. Pages overlap; rows are told up to where the next page begins."""
+        """Tell all rows before ``until``. Pages overlap; rows are told up to where the next page begins. As many pages are merged at once as
+        there are rows held, so a row is sorted a few times only, however many pages overlap."""
         firsts = sorted(self.pages.keys())
         due = [k for k in firsts if k[0] < until]
         state, last = tuple(self.state.get()) if self.state.exists() else None, None
-        held = None
-        for n, page in enumerate(due):
-            lists = self.pages.getValue(page)
-            self.pages.removeKey(page)
-            pdf = pd.DataFrame({c: list(x) for (c, _), x in zip(self.columns, lists, strict=True)})
-            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True).sort_values(["t_us", "event_id"], ignore_index=True)
-            limit = min(until, due[n + 1][0]) if n + 1 < len(due) else until
+        held, at = None, 0
+        while at < len(due):
+            taken, count = ([] if held is None else [held]), 0
+            least = max(MERGED_ROWS, 0 if held is None else len(held))
+            while at < len(due) and count < least:
+                taken.append(pa.ipc.open_stream(self.pages.getValue(due[at])[0]).read_all().to_pandas())
+                self.pages.removeKey(due[at])
+                count, at = count + len(taken[-1]), at + 1
+            held = pd.concat(taken, ignore_index=True).sort_values(["t_us", "event_id"], ignore_index=True)
+            limit = due[at][0] if at < len(due) else until
             cut = int(held["t_us"].searchsorted(limit))
             if cut:
                 ready, held = held.iloc[:cut].reset_index(drop=True), held.iloc[cut:]
@@ -128,6 +136,18 @@ class InEventOrder(StatefulProcessor):
         pass
 
 
+def runs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows in sorted runs: the longer a run, the fewer pages overlap."""
+    held: list[pd.DataFrame] = []
+    for pdf in parts:
+        held.append(pdf)
+        if sum(map(len, held)) >= RUN_ROWS:
+            yield pd.concat(held).sort_values(["t_us", "event_id"], ignore_index=True)
+            held = []
+    if held and any(map(len, held)):
+        yield pd.concat(held).sort_values(["t_us", "event_id"], ignore_index=True)
+
+
 def closing_source(rows: DataFrame, time: str) -> tuple[DataFrame, str]:
     """``rows`` with a second source that is empty as yet, and the folder that its closing row goes to."""
     spark = rows.sparkSession
