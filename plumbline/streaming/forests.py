@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import Any, Protocol
 
 import numpy as np
@@ -303,31 +304,51 @@ class HalfSpaces:
         return s, s > self.threshold
 
 
+@lru_cache(maxsize=8)
+def planted(seed: int, trees: int, depth: int, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and places of the cuts of trees over ``d`` numbers, the same at every turn."""
+    rng = np.random.default_rng(seed)
+    inner = (1 << depth) - 1
+    feature, split = rng.integers(0, d, (trees, inner)), np.zeros((trees, inner))
+    for t in range(trees):
+        centre = rng.random(d)
+        reach = 2 * np.maximum(centre, 1 - centre)
+        box = {0: (centre - reach, centre + reach)}
+        for node in range(inner):
+            low, high = box.pop(node)
+            f = feature[t, node]
+            split[t, node] = (low[f] + high[f]) / 2
+            left, right = high.copy(), low.copy()
+            left[f] = right[f] = split[t, node]
+            box[2 * node + 1], box[2 * node + 2] = (low, left), (right, high)
+    return feature, split
+
+
 def half_space_trees(window: int = 256, threshold: float = 0.95, trees: int = 25, depth: int = 8, seed: int = 42) -> Turning:
     """Half-space trees by Tan, Ting and Liu: fixed random trees over a work range around the first window's; the mass of the last window
     judges the next."""
+    def scale(ends: np.ndarray) -> np.ndarray:
+        return np.where(ends[1] > ends[0], ends[1] - ends[0], 1.0)
+
     def start(turn: int, before: np.ndarray, ends: np.ndarray) -> HalfSpaces:
-        rng = np.random.default_rng(seed)
-        d, inner = before.shape[1], (1 << depth) - 1
-        feature, split = rng.integers(0, d, (trees, inner)), np.zeros((trees, inner))
-        for t in range(trees):
-            centre = rng.random(d)
-            reach = 2 * np.maximum(centre, 1 - centre)
-            box = {0: (centre - reach, centre + reach)}
-            for node in range(inner):
-                low, high = box.pop(node)
-                f = feature[t, node]
-                split[t, node] = (low[f] + high[f]) / 2
-                left, right = high.copy(), low.copy()
-                left[f] = right[f] = split[t, node]
-                box[2 * node + 1], box[2 * node + 2] = (low, left), (right, high)
-        span = np.where(ends[1] > ends[0], ends[1] - ends[0], 1.0)
-        empty = np.zeros((trees, 2 * inner + 1), dtype=np.int64)
-        out = HalfSpaces(feature, split, ends[0], span, empty, empty.copy(), window, threshold)
+        feature, split = planted(seed, trees, depth, before.shape[1])
+        empty = np.zeros((trees, 2 * feature.shape[1] + 1), dtype=np.int64)
+        out = HalfSpaces(feature, split, ends[0], scale(ends), empty, empty.copy(), window, threshold)
         out.mass = out.count(before)
         return out
 
-    return Turning(window, window, start)
+    def together(turns: Sequence[Turn]) -> list[tuple[np.ndarray, np.ndarray]]:
+        out, some = [], max(1, 4_096 // window)
+        for at in range(0, len(turns), some):
+            part = turns[at:at + some]
+            feature, split = planted(seed, trees, depth, part[0].x.shape[1])
+            unit = lambda xs: np.concatenate([(x - t.ends[0]) / scale(t.ends) for t, x in zip(part, xs, strict=True)])
+            scores = lanes.mass_scores(feature, split, depth, unit([t.before for t in part]), [len(t.before) for t in part], unit([t.x for t in part]),
+                                       [len(t.x) for t in part], window)
+            out += [(s, s > threshold) for s in scores]
+        return out
+
+    return Turning(window, window, start, together=together)
 
 
 # -- robust random cut forest -----------------------------------------------------

@@ -180,3 +180,34 @@ def displacements(turns: Sequence[tuple[np.ndarray, int]], window: int, trees: i
     for row, k in enumerate(order):
         out[k] = scores[row, skipped[row]:lengths[row]]
     return out
+
+
+# -- half-space trees -------------------------------------------------------------
+def walk(feature: np.ndarray, split: np.ndarray, unit: np.ndarray, levels: int) -> np.ndarray:
+    """(level, tree, point): the nodes that points pass."""
+    trees, inner = feature.shape
+    base, first = np.arange(trees)[:, None] * inner, np.arange(len(unit)) * unit.shape[1]
+    at = np.zeros((trees, len(unit)), int)
+    out = [at]
+    for _ in range(levels):
+        node = base + at
+        at = 2 * at + 1 + (unit.take(first + feature.take(node)) >= split.take(node))
+        out.append(at)
+    return np.stack(out)
+
+
+def mass_scores(feature: np.ndarray, split: np.ndarray, levels: int, before: np.ndarray, befores: Sequence[int], unit: np.ndarray, sizes: Sequence[int], window: int) -> list[np.ndarray]:
+    """Scores of points by the masses of the points before their turn: 1 / (1 + density against an even spread), where a tree stops at
+    the first node of few points. ``befores`` and ``sizes`` are the numbers of points of each turn."""
+    trees, nodes = len(feature), 2 * feature.shape[1] + 1
+
+    def places(x: np.ndarray, counts: Sequence[int]) -> np.ndarray:
+        turn = np.arange(len(counts)).repeat(counts)
+        return walk(feature, split, x, levels) + (turn * trees + np.arange(trees)[:, None]) * nodes
+
+    mass = np.bincount(places(before, befores).ravel(), minlength=len(befores) * trees * nodes).take(places(unit, sizes))
+    few = mass <= 0.1 * window
+    few[-1] = True
+    level = few.argmax(0)
+    end = np.take_along_axis(mass, level[None], 0)[0]
+    return np.split(1 / (1 + (end * 2.0 ** level).mean(0) / window), np.cumsum(sizes)[:-1])

@@ -114,3 +114,14 @@ def test_overlapping_pages_are_sorted_a_few_times(monkeypatch):
     out = pd.concat(list(order.sweep("a", 10 ** 15)))
     assert (out["event_id"].to_numpy() == np.arange(450_000)).all() and not order.pages
     assert sum(rows) < 4 * 450_000
+
+
+@pytest.mark.parametrize("d", [1, 2, 3])
+def test_half_spaces_of_many_turns(d):
+    for kind in (forests.half_space_trees(50, 0.7, 15, 6), forests.half_space_trees(20, 0.5, 7, 3)):
+        assert same(kind, turns_of(kind, points(1_230, d)))
+
+
+def test_half_spaces_of_many_turns_are_faster():
+    kind = forests.half_space_trees(50, 0.7, 15, 6)
+    assert faster(kind, turns_of(kind, points(16_000)), 3)
