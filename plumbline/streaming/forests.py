@@ -251,7 +251,25 @@ def windowed_forest(window: int = 256, contamination: float = 0.1, trees: int =
         forest.cut = float(np.quantile(forest.scores(before), 1 - contamination))
         return forest
 
-    return Turning(window, window, start)
+    def together(turns: Sequence[Turn]) -> list[tuple[np.ndarray, np.ndarray]]:
+        out: list[Any] = [None] * len(turns)
+        fit = [k for k, t in enumerate(turns) if 0 < len(t.before) == window <= lanes.MOST and usual(t.before)]
+        limit, paths, norm, some = math.ceil(math.log2(max(window, 2))), [average_path(n) for n in range(window + 1)], average_path(window) or 1.0, max(1, LANES // trees)
+        for at in range(0, len(fit), some):
+            part = [turns[k] for k in fit[at:at + some]]
+            rngs = [np.random.default_rng([seed, t.number, k]) for t in part for k in range(trees)]
+            for rng in rngs:
+                rng.permutation(window)  # a window of at most 256 points is its own sample; the order of points does not matter
+            forest = lanes.IsolationLanes(np.stack([t.before for t in part]), rngs, limit, paths)
+            of, sizes = np.arange(len(part)), [len(t.x) for t in part]
+            known, new = (np.power(2.0, -(forest.totals(x, of.repeat(n)) / trees) / norm)
+                          for x, n in ((np.concatenate([t.before for t in part]), window), (np.concatenate([t.x for t in part]), sizes)))
+            cuts = np.quantile(known.reshape(-1, window), 1 - contamination, axis=1)
+            for k, s, cut in zip(fit[at:at + some], np.split(new, np.cumsum(sizes)[:-1]), cuts, strict=True):
+                out[k] = s, s > cut
+        return [start(t.number, t.before, t.ends).judge(t.x) if o is None else o for t, o in zip(turns, out, strict=True)]
+
+    return Turning(window, window, start, together=together)
 
 
 # -- half-space trees --------------------------------------------------------

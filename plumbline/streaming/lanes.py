@@ -182,6 +182,131 @@ def displacements(turns: Sequence[tuple[np.ndarray, int]], window: int, trees: i
     return out
 
 
+# -- isolation trees ------------------------------------------------------------
+#: Points of a window whose sets fit a word of bits.
+MOST = 63
+
+
+def last_bit(sets: np.ndarray) -> np.ndarray:
+    """Places of the highest bits."""
+    for by in (1, 2, 4, 8, 16, 32):
+        sets = sets | (sets >> np.uint64(by))
+    return np.bitwise_count(sets).astype(int) - 1
+
+
+class Draws:
+    """What ``choice`` and ``uniform`` of a lane's generator draw: words of 64 bits, of which a choice takes a half and leaves the other for
+    the next choice."""
+
+    def __init__(self, rngs: Sequence[np.random.Generator], words: int):
+        kept = [r.bit_generator.state for r in rngs]
+        self.words = np.stack([r.bit_generator.random_raw(words) for r in rngs])
+        self.at = np.arange(len(rngs)) * words
+        self.has = np.array([s["has_uint32"] for s in kept], bool)
+        self.half = np.array([s["uinteger"] for s in kept], np.uint64)
+
+    def word(self, lane: np.ndarray) -> np.ndarray:
+        at = self.at.take(lane)
+        self.at[lane] = at + 1
+        return self.words.take(at)
+
+    def uniform(self, lane: np.ndarray) -> np.ndarray:
+        return (self.word(lane) >> np.uint64(11)) * (1.0 / 9007199254740992.0)
+
+    def below(self, lane: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """A whole number below each ``n``, which is 2 at least."""
+        out, todo = np.zeros(len(lane), int), np.arange(len(lane))
+        while todo.size:
+            mine, has = lane[todo], self.has.take(lane[todo])
+            bits = self.half.take(mine)
+            fresh = mine[~has]
+            word = self.word(fresh)
+            bits[~has] = word & np.uint64(0xFFFFFFFF)
+            self.half[fresh] = word >> np.uint64(32)
+            self.has[mine] = ~has
+            size = n[todo].astype(np.uint64)
+            product = bits * size
+            out[todo] = product >> np.uint64(32)
+            todo = todo[(product & np.uint64(0xFFFFFFFF)) < np.uint64(0x100000000) % size]
+        return out
+
+
+class IsolationLanes:
+    """Isolation trees over windows of equally many points, ``trees`` for each, grown depth first. The points of a node are a set of bits for
+    each number, in the order of that number."""
+
+    def __init__(self, windows: np.ndarray, rngs: Sequence[np.random.Generator], limit: int, path: Sequence[float]):
+        turns, n, d = windows.shape
+        lanes, self.trees, one = len(rngs), len(rngs) // turns, np.uint64(1)
+        order = windows.argsort(1, kind="stable").transpose(0, 2, 1)
+        values = np.full((turns, d, MOST + 1), np.inf)
+        values[:, :, :n] = np.take_along_axis(windows.transpose(0, 2, 1), order, 2)
+        bits = one << order.argsort(2, kind="stable").astype(np.uint64)
+        # (turn, f, p, g): the p least points by number f as bits of number g.
+        least = np.zeros((turns, d, n + 1, d), np.uint64)
+        for f in range(d):
+            for g in range(d):
+                least[:, f, 1:, g] = np.take_along_axis(bits[:, g], order[:, f], 1).cumsum(1, dtype=np.uint64)
+        least = least.reshape(-1, d)
+        self.room = min(2 * n - 1, 2 ** (limit + 1) - 1)
+        size = lanes * self.room
+        self.feature, self.split, self.value, self.right = np.zeros(size, int), np.full(size, np.nan), np.zeros(size), np.arange(size)
+        draws = Draws(rngs, n + n // 2 + 18)
+        height = limit + 2
+        sets, depth, above = np.zeros((lanes * height, d), np.uint64), np.zeros(lanes * height, int), np.full(lanes * height, -1)
+        sets[::height] = (one << np.uint64(n)) - one
+        lane, top = np.arange(lanes), np.zeros(lanes, int)
+        paths = np.array(path)
+        for step in range(self.room):
+            place = lane * height + top
+            held, deep, up, node = sets.take(place, 0), depth.take(place), above.take(place), lane * self.room + step
+            self.right[up[up >= 0]] = node[up >= 0]
+            count = np.bitwise_count(held[:, 0]).astype(int)
+            base = (lane // self.trees)[:, None] * (d * (MOST + 1)) + np.arange(d) * (MOST + 1)
+            some = np.where(held > 0, held, one)
+            low = values.take(base + np.bitwise_count((some & -some) - one))
+            high = values.take(base + last_bit(some))
+            spread = high > low
+            ways = spread.sum(1)
+            inner = (deep < limit) & (count > 1) & (ways > 0)
+            end, on = np.nonzero(~inner)[0], np.nonzero(inner)[0]
+            self.value[node[end]] = deep[end] + paths.take(count[end])
+            if on.size:
+                mine, ways, spread = lane[on], ways[on], spread.take(on, 0)
+                nth, several = np.zeros(len(on), int), np.nonzero(ways > 1)[0]
+                nth[several] = draws.below(mine[several], ways[several])
+                f = (spread.cumsum(1) > nth[:, None]).argmax(1)
+                pick = on * d + f
+                least_value = low.take(pick)
+                t = least_value + (high.take(pick) - least_value) * draws.uniform(mine)
+                start, p = base.take(pick), np.zeros(len(on), int)
+                for by in (32, 16, 8, 4, 2, 1):
+                    p += by * (values.take(start + p + (by - 1)) <= t)
+                self.feature[node[on]], self.split[node[on]] = f, t
+                part = least.take(((mine // self.trees) * d + f) * (n + 1) + p, 0)
+                here, mark = place[on], held.take(on, 0)
+                sets[here], depth[here], above[here] = mark & ~part, deep[on] + 1, node[on]
+                sets[here + 1], depth[here + 1], above[here + 1] = mark & part, deep[on] + 1, -1
+            top = top + np.where(inner, 1, -1)
+            lane, top = lane[top >= 0], top[top >= 0]
+            if not lane.size:
+                break
+        self.limit = limit
+
+    def totals(self, x: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Sums over the trees of a turn (``of``) of the depth where each point ends."""
+        first = np.arange(len(x)) * x.shape[1]
+        base = of * (self.trees * self.room)
+        out = np.zeros(len(x))
+        for tree in range(self.trees):
+            at = base + tree * self.room
+            for _ in range(self.limit):
+                left = x.take(first + self.feature.take(at)) <= self.split.take(at)
+                at = np.where(left, at + 1, self.right.take(at))
+            out += self.value.take(at)
+        return out
+
+
 # -- half-space trees -------------------------------------------------------------
 def walk(feature: np.ndarray, split: np.ndarray, unit: np.ndarray, levels: int) -> np.ndarray:
     """(level, tree, point): the nodes that points pass."""

@@ -125,3 +125,16 @@ def test_half_spaces_of_many_turns(d):
 def test_half_spaces_of_many_turns_are_faster():
     kind = forests.half_space_trees(50, 0.7, 15, 6)
     assert faster(kind, turns_of(kind, points(16_000)), 3)
+
+
+@pytest.mark.parametrize("d", [1, 2, 4])
+def test_isolation_lanes_are_isolation_trees(d):
+    for window in (2, 20, 63, 64):
+        kind = forests.windowed_forest(window, 0.15, 5)
+        assert same(kind, turns_of(kind, points(window * 12 + 1, d)))
+    assert same(kind, turns_of(kind, np.full((200, d), 3.0)))
+
+
+def test_isolation_lanes_are_faster():
+    kind = forests.windowed_forest(50, 0.15, 30)
+    assert faster(kind, turns_of(kind, points(4_000)), 6)
